@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.functions.privileges import code_mask, expected_mask, explode_mask
-from grantlens.functions.sqltext import grant_class, grant_command, object_ref, role_ref
+from grantlens.functions.sqltext import (
+    alter_class,
+    grant_class,
+    grant_command,
+    object_ref,
+    owner_command,
+    role_ref,
+)
 from grantlens.model import (
     OBJECT_TYPES,
     PRIVILEGES,
@@ -159,7 +166,8 @@ def object_privileges(all_objects: DataFrame, all_acl: DataFrame, requests: Data
     objects = all_objects.where(F.col("obj_kind") != "N").withColumn("_class", klass)
     acl = all_acl.where(F.col("obj_kind") != "N").withColumn("_class", klass)
     found = all_privileges(
-        objects.join(asked, keys, "left_semi"), acl.join(asked, keys, "left_semi")
+        attach(objects, asked, keys, "left_semi", sized_by=requests),
+        attach(acl, asked, keys, "left_semi", sized_by=requests),
     )
     return _answers(found, rejected)
 
@@ -169,7 +177,8 @@ def object_public_privileges(all_acl: DataFrame, requests: DataFrame) -> DataFra
     asked, rejected = _requested(requests, PUBLIC_OBJECT_CLASSES, "FSP0")
     acl = all_acl.where((F.col("obj_kind") != "N") & (F.col("grantee_oid") == PUBLIC_OID))
     acl = acl.withColumn("_class", grant_class(F.col("obj_kind")))
-    return _answers(public_privileges(acl.join(asked, ["obj_oid", "_class"], "left_semi")), rejected)
+    wanted = attach(acl, asked, ["obj_oid", "_class"], "left_semi", sized_by=requests)
+    return _answers(public_privileges(wanted), rejected)
 
 
 def object_names(all_objects: DataFrame, namespaces: DataFrame) -> DataFrame:
@@ -180,35 +189,49 @@ def object_names(all_objects: DataFrame, namespaces: DataFrame) -> DataFrame:
 
 
 def render_commands(
-    privileges: DataFrame,
+    rows: DataFrame,
     all_objects: DataFrame,
     namespaces: DataFrame,
     roles: DataFrame,
     server_version: int = 150000,
 ) -> DataFrame:
-    """Add the text of each GRANT/REVOKE row; NULL when a part of it cannot be named.
+    """Add object_class and the command text of each row; NULL when a part cannot be named.
 
-    Entries of columns are named after their table, whose kind they do not know, so both sides
-    meet on the class of objects.
+    Rows carry obj_kind, obj_oid, column_name, role_oid, privilege and a verb: GRANT, REVOKE or
+    OWNER. An ``in_schema_oid`` column, where set, names the schema the object will be in by
+    then. Entries of columns are named after their table, whose kind they do not know, so both
+    sides meet on the class of objects.
     """
-    names = object_names(all_objects, namespaces)
-    klass = grant_class(F.col("obj_kind"), server_version)
-    names = names.select(
-        "obj_oid",
-        klass.alias("object_class"),
-        object_ref(F.col("obj_kind"), F.col("schema_name"), F.col("obj_name")).alias("_target"),
-    ).where(F.col("object_class").isNotNull())
-    named = privileges.withColumn("object_class", klass).join(
-        names, ["object_class", "obj_oid"], "left"
-    )
-    named = attach(named, roles.select("role_oid", "role_name"), "role_oid", "left", sized_by=roles)
-    return named.withColumn(
-        "command",
-        grant_command(
-            F.col("verb"), F.col("privilege"), F.col("object_class"), F.col("_target"),
-            role_ref(F.col("role_oid"), F.col("role_name")), F.col("column_name"),
-        ),
-    ).drop("_target", "role_name")
+    kind = F.col("obj_kind")
+    family = F.coalesce(grant_class(kind), kind)
+    names = object_names(all_objects, namespaces).select(
+        "obj_oid", family.alias("_family"), "schema_name", "obj_name"
+    )
+    names = names.withColumnsRenamed({"schema_name": "_schema", "obj_name": "_name"})
+    named = rows.withColumn("_family", family).join(names, ["_family", "obj_oid"], "left")
+    named = attach(
+        named, roles.select("role_oid", F.col("role_name").alias("_role")), "role_oid", "left", sized_by=roles
+    )
+    if "in_schema_oid" in rows.columns:
+        later = namespaces.select(
+            F.col("schema_oid").alias("in_schema_oid"), F.col("schema_name").alias("_later")
+        )
+        named = attach(named, later, "in_schema_oid", "left", sized_by=namespaces)
+        named = named.withColumn("_schema", F.coalesce("_later", "_schema")).drop("_later")
+    target = object_ref(kind, F.col("_schema"), F.col("_name"))
+    role = role_ref(F.col("role_oid"), F.col("_role"))
+    is_owner = F.col("verb") == "OWNER"
+    klass = F.when(is_owner, alter_class(kind, server_version)).otherwise(
+        grant_class(kind, server_version)
+    )
+    granting = grant_command(
+        F.col("verb"), F.col("privilege"), klass, target, role, F.col("column_name")
+    )
+    return (
+        named.withColumn("object_class", klass)
+        .withColumn("command", F.when(is_owner, owner_command(klass, target, role)).otherwise(granting))
+        .drop("_family", "_schema", "_name", "_role")
+    )
 
 
 def resolve_relation_names(requests: DataFrame, all_objects: DataFrame, namespaces: DataFrame) -> DataFrame:

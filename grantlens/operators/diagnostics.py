@@ -299,10 +299,13 @@ def effective_privileges(
     roles: DataFrame,
     closure: DataFrame,
 ) -> DataFrame:
-    """Privileges of requested (role, object) pairs through ownership, grants and public.
+    """Mask of the privileges of requested (role, object) pairs, through grants to the role, to
+    roles it reaches, to public, and through ownership.
 
-    A request is turned into the (object, role) keys it may draw rights from; those meet the
-    held rights in one join by object and role. Superusers hold everything the kind allows.
+    A request asks whether two sets meet: the roles the user reaches and the grantees of the
+    object. Each request walks the smaller of the two, so neither an object granted to a crowd
+    nor a user who reaches half of the roles multiplies rows. Superusers hold everything the
+    kind allows.
     """
     kinds = expected_mask(F.col("obj_kind"), "owner")
     objects = all_objects.where(F.col("obj_kind").isin(*RIGHTS_KINDS) & (F.col("obj_kind") != "N"))
@@ -319,8 +322,7 @@ def effective_privileges(
         .groupBy("obj_oid", F.col("grantee_oid").alias("role_oid"))
         .agg(F.bit_or(code_mask(F.col("codes"))).alias("_held"))
     )
-    # built-in defaults of the owner and of public apply where there is no ACL; an owner always
-    # has the rights listed in the ACL, and may give back to itself the others
+    # built-in defaults of the owner and of public apply where there is no ACL
     defaults = objects.where(~F.col("has_acl")).select(
         "obj_oid",
         F.explode(
@@ -335,11 +337,22 @@ def effective_privileges(
         grants.where(F.col("role_oid") == PUBLIC_OID).select("obj_oid", "_held"), "obj_oid"
     ).select("user_oid", "obj_oid", "_held")
     by_role = grants.where(F.col("role_oid") != PUBLIC_OID)
+    grantees = by_role.groupBy("obj_oid").agg(F.count(F.lit(1)).alias("_grantees"))
+    reached = reach.groupBy("user_oid").agg(F.count(F.lit(1)).alias("_reached"))
+    routed = (
+        asked.select("user_oid", "obj_oid").join(grantees, "obj_oid").join(reached, "user_oid")
+    )
+    by_object = F.col("_grantees") <= F.col("_reached")
     through = (
-        asked.select("user_oid", "obj_oid")
+        routed.where(by_object)
         .join(by_role, "obj_oid")
         .join(reach, ["user_oid", "role_oid"], "left_semi")
         .select("user_oid", "obj_oid", "_held")
+    ).unionByName(
+        routed.where(~by_object)
+        .join(reach, "user_oid")
+        .join(by_role, ["obj_oid", "role_oid"])
+        .select("user_oid", "obj_oid", "_held")
     )
     as_super = asked.where(F.coalesce("_super", F.lit(False))).select(
         "user_oid", "obj_oid", F.col("all_mask").alias("_held")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.functions.sqltext import quote_ident
@@ -13,6 +13,11 @@ ADMIN_ROLE = "g_admin"
 FUNCTIONS = ("producer", "editor", "reader")
 
 
+def role_oid_of(roles: DataFrame, name: str) -> Column:
+    """Id of one named role as a scalar subquery; NULL when there is none."""
+    return roles.where(F.col("role_name") == name).agg(F.max("role_oid")).scalar()
+
+
 def _transitive(edges: DataFrame) -> DataFrame:
     """Transitive closure by squaring: depth d takes log2(d) rounds, cycles end by distinct."""
     reach = cut_lineage(edges)
@@ -148,8 +153,11 @@ def visible_registry(
         F.col("_named")
     )
     columns = [c for c in registry.columns]
-    producers = rows.select(*columns, key.alias("_key")).where(F.col("_key").isNotNull())
-    everything = registry.withColumn("_key", F.lit(SUPERUSER_KEY).cast("bigint"))
+    # every row carries two keys: its own, and the mark of those who see everything
+    keyed = rows.select(
+        *columns,
+        F.explode(F.array(key, F.lit(SUPERUSER_KEY).cast("bigint"))).alias("_key"),
+    ).where(F.col("_key").isNotNull())
     asked = users.select(F.col(users.columns[0]).alias("member_oid")).distinct()
     reach = closure.join(asked, "member_oid", "left_semi").select("member_oid", "role_oid")
     admins = attach(
@@ -160,10 +168,10 @@ def visible_registry(
     )
     all_seeing = admins.union(supers).distinct()
     limited = reach.join(all_seeing, "member_oid", "left_anti")
-    seen = producers.join(limited.withColumnRenamed("role_oid", "_key"), "_key").unionByName(
-        everything.join(all_seeing.withColumn("_key", F.lit(SUPERUSER_KEY).cast("bigint")), "_key")
+    keys = limited.withColumnRenamed("role_oid", "_key").unionByName(
+        all_seeing.withColumn("_key", F.lit(SUPERUSER_KEY).cast("bigint"))
     )
-    return seen.withColumnRenamed("member_oid", "user_oid").drop("_key")
+    return attach(keyed, keys, "_key", "inner").withColumnRenamed("member_oid", "user_oid").drop("_key")
 
 
 def registry_listing(registry: DataFrame) -> DataFrame:

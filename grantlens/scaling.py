@@ -50,13 +50,11 @@ def attach(
     return salted.join(replicated, keys + ["_salt"], how).drop("_salt")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise reliably in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints and intermediate tables, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only a local session without one gets a
-    temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -65,6 +63,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise reliably in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,10 +7,13 @@ Each definition is plain SQL that both engines run unchanged; later ones build o
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grantlens.scaling import shared_folder
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -184,6 +187,20 @@ select t.obj_oid as table_oid, t.schema_oid, s.obj_name as index_name, t.obj_oid
     # Types that the server made by itself for a table.
     "auto_types": """
 select o.obj_oid from objects o where o.obj_kind='T' and not o.has_acl
+""",
+    # Schemas whose editor or reader is about to change.
+    "function_switches": """
+select r.db_id, r.schema_oid, n.schema_name, 'editor' as function, case when r.editor='public' then 0 else o.role_oid end as old_oid, t.role_oid as new_oid
+ from registry_changes c join registry r on r.schema_oid=c.target_schema_oid join namespaces n on n.schema_oid=r.schema_oid left join roles o on o.role_oid=r.editor_oid left join roles t on t.role_name=nullif(c.new_editor,'')
+ where c.op<>'DELETE' and coalesce(nullif(c.new_editor,''),'')<>coalesce(r.editor,'')
+union all
+select r.db_id, r.schema_oid, n.schema_name, 'reader', case when r.reader='public' then 0 else o.role_oid end, t.role_oid
+ from registry_changes c join registry r on r.schema_oid=c.target_schema_oid join namespaces n on n.schema_oid=r.schema_oid left join roles o on o.role_oid=r.reader_oid left join roles t on t.role_name=nullif(c.new_reader,'')
+ where c.op<>'DELETE' and coalesce(nullif(c.new_reader,''),'')<>coalesce(r.reader,'')
+""",
+    # Schemas somebody wants to bring back to the standard; some are missing, some of the server.
+    "reset_targets": """
+select distinct db_id, schema_name from registry union select distinct db_id, schema_name from namespaces
 """,
     # Roles to be replaced by another one, or by nobody.
     "role_replacements": """
@@ -220,19 +237,43 @@ def with_inputs(body: str, extra: str = "", recursive: bool = False) -> str:
 
 
 class Inputs:
-    """Catalog tables of one test-data folder as DataFrames, by attribute."""
+    """Catalog tables of one test-data folder as DataFrames, by attribute.
+
+    A table is derived once per session, written as Parquet to the shared folder, and read back
+    by every query: scans prune columns and filters, and size estimates are those of real files.
+    """
+
+    _landed: dict[tuple[str, str], dict[str, str]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        for name in BASE_TABLES:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        self._paths = self._landed.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+        self._sf_dir = sf_dir
+
+    def land(self, name: str, derive) -> DataFrame:
+        """Table ``name`` of this session, derived and written on first use."""
+        if name not in self._paths:
+            path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}/{name}"
+            derive().write.parquet(path)
+            self._paths[name] = path
+        return self.spark.read.parquet(self._paths[name])
+
+    def _derive(self, name: str) -> DataFrame:
+        words = set(re.findall(r"\w+", DEFINITIONS[name]))
+        for used in words.intersection(DEFINITIONS) - {name}:
+            derived = getattr(self, used)
+            derived.createOrReplaceTempView(used)
+        for used in words.intersection(BASE_TABLES):
+            self.spark.read.parquet(f"{self._sf_dir}/{used}.parquet").createOrReplaceTempView(used)
+        df = self.spark.sql(DEFINITIONS[name].strip())
+        return df.select(
+            *[
+                F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c)
+                for c, t in df.dtypes
+            ]
+        )
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DEFINITIONS:
             raise AttributeError(name)
-        df = self.spark.sql(f"WITH {cte_list([name])} SELECT * FROM {name}")
-        widened = [
-            F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c)
-            for c, t in df.dtypes
-        ]
-        return df.select(*widened)
+        return self.land(name, lambda: self._derive(name))

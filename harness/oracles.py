@@ -242,5 +242,211 @@ def roles() -> dict[str, str]:
     }
 
 
+PLAN = f"{RIGHTS},\n{NAMES}"
+OWNER_CMD = "'ALTER '||k.alt||' '||n.target||' OWNER TO '||u.ref"
+CMD = (
+    f"CASE WHEN s.verb='OWNER' THEN {OWNER_CMD} ELSE s.verb||' '||s.privilege||CASE WHEN s.column_name IS NULL THEN '' ELSE ' ('||{q('s.column_name')}||')' END"
+    "||' ON '||k.cls||' '||n.target||CASE s.verb WHEN 'GRANT' THEN ' TO ' ELSE ' FROM ' END||u.ref END"
+)
+
+
+def commands(source: str, columns: str) -> str:
+    return f"""SELECT {columns}, {CMD} AS command FROM {source} s JOIN kind k ON k.kind=s.obj_kind
+ LEFT JOIN names n ON n.cls=k.cls AND n.obj_oid=s.obj_oid LEFT JOIN rolenames u ON u.role_oid=s.role_oid"""
+
+
+def big(*names: str, of: str = "s") -> str:
+    return ", ".join(f"CAST({of}.{n} AS BIGINT) AS {n}" for n in names)
+
+
+TABLES_EDIT, TABLES_READ = "'SELECT, INSERT, UPDATE, DELETE'", "'SELECT'"
+# standard rights as one row per object (x.editor_oid, x.reader_oid)
+STANDARD_LIST = """CASE WHEN x.obj_kind='N' THEN 'USAGE' WHEN x.obj_kind='S' THEN CASE f.fn WHEN 'editor' THEN 'SELECT, USAGE' ELSE 'SELECT' END
+ ELSE CASE f.fn WHEN 'editor' THEN 'SELECT, INSERT, UPDATE, DELETE' ELSE 'SELECT' END END"""
+FN = "fn(fn) AS (VALUES ('editor'),('reader'))"
+
+
+def schema_commands(source: str) -> str:
+    """(db_id, schema_name, editor_oid, reader_oid) → standard rights by whole schema."""
+    return f"""SELECT x.db_id, x.schema_name, f.fn AS function, CASE f.fn WHEN 'editor' THEN x.editor_oid ELSE x.reader_oid END AS role_oid, c.cls AS object_class,
+ CASE WHEN c.cls='SCHEMA' THEN 'USAGE' WHEN c.cls LIKE '%SEQ%' THEN CASE f.fn WHEN 'editor' THEN 'SELECT, USAGE' ELSE 'SELECT' END ELSE CASE f.fn WHEN 'editor' THEN 'SELECT, INSERT, UPDATE, DELETE' ELSE 'SELECT' END END AS privilege,
+ 'GRANT '||CASE WHEN c.cls='SCHEMA' THEN 'USAGE' WHEN c.cls LIKE '%SEQ%' THEN CASE f.fn WHEN 'editor' THEN 'SELECT, USAGE' ELSE 'SELECT' END ELSE CASE f.fn WHEN 'editor' THEN 'SELECT, INSERT, UPDATE, DELETE' ELSE 'SELECT' END END
+ ||' ON '||c.cls||' '||{q('x.schema_name')}||' TO '||u.ref AS command
+ FROM {source} x CROSS JOIN fn f CROSS JOIN (VALUES ('SCHEMA'),('ALL TABLES IN SCHEMA'),('ALL SEQUENCES IN SCHEMA')) c(cls)
+ LEFT JOIN rolenames u ON u.role_oid=CASE f.fn WHEN 'editor' THEN x.editor_oid ELSE x.reader_oid END WHERE CASE f.fn WHEN 'editor' THEN x.editor_oid ELSE x.reader_oid END IS NOT NULL"""
+
+
+DEFAULTS = """dtype(t, word) AS (VALUES ('r','TABLES'),('S','SEQUENCES'),('f','ROUTINES'),('T','TYPES'),('n','SCHEMAS'))"""
+
+
+def default_commands(source: str, where: str = "true", extra: str = "") -> str:
+    """REVOKE rows of default privileges, with what the admin role can reach."""
+    head = f"'ALTER DEFAULT PRIVILEGES FOR ROLE '||g.ref||CASE WHEN d.schema_oid=0 THEN '' ELSE ' IN SCHEMA '||{q('n.schema_name')} END"
+    return f"""SELECT DISTINCT d.db_id, d.schema_oid, n.schema_name, d.grantor_oid, d.grantee_oid, w.word AS object_class, p.privilege, {has('10', 'd.grantor_oid')} AS is_usable,
+ {head}||' REVOKE '||p.privilege||' ON '||w.word||' FROM '||u.ref AS revoke_command, {head}||' GRANT '||p.privilege||' ON '||w.word||' TO ' AS grant_head{extra}
+ FROM {source} d JOIN dtype w ON w.t=d.obj_type JOIN priv p ON contains(d.codes, p.code) LEFT JOIN namespaces n ON n.schema_oid=d.schema_oid
+ LEFT JOIN rolenames g ON g.role_oid=d.grantor_oid LEFT JOIN rolenames u ON u.role_oid=d.grantee_oid WHERE {where}"""
+
+
+TARGETS = f"""targets AS (SELECT t.db_id, t.schema_name, n.schema_oid,
+ CASE WHEN r.is_created IS NULL THEN 'unregistered' WHEN r.is_created THEN 'created' ELSE 'not created' END AS status,
+ CASE WHEN r.is_created THEN l.producer_oid ELSE n.owner_oid END AS producer_oid,
+ CASE WHEN r.is_created THEN l.editor_oid WHEN r.editor='public' THEN 0 ELSE e.role_oid END AS editor_oid,
+ CASE WHEN r.is_created THEN l.reader_oid WHEN r.reader='public' THEN 0 ELSE d.role_oid END AS reader_oid,
+ CASE WHEN regexp_matches(t.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') THEN 'FIS1' WHEN n.schema_oid IS NULL THEN 'FIS2' END AS error
+ FROM wanted_targets t LEFT JOIN namespaces n ON n.db_id=t.db_id AND n.schema_name=t.schema_name LEFT JOIN registry r ON r.db_id=t.db_id AND r.schema_name=t.schema_name
+ LEFT JOIN live l ON l.db_id=t.db_id AND l.schema_name=t.schema_name LEFT JOIN roles e ON e.role_name=r.editor LEFT JOIN roles d ON d.role_name=r.reader)"""
+
+
+def reset_rows(fixed: bool = True) -> str:
+    """Rows of the reset of ``targets``: every step in one relation."""
+    shape = "CAST(s.db_id AS BIGINT) AS db_id, t.schema_name, {step} AS step, s.obj_kind, CAST(s.obj_oid AS BIGINT) AS obj_oid, s.verb, s.privilege, {cls} AS object_class, CAST(s.role_oid AS BIGINT) AS role_oid, {cmd} AS command, CAST(NULL AS VARCHAR) AS error"
+    joins = "JOIN kind k ON k.kind=s.obj_kind LEFT JOIN names n ON n.cls=k.cls AND n.obj_oid=s.obj_oid LEFT JOIN rolenames u ON u.role_oid=s.role_oid"
+    owner = f"""SELECT {shape.format(step=2, cls='k.alt', cmd=OWNER_CMD)} FROM (SELECT o.db_id, o.schema_oid, o.obj_kind, o.obj_oid, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, t.producer_oid AS role_oid
+ FROM all_objects o JOIN targets t ON t.schema_oid=o.schema_oid WHERE t.error IS NULL AND o.owner_oid<>t.producer_oid AND NOT (o.obj_kind IN ('T','d') AND o.obj_oid IN (SELECT obj_oid FROM auto_types))) s
+ JOIN targets t ON t.schema_oid=s.schema_oid {joins}"""
+    held = f"""SELECT {shape.format(step='s.step', cls='k.cls', cmd=CMD)} FROM (SELECT db_id, schema_oid, obj_kind, obj_oid, column_name, privilege, role_oid, CASE verb WHEN 'GRANT' THEN 'REVOKE' ELSE 'GRANT' END AS verb, step
+ FROM (SELECT *, 4 AS step FROM a34 UNION ALL SELECT *, 3 FROM a5)) s JOIN targets t ON t.schema_oid=s.schema_oid AND t.error IS NULL {joins}"""
+    fixed_part = f"""SELECT {shape.format(step=6, cls='k.cls', cmd=CMD)} FROM (SELECT o.db_id, o.schema_oid, o.obj_kind, o.obj_oid, CAST(NULL AS VARCHAR) AS column_name, f.role_oid, 'GRANT' AS verb,
+ CASE f.codes WHEN 'U' THEN 'USAGE' ELSE 'SELECT, INSERT, UPDATE, DELETE' END AS privilege FROM all_objects o JOIN targets t ON t.schema_oid=o.schema_oid AND t.error IS NULL
+ JOIN fixed_grants f ON f.schema_name=t.schema_name AND f.obj_name=o.obj_name AND f.obj_kind=o.obj_kind) s JOIN targets t ON t.schema_oid=s.schema_oid {joins}"""
+    standard = f"""SELECT CAST(db_id AS BIGINT), schema_name, 5, 'N', CAST(NULL AS BIGINT), 'GRANT', privilege, object_class, CAST(role_oid AS BIGINT), command, NULL FROM ({schema_commands('(SELECT * FROM targets WHERE error IS NULL)')})"""
+    defaults = f"""SELECT CAST(db_id AS BIGINT), schema_name, 7, 'N', CAST(NULL AS BIGINT), 'REVOKE', privilege, object_class, CAST(grantee_oid AS BIGINT), CASE WHEN is_usable THEN revoke_command END, CASE WHEN NOT is_usable THEN 'FIS6' END
+ FROM ({default_commands('default_acl', 'd.schema_oid IN (SELECT schema_oid FROM targets WHERE error IS NULL)')})"""
+    errors = "SELECT CAST(db_id AS BIGINT), schema_name, 0, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), error FROM targets WHERE error IS NOT NULL"
+    register = "SELECT CAST(db_id AS BIGINT), schema_name, 1, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CASE status WHEN 'unregistered' THEN 'insert' ELSE 'update' END, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(producer_oid AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM targets WHERE error IS NULL AND status<>'created'"
+    parts = [owner, held, standard, defaults, errors, register] + ([fixed_part] if fixed else [])
+    return " UNION ALL ".join(parts)
+
+
+MOVES = f"""placed AS (SELECT m.*, o.db_id, o.obj_kind, o.obj_name, o.owner_oid, s.producer_oid AS p, s.editor_oid AS e, s.reader_oid AS l, t.producer_oid AS np, t.editor_oid AS ne, t.reader_oid AS nl,
+ CASE WHEN s.schema_oid IS NULL THEN 'FDO2' WHEN t.schema_oid IS NULL THEN 'FDO3' WHEN o.obj_oid IS NULL THEN 'FDO5' ELSE (SELECT c.error FROM conflicts c WHERE c.obj_oid=m.obj_oid AND c.target_schema_oid=m.target_schema_oid ORDER BY length(c.error), c.error LIMIT 1) END AS error
+ FROM object_moves m LEFT JOIN objects o ON o.obj_oid=m.obj_oid LEFT JOIN live s ON s.schema_oid=m.source_schema_oid LEFT JOIN live t ON t.schema_oid=m.target_schema_oid),
+units AS (SELECT obj_oid AS moved_oid, * FROM placed WHERE error IS NULL UNION ALL
+ SELECT p.obj_oid, s.obj_oid, p.source_schema_oid, p.target_schema_oid, p.variant, p.db_id, 'S', s.obj_name, s.owner_oid, p.p, p.e, p.l, p.np, p.ne, p.nl, p.error
+ FROM placed p JOIN owned_sequences w ON w.table_oid=p.obj_oid JOIN objects s ON s.obj_oid=w.sequence_oid AND s.obj_kind='S' WHERE p.error IS NULL AND p.obj_kind IN ('r','p')),
+rights AS (SELECT u.moved_oid, u.obj_oid, u.target_schema_oid, u.variant AS v, u.p, u.e, u.l, u.np, u.ne, u.nl, h.obj_kind AS held_kind, h.column_name, h.role_oid AS who, h.verb, CASE h.verb WHEN 'GRANT' THEN 'REVOKE' ELSE 'GRANT' END AS inv, h.privilege
+ FROM units u JOIN (SELECT * FROM a34 UNION ALL SELECT * FROM a5) h ON h.obj_oid=u.obj_oid AND h.obj_kind<>'N'),
+acts AS (
+ SELECT *, 2 AS step, inv AS verb2, np AS to_oid FROM rights WHERE v IN (2,6) AND who=p
+ UNION ALL SELECT *, 3, inv, ne FROM rights WHERE who=ne AND (e IS NULL OR NOT e=ne) AND NOT p=ne AND NOT v=4
+ UNION ALL SELECT *, 4, inv, e FROM rights WHERE who=e AND NOT e=np AND (ne IS NULL OR NOT e=ne OR v NOT IN (1,3)) AND NOT v=4
+ UNION ALL SELECT *, 5, verb, ne FROM rights WHERE who=e AND ne IS NOT NULL AND v IN (1,3) AND NOT e=ne
+ UNION ALL SELECT *, 7, inv, nl FROM rights WHERE who=nl AND (l IS NULL OR NOT l=nl) AND NOT p=nl AND (e IS NULL OR NOT e=nl) AND NOT v=4
+ UNION ALL SELECT *, 8, inv, l FROM rights WHERE who=l AND NOT l=np AND (ne IS NULL OR NOT l=ne) AND (nl IS NULL OR NOT l=nl OR v NOT IN (1,3)) AND NOT v=4
+ UNION ALL SELECT *, 9, verb, nl FROM rights WHERE who=l AND nl IS NOT NULL AND v IN (1,3) AND NOT l=nl
+ UNION ALL SELECT *, 11, inv, who FROM rights WHERE v IN (2,3,5) AND who<>p AND who<>np AND (e IS NULL OR who<>e) AND (l IS NULL OR who<>l) AND (ne IS NULL OR who<>ne) AND (nl IS NULL OR who<>nl)),
+moverows AS (
+ SELECT moved_oid, obj_oid, held_kind AS obj_kind, column_name, target_schema_oid, step, verb2 AS verb, privilege, to_oid AS role_oid FROM acts
+ UNION ALL SELECT moved_oid, obj_oid, obj_kind, NULL, target_schema_oid, 1, 'OWNER', NULL, np FROM units WHERE owner_oid<>np
+ UNION ALL SELECT moved_oid, obj_oid, obj_kind, NULL, target_schema_oid, 6, 'GRANT', CASE WHEN obj_kind='S' THEN 'SELECT, USAGE' ELSE 'SELECT, INSERT, UPDATE, DELETE' END, ne FROM units WHERE obj_kind IN ('r','p','v','m','f','S') AND ne IS NOT NULL AND (variant IN (2,5,6) OR e IS NULL) AND NOT variant=4
+ UNION ALL SELECT moved_oid, obj_oid, obj_kind, NULL, target_schema_oid, 10, 'GRANT', 'SELECT', nl FROM units WHERE obj_kind IN ('r','p','v','m','f','S') AND nl IS NOT NULL AND (variant IN (2,5,6) OR l IS NULL) AND NOT variant=4)"""
+
+CONFLICTS = """taken AS (SELECT CASE WHEN obj_kind='X' THEN 'proc' WHEN obj_kind IN ('T','d') THEN 'type' ELSE 'class' END AS cat, schema_oid, obj_name AS name FROM objects
+ UNION ALL SELECT 'class', schema_oid, index_name FROM table_indexes),
+asked AS (SELECT m.obj_oid, m.target_schema_oid, 'FDO8' AS error, CASE WHEN o.obj_kind='X' THEN 'proc' WHEN o.obj_kind IN ('T','d') THEN 'type' ELSE 'class' END AS cat, o.obj_name AS name FROM object_moves m JOIN objects o ON o.obj_oid=m.obj_oid
+ UNION ALL SELECT m.obj_oid, m.target_schema_oid, CASE WHEN i.is_constraint THEN 'FDO9' ELSE 'FDO10' END, 'class', i.index_name FROM object_moves m JOIN objects o ON o.obj_oid=m.obj_oid AND o.obj_kind IN ('r','p') JOIN table_indexes i ON i.table_oid=m.obj_oid
+ UNION ALL SELECT m.obj_oid, m.target_schema_oid, 'FDO11', 'class', s.obj_name FROM object_moves m JOIN objects o ON o.obj_oid=m.obj_oid AND o.obj_kind IN ('r','p') JOIN owned_sequences w ON w.table_oid=m.obj_oid JOIN objects s ON s.obj_oid=w.sequence_oid),
+conflicts AS (SELECT DISTINCT a.obj_oid, a.target_schema_oid, a.error, a.name FROM asked a JOIN taken t ON t.cat=a.cat AND t.schema_oid=a.target_schema_oid AND t.name=a.name)"""
+
+
+def plans() -> dict[str, str]:
+    graph = f"{USAGE},\n{SUPERS}"
+    own = """owning AS (SELECT o.db_id, a.schema_name, a.obj_kind, a.obj_oid, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, CAST(NULL AS VARCHAR) AS column_name, a.producer_oid AS role_oid, k.base AS is_base
+ FROM audited a JOIN all_objects o ON o.obj_kind=a.obj_kind AND o.obj_oid=a.obj_oid JOIN kind k ON k.kind=a.obj_kind WHERE a.owner_oid<>a.producer_oid AND NOT (a.obj_kind IN ('T','d') AND a.obj_oid IN (SELECT obj_oid FROM auto_types)))"""
+    std = f"""std AS (SELECT o.db_id, x.obj_kind, x.obj_oid, CAST(NULL AS VARCHAR) AS column_name, 'GRANT' AS verb, {STANDARD_LIST} AS privilege, CASE f.fn WHEN 'editor' THEN x.editor_oid ELSE x.reader_oid END AS role_oid, f.fn AS function
+ FROM audited x JOIN all_objects o ON o.obj_kind=x.obj_kind AND o.obj_oid=x.obj_oid CROSS JOIN fn f WHERE x.obj_kind IN ('N','S','r','p','v','m','f') AND CASE f.fn WHEN 'editor' THEN x.editor_oid ELSE x.reader_oid END IS NOT NULL)"""
+    rows = {}
+    rows["ownership_plan"] = with_inputs(
+        commands("owning", f"{big('db_id', 'obj_oid', 'role_oid')}, s.schema_name, s.obj_kind, s.is_base"), f"{PLAN},\n{AUDITED},\n{own}")
+    rows["ownership_counts"] = with_inputs(
+        "SELECT CAST(db_id AS BIGINT) AS db_id, schema_name, CAST(count(*) AS BIGINT) AS changes FROM owning GROUP BY ALL", f"{KIND},\n{AUDITED},\n{own}")
+    rows["standard_grants"] = with_inputs(
+        commands("std", f"{big('db_id', 'obj_oid', 'role_oid')}, s.obj_kind, s.privilege, s.function"), f"{PLAN},\n{AUDITED},\n{FN},\n{std}")
+    rows["schema_grants"] = with_inputs(
+        f"SELECT CAST(db_id AS BIGINT) AS db_id, schema_name, function, CAST(role_oid AS BIGINT) AS role_oid, privilege, object_class, command FROM ({schema_commands('live')})", f"{PLAN},\n{LIVE},\n{FN}")
+    rows["reset_schema_plan"] = with_inputs(
+        reset_rows(), f"{PLAN},\n{LIVE},\n{FN},\n{graph},\n{DEFAULTS},\nwanted_targets AS (SELECT * FROM reset_targets),\n{TARGETS}", recursive=True)
+    reset_obj = """asked AS (SELECT obj_oid, obj_type, CASE WHEN obj_type IN ('table','view','materialized view','foreign table','partitioned table') THEN 'TABLE'
+ WHEN obj_type='sequence' THEN 'SEQUENCE' WHEN obj_type IN ('function','aggregate','procedure','routine') THEN 'ROUTINE' WHEN obj_type IN ('type','domain') THEN 'TYPE' END AS cls FROM object_reset_requests),
+things AS (SELECT a.obj_oid, a.cls, o.obj_kind, o.db_id, o.schema_oid, o.owner_oid, l.producer_oid, l.editor_oid, l.reader_oid,
+ CASE WHEN o.obj_kind IS NOT NULL AND l.schema_oid IS NULL THEN 'FIO2' WHEN a.cls IS NULL THEN 'FIO3' WHEN o.obj_kind IS NULL OR k.cls<>a.cls THEN 'FIO4' END AS error
+ FROM asked a LEFT JOIN objects o ON o.obj_oid=a.obj_oid LEFT JOIN kind k ON k.kind=o.obj_kind LEFT JOIN live l ON l.schema_oid=o.schema_oid),
+steps AS (SELECT DISTINCT * FROM (
+ SELECT obj_oid, obj_kind, CAST(NULL AS VARCHAR) AS column_name, 2 AS step, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, producer_oid AS role_oid FROM things WHERE error IS NULL AND owner_oid<>producer_oid
+ UNION ALL SELECT h.obj_oid, h.obj_kind, h.column_name, CASE WHEN h.role_oid=0 THEN 3 ELSE 4 END, CASE h.verb WHEN 'GRANT' THEN 'REVOKE' ELSE 'GRANT' END, h.privilege, h.role_oid
+  FROM (SELECT * FROM a34 UNION ALL SELECT * FROM a5) h JOIN things t ON t.obj_oid=h.obj_oid AND t.error IS NULL AND h.obj_kind<>'N'
+ UNION ALL SELECT obj_oid, obj_kind, NULL, 5, 'GRANT', CASE WHEN obj_kind='S' THEN 'SELECT, USAGE' ELSE 'SELECT, INSERT, UPDATE, DELETE' END, editor_oid FROM things WHERE error IS NULL AND obj_kind IN ('r','p','v','m','f','S') AND editor_oid IS NOT NULL
+ UNION ALL SELECT obj_oid, obj_kind, NULL, 5, 'GRANT', 'SELECT', reader_oid FROM things WHERE error IS NULL AND obj_kind IN ('r','p','v','m','f','S') AND reader_oid IS NOT NULL))"""
+    rows["reset_object_plan"] = with_inputs(
+        commands("steps", f"{big('obj_oid', 'role_oid')}, s.step, s.verb, s.privilege, CAST(NULL AS VARCHAR) AS error, CASE WHEN s.verb='OWNER' THEN k.alt ELSE k.cls END AS object_class")
+        + " UNION ALL SELECT DISTINCT CAST(obj_oid AS BIGINT), NULL, 0, NULL, NULL, error, NULL, NULL FROM things WHERE error IS NOT NULL",
+        f"{PLAN},\n{LIVE},\n{reset_obj}")
+    rows["move_conflicts"] = with_inputs(f"SELECT {big('obj_oid', 'target_schema_oid')}, error, name FROM conflicts s", CONFLICTS)
+    later = f"CASE WHEN o.obj_kind='X' THEN {q('z.schema_name')}||'.'||{q('o.obj_name')}||'()' ELSE {q('z.schema_name')}||'.'||{q('o.obj_name')} END"
+    rows["move_object_plan"] = with_inputs(
+        f"""SELECT {big('moved_oid', 'obj_oid', 'role_oid')}, s.step, s.verb, s.privilege, CAST(NULL AS VARCHAR) AS error,
+ CASE WHEN s.verb='OWNER' THEN 'ALTER '||k.alt||' '||{later}||' OWNER TO '||u.ref ELSE s.verb||' '||s.privilege||CASE WHEN s.column_name IS NULL THEN '' ELSE ' ('||{q('s.column_name')}||')' END||' ON '||k.cls||' '||{later}||CASE s.verb WHEN 'GRANT' THEN ' TO ' ELSE ' FROM ' END||u.ref END AS command
+ FROM moverows s JOIN kind k ON k.kind=s.obj_kind JOIN objects o ON o.obj_oid=s.obj_oid JOIN namespaces z ON z.schema_oid=s.target_schema_oid LEFT JOIN rolenames u ON u.role_oid=s.role_oid
+ UNION ALL SELECT CAST(m.obj_oid AS BIGINT), CAST(m.obj_oid AS BIGINT), NULL, 0, 'SET SCHEMA', NULL, NULL, 'ALTER '||k.alt||' '||n.target||' SET SCHEMA '||{q('z.schema_name')} FROM placed m JOIN kind k ON k.kind=m.obj_kind JOIN names n ON n.cls=k.cls AND n.obj_oid=m.obj_oid JOIN namespaces z ON z.schema_oid=m.target_schema_oid WHERE m.error IS NULL
+ UNION ALL SELECT CAST(obj_oid AS BIGINT), CAST(obj_oid AS BIGINT), NULL, -1, NULL, NULL, error, NULL FROM placed WHERE error IS NOT NULL""",
+        f"{PLAN},\n{LIVE},\n{CONFLICTS},\n{MOVES}")
+    blocked = f"""blocked AS (SELECT r.db_id, r.schema_name, r.producer, CASE WHEN p.role_oid IS NULL THEN 'unknown producer' WHEN p.is_super THEN 'super' WHEN p.can_login THEN 'login' ELSE 'grant' END AS reason
+ FROM registry r LEFT JOIN roles p ON p.role_name=r.producer WHERE r.is_created AND NOT {has('10', 'p.role_oid')}),
+wanted_targets AS (SELECT db_id, schema_name FROM registry r WHERE is_created AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.reason<>'grant' AND b.db_id=r.db_id AND b.schema_name=r.schema_name))"""
+    none = "CAST(NULL AS VARCHAR)"
+    rows["reset_all_plan"] = with_inputs(
+        f"""SELECT *, CAST(2 AS INTEGER) AS rank FROM (SELECT * FROM ({reset_rows()}) WHERE error IS DISTINCT FROM 'FIS2'
+ UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 0, {none}, CAST(NULL AS BIGINT), {none}, reason, {none}, CAST(NULL AS BIGINT), {none}, 'FAS0' FROM blocked WHERE reason<>'grant'
+ UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 0, {none}, CAST(NULL AS BIGINT), {none}, 'missing schema', {none}, CAST(NULL AS BIGINT), {none}, 'FAS0' FROM targets WHERE error='FIS2'
+ UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 0, {none}, CAST(NULL AS BIGINT), 'GRANT', {none}, {none}, CAST(NULL AS BIGINT), 'GRANT '||{q('producer')}||' TO g_admin', {none} FROM blocked WHERE reason='grant')""",
+        f"{PLAN},\n{LIVE},\n{FN},\n{graph},\n{DEFAULTS},\n{blocked},\n{TARGETS}", recursive=True)
+    rows["default_acl_plan"] = with_inputs(
+        f"""SELECT {big('db_id', 'schema_oid', 'grantor_oid', 'grantee_oid')}, object_class, privilege, is_usable, 'REVOKE' AS verb, CAST(grantee_oid AS BIGINT) AS role_oid, CASE WHEN is_usable THEN revoke_command END AS command, CASE WHEN NOT is_usable THEN 'FIS6' END AS error
+ FROM ({default_commands('default_acl')}) s""", f"{PLAN},\n{graph},\n{DEFAULTS}", recursive=True)
+    rows["outer_object_grants"] = with_inputs(
+        f"""SELECT DISTINCT o.obj_class, o.obj_name, CAST(o.grantee_oid AS BIGINT) AS role_oid, p.privilege, 'GRANT '||p.privilege||' ON '||o.obj_class||' '||{q('o.obj_name')}||' TO '||u.ref AS command
+ FROM outer_acl o JOIN priv p ON contains(o.codes, p.code) LEFT JOIN rolenames u ON u.role_oid=o.grantee_oid WHERE o.grantee_oid<>0""", PLAN)
+    switch = f"""held AS (SELECT h.*, w.schema_name, w.function, w.new_oid FROM (SELECT * FROM a34 UNION ALL SELECT * FROM a5) h JOIN function_switches w ON w.schema_oid=h.schema_oid AND w.old_oid=h.role_oid),
+switched AS (SELECT db_id, schema_oid, schema_name, function, 'copy' AS action, obj_kind, obj_oid, column_name, verb, privilege, new_oid AS role_oid FROM held WHERE new_oid IS NOT NULL
+ UNION ALL SELECT db_id, schema_oid, schema_name, function, 'remove', obj_kind, obj_oid, column_name, 'REVOKE', privilege, role_oid FROM held WHERE verb='GRANT'),
+bare AS (SELECT w.*, CASE WHEN function='editor' THEN new_oid END AS editor_oid, CASE WHEN function='reader' THEN new_oid END AS reader_oid FROM function_switches w WHERE new_oid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM held h WHERE h.schema_oid=w.schema_oid AND h.function=w.function))"""
+    rows["function_switch_plan"] = with_inputs(
+        commands("switched", f"{big('db_id', 'role_oid')}, s.schema_name, s.function, s.action, s.verb, s.privilege, k.cls AS object_class")
+        + f" UNION ALL SELECT CAST(db_id AS BIGINT), CAST(role_oid AS BIGINT), schema_name, function, 'standard', 'GRANT', privilege, object_class, command FROM ({schema_commands('bare')})",
+        f"{PLAN},\n{FN},\n{switch}")
+    rows["rename_owner_plan"] = with_inputs(
+        f"""SELECT {big('db_id', 'schema_oid', of='r')}, r.schema_name, 'rename' AS action, 'ALTER SCHEMA '||{q('n.schema_name')}||' RENAME TO '||{q('r.schema_name')} AS command FROM registry r JOIN namespaces n ON n.schema_oid=r.schema_oid WHERE r.is_created AND n.schema_name<>r.schema_name
+ UNION ALL SELECT CAST(r.db_id AS BIGINT), CAST(r.schema_oid AS BIGINT), r.schema_name, CASE WHEN n.owner_oid=r.producer_oid THEN 'objects' ELSE 'schema and objects' END, CASE WHEN n.owner_oid<>r.producer_oid THEN 'ALTER SCHEMA '||{q('r.schema_name')}||' OWNER TO '||{q('p.role_name')} END
+ FROM registry r JOIN namespaces n ON n.schema_oid=r.schema_oid LEFT JOIN roles p ON p.role_oid=r.producer_oid WHERE r.is_created AND (n.owner_oid<>r.producer_oid OR EXISTS (SELECT 1 FROM objects o WHERE o.schema_oid=r.schema_oid))""")
+    rows["reassign_owned_plan"] = with_inputs(
+        commands("(SELECT o.db_id, o.obj_kind, o.obj_oid, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, CAST(NULL AS VARCHAR) AS column_name, coalesce(x.target_oid, 10) AS role_oid, o.owner_oid AS old_owner_oid FROM all_objects o JOIN role_replacements x ON x.role_oid=o.owner_oid)",
+                 f"{big('db_id', 'obj_oid', 'role_oid', 'old_owner_oid')}, s.obj_kind"), PLAN)
+    fn = """pairs AS (SELECT x.role_oid, x.target_oid, a.role_name AS x, b.role_name AS y, coalesce(b.role_name,'g_admin') AS heir FROM role_replacements x JOIN roles a ON a.role_oid=x.role_oid LEFT JOIN roles b ON b.role_oid=x.target_oid),
+f0 AS (SELECT p.*, r.db_id, r.schema_name, r.producer AS pr, r.editor AS ed, r.reader AS re FROM registry r JOIN pairs p ON p.x=r.producer OR p.x=r.editor OR p.x=r.reader),
+f1 AS (SELECT role_oid, target_oid, x, y, heir, db_id, schema_name, pr, ed, re, CASE WHEN pr=x THEN coalesce(y,'g_admin') ELSE pr END AS p1, CASE WHEN pr=x AND ed=heir THEN NULL ELSE ed END AS e1, CASE WHEN pr=x AND re=heir THEN NULL ELSE re END AS l1 FROM f0),
+f2 AS (SELECT *, CASE WHEN e1=x THEN CASE WHEN p1=y THEN NULL ELSE y END ELSE e1 END AS e2, CASE WHEN e1=x AND (p1=y) IS NOT TRUE AND l1=y THEN NULL ELSE l1 END AS l2 FROM f1),
+f3 AS (SELECT *, CASE WHEN l2=x THEN CASE WHEN p1=y OR e2=y THEN NULL ELSE y END ELSE l2 END AS l3 FROM f2)"""
+    rows["reassigned_functions"] = with_inputs(
+        "SELECT CAST(role_oid AS BIGINT) AS replaced_oid, CAST(target_oid AS BIGINT) AS target_oid, CAST(db_id AS BIGINT) AS db_id, schema_name, pr AS producer, ed AS editor, re AS reader, p1 AS new_producer, e2 AS new_editor, l3 AS new_reader FROM f3", fn)
+    n = "CAST(NULL AS {})".format
+    residual = """resid AS (SELECT h.*, x.role_oid AS replaced_oid, x.target_oid FROM a34 h JOIN role_replacements x ON x.role_oid=h.role_oid),
+resid2 AS (SELECT db_id, schema_oid, obj_kind, obj_oid, column_name, privilege, replaced_oid, target_oid, CASE verb WHEN 'GRANT' THEN 'REVOKE' ELSE 'GRANT' END AS verb, role_oid FROM resid
+ UNION ALL SELECT db_id, schema_oid, obj_kind, obj_oid, column_name, privilege, replaced_oid, target_oid, verb, target_oid FROM resid WHERE target_oid IS NOT NULL),
+owned AS (SELECT o.db_id, o.schema_oid, o.obj_kind, o.obj_oid, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, CAST(NULL AS VARCHAR) AS column_name, coalesce(x.target_oid, 10) AS role_oid, o.owner_oid AS replaced_oid FROM all_objects o JOIN role_replacements x ON x.role_oid=o.owner_oid),
+outr AS (SELECT DISTINCT o.obj_class, o.obj_name, p.privilege, x.role_oid, x.target_oid FROM outer_acl o JOIN priv p ON contains(o.codes, p.code) JOIN role_replacements x ON x.role_oid=o.grantee_oid)"""
+    rows["reassign_role_plan"] = with_inputs(
+        f"""SELECT CAST(role_oid AS BIGINT) AS replaced_oid, CAST(target_oid AS BIGINT) AS target_oid, 'functions' AS step, CAST(db_id AS BIGINT) AS db_id, {n('BIGINT')} AS schema_oid, {n('VARCHAR')} AS obj_kind, {n('BIGINT')} AS obj_oid, {n('VARCHAR')} AS verb, {n('VARCHAR')} AS privilege,
+ schema_name||' | '||coalesce(p1,'-')||' | '||coalesce(e2,'-')||' | '||coalesce(l3,'-') AS command, {n('VARCHAR')} AS error FROM f3
+ UNION ALL {commands('owned', f"CAST(s.replaced_oid AS BIGINT), CAST(s.role_oid AS BIGINT), 'owned', CAST(s.db_id AS BIGINT), CAST(s.schema_oid AS BIGINT), s.obj_kind, CAST(s.obj_oid AS BIGINT), s.verb, s.privilege").replace(' AS command FROM owned', ' AS command, NULL FROM owned')}
+ UNION ALL {commands('resid2', f"CAST(s.replaced_oid AS BIGINT), CAST(s.target_oid AS BIGINT), 'grants', CAST(s.db_id AS BIGINT), CAST(s.schema_oid AS BIGINT), s.obj_kind, CAST(s.obj_oid AS BIGINT), s.verb, s.privilege").replace(' AS command FROM resid2', ' AS command, NULL FROM resid2')}
+ UNION ALL SELECT CAST(d.grantee_oid AS BIGINT), CAST(d.target_oid AS BIGINT), 'default_acl', CAST(d.db_id AS BIGINT), CAST(d.schema_oid AS BIGINT), NULL, NULL, t.verb, d.privilege, CASE WHEN is_usable THEN CASE t.verb WHEN 'REVOKE' THEN revoke_command ELSE grant_head||v.ref END END, CASE WHEN NOT is_usable THEN 'FRR3' END
+  FROM (SELECT z.*, x.target_oid FROM ({default_commands('default_acl')}) z JOIN role_replacements x ON x.role_oid=z.grantee_oid) d CROSS JOIN (VALUES ('REVOKE'),('GRANT')) t(verb) LEFT JOIN rolenames v ON v.role_oid=d.target_oid WHERE t.verb='REVOKE' OR d.target_oid IS NOT NULL
+ UNION ALL SELECT CAST(o.role_oid AS BIGINT), CAST(o.target_oid AS BIGINT), 'outer', NULL, NULL, NULL, NULL, t.verb, o.privilege, t.verb||' '||o.privilege||' ON '||o.obj_class||' '||{q('o.obj_name')}||CASE t.verb WHEN 'GRANT' THEN ' TO ' ELSE ' FROM ' END||u.ref, NULL
+  FROM outr o CROSS JOIN (VALUES ('REVOKE'),('GRANT')) t(verb) LEFT JOIN rolenames u ON u.role_oid=CASE t.verb WHEN 'GRANT' THEN o.target_oid ELSE o.role_oid END WHERE t.verb='REVOKE' OR o.target_oid IS NOT NULL""",
+        f"{PLAN},\n{graph},\n{DEFAULTS},\n{fn},\n{residual}", recursive=True)
+    return rows
+
+
 def all_oracles() -> dict[str, str]:
-    return {**diagnostics(), **acl(), **roles()}
+    return {**diagnostics(), **acl(), **roles(), **plans()}

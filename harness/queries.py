@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from grantlens.functions.privileges import expand_privilege_codes, explode_mask
 from grantlens.functions.sqltext import invert_command
 from grantlens.operators import acl, diagnostics, roles
+from grantlens.plans import defaults, grants, move, ownership, reassign, reset
+from grantlens.scaling import union_all
 from grantlens.sources import catalog
 from harness.inputs import Inputs
 
@@ -26,15 +28,13 @@ class Catalog(Inputs):
     def unified_acl(self) -> DataFrame:
         return catalog.unify_acl(self.acl_items, self.schema_acl, self.column_acl)
 
-    def usage(self, members: DataFrame | None = None) -> DataFrame:
-        return roles.role_closure(self.roles, self.memberships, "usage", members)
-
-    def member(self, members: DataFrame | None = None) -> DataFrame:
-        return roles.role_closure(self.roles, self.memberships, "member", members)
+    @property
+    def usage(self) -> DataFrame:
+        return self.land("usage", lambda: roles.role_closure(self.roles, self.memberships))
 
     @property
-    def producers(self) -> DataFrame:
-        return self.registry.where("is_created").select("producer_oid").distinct()
+    def member(self) -> DataFrame:
+        return self.land("member", lambda: roles.role_closure(self.roles, self.memberships, "member"))
 
 
 QUERIES = {}
@@ -50,7 +50,7 @@ def query(fn):
 def diagnose_rights(c):
     return diagnostics.diagnose_rights(
         c.unified_objects, c.unified_acl, c.default_acl, c.view_sources, c.registry, c.roles,
-        c.usage(c.producers), c.fixed_grants, view_access=True,
+        c.usage, c.fixed_grants, view_access=True,
     )
 
 
@@ -74,14 +74,14 @@ def privilege_anomalies(c):
 @query
 def view_source_anomalies(c):
     return diagnostics.view_source_anomalies(
-        c.view_sources, c.unified_objects, c.registry, c.roles, c.usage(c.producers)
+        c.view_sources, c.unified_objects, c.registry, c.roles, c.usage
     )
 
 
 @query
 def view_source_access(c):
     return diagnostics.view_source_access(
-        c.view_sources, c.unified_objects, c.unified_acl, c.registry, c.roles, c.usage(c.producers)
+        c.view_sources, c.unified_objects, c.unified_acl, c.registry, c.roles, c.usage
     )
 
 
@@ -89,7 +89,7 @@ def view_source_access(c):
 def effective_privileges(c):
     asked = c.object_requests
     held = diagnostics.effective_privileges(
-        asked, c.unified_objects, c.unified_acl, c.roles, c.usage(asked.select("user_oid"))
+        asked, c.unified_objects, c.unified_acl, c.roles, c.usage
     )
     return explode_mask(held, "mask")
 
@@ -169,36 +169,41 @@ def resolve_relation_names(c):
 
 @query
 def role_closure(c):
-    return c.usage().withColumn("mode", F.lit("usage")).unionByName(c.member().withColumn("mode", F.lit("member")))
+    return union_all(
+        [
+            roles.role_closure(c.roles, c.memberships, mode).withColumn("mode", F.lit(mode))
+            for mode in ("usage", "member")
+        ]
+    )
 
 
 @query
 def has_role_usage(c):
-    return roles.has_role_usage(c.role_pairs, c.usage(), c.roles)
+    return roles.has_role_usage(c.role_pairs, c.usage, c.roles)
 
 
 @query
 def schema_function_of_role(c):
     asked = c.access_requests
-    return roles.schema_function_of_role(asked, c.registry, c.roles, c.usage(asked.select("user_oid")))
+    return roles.schema_function_of_role(asked, c.registry, c.roles, c.usage)
 
 
 @query
 def relation_owner_members(c):
     asked = c.object_requests
-    return roles.relation_owner_members(asked, c.unified_objects, c.roles, c.usage(asked.select("user_oid")))
+    return roles.relation_owner_members(asked, c.unified_objects, c.roles, c.usage)
 
 
 @query
 def permission_label(c):
     asked = c.access_requests
-    return roles.permission_label(asked, c.registry, c.roles, c.usage(asked.select("user_oid")))
+    return roles.permission_label(asked, c.registry, c.roles, c.usage)
 
 
 @query
 def visible_registry(c):
     users = c.group_actors
-    return roles.visible_registry(users, c.registry, c.roles, c.usage(users)).select(
+    return roles.visible_registry(users, c.registry, c.roles, c.usage).select(
         "user_oid", "db_id", "schema_name", "schema_oid", "producer"
     )
 
@@ -216,14 +221,14 @@ def manager_listing(c):
 @query
 def logins_missing_role(c):
     direct = roles.logins_missing_role(c.roles, c.memberships, CONSULT)
-    indirect = roles.logins_missing_role(c.roles, c.memberships, CONSULT, False, c.member())
+    indirect = roles.logins_missing_role(c.roles, c.memberships, CONSULT, False, c.member)
     return direct.withColumn("mode", F.lit("direct")).unionByName(indirect.withColumn("mode", F.lit("indirect")))
 
 
 @query
 def pick_grantor(c):
     users = c.roles.select("role_oid")
-    return roles.pick_grantor(users, c.roles, c.memberships, c.member(), ADMIN_TARGET)
+    return roles.pick_grantor(users, c.roles, c.memberships, c.member, ADMIN_TARGET)
 
 
 @query
@@ -239,9 +244,121 @@ def stale_roles(c):
 
 @query
 def admin_membership_gaps(c):
-    return roles.admin_membership_gaps(c.registry, c.roles, c.memberships, c.member())
+    return roles.admin_membership_gaps(c.registry, c.roles, c.memberships, c.member)
 
 
 @query
 def invalid_producers(c):
     return roles.invalid_producers(c.registry, c.roles)
+
+
+@query
+def ownership_plan(c):
+    plan = ownership.ownership_plan(c.unified_objects, c.registry, c.roles, c.namespaces, c.auto_types)
+    return plan.select("db_id", "schema_name", "obj_kind", "obj_oid", "role_oid", "is_base", "command")
+
+
+@query
+def ownership_counts(c):
+    objects = diagnostics.audited_objects(c.unified_objects, c.registry, c.roles)
+    return ownership.ownership_counts(ownership.ownership_changes(objects, c.auto_types))
+
+
+@query
+def standard_grants(c):
+    plan = grants.standard_grants(c.unified_objects, c.registry, c.roles, c.namespaces)
+    return plan.select("db_id", "obj_kind", "obj_oid", "role_oid", "privilege", "function", "command")
+
+
+@query
+def schema_grants(c):
+    live = diagnostics.effective_registry(c.registry, c.roles)
+    return grants.schema_grants(live, c.roles).drop("schema_oid", "verb")
+
+
+def _reset_inputs(c):
+    return (
+        c.unified_objects, c.unified_acl, c.default_acl, c.registry, c.namespaces, c.roles, c.usage
+    )
+
+
+@query
+def reset_schema_plan(c):
+    return reset.reset_schema_plan(
+        c.reset_targets, *_reset_inputs(c), fixed_grants=c.fixed_grants, auto_types=c.auto_types
+    )
+
+
+@query
+def reset_object_plan(c):
+    return reset.reset_object_plan(
+        c.object_reset_requests, c.unified_objects, c.unified_acl, c.registry, c.namespaces, c.roles
+    )
+
+
+def _conflicts(c):
+    return move.move_conflicts(c.object_moves, c.unified_objects, c.owned_sequences, c.table_indexes)
+
+
+@query
+def move_conflicts(c):
+    return _conflicts(c)
+
+
+@query
+def move_object_plan(c):
+    return move.move_object_plan(
+        c.object_moves, c.unified_objects, c.unified_acl, c.registry, c.namespaces, c.roles,
+        c.owned_sequences, _conflicts(c),
+    )
+
+
+@query
+def reset_all_plan(c):
+    return reset.reset_all_plan(
+        *_reset_inputs(c), fixed_grants=c.fixed_grants, auto_types=c.auto_types
+    )
+
+
+@query
+def reassign_role_plan(c):
+    return reassign.reassign_role_plan(
+        c.role_replacements, c.unified_objects, c.unified_acl, c.default_acl, c.outer_acl, c.registry,
+        c.namespaces, c.roles, c.usage,
+    )
+
+
+@query
+def reassigned_functions(c):
+    return reassign.reassigned_functions(c.role_replacements, c.registry, c.roles)
+
+
+@query
+def default_acl_plan(c):
+    plan = defaults.default_acl_plan(c.default_acl, c.namespaces, c.roles, c.usage, roles.ADMIN_ROLE)
+    return plan.drop("target_oid")
+
+
+@query
+def outer_object_grants(c):
+    return defaults.outer_object_grants(c.outer_acl, c.roles)
+
+
+@query
+def function_switch_plan(c):
+    return grants.function_switch_plan(
+        c.function_switches, c.unified_objects, c.unified_acl, c.namespaces, c.roles
+    ).drop("schema_oid")
+
+
+@query
+def rename_owner_plan(c):
+    return ownership.rename_owner_plan(
+        c.registry, c.namespaces, c.roles, c.objects.select("schema_oid")
+    )
+
+
+@query
+def reassign_owned_plan(c):
+    plan = ownership.reassign_owned_plan(c.unified_objects, c.role_replacements, c.namespaces, c.roles)
+    return plan.select("db_id", "obj_kind", "obj_oid", "role_oid", "old_owner_oid", "command")
