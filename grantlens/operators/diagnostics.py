@@ -298,6 +298,7 @@ def effective_privileges(
     all_acl: DataFrame,
     roles: DataFrame,
     closure: DataFrame,
+    of_schemas: bool = False,
 ) -> DataFrame:
     """Mask of the privileges of requested (role, object) pairs, through grants to the role, to
     roles it reaches, to public, and through ownership.
@@ -305,11 +306,11 @@ def effective_privileges(
     A request asks whether two sets meet: the roles the user reaches and the grantees of the
     object. Each request walks the smaller of the two, so neither an object granted to a crowd
     nor a user who reaches half of the roles multiplies rows. Superusers hold everything the
-    kind allows.
+    kind allows. With ``of_schemas`` the objects asked about are schemas.
     """
+    in_scope = (F.col("obj_kind") == "N") if of_schemas else (F.col("obj_kind") != "N")
     kinds = expected_mask(F.col("obj_kind"), "owner")
-    objects = all_objects.where(F.col("obj_kind").isin(*RIGHTS_KINDS) & (F.col("obj_kind") != "N"))
-    objects = objects.select(
+    objects = all_objects.where(F.col("obj_kind").isin(*RIGHTS_KINDS) & in_scope).select(
         "obj_oid", "obj_kind", "owner_oid", "has_acl", kinds.alias("all_mask"),
         expected_mask(F.col("obj_kind"), "public").alias("public_default"),
     )
@@ -318,7 +319,7 @@ def effective_privileges(
     asked = attach(asked, supers, "user_oid", "left", sized_by=roles)
     reach = closure.select(F.col("member_oid").alias("user_oid"), F.col("role_oid"))
     held = (
-        all_acl.where(F.col("column_name").isNull() & (F.col("obj_kind") != "N"))
+        all_acl.where(F.col("column_name").isNull() & in_scope)
         .groupBy("obj_oid", F.col("grantee_oid").alias("role_oid"))
         .agg(F.bit_or(code_mask(F.col("codes"))).alias("_held"))
     )

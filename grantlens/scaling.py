@@ -101,5 +101,17 @@ def number_rows(df: DataFrame, order: list[Column], into: str = "id") -> DataFra
     )
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters must not copy.
+
+    The optimizer replaces a computed column by its definition when it pushes a filter down; for
+    long decision tables built on one another the copies outgrow what can be compiled. Columns
+    that leave a generator stay columns.
+    """
+    names = [c for c in df.columns if c not in columns]
+    struct = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*names, F.inline(F.array(struct)))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

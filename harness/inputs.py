@@ -54,7 +54,7 @@ from p
 select db_id, schema_oid, case when schema_oid%23=0 then schema_name||'_ren' else schema_name end as schema_name,
   case when schema_oid%17=0 then 1000+(producer_oid-1000+1)%(select count(*) from supplier) else producer_oid end as owner_oid
 from registry where is_created
-union all select db_id, 6000000+cast(replace(schema_name,'c_sch_','') as bigint), schema_name, 10 from registry where not is_created and block='c'
+union all select db_id, 6000000+cast(regexp_replace(schema_name,'^.*_','') as bigint), schema_name, 10 from registry where not is_created and block='c'
 union all select r_regionkey%4, 8000000+r_regionkey, 'legacy_'||r_regionkey, 1000+r_regionkey from region
 union all select * from (values (0,9000001,'pg_toast',10),(0,9000002,'public',10),(0,9000003,'information_schema',10),(0,9000004,'pg_catalog',10)) t(a,b,c,d)
 """,
@@ -187,6 +187,22 @@ select t.obj_oid as table_oid, t.schema_oid, s.obj_name as index_name, t.obj_oid
     # Types that the server made by itself for a table.
     "auto_types": """
 select o.obj_oid from objects o where o.obj_kind='T' and not o.has_acl
+""",
+    # Edits with the database they belong to.
+    "change_sets": """
+select c.*, (target_schema_oid-5000000)%4 as db_id from registry_changes c
+""",
+    # Roles that may create schemas in a database.
+    "database_creators": """
+select cast(substr(obj_name,4) as bigint) as db_id, grantee_oid as role_oid from outer_acl where obj_class='DATABASE' and codes like '%C%'
+""",
+    # Schemas somebody wants out of the registry; some are unknown.
+    "deregistrations": """
+select r.db_id, r.schema_name from registry r join object_moves m on m.target_schema_oid=r.schema_oid union select db_id, schema_name from namespaces where schema_oid>=8000000
+""",
+    # (user, style) pairs somebody asks about.
+    "style_requests": """
+select distinct 1000000+user_id%(select count(*) from customer) as user_oid, event_id%(select count(*) from documents) as style_id from events
 """,
     # Schemas whose editor or reader is about to change.
     "function_switches": """
@@ -258,6 +274,11 @@ class Inputs:
             self._paths[name] = path
         return self.spark.read.parquet(self._paths[name])
 
+    def path_of(self, name: str) -> str:
+        """Folder of a derived table."""
+        getattr(self, name)
+        return self._paths[name]
+
     def _derive(self, name: str) -> DataFrame:
         words = set(re.findall(r"\w+", DEFINITIONS[name]))
         for used in words.intersection(DEFINITIONS) - {name}:

@@ -448,5 +448,176 @@ outr AS (SELECT DISTINCT o.obj_class, o.obj_name, p.privilege, x.role_oid, x.tar
     return rows
 
 
+REVIEW = """c0 AS (SELECT c.*, CASE WHEN c.op='UPDATE' AND r.schema_oid IS NULL THEN 'INSERT' ELSE c.op END AS op2, r.schema_name AS rn, r.block AS rb, r.in_nomenclature AS rt, r.is_created AS rc, r.schema_oid AS ro,
+  r.producer AS rp, r.producer_oid AS rpo, r.editor AS re, r.editor_oid AS reo, r.reader AS rl, r.reader_oid AS rlo FROM change_sets c LEFT JOIN registry r ON r.schema_oid=c.target_schema_oid),
+c1 AS (SELECT change_id, db_id, op2 AS op, actor_oid, new_schema_name AS raw_name, new_block AS raw_block, nullif(new_schema_name,'') AS name, nullif(new_block,'') AS block, coalesce(nullif(new_producer,''),'g_admin') AS p,
+  nullif(new_editor,'') AS e, nullif(new_reader,'') AS l, coalesce(new_created,false) AS cr, coalesce(new_nomenclature,false) AS nom,
+  CASE WHEN op2<>'INSERT' THEN rn END AS old_name, CASE WHEN op2<>'INSERT' THEN rb END AS old_block, CASE WHEN op2<>'INSERT' THEN rt END AS old_nom, CASE WHEN op2<>'INSERT' THEN rc END AS old_cr, CASE WHEN op2<>'INSERT' THEN ro END AS old_oid,
+  CASE WHEN op2<>'INSERT' THEN rp END AS old_p, CASE WHEN op2<>'INSERT' THEN rpo END AS old_po, CASE WHEN op2<>'INSERT' THEN re END AS old_e, CASE WHEN op2<>'INSERT' THEN reo END AS old_eo, CASE WHEN op2<>'INSERT' THEN rl END AS old_l, CASE WHEN op2<>'INSERT' THEN rlo END AS old_lo FROM c0),
+c2 AS (SELECT c.*, CASE WHEN cr AND op<>'INSERT' THEN old_oid END AS soid, op='UPDATE' AND cr AND coalesce(old_cr,false) AS lasting FROM c1 c),
+c3 AS (SELECT c.* EXCLUDE (p, e, l), (c.lasting AND c.p=c.old_p AND (np.role_oid IS NULL OR np.role_name<>c.p)) IS TRUE AS clean_p, (c.lasting AND c.e=c.old_e AND c.e<>'public' AND (ne.role_oid IS NULL OR ne.role_name<>c.e)) IS TRUE AS clean_e,
+  (c.lasting AND c.l=c.old_l AND c.l<>'public' AND (nl.role_oid IS NULL OR nl.role_name<>c.l)) IS TRUE AS clean_l,
+  CASE WHEN c.lasting AND c.p=c.old_p THEN CASE WHEN np.role_oid IS NULL THEN w.role_name ELSE np.role_name END ELSE c.p END AS p,
+  CASE WHEN c.lasting AND c.e=c.old_e AND c.e<>'public' THEN ne.role_name ELSE c.e END AS e, CASE WHEN c.lasting AND c.l=c.old_l AND c.l<>'public' THEN nl.role_name ELSE c.l END AS l,
+  CASE WHEN cr AND op<>'INSERT' THEN CASE WHEN c.lasting AND c.p=c.old_p AND np.role_oid IS NULL THEN n.owner_oid ELSE old_po END END AS po,
+  CASE WHEN cr AND op<>'INSERT' AND c.e IS NOT NULL THEN CASE WHEN c.lasting AND c.e=c.old_e AND c.e<>'public' AND ne.role_oid IS NULL THEN NULL ELSE old_eo END END AS eo,
+  CASE WHEN cr AND op<>'INSERT' AND c.l IS NOT NULL THEN CASE WHEN c.lasting AND c.l=c.old_l AND c.l<>'public' AND nl.role_oid IS NULL THEN NULL ELSE old_lo END END AS lo
+  FROM c2 c LEFT JOIN roles np ON np.role_oid=c.old_po LEFT JOIN roles ne ON ne.role_oid=c.old_eo LEFT JOIN roles nl ON nl.role_oid=c.old_lo LEFT JOIN namespaces n ON n.schema_oid=c.soid LEFT JOIN roles w ON w.role_oid=n.owner_oid)"""
+
+ALIGN = """t1 AS (SELECT *, CASE WHEN NOT regexp_matches(name,'^d_') OR op='DELETE' THEN NULL
+  WHEN op='INSERT' THEN CASE WHEN block IS NULL OR block='d' THEN substr(name,3) END
+  WHEN block='d' AND NOT old_block='d' THEN old_block||'_'||substr(name,3) WHEN block IS NULL AND NOT old_block='d' THEN old_block||'_'||substr(name,3)
+  WHEN block='d' AND old_block='d' AND regexp_matches(old_name,'^[a-ce-z]_') THEN regexp_extract(old_name,'^([a-ce-z]_)',1)||substr(name,3)
+  WHEN block='d' AND old_block='d' AND NOT regexp_matches(old_name,'^[a-z]_') THEN substr(name,3)
+  WHEN block IS NULL AND old_block IS NULL THEN substr(name,3) WHEN block='d' AND old_block IS NULL THEN substr(name,3)
+  WHEN block=old_block AND NOT block='d' THEN old_block||'_'||substr(name,3) END AS tn FROM c3),
+t2 AS (SELECT * EXCLUDE (name, block, tn), coalesce(tn, name) AS n, CASE WHEN tn IS NOT NULL THEN 'd' ELSE block END AS b FROM t1),
+t3 AS (SELECT *, CASE WHEN op='DELETE' THEN 'keep' WHEN b IS NULL AND regexp_matches(n,'^[a-z]_') THEN CASE WHEN op='UPDATE' AND old_block IS NOT NULL AND regexp_matches(old_name,'^[a-z]_') AND left(n,1)=left(old_name,1) THEN 'strip' ELSE 'take' END
+  WHEN b IS NULL THEN 'keep'
+  WHEN NOT starts_with(n, b||'_') AND NOT b='d' THEN
+   CASE WHEN regexp_matches(n,'^([a-z])?_') THEN CASE WHEN op='UPDATE' AND NOT n=old_name AND b=old_block THEN 'take' WHEN NOT regexp_matches(b,'^[a-z]$') THEN CASE op WHEN 'UPDATE' THEN 'TB14' ELSE 'TB15' END ELSE 'swap' END
+   WHEN NOT regexp_matches(b,'^[a-z]$') THEN 'TB16' WHEN op='UPDATE' AND b=old_block AND regexp_matches(old_name,'^([a-z])?_') THEN 'unset' ELSE 'add' END ELSE 'keep' END AS act FROM t2),
+aligned AS (SELECT * EXCLUDE (n, b, act), CASE act WHEN 'strip' THEN regexp_replace(n,'^[a-z]_','') WHEN 'swap' THEN b||'_'||regexp_replace(n,'^([a-z])?_','') WHEN 'add' THEN b||'_'||n ELSE n END AS name,
+  CASE act WHEN 'strip' THEN NULL WHEN 'unset' THEN NULL WHEN 'take' THEN nullif(regexp_extract(n,'^([a-z])_',1),'') ELSE b END AS block, CASE WHEN act LIKE 'TB%' THEN act END AS align_code FROM t3)"""
+
+FACTS = f"""facts AS (SELECT a.*, CASE WHEN a.cr THEN CASE WHEN a.p='public' THEN 0 ELSE fp.role_oid END END AS fpo, CASE WHEN a.cr THEN CASE WHEN a.e='public' THEN 0 ELSE fe.role_oid END END AS feo, CASE WHEN a.cr THEN CASE WHEN a.l='public' THEN 0 ELSE fl.role_oid END END AS flo,
+  coalesce(fp.is_super,false) AS sup_p, coalesce(op.is_super,false) AS sup_op, {has('a.actor_oid', 'fp.role_oid')} AS has_p, {has('a.actor_oid', 'op.role_oid')} AS has_op, {has('a.actor_oid', 'a.old_po')} AS has_owner,
+  {has('a.actor_oid', '10', 'member_reach')} AS is_admin, (a.db_id, a.actor_oid) IN (SELECT (d.db_id, u.member_oid) FROM database_creators d JOIN usage_reach u ON u.role_oid=d.role_oid) OR a.actor_oid IN (SELECT role_oid FROM supers) AS may_create,
+  EXISTS (SELECT 1 FROM namespaces n WHERE n.db_id=a.db_id AND n.schema_name=a.name) AS there, EXISTS (SELECT 1 FROM namespaces n WHERE n.db_id=a.db_id AND n.schema_name=a.raw_name) AS raw_there, EXISTS (SELECT 1 FROM namespaces n WHERE n.db_id=a.db_id AND n.schema_name=a.old_name) AS old_there,
+  EXISTS (SELECT 1 FROM registry r WHERE r.db_id=a.db_id AND r.schema_name=a.name) AS listed
+  FROM aligned a LEFT JOIN roles fp ON fp.role_name=a.p LEFT JOIN roles fe ON fe.role_name=a.e LEFT JOIN roles fl ON fl.role_name=a.l LEFT JOIN roles op ON op.role_name=a.old_p),
+codes AS (SELECT change_id, op, name, code FROM (
+  SELECT *, 'NO_ROW' AS code FROM facts WHERE op='DELETE' AND old_name IS NULL
+  UNION ALL SELECT *, 'TB1' FROM facts WHERE op='INSERT' AND NOT may_create
+  UNION ALL SELECT *, 'TB2' FROM facts WHERE op='DELETE' AND old_cr
+  UNION ALL SELECT *, 'TB3' FROM facts WHERE op='DELETE' AND old_nom
+  UNION ALL SELECT *, 'TB23' FROM facts WHERE op='UPDATE' AND old_block='d' AND old_cr AND NOT cr AND old_there AND NOT has_owner
+  UNION ALL SELECT *, 'TB4' FROM facts WHERE op='UPDATE' AND old_cr AND NOT cr AND NOT (coalesce(old_block='d',false) AND old_there) AND raw_there
+  UNION ALL SELECT *, 'TB18' FROM facts WHERE op='UPDATE' AND (old_nom OR nom) AND NOT is_admin AND (coalesce(old_nom,false)<>nom OR coalesce(old_name,'')<>coalesce(raw_name,'') OR coalesce(old_block,'')<>coalesce(raw_block,''))
+  UNION ALL SELECT *, 'TB19' FROM facts WHERE op='INSERT' AND nom AND NOT is_admin
+  UNION ALL SELECT *, 'TB8' FROM facts WHERE op<>'DELETE' AND name IS NULL
+  UNION ALL SELECT *, 'TB13' FROM facts WHERE op<>'DELETE' AND (flo=fpo OR feo=fpo OR flo=feo)
+  UNION ALL SELECT *, align_code FROM facts WHERE align_code IS NOT NULL
+  UNION ALL SELECT *, 'TB9' FROM facts WHERE op='INSERT' AND listed
+  UNION ALL SELECT *, 'TB10' FROM facts WHERE op='UPDATE' AND NOT name=old_name AND listed
+  UNION ALL SELECT *, 'TB20' FROM facts WHERE op='UPDATE' AND old_cr AND sup_op AND NOT has_op AND (NOT old_name=name OR NOT old_p=p AND NOT clean_p OR coalesce(old_e,'')<>coalesce(e,'') AND NOT clean_e OR coalesce(old_l,'')<>coalesce(l,'') AND NOT clean_l)
+  UNION ALL SELECT *, 'TB21' FROM facts WHERE op='UPDATE' AND cr AND NOT old_cr AND sup_p AND NOT has_p
+  UNION ALL SELECT *, 'TB24' FROM facts WHERE op='UPDATE' AND cr AND sup_p AND NOT old_p=p AND NOT clean_p AND NOT has_p
+  UNION ALL SELECT *, 'TB22' FROM facts WHERE op='INSERT' AND cr AND sup_p AND NOT there AND NOT has_p
+  UNION ALL SELECT *, 'TB25' FROM facts WHERE op='INSERT' AND sup_p AND there AND NOT has_p)),
+ok0 AS (SELECT f.* FROM facts f WHERE NOT EXISTS (SELECT 1 FROM codes c WHERE c.change_id=f.change_id) AND NOT (op='UPDATE' AND coalesce(old_block='d',false) AND old_cr AND NOT cr AND old_there)),
+ok AS (SELECT * FROM ok0 o WHERE op='DELETE' OR change_id=(SELECT min(x.change_id) FROM ok0 x WHERE x.op<>'DELETE' AND x.db_id=o.db_id AND x.name=o.name))"""
+
+
+def registry() -> dict[str, str]:
+    full = f"{USAGE},\n{MEMBER},\n{SUPERS},\n{REVIEW},\n{ALIGN},\n{FACTS}"
+    codes = "SELECT CAST(change_id AS BIGINT) AS change_id, op, name AS schema_name, code FROM codes"
+    checks = {
+        "role_repetition": "('TB13')",
+        "deletion_rules": "('NO_ROW','TB2','TB3','TB26','TB4','TB23')",
+        "taxonomy_lock": "('TB1','TB18','TB19')",
+        "superuser_rules": "('TB20','TB21','TB22','TB24','TB25')",
+        "missing_name": "('TB8')",
+        "name_conflicts": "('TB9','TB10','TB11','TB12')",
+    }
+    out = {name: with_inputs(f"{codes} WHERE code IN {c}", full, recursive=True) for name, c in checks.items()}
+    ids = "CAST(change_id AS BIGINT) AS change_id"
+    out["validate_changes"] = with_inputs(codes, full, recursive=True)
+    out["normalise_changes"] = with_inputs(
+        f"""SELECT {ids}, op, name AS schema_name, block, p AS producer, e AS editor, l AS reader, cr AS is_created, nom AS in_nomenclature, CAST(soid AS BIGINT) AS schema_oid,
+ CAST(po AS BIGINT) AS producer_oid, CAST(eo AS BIGINT) AS editor_oid, CAST(lo AS BIGINT) AS reader_oid, clean_p AS clean_producer, clean_e AS clean_editor, clean_l AS clean_reader FROM c3""", REVIEW)
+    out["align_block_and_name"] = with_inputs(f"SELECT {ids}, op, name AS schema_name, block, align_code FROM aligned", f"{REVIEW},\n{ALIGN}")
+    out["block_name_violations"] = with_inputs(
+        f"SELECT {ids}, name AS schema_name, block FROM c3 WHERE NOT (block IS NULL OR block='d' OR starts_with(name, block||'_') AND regexp_matches(block,'^[a-z]$'))", REVIEW)
+    out["trash_transitions"] = with_inputs(
+        f"""SELECT * FROM (SELECT {ids}, op, name AS schema_name, old_name, CASE WHEN op='INSERT' AND cr AND block='d' THEN 'enter' WHEN op='UPDATE' AND cr AND block='d' AND (old_block IS NULL OR old_block<>'d' OR NOT old_cr) THEN 'enter'
+ WHEN op='UPDATE' AND cr AND old_block='d' AND (block IS NULL OR block<>'d') THEN 'leave' END AS transition FROM aligned) WHERE transition IS NOT NULL""", f"{REVIEW},\n{ALIGN}")
+    out["registry_duplicates"] = with_inputs(
+        """SELECT CAST(db_id AS BIGINT) AS db_id, key, CAST(count(*) AS BIGINT) AS copies, 'name' AS kind FROM (SELECT db_id, schema_name AS key FROM registry UNION ALL SELECT db_id, name FROM aligned WHERE op<>'DELETE') GROUP BY db_id, key HAVING count(*)>1
+ UNION ALL SELECT CAST(db_id AS BIGINT), ''||key, CAST(count(*) AS BIGINT), 'oid' FROM (SELECT db_id, schema_oid AS key FROM registry UNION ALL SELECT db_id, soid FROM aligned WHERE op<>'DELETE') WHERE key IS NOT NULL GROUP BY db_id, key HAVING count(*)>1""",
+        f"{REVIEW},\n{ALIGN}")
+    row = "CAST({0}.db_id AS BIGINT) AS db_id, {0}.block, {0}.in_nomenclature, {0}.level1, {0}.level2, {0}.schema_name, CAST({0}.schema_oid AS BIGINT) AS schema_oid, {0}.is_created, {0}.producer, CAST({0}.producer_oid AS BIGINT) AS producer_oid, {0}.editor, CAST({0}.editor_oid AS BIGINT) AS editor_oid, {0}.reader, CAST({0}.reader_oid AS BIGINT) AS reader_oid"
+    out["apply_registry_changes"] = with_inputs(
+        f"""SELECT {row.format('r')} FROM registry r WHERE r.schema_oid IS NULL OR r.schema_oid NOT IN (SELECT old_oid FROM ok WHERE old_oid IS NOT NULL)
+ UNION ALL SELECT {row.format('x')} FROM (SELECT o.db_id, o.block, o.nom AS in_nomenclature, r.level1, r.level2, o.name AS schema_name, CASE WHEN o.cr THEN coalesce(o.soid, n.schema_oid) END AS schema_oid, o.cr AS is_created, o.p AS producer, o.fpo AS producer_oid, o.e AS editor, o.feo AS editor_oid, o.l AS reader, o.flo AS reader_oid
+ FROM ok o LEFT JOIN registry r ON r.schema_oid=o.old_oid LEFT JOIN namespaces n ON n.db_id=o.db_id AND n.schema_name=o.name WHERE o.op<>'DELETE') x""", full, recursive=True)
+    out["register_unlisted_schemas"] = with_inputs(
+        """SELECT CAST(n.db_id AS BIGINT) AS db_id, CAST(n.schema_oid AS BIGINT) AS schema_oid, n.schema_name, CASE WHEN r.schema_name IS NULL THEN 'insert' ELSE 'update' END AS action, w.role_name AS producer
+ FROM namespaces n LEFT JOIN registry r ON r.db_id=n.db_id AND r.schema_name=n.schema_name LEFT JOIN roles w ON w.role_oid=n.owner_oid
+ WHERE NOT regexp_matches(n.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') AND (r.is_created IS NULL OR NOT r.is_created)""")
+    out["deregister_schemas"] = with_inputs(
+        """SELECT CAST(d.db_id AS BIGINT) AS db_id, d.schema_name, CASE WHEN r.schema_name IS NULL THEN 'unknown' WHEN r.in_nomenclature THEN 'TB26' ELSE 'removed' END AS answer FROM (SELECT DISTINCT db_id, schema_name FROM deregistrations) d LEFT JOIN registry r ON r.db_id=d.db_id AND r.schema_name=d.schema_name
+ UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 'kept' FROM registry r WHERE in_nomenclature OR NOT EXISTS (SELECT 1 FROM deregistrations d WHERE d.db_id=r.db_id AND d.schema_name=r.schema_name)""")
+    out["import_taxonomy"] = with_inputs(
+        """SELECT t.schema_name, t.block, t.level1, t.level2, t.producer, t.editor, t.reader, CAST(r.db_id AS BIGINT) AS db_id,
+ CASE WHEN r.schema_name IS NULL THEN 'insert' WHEN NOT r.in_nomenclature OR coalesce(r.level1,'')<>coalesce(t.level1,'') OR coalesce(r.level2,'')<>coalesce(t.level2,'') THEN 'update' ELSE 'none' END AS action
+ FROM nomenclature t LEFT JOIN registry r ON r.schema_name=t.schema_name""")
+    return out
+
+
+FOLD = """log AS (SELECT *, coalesce(sum(CASE WHEN tag='DROP SCHEMA' THEN 1 ELSE 0 END) OVER (PARTITION BY schema_oid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS life FROM ddl_events WHERE tag IN ('CREATE SCHEMA','ALTER SCHEMA','DROP SCHEMA')),
+births AS (SELECT schema_oid, life, schema_name, owner_oid, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY schema_oid, life ORDER BY ts, event_id) AS rn FROM log WHERE tag='CREATE SCHEMA') WHERE rn=1),
+lastlife AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY schema_oid ORDER BY life DESC) AS rn FROM births) WHERE rn=1),
+alters AS (SELECT * FROM (SELECT g.schema_oid, g.schema_name, g.owner_oid, row_number() OVER (PARTITION BY g.schema_oid ORDER BY g.ts DESC, g.event_id DESC) AS rn FROM log g JOIN lastlife b ON b.schema_oid=g.schema_oid AND b.life=g.life
+ WHERE g.tag='ALTER SCHEMA' AND (g.ts>b.ts OR (g.ts=b.ts AND g.event_id>b.event_id))) WHERE rn=1),
+folded AS (SELECT b.schema_oid, b.schema_name AS born_name, coalesce(a.schema_name, b.schema_name) AS schema_name, CASE WHEN a.schema_oid IS NULL THEN b.owner_oid ELSE a.owner_oid END AS owner_oid,
+ b.life=(SELECT count(*) FROM log d WHERE d.schema_oid=b.schema_oid AND d.tag='DROP SCHEMA') AS live, a.schema_oid IS NOT NULL AS was_altered FROM lastlife b LEFT JOIN alters a ON a.schema_oid=b.schema_oid),
+eventreg AS (SELECT f.schema_name, CASE WHEN f.live THEN CAST(f.schema_oid AS BIGINT) END AS schema_oid, f.live AS is_created, CAST(f.owner_oid AS BIGINT) AS producer_oid, CAST(p.editor_oid AS BIGINT) AS editor_oid, CAST(p.reader_oid AS BIGINT) AS reader_oid, f.was_altered
+ FROM folded f LEFT JOIN preregistered p ON p.schema_name=f.born_name
+ UNION ALL SELECT schema_name, NULL, false, CAST(producer_oid AS BIGINT), CAST(editor_oid AS BIGINT), CAST(reader_oid AS BIGINT), false FROM preregistered WHERE schema_name NOT IN (SELECT born_name FROM folded))"""
+
+
+def events() -> dict[str, str]:
+    columns = "schema_name, schema_oid, is_created, producer_oid, editor_oid, reader_oid, nullif(regexp_extract(schema_name,'^([a-z])_',1),'') AS block"
+    kinds = "e.obj_kind IN ('r','p','v','m','f','S')"
+    base = "CAST(e.event_id AS BIGINT) AS event_id, l.schema_name, CAST(e.obj_oid AS BIGINT) AS obj_oid, e.obj_kind"
+    made = "FROM ddl_events e JOIN live l ON l.schema_oid=e.schema_oid WHERE e.tag='CREATE OBJECT' AND l.producer_oid IS NOT NULL"
+    return {
+        "registry_from_events": with_inputs(f"SELECT {columns} FROM eventreg", FOLD),
+        "registry_on_create": with_inputs(f"SELECT {columns} FROM eventreg WHERE is_created", FOLD),
+        "registry_on_alter": with_inputs(f"SELECT {columns} FROM eventreg WHERE was_altered AND is_created", FOLD),
+        "registry_on_drop": with_inputs(f"SELECT {columns} FROM eventreg WHERE NOT is_created", FOLD),
+        "grants_on_create_object": with_inputs(
+            f"""SELECT {base}, 'producer' AS function, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, CAST(l.producer_oid AS BIGINT) AS role_oid {made} AND e.owner_oid<>l.producer_oid
+ UNION ALL SELECT {base}, 'editor', 'GRANT', CASE WHEN e.obj_kind='S' THEN 'SELECT, USAGE' ELSE 'SELECT, INSERT, UPDATE, DELETE' END, CAST(l.editor_oid AS BIGINT) {made} AND l.editor_oid IS NOT NULL AND {kinds}
+ UNION ALL SELECT {base}, 'reader', 'GRANT', 'SELECT', CAST(l.reader_oid AS BIGINT) {made} AND l.reader_oid IS NOT NULL AND {kinds}""", LIVE),
+        "owner_on_alter_object": with_inputs(
+            """SELECT CAST(e.event_id AS BIGINT) AS event_id, r.schema_name, CAST(e.obj_oid AS BIGINT) AS obj_oid, e.obj_kind, 'OWNER' AS verb, CAST(r.producer_oid AS BIGINT) AS role_oid
+ FROM ddl_events e JOIN registry r ON r.schema_oid=e.schema_oid WHERE e.tag='ALTER OBJECT' AND r.is_created AND e.owner_oid<>r.producer_oid"""),
+    }
+
+
+def policies() -> dict[str, str]:
+    graph = f"{USAGE},\n{SUPERS}"
+    named = """named AS (SELECT r.schema_name, p.role_oid AS p, e.role_oid AS e, l.role_oid AS l FROM registry r LEFT JOIN roles p ON p.role_name=r.producer LEFT JOIN roles e ON e.role_name=r.editor LEFT JOIN roles l ON l.role_name=r.reader)"""
+    flags = f"""flags AS (SELECT q.user_oid, q.style_id, NOT s.use_as_default AS nodef, {has('q.user_oid', 'n.p')} AS is_p, {has('q.user_oid', 'n.e')} AS is_e, {has('q.user_oid', 'n.l')} AS is_l, {has('q.user_oid', 'o.role_oid')} AS has_o,
+ {has('q.user_oid', '10')} AS adm, {has('q.user_oid', '12')} AS con, q.user_oid IN (SELECT role_oid FROM supers) AS sup
+ FROM style_requests q JOIN layer_styles s ON s.style_id=q.style_id LEFT JOIN named n ON n.schema_name=s.f_table_schema LEFT JOIN roles o ON o.role_name=s.owner),
+strat(strategy) AS (VALUES (0),(1),(2),(3),(4),(5),(99)),
+rules AS (SELECT f.*, t.strategy, CASE t.strategy WHEN 0 THEN adm WHEN 99 THEN sup ELSE (adm OR con) AND (sup OR user_oid=10 OR is_p OR (t.strategy IN (2,5) AND is_e AND has_o AND nodef) OR (t.strategy=3 AND is_e AND has_o) OR (t.strategy=4 AND is_e) OR (t.strategy=5 AND is_l AND has_o AND nodef)) END AS w,
+ CASE t.strategy WHEN 99 THEN sup ELSE adm OR con END AS r FROM flags f CROSS JOIN strat t)"""
+    readable = """readable AS (SELECT o.db_id, o.obj_oid, o.obj_name, n.schema_name, g.level1, g.level2 FROM all_objects o JOIN namespaces n ON n.schema_oid=o.schema_oid JOIN registry g ON g.db_id=o.db_id AND g.schema_name=n.schema_name AND g.is_created
+ WHERE o.obj_kind IN ('r','p','v','m','f') AND o.obj_oid IN (SELECT obj_oid FROM holds h WHERE h.privilege='SELECT' AND (h.role_oid=0 OR h.role_oid IN (SELECT role_oid FROM usage_reach WHERE member_oid=101)))
+ AND o.schema_oid IN (SELECT schema_oid FROM uses u WHERE u.role_oid=0 OR u.role_oid IN (SELECT role_oid FROM usage_reach WHERE member_oid=101)))"""
+    uses = """uses AS (SELECT a.schema_oid, a.grantee_oid AS role_oid FROM all_acl a WHERE a.obj_kind='N' AND contains(a.codes,'U') UNION SELECT o.schema_oid, o.owner_oid FROM all_objects o WHERE o.obj_kind='N' AND NOT o.has_acl)"""
+    menu = f"""i1 AS (SELECT db_id, level1 IS NULL AS n1, coalesce(level1, schema_name) AS one, row_number() OVER (PARTITION BY db_id ORDER BY level1 IS NULL, coalesce(level1, schema_name))-1 AS ind FROM registry WHERE is_created GROUP BY db_id, level1 IS NULL, coalesce(level1, schema_name)),
+i2 AS (SELECT db_id, level1 IS NULL AS n1, coalesce(level1, schema_name) AS one, level2 IS NULL AS n2, coalesce(level2, obj_name) AS two, row_number() OVER (PARTITION BY db_id, level1 IS NULL, coalesce(level1, schema_name) ORDER BY level2 IS NULL, coalesce(level2, obj_name))-1 AS ind FROM readable GROUP BY db_id, level1 IS NULL, coalesce(level1, schema_name), level2 IS NULL, coalesce(level2, obj_name)),
+m AS (SELECT r.*, r.level1 IS NULL AS n1, coalesce(r.level1, r.schema_name) AS one, r.level2 IS NULL AS n2, coalesce(r.level2, r.obj_name) AS two, g.geom_column, g.srid, g.geom_type FROM readable r LEFT JOIN geometry_columns g ON g.obj_oid=r.obj_oid),
+m2 AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY n1, one, n2, two, obj_name, obj_oid, geom_column NULLS FIRST) AS id, row_number() OVER (PARTITION BY db_id, n1, one, n2, two ORDER BY obj_name, obj_oid, geom_column NULLS FIRST)-1 AS ind3 FROM m)"""
+    return {
+        "style_row_permissions": with_inputs(
+            "SELECT CAST(user_oid AS BIGINT) AS user_oid, CAST(style_id AS BIGINT) AS style_id, strategy, r AS can_select, w AS can_insert, w AS can_update, w AS can_delete FROM rules", f"{graph},\n{named},\n{flags}", recursive=True),
+        "menu_index": with_inputs(
+            f"""SELECT CAST(m2.db_id AS BIGINT) AS db_id, m2.id, CAST(obj_oid AS BIGINT) AS obj_oid, obj_name||CASE WHEN geom_column IS NOT NULL AND geom_column<>'geom' THEN '.'||geom_column ELSE '' END AS name,
+ '[[0, "DB_'||m2.db_id||'"], ['||i1.ind||', "'||replace(m2.one,'&','et')||'"], ['||i2.ind||', "'||replace(m2.two,'&','et')||'"]'||CASE WHEN level2 IS NOT NULL THEN ', ['||ind3||', "'||obj_name||'"]' ELSE '' END||']' AS model_index,
+ 'vector:postgres:'||obj_name||':'||'dbname='||chr(39)||'db_'||m2.db_id||chr(39)||' '||' host=localhost port=5432 sslmode=require'||CASE WHEN srid IS NOT NULL THEN ' srid='||srid ELSE '' END||CASE WHEN geom_type IS NOT NULL THEN ' type='||geom_type ELSE '' END
+ ||' table="'||schema_name||'"."'||obj_name||CASE WHEN geom_column IS NOT NULL THEN '" ('||geom_column||') sql=::' ELSE '" sql=:::::NoGeometry' END AS datasource_uri
+ FROM m2 JOIN i1 ON i1.db_id=m2.db_id AND i1.n1=m2.n1 AND i1.one=m2.one JOIN i2 ON i2.db_id=m2.db_id AND i2.n1=m2.n1 AND i2.one=m2.one AND i2.n2=m2.n2 AND i2.two=m2.two""",
+            f"{PRIV},\n{KIND},\n{graph},\n{HOLDS},\n{uses},\n{readable},\n{menu}", recursive=True),
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    return {**diagnostics(), **acl(), **roles(), **plans()}
+    return {
+        **diagnostics(), **acl(), **roles(), **plans(), **registry(), **events(), **policies()
+    }

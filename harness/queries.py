@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.functions.privileges import expand_privilege_codes, explode_mask
 from grantlens.functions.sqltext import invert_command
-from grantlens.operators import acl, diagnostics, roles
+from grantlens.operators import acl, diagnostics, maintenance, policies, registry, roles
 from grantlens.plans import defaults, grants, move, ownership, reassign, reset
-from grantlens.scaling import union_all
-from grantlens.sources import catalog
+from grantlens.scaling import shared_folder, union_all
+from grantlens.sources import catalog, ddl_log
+from grantlens.streaming import events
 from harness.inputs import Inputs
 
 ADMIN_TARGET = "grp_0"
@@ -362,3 +365,152 @@ def rename_owner_plan(c):
 def reassign_owned_plan(c):
     plan = ownership.reassign_owned_plan(c.unified_objects, c.role_replacements, c.namespaces, c.roles)
     return plan.select("db_id", "obj_kind", "obj_oid", "role_oid", "old_owner_oid", "command")
+
+
+def _normalised(c):
+    return registry.normalise_changes(c.change_sets, c.registry, c.roles, c.namespaces)
+
+
+def _reviewed(c):
+    return registry.review_changes(
+        c.change_sets, c.registry, c.roles, c.namespaces, c.database_creators, c.usage, c.member
+    )
+
+
+@query
+def validate_changes(c):
+    return registry.violations(_reviewed(c))
+
+
+def _check(name: str, check: str):
+    QUERIES[name] = lambda spark, sf_dir: registry.violations(_reviewed(Catalog(spark, sf_dir)), check)
+
+
+_check("name_conflicts", "registry_duplicates")
+for _name in ("role_repetition", "deletion_rules", "taxonomy_lock", "superuser_rules", "missing_name"):
+    _check(_name, _name)
+
+
+@query
+def registry_duplicates(c):
+    after = registry.align_block_and_name(_normalised(c)).where("op <> 'DELETE'")
+    columns = ["db_id", "schema_name", "schema_oid"]
+    return registry.registry_duplicates(c.registry.select(*columns).unionByName(after.select(*columns)))
+
+
+@query
+def block_name_violations(c):
+    return registry.block_name_violations(_normalised(c)).select("change_id", "schema_name", "block")
+
+
+@query
+def normalise_changes(c):
+    return _normalised(c).select(
+        "change_id", "op", "schema_name", "block", "producer", "editor", "reader", "is_created",
+        "in_nomenclature", "schema_oid", "producer_oid", "editor_oid", "reader_oid", "clean_producer",
+        "clean_editor", "clean_reader",
+    )
+
+
+@query
+def align_block_and_name(c):
+    return registry.align_block_and_name(_normalised(c)).select(
+        "change_id", "op", "schema_name", "block", "align_code"
+    )
+
+
+@query
+def trash_transitions(c):
+    return registry.trash_transitions(registry.align_block_and_name(_normalised(c)))
+
+
+@query
+def apply_registry_changes(c):
+    return registry.apply_registry_changes(c.registry, _reviewed(c), c.namespaces)
+
+
+@query
+def register_unlisted_schemas(c):
+    return maintenance.register_unlisted_schemas(c.namespaces, c.registry, c.roles)
+
+
+@query
+def deregister_schemas(c):
+    remaining, answers = maintenance.deregister_schemas(c.registry, c.deregistrations)
+    kept = remaining.select("db_id", "schema_name", F.lit("kept").alias("answer"))
+    return answers.unionByName(kept)
+
+
+@query
+def import_taxonomy(c):
+    taxonomy = c.nomenclature.withColumn("in_nomenclature", F.lit(True))
+    return maintenance.import_taxonomy(c.registry, taxonomy).drop("in_nomenclature")
+
+
+@query
+def registry_from_events(c):
+    return events.registry_from_events(c.ddl_events, c.preregistered)
+
+
+def _fresh_folder(c) -> str:
+    return f"{shared_folder(c.spark)}/{uuid.uuid4().hex}"
+
+
+def _streamed_state(c) -> DataFrame:
+    """State after streaming the whole event log, one batch per trigger."""
+    folder = _fresh_folder(c)
+    feed = ddl_log.read_ddl_events(c.spark, c.path_of("ddl_events"), streaming=True)
+    events.start_registry_stream(feed, folder, f"{folder}/checkpoint").awaitTermination()
+    return events.read_registry_state(c.spark, folder)
+
+
+@query
+def registry_on_create(c):
+    return events.registry_rows(_streamed_state(c), c.preregistered).where("is_created")
+
+
+@query
+def registry_on_alter(c):
+    state = _streamed_state(c).where("is_live AND was_altered")
+    return events.registry_rows(state, c.preregistered).where("is_created")
+
+
+@query
+def registry_on_drop(c):
+    return events.registry_rows(_streamed_state(c), c.preregistered).where("NOT is_created")
+
+
+def _streamed_rows(c, operator) -> DataFrame:
+    """Output of a stateless event operator, run as a stream into a Parquet folder."""
+    folder = _fresh_folder(c)
+    feed = ddl_log.read_ddl_events(c.spark, c.path_of("ddl_events"), streaming=True)
+    rows = operator(feed)
+    events.start_object_stream(rows, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return c.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+@query
+def grants_on_create_object(c):
+    registry_now, roles_now = c.registry, c.roles
+    return _streamed_rows(c, lambda feed: events.grants_on_create_object(feed, registry_now, roles_now))
+
+
+@query
+def owner_on_alter_object(c):
+    registry_now = c.registry
+    return _streamed_rows(c, lambda feed: events.owner_on_alter_object(feed, registry_now))
+
+
+@query
+def style_row_permissions(c):
+    return policies.style_row_permissions(
+        c.style_requests, c.layer_styles, c.registry, c.roles, c.usage
+    )
+
+
+@query
+def menu_index(c):
+    return policies.menu_index(
+        "grp_1", c.unified_objects, c.unified_acl, c.registry, c.namespaces, c.roles, c.usage,
+        c.geometry_columns, {"host": "localhost", "port": "5432", "sslmode": "require"},
+    )
