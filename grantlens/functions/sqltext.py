@@ -41,16 +41,20 @@ def quote_literal(value: Column) -> Column:
     ).otherwise(F.concat(F.lit("'"), body, F.lit("'")))
 
 
-def role_ref(role_oid: Column, role_name: Column) -> Column:
-    """Role as written in a command: the pseudo-role public, or a quoted name."""
-    return F.when(role_oid == 0, F.lit("public")).otherwise(quote_ident(role_name))
+def role_ref(role_oid: Column, role_ident: Column) -> Column:
+    """Role as written in a command: the pseudo-role public, or its quoted name."""
+    return F.when(role_oid == 0, F.lit("public")).otherwise(role_ident)
 
 
-def object_ref(kind: Column, schema_name: Column, obj_name: Column) -> Column:
-    """Qualified object name; a schema is its own name, a routine carries its argument list."""
-    qualified = F.concat(quote_ident(schema_name), F.lit("."), quote_ident(obj_name))
+def object_ref(kind: Column, schema_ident: Column, obj_ident: Column) -> Column:
+    """Qualified name from quoted parts; a schema is its own name, a routine has its arguments.
+
+    Names are quoted where they are stored, once per object, schema or role, and not once per
+    command that mentions them.
+    """
+    qualified = F.concat(schema_ident, F.lit("."), obj_ident)
     return (
-        F.when(kind == "N", quote_ident(schema_name))
+        F.when(kind == "N", schema_ident)
         .when(kind == "X", F.concat(qualified, F.lit("()")))
         .otherwise(qualified)
     )

@@ -14,6 +14,7 @@ from grantlens.functions.sqltext import (
     grant_command,
     object_ref,
     owner_command,
+    quote_ident,
     role_ref,
 )
 from grantlens.model import (
@@ -129,9 +130,45 @@ def public_privileges(all_acl: DataFrame) -> DataFrame:
     return _merged(granted).withColumn("verb", F.lit("GRANT"))
 
 
-def all_privileges(all_objects: DataFrame, all_acl: DataFrame) -> DataFrame:
-    """Commands that describe the rights of every role: grants, and revocations of owners."""
-    return role_privileges(all_acl).unionByName(owner_missing_privileges(all_objects, all_acl))
+def all_privileges(
+    all_objects: DataFrame, all_acl: DataFrame, with_public: bool = False
+) -> DataFrame:
+    """Commands that describe the rights of every role: grants, and revocations of owners.
+
+    The same rows as :func:`role_privileges` and :func:`owner_missing_privileges` (and
+    :func:`public_privileges`) together, from one aggregation by (object, role) instead of three.
+    """
+    kind, to_public = F.col("obj_kind"), F.col("grantee_oid") == PUBLIC_OID
+    in_scope = kind.isin("N", "S", "A", *RELATION_KINDS) if with_public else F.lit(False)
+    mask = code_mask(F.col("codes"))
+    own = F.coalesce(F.col("grantee_oid") == F.col("owner_oid"), F.lit(False))
+    entries = all_acl.where(~to_public | in_scope).select(
+        *OBJECT_KEY, F.col("grantee_oid").alias("role_oid"),
+        F.when(own, F.lit(0)).otherwise(mask).alias("_granted"),
+        F.when(own, mask).otherwise(F.lit(0)).alias("_held"),
+        F.lit(0).alias("_expected"),
+    )
+    owners = all_objects.where(F.col("has_acl") & kind.isin(*RIGHTS_KINDS)).select(
+        "db_id", "schema_oid", "obj_kind", "obj_oid",
+        F.lit(None).cast("string").alias("column_name"),
+        F.col("owner_oid").alias("role_oid"),
+        F.lit(0).alias("_granted"), F.lit(0).alias("_held"),
+        expected_mask(kind, "owner").alias("_expected"),
+    )
+    merged = (
+        entries.unionByName(owners)
+        .groupBy(*OBJECT_KEY, "role_oid")
+        .agg(*[F.bit_or(c).alias(c) for c in ("_granted", "_held", "_expected")])
+    )
+    lost = F.col("_expected").bitwiseAND(F.bitwise_not(F.col("_held")))
+    sides = F.array(
+        F.struct(F.lit("GRANT").alias("verb"), F.col("_granted").alias("_mask")),
+        F.struct(F.lit("REVOKE").alias("verb"), lost.alias("_mask")),
+    )
+    rows = merged.where((F.col("_granted") != 0) | (lost != 0)).select(
+        *OBJECT_KEY, "role_oid", F.inline(sides)
+    )
+    return explode_mask(rows.where(F.col("_mask") != 0), "_mask")
 
 
 def _requested(requests: DataFrame, classes: tuple[str, ...] | None, error: str):
@@ -182,12 +219,19 @@ def object_public_privileges(all_acl: DataFrame, requests: DataFrame) -> DataFra
 
 
 def object_names(all_objects: DataFrame, namespaces: DataFrame) -> DataFrame:
-    """(obj_kind, obj_oid) → schema and object name; schema is NULL when it is not in the snapshot."""
-    named = namespaces.select("schema_oid", "schema_name")
-    objects = all_objects.select("schema_oid", "obj_kind", "obj_oid", "obj_name")
+    """(obj_kind, obj_oid) → quoted schema and object name; no schema when it is not in the snapshot."""
+    named = namespaces.select("schema_oid", quote_ident(F.col("schema_name")).alias("schema_ident"))
+    objects = all_objects.select(
+        "schema_oid", "obj_kind", "obj_oid", quote_ident(F.col("obj_name")).alias("obj_ident")
+    )
     return attach(objects, named, "schema_oid", "left", sized_by=namespaces)
 
 
+def role_idents(roles: DataFrame, into: str = "_role") -> DataFrame:
+    """role_oid → quoted role name."""
+    return roles.select("role_oid", quote_ident(F.col("role_name")).alias(into))
+
+
 def render_commands(
     rows: DataFrame,
     all_objects: DataFrame,
@@ -205,16 +249,13 @@ def render_commands(
     kind = F.col("obj_kind")
     family = F.coalesce(grant_class(kind), kind)
     names = object_names(all_objects, namespaces).select(
-        "obj_oid", family.alias("_family"), "schema_name", "obj_name"
+        "obj_oid", family.alias("_family"), F.col("schema_ident").alias("_schema"), F.col("obj_ident").alias("_name")
     )
-    names = names.withColumnsRenamed({"schema_name": "_schema", "obj_name": "_name"})
     named = rows.withColumn("_family", family).join(names, ["_family", "obj_oid"], "left")
-    named = attach(
-        named, roles.select("role_oid", F.col("role_name").alias("_role")), "role_oid", "left", sized_by=roles
-    )
+    named = attach(named, role_idents(roles), "role_oid", "left", sized_by=roles)
     if "in_schema_oid" in rows.columns:
         later = namespaces.select(
-            F.col("schema_oid").alias("in_schema_oid"), F.col("schema_name").alias("_later")
+            F.col("schema_oid").alias("in_schema_oid"), quote_ident(F.col("schema_name")).alias("_later")
         )
         named = attach(named, later, "in_schema_oid", "left", sized_by=namespaces)
         named = named.withColumn("_schema", F.coalesce("_later", "_schema")).drop("_later")
@@ -234,9 +275,14 @@ def render_commands(
     )
 
 
-def resolve_relation_names(requests: DataFrame, all_objects: DataFrame, namespaces: DataFrame) -> DataFrame:
+def resolve_relation_names(
+    requests: DataFrame, all_objects: DataFrame, namespaces: DataFrame
+) -> DataFrame:
     """obj_oid → [schema, relation]; NULL when there is no such relation."""
-    relations = all_objects.where(F.col("obj_kind").isin(*RELATION_KINDS, "S"))
-    named = object_names(relations, namespaces).where(F.col("schema_name").isNotNull())
-    found = named.select("obj_oid", F.array("schema_name", "obj_name").alias("relation"))
+    named = namespaces.select("schema_oid", "schema_name")
+    relations = all_objects.where(F.col("obj_kind").isin(*RELATION_KINDS, "S")).select(
+        "schema_oid", "obj_oid", "obj_name"
+    )
+    relations = attach(relations, named, "schema_oid", "inner", sized_by=namespaces)
+    found = relations.select("obj_oid", F.array("schema_name", "obj_name").alias("relation"))
     return requests.join(found, "obj_oid", "left")

@@ -9,7 +9,7 @@ from grantlens.functions.privileges import (
     code_mask,
     expand_privilege_codes,
     expected_mask,
-    mask_names,
+    explode_mask,
     mask_of,
 )
 from grantlens.model import (
@@ -146,11 +146,11 @@ def _expected(objects: DataFrame, fixed_grants: DataFrame | None) -> DataFrame:
     return rows.withColumn("column_name", F.lit(None).cast("string"))
 
 
-def _labelled(mask: Column, anomaly: str, function: str | None) -> Column:
-    return F.transform(
-        F.filter(mask_names(mask), lambda p: p.isNotNull()),
-        lambda p: F.struct(
-            p.alias("privilege"), F.lit(anomaly).alias("anomaly"),
+def _finding(mask: Column, anomaly: str, function: str | None = None) -> Column:
+    return F.when(
+        mask != 0,
+        F.struct(
+            mask.alias("mask"), F.lit(anomaly).alias("anomaly"),
             F.lit(function).cast("string").alias("function"),
         ),
     )
@@ -202,22 +202,21 @@ def privilege_anomalies(
         wanted = wanted.bitwiseOR(F.col(f"{f}_mask"))
     gaps = pairs.where((held != wanted) | (option != 0))
     unheld = F.bitwise_not(held)
-    details = F.concat(
-        *[
-            _labelled(F.col(f"{f}_mask").bitwiseAND(unheld), "missing", f) for f in _FUNCTIONS
-        ],
-        _labelled(plain.bitwiseAND(F.bitwise_not(wanted)), "extra", None),
-        _labelled(option.bitwiseAND(F.bitwise_not(wanted)), "extra with grant option", None),
-        _labelled(option.bitwiseAND(wanted), "grant option", None),
+    findings = F.array(
+        *[_finding(F.col(f"{f}_mask").bitwiseAND(unheld), "missing", f) for f in _FUNCTIONS],
+        _finding(plain.bitwiseAND(F.bitwise_not(wanted)), "extra"),
+        _finding(option.bitwiseAND(F.bitwise_not(wanted)), "extra with grant option"),
+        _finding(option.bitwiseAND(wanted), "grant option"),
     )
-    rows = _registered(gaps, all_objects, registry).withColumn("_d", F.explode(details))
-    return rows.select(
+    rows = _registered(gaps, all_objects, registry).withColumn("_f", F.explode(findings))
+    rows = rows.where(F.col("_f").isNotNull()).select(
+        "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid", "_f.*"
+    )
+    return explode_mask(rows, "mask").select(
         "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid",
         F.lit(None).cast("bigint").alias("other_oid"),
-        F.col("_d.function").alias("function"),
-        F.col("_d.privilege").alias("privilege"),
-        F.col("_d.anomaly").alias("anomaly"),
-        (F.coalesce(F.col("_d.function"), F.lit("")) == "fixed").alias("is_critical"),
+        "function", "privilege", "anomaly",
+        (F.coalesce(F.col("function"), F.lit("")) == "fixed").alias("is_critical"),
     )
 
 

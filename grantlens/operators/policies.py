@@ -10,7 +10,7 @@ from grantlens.functions.sqltext import quote_ident, quote_literal
 from grantlens.model import RELATION_KINDS
 from grantlens.operators.diagnostics import effective_privileges
 from grantlens.operators.roles import ADMIN_ROLE, has_role, role_oid_of, schema_function_of_role
-from grantlens.scaling import attach, number_rows
+from grantlens.scaling import attach, cut_lineage, number_rows
 
 READERS_ROLE = "g_consult"
 STRATEGIES = (0, 1, 2, 3, 4, 5, 99)
@@ -133,6 +133,7 @@ def menu_index(
     rows = rows.withColumn("_null1", F.col("level1").isNull()).withColumn(
         "_one", F.coalesce("level1", "schema_name")
     ).withColumn("_null2", F.col("level2").isNull()).withColumn("_two", F.coalesce("level2", "obj_name"))
+    rows = cut_lineage(rows)
     second_keys = ["db_id", "_null1", "_one", "_null2", "_two"]
     second = number_rows(rows.select(*second_keys).distinct(), [F.col(c) for c in second_keys], "_n")
     second = _rank_in(second, ["db_id", "_null1", "_one"], "_n", "_ind2")

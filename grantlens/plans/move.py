@@ -8,15 +8,9 @@ from pyspark.sql import functions as F
 from grantlens.functions.privileges import expected_mask, privilege_list
 from grantlens.functions.sqltext import alter_class, object_ref, quote_ident
 from grantlens.model import RELATION_KINDS, SYSTEM_SCHEMA_PATTERN
-from grantlens.operators.acl import (
-    object_names,
-    owner_missing_privileges,
-    public_privileges,
-    render_commands,
-    role_privileges,
-)
+from grantlens.operators.acl import all_privileges, object_names, render_commands
 from grantlens.operators.diagnostics import effective_registry
-from grantlens.scaling import attach, union_all
+from grantlens.scaling import attach, cut_lineage, union_all
 
 STEPS = {
     "set schema": 0,
@@ -209,6 +203,7 @@ def move_object_plan(
         placed = placed.join(worst, ["obj_oid", "target_schema_oid"], "left").withColumn(
             "error", F.coalesce("error", "_conflict")
         ).drop("_conflict")
+    placed = cut_lineage(placed)
     errors = placed.where(F.col("error").isNotNull())
     valid = placed.where(F.col("error").isNull()).drop("error")
     functions = ["variant", "target_schema_oid", "producer", "editor", "reader", "new_producer", "new_editor", "new_reader"]
@@ -228,7 +223,8 @@ def move_object_plan(
             F.col("_owner").alias("owner_oid"), *functions,
         )
     )
-    units = themselves.unionByName(following)
+    # moved units are few next to the catalog and are read by every rule
+    units = cut_lineage(themselves.unionByName(following))
     # rights of the units only, by object; column entries belong to their table
     keys = units.select("obj_oid").distinct()
     bound = moves.select("obj_oid").union(owned_sequences.select("sequence_oid"))
@@ -236,9 +232,7 @@ def move_object_plan(
     objects = attach(
         all_objects.where(F.col("obj_kind") != "N"), keys, "obj_oid", "left_semi", sized_by=bound
     )
-    held = union_all(
-        [role_privileges(acl), owner_missing_privileges(objects, acl), public_privileges(acl)]
-    ).select("obj_oid", F.col("obj_kind").alias("held_kind"), "column_name", "role_oid", "verb", "privilege")
+    held = all_privileges(objects, acl, with_public=True).select("obj_oid", F.col("obj_kind").alias("held_kind"), "column_name", "role_oid", "verb", "privilege")
     moved = attach(held, units, "obj_oid", "inner", sized_by=bound)
     moved = moved.withColumn("_act", F.explode(_privilege_rules())).where(F.col("_act").isNotNull())
     by_privilege = moved.select(
@@ -262,10 +256,10 @@ def move_object_plan(
         union_all([by_privilege, standard, owners]), all_objects, namespaces, roles
     )
     names = object_names(all_objects, namespaces).where(F.col("obj_kind") != "N").select(
-        "obj_oid", F.col("schema_name").alias("_schema"), F.col("obj_name").alias("_name")
+        "obj_oid", F.col("schema_ident").alias("_schema"), F.col("obj_ident").alias("_name")
     )
     target = namespaces.select(
-        F.col("schema_oid").alias("target_schema_oid"), F.col("schema_name").alias("_to")
+        F.col("schema_oid").alias("target_schema_oid"), quote_ident(F.col("schema_name")).alias("_to")
     )
     relocated = attach(themselves.join(names, "obj_oid"), target, "target_schema_oid", "left", sized_by=namespaces)
     relocated = relocated.select(
@@ -274,7 +268,7 @@ def move_object_plan(
         F.concat(
             F.lit("ALTER "), alter_class(F.col("obj_kind")), F.lit(" "),
             object_ref(F.col("obj_kind"), F.col("_schema"), F.col("_name")),
-            F.lit(" SET SCHEMA "), quote_ident(F.col("_to")),
+            F.lit(" SET SCHEMA "), F.col("_to"),
         ).alias("command"),
         F.lit(None).cast("string").alias("error"),
     )
