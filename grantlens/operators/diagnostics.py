@@ -20,7 +20,7 @@ from grantlens.model import (
     RIGHTS_KINDS,
 )
 from grantlens.operators.roles import has_role
-from grantlens.scaling import attach
+from grantlens.scaling import attach, attach_few
 
 REPORT = (
     "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid", "other_oid", "function",
@@ -315,7 +315,7 @@ def effective_privileges(
     )
     asked = requests.select(F.col("user_oid"), "obj_oid").distinct().join(objects, "obj_oid")
     supers = roles.where("is_super").select(F.col("role_oid").alias("user_oid"), F.lit(True).alias("_super"))
-    asked = attach(asked, supers, "user_oid", "left", sized_by=roles)
+    asked = attach_few(asked, supers, "user_oid")
     reach = closure.select(F.col("member_oid").alias("user_oid"), F.col("role_oid"))
     held = (
         all_acl.where(F.col("column_name").isNull() & in_scope)

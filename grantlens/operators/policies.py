@@ -10,7 +10,7 @@ from grantlens.functions.sqltext import quote_ident, quote_literal
 from grantlens.model import RELATION_KINDS
 from grantlens.operators.diagnostics import effective_privileges
 from grantlens.operators.roles import ADMIN_ROLE, has_role, role_oid_of, schema_function_of_role
-from grantlens.scaling import attach, cut_lineage, number_rows
+from grantlens.scaling import attach, attach_few, cut_lineage, number_rows
 
 READERS_ROLE = "g_consult"
 STRATEGIES = (0, 1, 2, 3, 4, 5, 99)
@@ -44,7 +44,7 @@ def style_row_permissions(
         flagged = flagged.withColumn("_role", role_oid_of(roles, name))
         flagged = has_role(flagged, closure, roles, "user_oid", "_role", into).drop("_role")
     supers = roles.where("is_super").select(F.col("role_oid").alias("user_oid"), F.lit(True).alias("_super"))
-    flagged = attach(flagged, supers, "user_oid", "left", sized_by=roles)
+    flagged = attach_few(flagged, supers, "user_oid")
     is_super = F.coalesce(F.col("_super"), F.lit(False))
     above = is_super | (F.col("user_oid") == role_oid_of(roles, admin))
     granted = F.col("_admin") | F.col("_readers")

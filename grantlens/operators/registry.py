@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from grantlens.model import PUBLIC_OID
 from grantlens.operators.roles import ADMIN_ROLE, FUNCTIONS, has_role, role_oid_of
-from grantlens.scaling import attach, computed, cut_lineage
+from grantlens.scaling import attach, attach_few, computed, cut_lineage
 
 _KEPT = ("change_id", "db_id", "op", "actor_oid")
 
@@ -242,7 +242,7 @@ def _creators_reached(
         .withColumn("_able", F.lit(True))
     )
     supers = roles.where("is_super").select(F.col("role_oid").alias("actor_oid"), F.lit(True).alias("_super"))
-    joined = attach(rows.join(able, ["actor_oid", "db_id"], "left"), supers, "actor_oid", "left", sized_by=roles)
+    joined = attach_few(rows.join(able, ["actor_oid", "db_id"], "left"), supers, "actor_oid")
     return joined.withColumn("may_create", F.coalesce(F.col("_able"), F.col("_super"), F.lit(False))).drop(
         "_able", "_super"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grantlens.functions.sqltext import quote_ident
 from grantlens.model import PUBLIC_OID, SUPERUSER_KEY
-from grantlens.scaling import attach, cut_lineage, number_rows
+from grantlens.scaling import attach, attach_few, cut_lineage, number_rows
 
 ADMIN_ROLE = "g_admin"
 FUNCTIONS = ("producer", "editor", "reader")
@@ -45,19 +45,22 @@ def role_closure(
     """
     known = roles.select(F.col("role_oid").alias("member_oid"), "inherits")
     edges = memberships.where(F.col("role_oid") != F.col("member_oid")).select("member_oid", "role_oid")
-    edges = edges.join(known, "member_oid")
+    edges = attach(edges, known, "member_oid", "inner", sized_by=roles)
     if mode == "usage":
         edges = edges.where("inherits")
     edges = edges.select("member_oid", "role_oid").distinct()
     granted = edges.select(F.col("role_oid").alias("member_oid")).distinct()
-    inner = _transitive(edges.join(granted, "member_oid", "left_semi"))
+    inner = _transitive(attach(edges, granted, "member_oid", "left_semi"))
     starts = known.select("member_oid")
     if members is not None:
         wanted = members.select(F.col(members.columns[0]).alias("member_oid")).distinct()
         edges = edges.join(wanted, "member_oid", "left_semi")
         starts = starts.join(wanted, "member_oid", "left_semi")
     beyond = inner.select(F.col("member_oid").alias("role_oid"), F.col("role_oid").alias("_far"))
-    further = edges.join(beyond, "role_oid").select("member_oid", F.col("_far").alias("role_oid"))
+    # a role held by a crowd is a hot key here
+    further = attach(edges, beyond, "role_oid", "inner").select(
+        "member_oid", F.col("_far").alias("role_oid")
+    )
     itself = starts.select("member_oid", F.col("member_oid").alias("role_oid"))
     return edges.unionByName(further).unionByName(itself).distinct()
 
@@ -70,7 +73,7 @@ def has_role(
         F.col("member_oid").alias(member), F.col("role_oid").alias(role), F.lit(True).alias("_reach")
     )
     supers = roles.where("is_super").select(F.col("role_oid").alias(member), F.lit(True).alias("_super"))
-    flagged = attach(pairs.join(reach, [member, role], "left"), supers, member, "left", sized_by=roles)
+    flagged = attach_few(pairs.join(reach, [member, role], "left"), supers, member)
     asked = F.col(role).isNotNull() & (F.col(role) != PUBLIC_OID)
     return flagged.withColumn(
         into,
@@ -254,7 +257,7 @@ def pick_grantor(
     holders = attach(holders, roles.select("role_oid", "role_name"), "role_oid", "inner", sized_by=roles)
     rest = reach.join(chosen.select("member_oid"), "member_oid", "left_anti")
     by_option = (
-        rest.join(holders, "role_oid")
+        attach(rest, holders, "role_oid", "inner", sized_by=memberships)
         .groupBy("member_oid")
         .agg(F.min(F.struct(F.col("role_name").alias("n"), F.col("role_oid").alias("r"))).alias("c"))
         .select("member_oid", F.col("c.r").alias("grantor_oid"), F.lit("admin option").alias("via"))

@@ -50,6 +50,29 @@ def attach(
     return salted.join(replicated, keys + ["_salt"], how).drop("_salt")
 
 
+_MEASURED: dict[tuple[str, int], int] = {}
+SMALL_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether a frame has at most ``rows`` rows, counted (no further) once per session.
+
+    For frames that are few by nature, such as superusers, although the table they are filtered
+    from is large and the optimizer's estimate with it.
+    """
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _MEASURED:
+        _MEASURED[key] = df.limit(SMALL_ROWS + 1).count()
+    return _MEASURED[key] <= rows
+
+
+def attach_few(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
+    """:func:`attach` for a narrow dimension whose rows are counted rather than estimated."""
+    if is_small(dim):
+        return facts.join(F.broadcast(dim), on, how)
+    return attach(facts, dim, on, how)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables, from ``spark.checkpoint.dir``.
 
@@ -57,7 +80,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
