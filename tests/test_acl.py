@@ -91,10 +91,10 @@ def test_anomalies(small, rows):
         ("r", 100, 2, "editor", "DELETE", "missing"), ("r", 100, 2, "editor", "INSERT", "missing"),
         ("r", 100, 2, "editor", "SELECT", "missing"), ("r", 100, 2, "editor", "UPDATE", "missing"),
     ]
-    assert [g for g in got if g[1] == 102] == [
+    assert {g for g in got if g[1] == 102} == {
         ("X", 102, 4, None, "EXECUTE", "extra"), ("X", 102, 4, None, "EXECUTE", "extra with grant option"),
         ("X", 102, 0, "public", "EXECUTE", "missing"), ("X", 102, 1, "owner", "EXECUTE", "missing"),
-    ] or len([g for g in got if g[1] == 102]) == 4
+    }
     assert ("A", 101, 4, None, "SELECT", "extra") in got
     assert not [g for g in got if g[1] == 103]  # the schema is not registered
     assert ("N", 50, 2, "editor", "USAGE", "missing") in got
