@@ -12,20 +12,31 @@ def version_path(root: str, version: int) -> str:
     return f"{root}/version={version}"
 
 
-def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    """Highest completely written version below ``before``; a version is one folder."""
+def _versions(spark: SparkSession, root: str) -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(path):
-        return None
-    versions = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            versions.append(int(name.split("=", 1)[1]))
-    versions = [v for v in versions if before is None or v < before]
-    return max(versions, default=None)
+    found = []
+    if fs.exists(path):
+        for status in fs.listStatus(path):
+            name = status.getPath().getName()
+            done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            if name.startswith("version=") and fs.exists(done):
+                found.append(int(name.split("=", 1)[1]))
+    return sorted(found)
+
+
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """Highest completely written version below ``before``; a version is one folder."""
+    versions = [v for v in _versions(spark, root) if before is None or v < before]
+    return versions[-1] if versions else None
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int) -> None:
+    """Remove all but the last ``keep`` complete versions (a replay needs the one before last)."""
+    for version in _versions(spark, root)[: -max(keep, 2)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(version_path(root, version))
+        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        fs.delete(path, True)
 
 
 def read_version(spark: SparkSession, root: str, version: int | None) -> DataFrame | None:

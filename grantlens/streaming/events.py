@@ -18,7 +18,7 @@ from grantlens.functions.sqltext import first_group
 from grantlens.operators.diagnostics import effective_registry, view_source_access
 from grantlens.scaling import attach, cut_lineage
 from grantlens.sources.ddl_log import ALTER, ALTER_OBJECT, CREATE, CREATE_OBJECT, DROP
-from grantlens.sources.stores import latest_version, read_version, version_path
+from grantlens.sources.stores import drop_versions, latest_version, read_version, version_path
 
 STATE = (
     "schema_oid bigint, born_name string, schema_name string, owner_oid bigint, is_live boolean, "
@@ -144,13 +144,15 @@ def registry_from_events(events: DataFrame, preregistered: DataFrame | None = No
 
 
 def start_registry_stream(
-    events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None
+    events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
+    keep_versions: int | None = None,
 ) -> StreamingQuery:
     """Fold a stream of events into versions of the state below ``root``.
 
     Batch n reads the highest complete version below n and writes version n to its own folder, so
     a repeated batch writes the same version again. Events older than the last one applied to
-    their schema go to ``late/batch=n`` and change nothing.
+    their schema go to ``late/batch=n`` and change nothing. ``keep_versions`` (2 or more) drops
+    older versions.
     """
 
     def fold_batch(batch: DataFrame, batch_id: int) -> None:
@@ -159,7 +161,7 @@ def start_registry_stream(
         batch = cut_lineage(batch)
         previous = latest_version(spark, f"{root}/state", before=batch_id)
         state = read_version(spark, f"{root}/state", previous)
-        fresh = batch
+        fresh, touched, untouched = batch, None, None
         if state is not None:
             mark = state.select("schema_oid", "last_ts", "last_event")
             marked = attach(batch, mark, "schema_oid", "left", sized_by=state)
@@ -170,9 +172,16 @@ def start_registry_stream(
                 f"{root}/late/batch={batch_id}"
             )
             fresh = marked.where(~late).drop("last_ts", "last_event")
-        fold_events(fresh, state).write.mode("overwrite").parquet(
-            version_path(f"{root}/state", batch_id)
-        )
+            # only the schemas of this batch are folded, the rest of the state passes through
+            ids = batch.select("schema_oid").distinct()
+            touched = attach(state, ids, "schema_oid", "left_semi", sized_by=batch)
+            untouched = attach(state, ids, "schema_oid", "left_anti", sized_by=batch)
+        folded = fold_events(fresh, touched)
+        if untouched is not None:
+            folded = folded.unionByName(untouched)
+        folded.write.mode("overwrite").parquet(version_path(f"{root}/state", batch_id))
+        if keep_versions is not None:
+            drop_versions(spark, f"{root}/state", keep_versions)
 
     return (
         events.writeStream.foreachBatch(fold_batch)

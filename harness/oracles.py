@@ -617,7 +617,26 @@ m2 AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY n1, one, n2, two
     }
 
 
+def stores() -> dict[str, str]:
+    graph = f"{USAGE},\n{SUPERS}"
+    order = "db_id, schema_oid, grantor_oid, grantee_oid, object_class, privilege"
+    return {
+        "read_taxonomy": with_inputs(
+            "SELECT block, level1, level2, schema_name, producer, editor, reader FROM nomenclature WHERE level1 IN ('Brand#11*','Brand#23*','Brand#35*','Brand#42*','Brand#54*')"),
+        "read_ddl_events": with_inputs(
+            f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, tag, {big('event_id', 'schema_oid', 'owner_oid', 'obj_oid')}, schema_name, obj_kind FROM ddl_events s"),
+        "write_plan": with_inputs(
+            f"""SELECT row_number() OVER (ORDER BY {order}) AS seq, {big('db_id', 'schema_oid', 'grantor_oid', 'grantee_oid')}, object_class, privilege, CASE WHEN is_usable THEN revoke_command END AS command FROM ({default_commands('default_acl')}) s""",
+            f"{PLAN},\n{graph},\n{DEFAULTS}", recursive=True),
+        "write_registry": with_inputs(
+            """SELECT CAST(coalesce(u.db_id, r.db_id) AS BIGINT) AS db_id, coalesce(u.schema_name, r.schema_name) AS schema_name, CAST(coalesce(u.schema_oid, r.schema_oid) AS BIGINT) AS schema_oid, coalesce(u.schema_oid IS NOT NULL, false) OR r.is_created AS is_created, coalesce(u.producer, r.producer) AS producer
+ FROM registry r FULL JOIN (SELECT n.db_id, n.schema_name, n.schema_oid, w.role_name AS producer FROM namespaces n LEFT JOIN registry g ON g.db_id=n.db_id AND g.schema_name=n.schema_name LEFT JOIN roles w ON w.role_oid=n.owner_oid
+  WHERE NOT regexp_matches(n.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') AND (g.is_created IS NULL OR NOT g.is_created)) u ON u.schema_name=r.schema_name"""),
+    }
+
+
 def all_oracles() -> dict[str, str]:
     return {
-        **diagnostics(), **acl(), **roles(), **plans(), **registry(), **events(), **policies()
+        **diagnostics(), **acl(), **roles(), **plans(), **registry(), **events(), **policies(),
+        **stores(),
     }

@@ -12,12 +12,13 @@ from grantlens.functions.sqltext import invert_command
 from grantlens.operators import acl, diagnostics, maintenance, policies, registry, roles
 from grantlens.plans import defaults, grants, move, ownership, reassign, reset
 from grantlens.scaling import shared_folder, union_all
-from grantlens.sources import catalog, ddl_log
+from grantlens.sources import catalog, ddl_log, stores, taxonomy
 from grantlens.streaming import events
 from harness.inputs import Inputs
 
 ADMIN_TARGET = "grp_0"
 CONSULT = "g_consult"
+DOMAINS = ["Brand#11*", "Brand#23*", "Brand#35*", "Brand#42*", "Brand#54*"]
 
 
 class Catalog(Inputs):
@@ -514,3 +515,35 @@ def menu_index(c):
         "grp_1", c.unified_objects, c.unified_acl, c.registry, c.namespaces, c.roles, c.usage,
         c.geometry_columns, {"host": "localhost", "port": "5432", "sslmode": "require"},
     )
+
+
+@query
+def read_taxonomy(c):
+    return taxonomy.limit_domains(c.nomenclature, DOMAINS)
+
+
+@query
+def read_ddl_events(c):
+    log = ddl_log.read_ddl_events(c.spark, c.path_of("ddl_events"))
+    return log.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def write_plan(c):
+    plan = defaults.default_acl_plan(c.default_acl, c.namespaces, c.roles, c.usage, roles.ADMIN_ROLE)
+    columns = ["db_id", "schema_oid", "grantor_oid", "grantee_oid", "object_class", "privilege"]
+    folder = _fresh_folder(c)
+    stores.write_plan(plan.select(*columns, "command"), folder, columns)
+    return c.spark.read.parquet(folder).select("seq", F.col("db_id").cast("bigint").alias("db_id"), *columns[1:], "command")
+
+
+@query
+def write_registry(c):
+    """Rows that deregistration and registration leave, as the second version of the registry."""
+    folder = _fresh_folder(c)
+    stores.write_registry(c.registry, folder, 0)
+    added = maintenance.register_unlisted_schemas(c.namespaces, c.registry, c.roles)
+    current = stores.read_version(c.spark, folder, 0).select("db_id", "schema_name", "schema_oid", "is_created", "producer")
+    changes = added.select("db_id", "schema_name", "schema_oid", F.lit(True).alias("is_created"), "producer")
+    stores.write_registry(stores.upsert(current, changes, "schema_name"), folder, 1)
+    return stores.read_version(c.spark, folder, stores.latest_version(c.spark, folder))

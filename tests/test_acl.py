@@ -1,7 +1,13 @@
 import pytest
+from pyspark.sql import functions as F
 
 from grantlens.operators import acl
-from grantlens.operators.diagnostics import effective_privileges, privilege_anomalies
+from grantlens.operators.diagnostics import (
+    describe_anomalies,
+    diagnose_rights,
+    effective_privileges,
+    privilege_anomalies,
+)
 from grantlens.sources import catalog
 from tests.test_roles import ROLES
 
@@ -197,3 +203,20 @@ def test_dependencies(spark, rows):
         [(3, "pg_class", 1, "pg_authid", 9), (0, "pg_database", 4, "pg_authid", 9), (3, "pg_class", 1, "pg_tablespace", 9)],
         "dbid bigint, classid string, objid bigint, refclassid string, refobjid bigint")
     assert rows(catalog.read_role_dependencies(shared)) == [(3, 9), (4, 9)]
+
+
+def test_report_for_targets(small, rows, spark):
+    roles, objects, entries, registry = small
+    default_acl = spark.createDataFrame([(0, 50, 1, "r", 4, "r"), (0, 50, 1, "n", 4, "U")],
+        "db_id bigint, schema_oid bigint, grantor_oid bigint, obj_type string, grantee_oid bigint, codes string")
+    sources = spark.createDataFrame([], "view_oid bigint, source_oid bigint")
+    closure = roles.select(F.col("role_oid").alias("member_oid"), "role_oid")
+    inputs = (objects, entries, default_acl, sources, registry, roles, closure)
+    targets = spark.createDataFrame([("s",), ("t",), ("nowhere",), (None,)], "schema_name string")
+    everything = diagnose_rights(*inputs)
+    report = diagnose_rights(*inputs, targets=targets, view_access=True)
+    assert rows(report.where("anomaly = 'FDD1'"), "schema_name") == [("nowhere",), ("t",)]
+    assert rows(report.where("anomaly <> 'FDD1'")) == rows(everything)
+    assert rows(everything.where("anomaly = 'default privilege'"), "obj_kind") == [("default r",)]
+    texts = rows(describe_anomalies(report, objects, roles), "message")
+    assert ("privilege USAGE missing for the editor (edit)",) in texts and (None,) not in texts

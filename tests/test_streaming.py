@@ -79,9 +79,10 @@ def test_stream_equals_batch(spark, rows, tmp_path):
         rnd.shuffle(mixed)
         frame(spark, mixed).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True, late_after="10 hours", files_per_trigger=1)
-    query = E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check")
+    query = E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check", keep_versions=2)
     query.awaitTermination()
     assert len(query.recentProgress) >= 4
+    assert sorted(p.name for p in (tmp_path / "out" / "state").iterdir()) == ["version=2", "version=3"]
     assert rows(E.read_registry_state(spark, f"{tmp_path}/out"), *STATE_COLUMNS) == reference(log)
 
 
