@@ -48,21 +48,24 @@ def role_closure(
     edges = attach(edges, known, "member_oid", "inner", sized_by=roles)
     if mode == "usage":
         edges = edges.where("inherits")
-    edges = edges.select("member_oid", "role_oid").distinct()
+    edges = edges.select("member_oid", "role_oid")
     granted = edges.select(F.col("role_oid").alias("member_oid")).distinct()
-    inner = _transitive(attach(edges, granted, "member_oid", "left_semi"))
+    inner = _transitive(attach(edges, granted, "member_oid", "left_semi").distinct())
     starts = known.select("member_oid")
     if members is not None:
         wanted = members.select(F.col(members.columns[0]).alias("member_oid")).distinct()
         edges = edges.join(wanted, "member_oid", "left_semi")
         starts = starts.join(wanted, "member_oid", "left_semi")
-    beyond = inner.select(F.col("member_oid").alias("role_oid"), F.col("role_oid").alias("_far"))
+    steps = edges.unionByName(starts.withColumn("role_oid", F.col("member_oid")))
+    # few steps become many pairs: placed by member once, their partitions are neither merged for
+    # being small nor shuffled again for the last distinct
+    parts = int(roles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = steps.repartition(parts, "member_oid").distinct()
+    beyond = cut_lineage(inner.unionByName(granted.withColumn("role_oid", F.col("member_oid"))).distinct())
+    beyond = beyond.select(F.col("member_oid").alias("role_oid"), F.col("role_oid").alias("_far"))
     # a role held by a crowd is a hot key here
-    further = attach(edges, beyond, "role_oid", "inner").select(
-        "member_oid", F.col("_far").alias("role_oid")
-    )
-    itself = starts.select("member_oid", F.col("member_oid").alias("role_oid"))
-    return edges.unionByName(further).unionByName(itself).distinct()
+    reached = attach(steps, beyond, "role_oid")
+    return reached.select("member_oid", F.coalesce("_far", "role_oid").alias("role_oid")).distinct()
 
 
 def has_role(

@@ -257,8 +257,9 @@ def test_reset_of_all_schemas(spark, rows, roles, nobody, place):
     assert {r[0] for r in rows(plan.where("schema_name = 's_100'"), "rank")} == {0}
     owners = reset.reset_all_plan(*inputs, variant=1)
     assert {r[0] for r in rows(owners.where("step > 0"), "step")} == {2}
-    own = reset.reset_all_plan(*inputs, variant=2, own_schemas=("s_100",))
-    assert {r[0] for r in rows(own, "schema_name")} == {"s_100"}
+    own = reset.reset_all_plan(*inputs, variant=2, own_schemas=("s_100", "new"))
+    assert {r[0] for r in rows(own, "schema_name")} == {"s_100", "new"}
+    assert ("new", "insert") in rows(own.where("step = 1"), "schema_name", "verb")
 
 
 def test_reset_of_objects(spark, rows, roles, place):

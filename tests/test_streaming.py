@@ -132,3 +132,29 @@ def test_written_plan(spark, rows, tmp_path):
     stores.write_plan(plan, f"{tmp_path}/plan")
     back = spark.read.parquet(f"{tmp_path}/plan")
     assert rows(back, "seq", "command") == [(1, "z"), (2, "x"), (3, "y")]
+
+
+def test_objects_created_in_a_registered_schema(spark, rows):
+    from tests.test_acl import ACL, OBJ
+    from tests.test_registry import REGISTRY
+    from tests.test_roles import ROLES
+
+    roles = spark.createDataFrame([(1, "p1", False, False, False, True), (3, "r3", False, False, False, True), (4, "r4", False, False, False, True)], ROLES)
+    registry = spark.createDataFrame(
+        [(0, "s", False, None, None, "s", 100, True, "p1", 1, "r3", 3, "public", 0), (0, "t", False, None, None, "t", 101, True, "gone", 9, "r3", 3, None, None), (0, "u", False, None, None, "u", 102, True, "r4", 4, None, None, None, None)],
+        REGISTRY,
+    )
+    events = spark.createDataFrame(
+        [(1, "CREATE OBJECT", 100, 3, 11, "v"), (2, "CREATE OBJECT", 100, 1, 12, "X"), (3, "CREATE OBJECT", 101, 3, 13, "r"), (4, "ALTER OBJECT", 100, 3, 11, "v"), (5, "ALTER OBJECT", 101, 3, 13, "r"), (6, "CREATE OBJECT", 555, 3, 14, "r")],
+        "event_id bigint, tag string, schema_oid bigint, owner_oid bigint, obj_oid bigint, obj_kind string",
+    )
+    assert rows(E.grants_on_create_object(events, registry, roles), "event_id", "verb", "privilege", "role_oid") == [
+        (1, "OWNER", None, 1), (1, "GRANT", "SELECT", 0), (1, "GRANT", "SELECT, INSERT, UPDATE, DELETE", 3),
+    ]
+    # an altered object goes back even to a producer that is only an id
+    assert rows(E.owner_on_alter_object(events, registry), "event_id", "role_oid") == [(4, 1), (5, 9)]
+    objects = spark.createDataFrame([(0, 100, "v", 11, "w", 1, False), (0, 102, "r", 20, "src", 4, False), (0, 100, "r", 21, "mine", 1, False)], OBJ)
+    sources = spark.createDataFrame([(11, 20), (11, 21), (99, 20)], "view_oid bigint, source_oid bigint")
+    closure = roles.select(F.col("role_oid").alias("member_oid"), "role_oid")
+    warnings = E.view_warnings_on_create(events, sources, objects, spark.createDataFrame([], ACL), registry, roles, closure)
+    assert rows(warnings, "obj_oid", "other_oid", "role_oid", "function") == [(11, 20, 1, "set reader")]
