@@ -149,7 +149,7 @@ def test_objects_created_in_a_registered_schema(spark, rows):
         "event_id bigint, tag string, schema_oid bigint, owner_oid bigint, obj_oid bigint, obj_kind string",
     )
     assert rows(E.grants_on_create_object(events, registry, roles), "event_id", "verb", "privilege", "role_oid") == [
-        (1, "OWNER", None, 1), (1, "GRANT", "SELECT", 0), (1, "GRANT", "SELECT, INSERT, UPDATE, DELETE", 3),
+        (1, "GRANT", "SELECT", 0), (1, "GRANT", "SELECT, INSERT, UPDATE, DELETE", 3), (1, "OWNER", None, 1),
     ]
     # an altered object goes back even to a producer that is only an id
     assert rows(E.owner_on_alter_object(events, registry), "event_id", "role_oid") == [(4, 1), (5, 9)]
