@@ -84,6 +84,25 @@ def has_role(
     ).drop("_reach", "_super")
 
 
+def acting_as(
+    rows: DataFrame, role: str, into: str, closure: DataFrame, roles: DataFrame, actor: str,
+    helpers: DataFrame | None = None,
+) -> DataFrame:
+    """Add the flag 'the named actor has the row's role'.
+
+    One member's reach is read from the closure and attached by role. ``helpers`` (role_oid) are
+    roles the actor will have been granted by then, with all they reach.
+    """
+    mine = closure.where(F.col("member_oid") == role_oid_of(roles, actor)).select("role_oid")
+    if helpers is not None:
+        lent = helpers.select(F.col("role_oid").alias("member_oid")).distinct()
+        mine = mine.union(closure.join(lent, "member_oid", "left_semi").select("role_oid"))
+    reach = mine.distinct().select(F.col("role_oid").alias(role), F.lit(True).alias("_can"))
+    is_super = roles.where(F.col("role_name") == actor).agg(F.max("is_super")).scalar()
+    flag = F.coalesce(F.col("_can"), F.lit(False)) | F.coalesce(is_super, F.lit(False))
+    return attach(rows, reach, role).withColumn(into, flag).drop("_can")
+
+
 def has_role_usage(pairs: DataFrame, closure: DataFrame, roles: DataFrame) -> DataFrame:
     """(parent, child) names → does the child have the parent's rights; false for unknown roles."""
     names = roles.select("role_oid", "role_name")

@@ -10,6 +10,7 @@ from grantlens.functions.sqltext import alter_class, object_ref, quote_ident
 from grantlens.model import RELATION_KINDS, SYSTEM_SCHEMA_PATTERN
 from grantlens.operators.acl import all_privileges, object_names, render_commands
 from grantlens.operators.diagnostics import effective_registry
+from grantlens.operators.roles import acting_as
 from grantlens.scaling import attach, cut_lineage, union_all
 
 STEPS = {
@@ -187,15 +188,21 @@ def move_object_plan(
     roles: DataFrame,
     owned_sequences: DataFrame,
     conflicts: DataFrame | None = None,
+    closure: DataFrame | None = None,
+    actor: str | None = None,
 ) -> DataFrame:
     """Commands for each move (obj_oid, source_schema_oid, target_schema_oid, variant).
 
     Sequences owned by a moved table follow it. All rules look at a privilege row once: the rights
     of the moved units are joined to the moves by object, and a row fans out to the few actions
-    its holder calls for. Moves that cannot take place are error rows (FDO1-3, FDO5, and FDO8-11
-    for those listed in ``conflicts``).
+    its holder calls for. Moves that cannot take place are error rows: FDO1-3, FDO5, FDO8-11 for
+    those listed in ``conflicts``, and with an ``actor`` FDO6 (target producer out of its reach)
+    and FDO7 (owner out of its reach).
     """
     placed = _placed_moves(moves, all_objects, registry, namespaces, roles)
+    if actor is not None:
+        placed = acting_as(placed, "new_producer", "_produces", closure, roles, actor)
+        placed = acting_as(placed, "owner_oid", "_owns", closure, roles, actor)
     if conflicts is not None:
         worst = conflicts.groupBy("obj_oid", "target_schema_oid").agg(F.min(
             F.struct(F.length("error").alias("n"), F.col("error").alias("e"))
@@ -203,6 +210,13 @@ def move_object_plan(
         placed = placed.join(worst, ["obj_oid", "target_schema_oid"], "left").withColumn(
             "error", F.coalesce("error", "_conflict")
         ).drop("_conflict")
+    if actor is not None:
+        # a name conflict is found before the actor's rights are looked at
+        denied = F.when(~F.col("_produces"), F.lit("FDO6")).when(~F.col("_owns"), F.lit("FDO7"))
+        early = F.col("error").isNull() | F.col("error").isin("FDO9", "FDO10", "FDO11")
+        placed = placed.withColumn(
+            "error", F.when(early, F.coalesce(denied, F.col("error"))).otherwise(F.col("error"))
+        ).drop("_produces", "_owns")
     placed = cut_lineage(placed)
     errors = placed.where(F.col("error").isNotNull())
     valid = placed.where(F.col("error").isNull()).drop("error")

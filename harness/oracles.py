@@ -288,14 +288,17 @@ def default_commands(source: str, where: str = "true", extra: str = "") -> str:
  LEFT JOIN rolenames g ON g.role_oid=d.grantor_oid LEFT JOIN rolenames u ON u.role_oid=d.grantee_oid WHERE {where}"""
 
 
-TARGETS = f"""targets AS (SELECT t.db_id, t.schema_name, n.schema_oid,
+TARGETS = f"""targets0 AS (SELECT t.db_id, t.schema_name, n.schema_oid,
  CASE WHEN r.is_created IS NULL THEN 'unregistered' WHEN r.is_created THEN 'created' ELSE 'not created' END AS status,
  CASE WHEN r.is_created THEN l.producer_oid ELSE n.owner_oid END AS producer_oid,
  CASE WHEN r.is_created THEN l.editor_oid WHEN r.editor='public' THEN 0 ELSE e.role_oid END AS editor_oid,
  CASE WHEN r.is_created THEN l.reader_oid WHEN r.reader='public' THEN 0 ELSE d.role_oid END AS reader_oid,
- CASE WHEN regexp_matches(t.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') THEN 'FIS1' WHEN n.schema_oid IS NULL THEN 'FIS2' END AS error
+ CASE WHEN regexp_matches(t.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') THEN 'FIS1' WHEN n.schema_oid IS NULL THEN 'FIS2' END AS error0, n.owner_oid
  FROM wanted_targets t LEFT JOIN namespaces n ON n.db_id=t.db_id AND n.schema_name=t.schema_name LEFT JOIN registry r ON r.db_id=t.db_id AND r.schema_name=t.schema_name
- LEFT JOIN live l ON l.db_id=t.db_id AND l.schema_name=t.schema_name LEFT JOIN roles e ON e.role_name=r.editor LEFT JOIN roles d ON d.role_name=r.reader)"""
+ LEFT JOIN live l ON l.db_id=t.db_id AND l.schema_name=t.schema_name LEFT JOIN roles e ON e.role_name=r.editor LEFT JOIN roles d ON d.role_name=r.reader),
+targets AS (SELECT *, CASE WHEN error0 IS NOT NULL THEN error0 WHEN owner_oid IS NULL OR owner_oid NOT IN (SELECT role_oid FROM within) THEN 'FIS3'
+ WHEN status='created' AND producer_oid<>owner_oid AND producer_oid NOT IN (SELECT role_oid FROM within) THEN 'FIS4' END AS error FROM targets0)"""
+WITHIN = "within AS (SELECT DISTINCT role_oid FROM usage_reach WHERE member_oid=10 {more})"
 
 
 def reset_rows(fixed: bool = True) -> str:
@@ -320,7 +323,9 @@ def reset_rows(fixed: bool = True) -> str:
 
 
 MOVES = f"""placed AS (SELECT m.*, o.db_id, o.obj_kind, o.obj_name, o.owner_oid, s.producer_oid AS p, s.editor_oid AS e, s.reader_oid AS l, t.producer_oid AS np, t.editor_oid AS ne, t.reader_oid AS nl,
- CASE WHEN s.schema_oid IS NULL THEN 'FDO2' WHEN t.schema_oid IS NULL THEN 'FDO3' WHEN o.obj_oid IS NULL THEN 'FDO5' ELSE (SELECT c.error FROM conflicts c WHERE c.obj_oid=m.obj_oid AND c.target_schema_oid=m.target_schema_oid ORDER BY length(c.error), c.error LIMIT 1) END AS error
+ CASE WHEN s.schema_oid IS NULL THEN 'FDO2' WHEN t.schema_oid IS NULL THEN 'FDO3' WHEN o.obj_oid IS NULL THEN 'FDO5'
+  WHEN EXISTS (SELECT 1 FROM conflicts c WHERE c.obj_oid=m.obj_oid AND c.target_schema_oid=m.target_schema_oid AND c.error='FDO8') THEN 'FDO8' WHEN NOT {has('10', 't.producer_oid')} THEN 'FDO6' WHEN NOT {has('10', 'o.owner_oid')} THEN 'FDO7'
+  ELSE (SELECT c.error FROM conflicts c WHERE c.obj_oid=m.obj_oid AND c.target_schema_oid=m.target_schema_oid ORDER BY length(c.error), c.error LIMIT 1) END AS error
  FROM object_moves m LEFT JOIN objects o ON o.obj_oid=m.obj_oid LEFT JOIN live s ON s.schema_oid=m.source_schema_oid LEFT JOIN live t ON t.schema_oid=m.target_schema_oid),
 units AS (SELECT obj_oid AS moved_oid, * FROM placed WHERE error IS NULL UNION ALL
  SELECT p.obj_oid, s.obj_oid, p.source_schema_oid, p.target_schema_oid, p.variant, p.db_id, 'S', s.obj_name, s.owner_oid, p.p, p.e, p.l, p.np, p.ne, p.nl, p.error
@@ -366,11 +371,11 @@ def plans() -> dict[str, str]:
     rows["schema_grants"] = with_inputs(
         f"SELECT CAST(db_id AS BIGINT) AS db_id, schema_name, function, CAST(role_oid AS BIGINT) AS role_oid, privilege, object_class, command FROM ({schema_commands('live')})", f"{PLAN},\n{LIVE},\n{FN}")
     rows["reset_schema_plan"] = with_inputs(
-        reset_rows(), f"{PLAN},\n{LIVE},\n{FN},\n{graph},\n{DEFAULTS},\nwanted_targets AS (SELECT * FROM reset_targets),\n{TARGETS}", recursive=True)
+        reset_rows(), f"{PLAN},\n{LIVE},\n{FN},\n{graph},\n{DEFAULTS},\nwanted_targets AS (SELECT * FROM reset_targets),\n{WITHIN.format(more='')},\n{TARGETS}", recursive=True)
     reset_obj = """asked AS (SELECT obj_oid, obj_type, CASE WHEN obj_type IN ('table','view','materialized view','foreign table','partitioned table') THEN 'TABLE'
  WHEN obj_type='sequence' THEN 'SEQUENCE' WHEN obj_type IN ('function','aggregate','procedure','routine') THEN 'ROUTINE' WHEN obj_type IN ('type','domain') THEN 'TYPE' END AS cls FROM object_reset_requests),
 things AS (SELECT a.obj_oid, a.cls, o.obj_kind, o.db_id, o.schema_oid, o.owner_oid, l.producer_oid, l.editor_oid, l.reader_oid,
- CASE WHEN o.obj_kind IS NOT NULL AND l.schema_oid IS NULL THEN 'FIO2' WHEN a.cls IS NULL THEN 'FIO3' WHEN o.obj_kind IS NULL OR k.cls<>a.cls THEN 'FIO4' END AS error
+ CASE WHEN o.obj_kind IS NOT NULL AND l.schema_oid IS NULL THEN 'FIO2' WHEN a.cls IS NULL THEN 'FIO3' WHEN o.obj_kind IS NULL OR k.cls<>a.cls THEN 'FIO4' WHEN NOT {HASP} THEN 'FIO5' WHEN o.owner_oid<>l.producer_oid AND NOT {HASO} THEN 'FIO6' END AS error
  FROM asked a LEFT JOIN objects o ON o.obj_oid=a.obj_oid LEFT JOIN kind k ON k.kind=o.obj_kind LEFT JOIN live l ON l.schema_oid=o.schema_oid),
 steps AS (SELECT DISTINCT * FROM (
  SELECT obj_oid, obj_kind, CAST(NULL AS VARCHAR) AS column_name, 2 AS step, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, producer_oid AS role_oid FROM things WHERE error IS NULL AND owner_oid<>producer_oid
@@ -381,7 +386,8 @@ steps AS (SELECT DISTINCT * FROM (
     rows["reset_object_plan"] = with_inputs(
         commands("steps", f"{big('obj_oid', 'role_oid')}, s.step, s.verb, s.privilege, CAST(NULL AS VARCHAR) AS error, CASE WHEN s.verb='OWNER' THEN k.alt ELSE k.cls END AS object_class")
         + " UNION ALL SELECT DISTINCT CAST(obj_oid AS BIGINT), NULL, 0, NULL, NULL, error, NULL, NULL FROM things WHERE error IS NOT NULL",
-        f"{PLAN},\n{LIVE},\n{reset_obj}")
+        f"{PLAN},\n{LIVE},\n{graph},\n"
+        + reset_obj.replace("{HASP}", has("10", "l.producer_oid")).replace("{HASO}", has("10", "o.owner_oid")), recursive=True)
     rows["move_conflicts"] = with_inputs(f"SELECT {big('obj_oid', 'target_schema_oid')}, error, name FROM conflicts s", CONFLICTS)
     later = f"CASE WHEN o.obj_kind='X' THEN {q('z.schema_name')}||'.'||{q('o.obj_name')}||'()' ELSE {q('z.schema_name')}||'.'||{q('o.obj_name')} END"
     rows["move_object_plan"] = with_inputs(
@@ -390,8 +396,8 @@ steps AS (SELECT DISTINCT * FROM (
  FROM moverows s JOIN kind k ON k.kind=s.obj_kind JOIN objects o ON o.obj_oid=s.obj_oid JOIN namespaces z ON z.schema_oid=s.target_schema_oid LEFT JOIN rolenames u ON u.role_oid=s.role_oid
  UNION ALL SELECT CAST(m.obj_oid AS BIGINT), CAST(m.obj_oid AS BIGINT), NULL, 0, 'SET SCHEMA', NULL, NULL, 'ALTER '||k.alt||' '||n.target||' SET SCHEMA '||{q('z.schema_name')} FROM placed m JOIN kind k ON k.kind=m.obj_kind JOIN names n ON n.cls=k.cls AND n.obj_oid=m.obj_oid JOIN namespaces z ON z.schema_oid=m.target_schema_oid WHERE m.error IS NULL
  UNION ALL SELECT CAST(obj_oid AS BIGINT), CAST(obj_oid AS BIGINT), NULL, -1, NULL, NULL, error, NULL FROM placed WHERE error IS NOT NULL""",
-        f"{PLAN},\n{LIVE},\n{CONFLICTS},\n{MOVES}")
-    blocked = f"""blocked AS (SELECT r.db_id, r.schema_name, r.producer, CASE WHEN p.role_oid IS NULL THEN 'unknown producer' WHEN p.is_super THEN 'super' WHEN p.can_login THEN 'login' ELSE 'grant' END AS reason
+        f"{PLAN},\n{LIVE},\n{graph},\n{CONFLICTS},\n{MOVES}", recursive=True)
+    blocked = f"""blocked AS (SELECT r.db_id, r.schema_name, r.producer, p.role_oid AS producer_oid, CASE WHEN p.role_oid IS NULL THEN 'unknown producer' WHEN p.is_super THEN 'super' WHEN p.can_login THEN 'login' ELSE 'grant' END AS reason
  FROM registry r LEFT JOIN roles p ON p.role_name=r.producer WHERE r.is_created AND NOT {has('10', 'p.role_oid')}),
 wanted_targets AS (SELECT db_id, schema_name FROM registry r WHERE is_created AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.reason<>'grant' AND b.db_id=r.db_id AND b.schema_name=r.schema_name))"""
     none = "CAST(NULL AS VARCHAR)"
@@ -400,7 +406,7 @@ wanted_targets AS (SELECT db_id, schema_name FROM registry r WHERE is_created AN
  UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 0, {none}, CAST(NULL AS BIGINT), {none}, reason, {none}, CAST(NULL AS BIGINT), {none}, 'FAS0' FROM blocked WHERE reason<>'grant'
  UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 0, {none}, CAST(NULL AS BIGINT), {none}, 'missing schema', {none}, CAST(NULL AS BIGINT), {none}, 'FAS0' FROM targets WHERE error='FIS2'
  UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 0, {none}, CAST(NULL AS BIGINT), 'GRANT', {none}, {none}, CAST(NULL AS BIGINT), 'GRANT '||{q('producer')}||' TO g_admin', {none} FROM blocked WHERE reason='grant')""",
-        f"{PLAN},\n{LIVE},\n{FN},\n{graph},\n{DEFAULTS},\n{blocked},\n{TARGETS}", recursive=True)
+        f"{PLAN},\n{LIVE},\n{FN},\n{graph},\n{DEFAULTS},\n{blocked},\n{WITHIN.format(more="OR member_oid IN (SELECT producer_oid FROM blocked WHERE reason='grant')")},\n{TARGETS}", recursive=True)
     rows["default_acl_plan"] = with_inputs(
         f"""SELECT {big('db_id', 'schema_oid', 'grantor_oid', 'grantee_oid')}, object_class, privilege, is_usable, 'REVOKE' AS verb, CAST(grantee_oid AS BIGINT) AS role_oid, CASE WHEN is_usable THEN revoke_command END AS command, CASE WHEN NOT is_usable THEN 'FIS6' END AS error
  FROM ({default_commands('default_acl')}) s""", f"{PLAN},\n{graph},\n{DEFAULTS}", recursive=True)

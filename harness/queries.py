@@ -289,14 +289,16 @@ def _reset_inputs(c):
 @query
 def reset_schema_plan(c):
     return reset.reset_schema_plan(
-        c.reset_targets, *_reset_inputs(c), fixed_grants=c.fixed_grants, auto_types=c.auto_types
+        c.reset_targets, *_reset_inputs(c), fixed_grants=c.fixed_grants, auto_types=c.auto_types,
+        as_actor=True,
     )
 
 
 @query
 def reset_object_plan(c):
     return reset.reset_object_plan(
-        c.object_reset_requests, c.unified_objects, c.unified_acl, c.registry, c.namespaces, c.roles
+        c.object_reset_requests, c.unified_objects, c.unified_acl, c.registry, c.namespaces, c.roles,
+        c.usage, roles.ADMIN_ROLE,
     )
 
 
@@ -313,7 +315,7 @@ def move_conflicts(c):
 def move_object_plan(c):
     return move.move_object_plan(
         c.object_moves, c.unified_objects, c.unified_acl, c.registry, c.namespaces, c.roles,
-        c.owned_sequences, _conflicts(c),
+        c.owned_sequences, _conflicts(c), c.usage, roles.ADMIN_ROLE,
     )
 
 

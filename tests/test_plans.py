@@ -259,6 +259,9 @@ def test_reset_of_all_schemas(spark, rows, roles, nobody, place):
     assert {r[0] for r in rows(owners.where("step > 0"), "step")} == {2}
     own = reset.reset_all_plan(*inputs, variant=2, own_schemas=("s_100", "new"))
     assert {r[0] for r in rows(own, "schema_name")} == {"s_100", "new"}
+    assert ("new", "FIS3") in rows(own, "schema_name", "error")
+    edges = spark.createDataFrame([(5, 10, False)], "role_oid bigint, member_oid bigint, admin_option boolean")
+    own = reset.reset_all_plan(*inputs[:-1], role_closure(roles, edges), variant=2, own_schemas=("s_100", "new"))
     assert ("new", "insert") in rows(own.where("step = 1"), "schema_name", "verb")
 
 
@@ -273,6 +276,28 @@ def test_reset_of_objects(spark, rows, roles, place):
     ]
 
 
+def test_plans_of_an_actor(spark, rows, roles, place):
+    objects, acl, default_acl, registry, namespaces = place
+    edges = spark.createDataFrame([(1, 10, False), (5, 10, False)], "role_oid bigint, member_oid bigint, admin_option boolean")
+    closure = role_closure(roles, edges)
+    asked = spark.createDataFrame([(1, "table"), (2, "view")], "obj_oid bigint, obj_type string")
+    plan = reset.reset_object_plan(asked, objects, acl, registry, namespaces, roles, closure, "g_admin")
+    assert rows(plan.where("error IS NOT NULL"), "obj_oid", "error") == [(1, "FIO6")]
+    plan = reset.reset_object_plan(asked, objects, acl, registry, namespaces, roles, closure, "r4")
+    assert rows(plan, "obj_oid", "error") == [(1, "FIO5"), (2, "FIO5")]
+    targets = spark.createDataFrame([(0, "s_100"), (0, "new"), (0, "s_104")], "db_id bigint, schema_name string")
+    inputs = (targets, objects, acl, default_acl, registry, namespaces, roles, closure)
+    plan = reset.reset_schema_plan(*inputs, as_actor=True)
+    assert rows(plan.where("step = 0"), "schema_name", "error") == [("s_100", "FIS3"), ("s_104", "FIS3")]
+    plan = reset.reset_schema_plan(*inputs, actor="p2", as_actor=True)
+    assert rows(plan.where("step = 0"), "schema_name", "error") == [("new", "FIS3"), ("s_100", "FIS4"), ("s_104", "FIS3")]
+    lent = spark.createDataFrame([(2,), (4,)], "role_oid bigint")
+    assert reset.reset_schema_plan(*inputs, as_actor=True, helpers=lent).where("step = 0").count() == 0
+    moves = spark.createDataFrame([(1, 100, 103, 1), (2, 100, 103, 1), (2, 103, 100, 1), (1, 103, 100, 1)], "obj_oid bigint, source_schema_oid bigint, target_schema_oid bigint, variant bigint")
+    plan = move.move_object_plan(moves, objects, acl, registry, namespaces, roles, spark.createDataFrame([], "table_oid bigint, sequence_oid bigint"), None, closure, "g_admin")
+    assert rows(plan.where("error IS NOT NULL"), "obj_oid", "error") == [(1, "FDO6"), (1, "FDO7"), (2, "FDO6")]
+
+
 def test_ownership(spark, rows, roles, place):
     objects, _, _, registry, namespaces = place
     plan = ownership.ownership_plan(objects, registry, roles, namespaces)
