@@ -57,20 +57,22 @@ def read_ddl_events(
     spark: SparkSession,
     path: str,
     streaming: bool = False,
-    pattern: str = "*.parquet",
+    pattern: str = "*",
+    fmt: str = "parquet",
     late_after: str = "1 hour",
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Events that concern a schema or something in one, each event once.
+    """Events that concern a schema or something in one, each event once (Parquet, JSON, ...).
 
     As a stream, a watermark of ``late_after`` bounds the memory of the de-duplication.
     """
     if not streaming:
-        raw = spark.read.schema(DDL_EVENTS).option("pathGlobFilter", pattern).parquet(path)
+        source = spark.read.format(fmt).schema(DDL_EVENTS)
+        raw = source.option("pathGlobFilter", pattern).load(path)
         return normalise_tags(raw.where(F.col("schema_oid").isNotNull())).dropDuplicates(["event_id"])
-    source = spark.readStream.schema(DDL_EVENTS).option("pathGlobFilter", pattern)
+    source = spark.readStream.format(fmt).schema(DDL_EVENTS).option("pathGlobFilter", pattern)
     if files_per_trigger is not None:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    raw = source.parquet(path).where(F.col("schema_oid").isNotNull())
+    raw = source.load(path).where(F.col("schema_oid").isNotNull())
     timed = normalise_tags(raw).withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.withWatermark("ts", late_after).dropDuplicatesWithinWatermark(["event_id"])

@@ -111,6 +111,8 @@ def test_batch_reader_drops_copies(spark, tmp_path):
     df = frame(spark, [(1, 1, 1, "CREATE SCHEMA", "a", 1), (2, 1, 2, "CREATE ROLE", "a", 1)])
     df.union(df).write.parquet(f"{tmp_path}/log")
     assert ddl_log.read_ddl_events(spark, f"{tmp_path}/log").count() == 1
+    df.write.json(f"{tmp_path}/json")
+    assert ddl_log.read_ddl_events(spark, f"{tmp_path}/json", fmt="json").count() == 1
     assert set(df.columns) == {c.split()[0] for c in DDL_EVENTS.split(", ")}
 
 
