@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm import decontaminate, mixing, sharding, urls
+from grantlens.llm import decontaminate, embeddings, language, minhash, mixing, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,28 @@ FROM dw LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by models of the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    known = docs.select("doc_id", "text", "lang")
+    model = language.train(known, F.col("doc_id").isNotNull() & ~held_out)
+    judged = language.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.95 and its component."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    linked = embeddings.link_embeddings(vectors)
+    return linked.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     judged = urls.judge_urls(
@@ -91,6 +113,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op10_mixing": op10_mixing,
 }
