@@ -3,15 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grantlens.llm import mixing, sharding
+from grantlens.llm import decontaminate, language, minhash, mixing, sharding
+from grantlens.scaling import cut_lineage
 
-STAGES: list = []
-ORACLE_SQL = None
+SHARDS = 8
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; models are learnt from the rows that carry one."""
+    judged = language.identify(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"),
+        language.train(docs.select("doc_id", "text", "lang")),
+    )
+    return judged.where(~F.col("rejected")).select("_row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return minhash.keep_one(docs, minhash.near_duplicates(docs.select("doc_id", "text")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten words of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.remove_documents(decontaminate.find_contamination(docs, benchmark))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: each document as often as it is used, up to twice."""
+    return mixing.mixed_rows(mixing.mix(docs), docs.columns)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard and their slot in it."""
+    return sharding.shard_rows(docs, SHARDS)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
+
+ORACLE_SQL = None  # no stage but decontamination can be said in SQL; see tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs

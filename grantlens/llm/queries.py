@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm import decontaminate, embeddings, language, minhash, mixing, sharding, urls
+from grantlens.llm import (
+    decontaminate,
+    embeddings,
+    language,
+    lines,
+    minhash,
+    mixing,
+    quality,
+    sharding,
+    suffixes,
+    urls,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +93,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in passages of 50 words that another document holds as well."""
+    return suffixes.find_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links at cosine 0.95 and its component."""
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -94,6 +110,23 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+QUALITY_LIMIT = 0.3
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), remainder != 0)
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= QUALITY_LIMIT).cast("int").alias("predicted"),
+    )
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     judged = urls.judge_urls(
@@ -102,6 +135,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with its class of lines within two edits."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share in a mix of one and a half times the input."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -114,9 +152,12 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filters": op8_url_filters,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
