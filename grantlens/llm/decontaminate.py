@@ -135,10 +135,12 @@ def find_contamination(
     items and documents are each looked at as they are. Columns named like a result are replaced.
     """
     own = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
-    out = docs.select(*own, F.lit(None).cast(HITS).alias("_hits"))
+    out = docs.select(
+        F.struct(*own).alias("_row"), F.col("text").alias("_text"), F.lit(None).cast(HITS).alias("_hits")
+    )
     for part in _item_blocks(benchmark, block_bytes):
         index = WindowIndex([tuple(r) for r in part.collect()], window)  # at most block_bytes of text
-        out = out.withColumn("_now", _scan(index)(F.col("text")))
+        out = out.withColumn("_now", _scan(index)(F.col("_text")))
         out = out.withColumn(
             "_hits",
             F.struct(
@@ -151,7 +153,7 @@ def find_contamination(
         "_hits.spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["first"]).cast("long")
     )
     return out.select(
-        *own,
+        "_row.*",
         F.col("_hits.n_words").alias("n_words"),
         length.alias("n_hit"),
         F.col("_hits.spans").alias("hit_spans"),

@@ -344,11 +344,11 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             F.lit(0).cast("long").alias("letters"),
             F.lit(True).alias("rejected"),
         )
-        judged = docs.select(*own, nothing.alias("_v"))
+        judged = docs.select(F.struct(*own).alias("_row"), nothing.alias("_v"))
     else:
-        judged = docs.select(*own, _judge(model)(F.col("text")).alias("_v"))
+        judged = docs.select(F.struct(*own).alias("_row"), _judge(model)(F.col("text")).alias("_v"))
     return judged.select(
-        *own,
+        "_row.*",
         F.col("_v.lang").alias("lang_pred"),
         F.col("_v.score").alias("score"),
         F.col("_v.bits").alias("bits"),

@@ -260,7 +260,11 @@ def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = found.where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set("line_no").alias("_gone")
     )
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    stays = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, "doc_id").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    whole = F.col("_row")["text"]
+    stays = F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    text = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(stays, "\n"))
+    return rows.select(
+        *[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
+    )

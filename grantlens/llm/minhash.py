@@ -324,8 +324,9 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = found.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.count(F.lit(1)).alias("_times")
     )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & _text_hash().eqNullSafe(F.col("_hash"))
-    marked = docs.join(kept, same).drop("_id", "_hash")
-    once = marked.where("_times = 1").drop("_times")
-    several = marked.where("_times > 1").drop("_times")
-    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
+    marked = rows.join(kept, same)
+    once = marked.where("_times = 1").select("_row.*")
+    several = marked.where("_times > 1").dropDuplicates(["doc_id", "text"]).select("_row.*")
+    return once.union(several)

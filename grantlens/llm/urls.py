@@ -150,12 +150,16 @@ def judge_urls(
     reputation = host_reputation(outcomes).select(
         F.col("host").alias("_host"), "bad_share", "bad_low"
     )
-    judged = pages.select(*own, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    judged = pages.select(
+        F.struct(*own).alias("_row"),
+        url_host(F.col("url")).alias("host"),
+        url_path(F.col("url")).alias("path"),
+    )
     judged = judged.join(reputation, F.col("host") == F.col("_host"), "left").drop("_host")
     rule = rule_for(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
     return judged.select(
-        *own,
+        "_row.*",
         "host",
         "path",
         rule["rule"].alias("rule"),
