@@ -41,12 +41,16 @@ def object_tags(verb: str, server_version: int = 150000) -> list[str]:
 
 
 def normalise_tags(raw: DataFrame, server_version: int = 150000) -> DataFrame:
-    """Reduce server command tags to the five the operators know; others are dropped."""
+    """Reduce server command tags to the five the operators know; others are dropped.
+
+    DROP EXTENSION and DROP OWNED report objects as well as schemas: only events without an object
+    are drops of schemas.
+    """
     tag = F.col("tag")
     reduced = (
         F.when(tag == "CREATE SCHEMA", F.lit(CREATE))
         .when(tag == "ALTER SCHEMA", F.lit(ALTER))
-        .when(tag.isin(*DROP_SCHEMA_TAGS), F.lit(DROP))
+        .when(tag.isin(*DROP_SCHEMA_TAGS) & F.col("obj_oid").isNull(), F.lit(DROP))
         .when(tag.isin(*object_tags("CREATE", server_version), CREATE_OBJECT), F.lit(CREATE_OBJECT))
         .when(tag.isin(*object_tags("ALTER", server_version), ALTER_OBJECT), F.lit(ALTER_OBJECT))
     )
@@ -59,20 +63,19 @@ def read_ddl_events(
     streaming: bool = False,
     pattern: str = "*",
     fmt: str = "parquet",
-    late_after: str = "1 hour",
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Events that concern a schema or something in one, each event once (Parquet, JSON, ...).
+    """Events that concern a schema or something in one (Parquet, JSON, ...).
 
-    As a stream, a watermark of ``late_after`` bounds the memory of the de-duplication.
+    A table has each event once. A stream has all that comes, late or twice: what is kept for
+    telling copies would have to be forgotten at some time, and events with it. The streams of this
+    package take no harm from copies.
     """
-    if not streaming:
-        source = spark.read.format(fmt).schema(DDL_EVENTS)
-        raw = source.option("pathGlobFilter", pattern).load(path)
-        return normalise_tags(raw.where(F.col("schema_oid").isNotNull())).dropDuplicates(["event_id"])
-    source = spark.readStream.format(fmt).schema(DDL_EVENTS).option("pathGlobFilter", pattern)
-    if files_per_trigger is not None:
+    reader = spark.readStream if streaming else spark.read
+    source = reader.format(fmt).schema(DDL_EVENTS).option("pathGlobFilter", pattern)
+    if streaming and files_per_trigger is not None:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    raw = source.load(path).where(F.col("schema_oid").isNotNull())
-    timed = normalise_tags(raw).withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", late_after).dropDuplicatesWithinWatermark(["event_id"])
+    log = normalise_tags(source.load(path).where(F.col("schema_oid").isNotNull()))
+    if streaming:
+        return log.withColumn("ts", F.col("ts").cast("timestamp"))
+    return log.dropDuplicates(["event_id"])

@@ -12,7 +12,7 @@ def version_path(root: str, version: int) -> str:
     return f"{root}/version={version}"
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def versions(spark: SparkSession, root: str) -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     found = []
@@ -27,25 +27,30 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
     """Highest completely written version below ``before``; a version is one folder."""
-    versions = [v for v in _versions(spark, root) if before is None or v < before]
-    return versions[-1] if versions else None
+    found = [v for v in versions(spark, root) if before is None or v < before]
+    return found[-1] if found else None
 
 
-def drop_versions(spark: SparkSession, root: str, keep: int) -> None:
-    """Remove all but the last ``keep`` complete versions (a replay needs the one before last)."""
-    for version in _versions(spark, root)[: -max(keep, 2)]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(version_path(root, version))
-        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        fs.delete(path, True)
+def drop_versions(spark: SparkSession, root: str, below: int) -> None:
+    """Remove the complete versions below a number."""
+    for version in versions(spark, root):
+        if version < below:
+            path = spark._jvm.org.apache.hadoop.fs.Path(version_path(root, version))
+            fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+            fs.delete(path, True)
 
 
 def read_version(spark: SparkSession, root: str, version: int | None) -> DataFrame | None:
     return None if version is None else spark.read.parquet(version_path(root, version))
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``changes`` (key unique, ``_deleted`` optional) replace those of ``current``."""
-    kept = attach(current, changes.select(key), key, "left_anti", sized_by=changes)
+def upsert(current: DataFrame, changes: DataFrame, key: list[str] | str) -> DataFrame:
+    """Rows of ``changes`` (key unique, ``_deleted`` optional) replace those of ``current``.
+
+    Names of schemas are unique per database only: their key is ``["db_id", "schema_name"]``.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    kept = attach(current, changes.select(*keys), keys, "left_anti", sized_by=changes)
     added = changes
     if "_deleted" in changes.columns:
         added = changes.where(~F.coalesce(F.col("_deleted"), F.lit(False))).drop("_deleted")

@@ -1,10 +1,12 @@
 """The registry kept up to date from DDL events, in batch and as a stream.
 
-State of a schema, keyed by its id: the name and owner it was last seen with, and whether it is
-live. CREATE makes a dead schema live and is ignored on a live one; ALTER changes a live schema
-and is ignored on a dead one; DROP ends the life of a schema. So the events of a schema fall into
-lives, ended by its DROPs; of each life only the first CREATE and the last ALTER after it count,
-and the registry shows the last life that had a CREATE.
+A schema keeps its id from its CREATE to its DROP and no other schema gets it, so all that counts of
+an id's events are the first CREATE, the last ALTER and the first DROP. These are minima and maxima:
+events may come in any order, late or twice, and partial states merge.
+
+Between ids, rows of the registry go by name. A schema that is created takes the row of its name if
+there is one that is not created (registered beforehand, or left by a schema that was dropped), with
+its editor and reader; a renamed schema takes its row along.
 """
 
 from __future__ import annotations
@@ -18,122 +20,106 @@ from grantlens.functions.sqltext import first_group
 from grantlens.operators.diagnostics import effective_registry, view_source_access
 from grantlens.scaling import attach, cut_lineage
 from grantlens.sources.ddl_log import ALTER, ALTER_OBJECT, CREATE, CREATE_OBJECT, DROP
-from grantlens.sources.stores import drop_versions, latest_version, read_version, version_path
-
-STATE = (
-    "schema_oid bigint, born_name string, schema_name string, owner_oid bigint, is_live boolean, "
-    "was_altered boolean, last_ts timestamp, last_event bigint"
-)
-_BEGINNING = "0001-01-01 00:00:00"
-_AT = ("ts", "event_id")
-
-
-def _past_of(state: DataFrame) -> DataFrame:
-    """A state as the events that lead to it, before all real ones."""
-    beginning = F.lit(_BEGINNING).cast("timestamp")
+from grantlens.sources.stores import drop_versions, latest_version, version_path, versions
 
-    def event(event_id: int, tag: str, name):
-        return F.struct(
-            F.lit(event_id).cast("bigint").alias("event_id"), F.lit(tag).alias("tag"),
-            name.alias("schema_name"),
-        )
-
-    events = F.array(
-        event(-3, CREATE, F.col("born_name")),
-        F.when(F.col("was_altered"), event(-2, ALTER, F.col("schema_name"))),
-        F.when(~F.col("is_live"), event(-1, DROP, F.col("schema_name"))),
-    )
-    return (
-        state.withColumn("_e", F.explode(events))
-        .where(F.col("_e").isNotNull())
-        .select(
-            "schema_oid", beginning.alias("ts"), "_e.event_id", "_e.tag", "_e.schema_name", "owner_oid",
-            F.struct(F.col("last_ts").alias("ts"), F.col("last_event").alias("event_id")).alias("seen"),
-        )
-    )
+_EVENT = "struct<ts:timestamp,event_id:bigint,schema_name:string,owner_oid:bigint>"
+STATE = f"schema_oid bigint, born {_EVENT}, altered {_EVENT}, died {_EVENT}"
 
 
 def fold_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """State of every schema that ever had a CREATE, after ``events`` on top of ``state``.
+    """State of every schema id after ``events`` on top of ``state``, in any order.
 
-    A schema may hold a large share of all events, so nothing is ordered inside a schema: the
-    last CREATE, the DROPs around it, and the first CREATE and last ALTER between those are
-    minima and maxima, merged on the map side in three passes over the events. What a pass finds
-    (one row per schema) is attached to the events of the next.
+    One aggregation, merged on the map side: an id may hold a large share of all events.
     """
-    log = events.where(F.col("tag").isin(CREATE, ALTER, DROP)).select(
-        "schema_oid", F.col("ts").cast("timestamp").alias("ts"), "event_id", "tag", "schema_name",
-        "owner_oid", F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("seen"),
+    event = F.struct(
+        F.col("ts").cast("timestamp").alias("ts"), "event_id", "schema_name", F.col("owner_oid").cast("bigint").alias("owner_oid")
     )
+    marks = [F.when(F.col("tag") == t, event).alias(c) for t, c in ((CREATE, "born"), (ALTER, "altered"), (DROP, "died"))]
+    log = events.where(F.col("tag").isin(CREATE, ALTER, DROP)).select("schema_oid", *marks)
     if state is not None:
-        log = log.unionByName(_past_of(state))
-    at, tag = F.struct(*_AT), F.col("tag")
-    marks = log.groupBy("schema_oid").agg(
-        F.max(F.when(tag == CREATE, at)).alias("last_create"), F.max("seen").alias("last")
-    ).where(F.col("last_create").isNotNull())
-    around = (
-        attach(log.where(tag == DROP).select("schema_oid", *_AT), marks.drop("last"), "schema_oid", "inner")
-        .groupBy("schema_oid")
-        .agg(
-            F.max(F.when(at < F.col("last_create"), at)).alias("died_before"),
-            F.min(F.when(at > F.col("last_create"), at)).alias("died"),
-        )
-    )
-    bounds = marks.drop("last_create").join(around, "schema_oid", "left")
-    shown = F.struct(*_AT, "schema_name", "owner_oid")
-    in_life = (F.col("died_before").isNull() | (at > F.col("died_before"))) & (
-        F.col("died").isNull() | (at < F.col("died"))
+        log = log.unionByName(state)
+    return log.groupBy("schema_oid").agg(
+        F.min("born").alias("born"), F.max("altered").alias("altered"), F.min("died").alias("died")
     )
-    lives = (
-        attach(log.where(tag != DROP).drop("seen"), bounds, "schema_oid", "inner")
-        .where(in_life)
-        .groupBy("schema_oid", "died", "last")
-        .agg(
-            F.min(F.when(tag == CREATE, shown)).alias("born"),
-            F.max(F.when(tag == ALTER, shown)).alias("altered"),
-        )
-    )
-    later = F.coalesce(F.col("altered") > F.col("born"), F.lit(False))
+
+
+def lives(state: DataFrame) -> DataFrame:
+    """Every schema that had a CREATE: its first and last name, owner, and when it lived."""
+    at = lambda c: F.struct(F.col(f"{c}.ts").alias("ts"), F.col(f"{c}.event_id").alias("event_id"))
+    later = F.coalesce(at("altered") > at("born"), F.lit(False)) & F.col("altered").isNotNull()
+    ended = F.col("died").isNotNull() & F.coalesce(at("died") > at("born"), F.lit(False))
     current = F.when(later, F.col("altered")).otherwise(F.col("born"))
-    return lives.withColumn("current", current).select(
+    return state.where(F.col("born").isNotNull()).select(
         "schema_oid",
         F.col("born.schema_name").alias("born_name"),
-        F.col("current.schema_name").alias("schema_name"),
-        F.col("current.owner_oid").alias("owner_oid"),
-        F.col("died").isNull().alias("is_live"),
+        current["schema_name"].alias("schema_name"),
+        current["owner_oid"].alias("owner_oid"),
+        (~ended).alias("is_live"),
         later.alias("was_altered"),
-        F.col("last.ts").alias("last_ts"),
-        F.col("last.event_id").alias("last_event"),
+        at("born").alias("born_at"),
+        F.when(ended, at("died")).alias("died_at"),
     )
 
 
+def _row_names(lived: DataFrame, preregistered: DataFrame) -> DataFrame:
+    """(schema_name, editor_oid, reader_oid): under which name each registered row goes on.
+
+    A row leaves a name with the first schema that is created under it and renamed; it stays with
+    that schema, and after its drop with the name it had then. Every round follows one renaming.
+    """
+    moving = lived.where("schema_name != born_name").select(
+        F.col("born_name").alias("_name"), F.struct("born_at", "schema_name", "died_at").alias("_to")
+    )
+    beginning = F.struct(F.lit("0001-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("event_id"))
+    placed = None
+    held = preregistered.select("schema_name", beginning.alias("since"), "editor_oid", "reader_oid")
+    while True:
+        after = (F.col("schema_name") == F.col("_name")) & (F.col("_to.born_at") > F.col("since"))
+        step = (
+            held.join(moving, after, "left")
+            .groupBy("schema_name", "since", "editor_oid", "reader_oid")
+            .agg(F.min("_to").alias("_to"))
+        )
+        step = cut_lineage(step)
+        stay = F.col("_to").isNull() | F.col("_to.died_at").isNull()
+        name = F.coalesce(F.col("_to.schema_name"), F.col("schema_name")).alias("schema_name")
+        done = step.where(stay).select(name, "editor_oid", "reader_oid")
+        placed = done if placed is None else placed.union(done)
+        held = step.where(~stay).select(name, F.col("_to.died_at").alias("since"), "editor_oid", "reader_oid")
+        if held.isEmpty():
+            return placed
+
+
 def registry_rows(state: DataFrame, preregistered: DataFrame | None = None) -> DataFrame:
     """Registry rows of the folded state, and the preregistered rows nobody created.
 
     A live schema is created and has its id, a dropped one has none; the block is the name's
-    prefix. A schema registered beforehand under the name it was created with brings its editor
-    and reader.
+    prefix. One row stands for all schemas that had a name one after the other: the last of them.
     """
-    rows = state.select(
-        "born_name", "schema_name",
+    lived = cut_lineage(lives(state))
+    # a dropped schema's row is taken over if its name was created again
+    again = lived.groupBy(F.col("born_name").alias("_name")).agg(F.max("born_at").alias("_again"))
+    gone = attach(
+        lived.where("not is_live"), again.withColumnRenamed("_name", "schema_name"), "schema_name", "left"
+    )
+    gone = gone.where(F.col("_again").isNull() | (F.col("_again") < F.col("died_at"))).drop("_again")
+    rows = lived.where("is_live").unionByName(gone).select(
+        "schema_name",
         F.when(F.col("is_live"), F.col("schema_oid")).alias("schema_oid"),
         F.col("is_live").alias("is_created"),
         F.col("owner_oid").alias("producer_oid"),
     )
     if preregistered is None:
         functions = [F.lit(None).cast("bigint").alias(c) for c in ("editor_oid", "reader_oid")]
-        rows = rows.select("*", *functions).drop("born_name")
+        rows = rows.select("*", *functions)
     else:
-        known = preregistered.select(
-            F.col("schema_name").alias("born_name"), "editor_oid", "reader_oid"
-        )
         waiting = attach(
-            preregistered, state.select(F.col("born_name").alias("schema_name")), "schema_name", "left_anti"
+            preregistered, lived.select(F.col("born_name").alias("schema_name")), "schema_name", "left_anti"
         ).select(
             "schema_name", F.lit(None).cast("bigint").alias("schema_oid"), F.lit(False).alias("is_created"),
             "producer_oid", "editor_oid", "reader_oid",
         )
-        rows = attach(rows, known, "born_name", "left", sized_by=preregistered).drop("born_name")
+        rows = attach(rows, _row_names(lived, preregistered), "schema_name", "left")
         rows = rows.unionByName(waiting)
     return rows.withColumn("block", first_group(F.col("schema_name"), "^([a-z])_"))
 
@@ -144,44 +130,26 @@ def registry_from_events(events: DataFrame, preregistered: DataFrame | None = No
 
 
 def start_registry_stream(
-    events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
-    keep_versions: int | None = None,
+    events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 20,
 ) -> StreamingQuery:
-    """Fold a stream of events into versions of the state below ``root``.
+    """Fold a stream of events into a state below ``root``.
 
-    Batch n reads the highest complete version below n and writes version n to its own folder, so
-    a repeated batch writes the same version again. Events older than the last one applied to
-    their schema go to ``late/batch=n`` and change nothing. ``keep_versions`` (2 or more) drops
-    older versions.
+    Each batch writes what its own events fold to, whatever the size of the state, to a folder of
+    its number; a repeated batch writes the same again. Late events and copies need no care, as
+    states merge in any order. Every ``compact_every`` batches the parts are merged into one, and
+    what went into the one before is dropped.
     """
 
     def fold_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # the batch is read several times; its de-duplication must run once
-        batch = cut_lineage(batch)
-        previous = latest_version(spark, f"{root}/state", before=batch_id)
-        state = read_version(spark, f"{root}/state", previous)
-        fresh, touched, untouched = batch, None, None
-        if state is not None:
-            mark = state.select("schema_oid", "last_ts", "last_event")
-            marked = attach(batch, mark, "schema_oid", "left", sized_by=state)
-            is_late = F.struct("ts", "event_id") < F.struct("last_ts", "last_event")
-            late = F.coalesce(F.col("last_ts").isNotNull() & is_late, F.lit(False))
-            late = late & F.col("tag").isin(CREATE, ALTER, DROP)
-            marked.where(late).drop("last_ts", "last_event").write.mode("overwrite").parquet(
-                f"{root}/late/batch={batch_id}"
-            )
-            fresh = marked.where(~late).drop("last_ts", "last_event")
-            # only the schemas of this batch are folded, the rest of the state passes through
-            ids = batch.select("schema_oid").distinct()
-            touched = attach(state, ids, "schema_oid", "left_semi", sized_by=batch)
-            untouched = attach(state, ids, "schema_oid", "left_anti", sized_by=batch)
-        folded = fold_events(fresh, touched)
-        if untouched is not None:
-            folded = folded.unionByName(untouched)
-        folded.write.mode("overwrite").parquet(version_path(f"{root}/state", batch_id))
-        if keep_versions is not None:
-            drop_versions(spark, f"{root}/state", keep_versions)
+        fold_events(batch).write.mode("overwrite").parquet(version_path(f"{root}/part", batch_id))
+        if (batch_id + 1) % compact_every == 0:
+            merged = _merged(spark, root, batch_id)
+            merged.write.mode("overwrite").parquet(version_path(f"{root}/full", batch_id))
+            before = latest_version(spark, f"{root}/full", before=batch_id)
+            if before is not None:
+                drop_versions(spark, f"{root}/part", below=before + 1)
+                drop_versions(spark, f"{root}/full", below=before)
 
     return (
         events.writeStream.foreachBatch(fold_batch)
@@ -191,9 +159,24 @@ def start_registry_stream(
     )
 
 
+def _merged(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """The last complete merged state below ``upto`` and the parts after it, as one state."""
+    full = latest_version(spark, f"{root}/full", before=upto)
+    parts = [
+        version_path(f"{root}/part", v)
+        for v in versions(spark, f"{root}/part")
+        if (full is None or v > full) and (upto is None or v <= upto)
+    ]
+    if full is not None:
+        parts.append(version_path(f"{root}/full", full))
+    state = spark.read.schema(STATE).parquet(*parts) if parts else spark.createDataFrame([], STATE)
+    none = spark.createDataFrame([], "schema_oid bigint, ts timestamp, event_id bigint, tag string, schema_name string, owner_oid bigint")
+    return fold_events(none, state)
+
+
 def read_registry_state(spark: SparkSession, root: str) -> DataFrame:
-    """Latest complete state written by the stream."""
-    return read_version(spark, f"{root}/state", latest_version(spark, f"{root}/state"))
+    """State written by the stream so far."""
+    return _merged(spark, root)
 
 
 def grants_on_create_object(events: DataFrame, registry: DataFrame, roles: DataFrame) -> DataFrame:
@@ -260,11 +243,24 @@ def owner_on_alter_object(events: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def start_object_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append the rows of a stateless event operator to a Parquet folder."""
+    """Append the rows of a stateless event operator to a Parquet folder, those of an event once.
+
+    Rows of an event that an earlier batch has written are left out, however late a copy comes; a
+    repeated batch replaces its own folder.
+    """
+    schema = rows.schema
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.dropDuplicates()
+        written = [version_path(path, v) for v in versions(spark, path) if v < batch_id]
+        if written:
+            seen = spark.read.schema(schema).parquet(*written).select("event_id").distinct()
+            batch = attach(batch, seen, "event_id", "left_anti")
+        batch.write.mode("overwrite").parquet(version_path(path, batch_id))
+
     return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        rows.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -561,16 +561,21 @@ def registry() -> dict[str, str]:
     return out
 
 
-FOLD = """log AS (SELECT *, coalesce(sum(CASE WHEN tag='DROP SCHEMA' THEN 1 ELSE 0 END) OVER (PARTITION BY schema_oid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS life FROM ddl_events WHERE tag IN ('CREATE SCHEMA','ALTER SCHEMA','DROP SCHEMA')),
-births AS (SELECT schema_oid, life, schema_name, owner_oid, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY schema_oid, life ORDER BY ts, event_id) AS rn FROM log WHERE tag='CREATE SCHEMA') WHERE rn=1),
-lastlife AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY schema_oid ORDER BY life DESC) AS rn FROM births) WHERE rn=1),
-alters AS (SELECT * FROM (SELECT g.schema_oid, g.schema_name, g.owner_oid, row_number() OVER (PARTITION BY g.schema_oid ORDER BY g.ts DESC, g.event_id DESC) AS rn FROM log g JOIN lastlife b ON b.schema_oid=g.schema_oid AND b.life=g.life
- WHERE g.tag='ALTER SCHEMA' AND (g.ts>b.ts OR (g.ts=b.ts AND g.event_id>b.event_id))) WHERE rn=1),
-folded AS (SELECT b.schema_oid, b.schema_name AS born_name, coalesce(a.schema_name, b.schema_name) AS schema_name, CASE WHEN a.schema_oid IS NULL THEN b.owner_oid ELSE a.owner_oid END AS owner_oid,
- b.life=(SELECT count(*) FROM log d WHERE d.schema_oid=b.schema_oid AND d.tag='DROP SCHEMA') AS live, a.schema_oid IS NOT NULL AS was_altered FROM lastlife b LEFT JOIN alters a ON a.schema_oid=b.schema_oid),
-eventreg AS (SELECT f.schema_name, CASE WHEN f.live THEN CAST(f.schema_oid AS BIGINT) END AS schema_oid, f.live AS is_created, CAST(f.owner_oid AS BIGINT) AS producer_oid, CAST(p.editor_oid AS BIGINT) AS editor_oid, CAST(p.reader_oid AS BIGINT) AS reader_oid, f.was_altered
- FROM folded f LEFT JOIN preregistered p ON p.schema_name=f.born_name
- UNION ALL SELECT schema_name, NULL, false, CAST(producer_oid AS BIGINT), CAST(editor_oid AS BIGINT), CAST(reader_oid AS BIGINT), false FROM preregistered WHERE schema_name NOT IN (SELECT born_name FROM folded))"""
+# Rows of the registry by name: lives of ids, linked where a name is created again after a drop.
+FOLD = """births AS (SELECT * FROM (SELECT schema_oid, schema_name, owner_oid, ts, event_id, row_number() OVER (PARTITION BY schema_oid ORDER BY ts, event_id) AS rn FROM ddl_events WHERE tag='CREATE SCHEMA') WHERE rn=1),
+alters AS (SELECT * FROM (SELECT e.schema_oid, e.schema_name, e.owner_oid, row_number() OVER (PARTITION BY e.schema_oid ORDER BY e.ts DESC, e.event_id DESC) AS rn FROM ddl_events e JOIN births b ON b.schema_oid=e.schema_oid WHERE e.tag='ALTER SCHEMA' AND (e.ts, e.event_id)>(b.ts, b.event_id)) WHERE rn=1),
+drops AS (SELECT * FROM (SELECT schema_oid, ts, event_id, row_number() OVER (PARTITION BY schema_oid ORDER BY ts, event_id) AS rn FROM ddl_events WHERE tag='DROP SCHEMA') WHERE rn=1),
+lived AS (SELECT b.schema_oid, b.schema_name AS born_name, coalesce(a.schema_name, b.schema_name) AS schema_name, CASE WHEN a.schema_oid IS NULL THEN b.owner_oid ELSE a.owner_oid END AS owner_oid, d.schema_oid IS NULL AS live, a.schema_oid IS NOT NULL AS was_altered, b.ts AS bt, b.event_id AS be, d.ts AS dt, d.event_id AS de
+ FROM births b LEFT JOIN alters a ON a.schema_oid=b.schema_oid LEFT JOIN drops d ON d.schema_oid=b.schema_oid),
+turns AS (SELECT born_name AS name, bt AS ts, be AS event_id, schema_oid AS born, CAST(NULL AS HUGEINT) AS dead FROM lived UNION ALL SELECT schema_name, dt, de, NULL, schema_oid FROM lived WHERE NOT live),
+links AS (SELECT born AS child, before AS parent FROM (SELECT born, lag(dead) OVER (PARTITION BY name ORDER BY ts, event_id) AS before FROM turns) WHERE born IS NOT NULL),
+firsts AS (SELECT born_name AS root, min((bt, be)) AS at FROM lived GROUP BY born_name),
+chains AS (SELECT l.schema_oid AS head, l.schema_oid AS member FROM lived l JOIN links k ON k.child=l.schema_oid WHERE k.parent IS NULL
+ UNION ALL SELECT c.head, k.child FROM chains c JOIN links k ON k.parent=c.member),
+eventreg AS (SELECT l.schema_name, CASE WHEN l.live THEN CAST(l.schema_oid AS BIGINT) END AS schema_oid, l.live AS is_created, CAST(l.owner_oid AS BIGINT) AS producer_oid, CAST(p.editor_oid AS BIGINT) AS editor_oid, CAST(p.reader_oid AS BIGINT) AS reader_oid, l.was_altered
+ FROM lived l JOIN chains c ON c.member=l.schema_oid JOIN lived h ON h.schema_oid=c.head LEFT JOIN firsts f ON f.root=h.born_name AND f.at=(h.bt, h.be) LEFT JOIN preregistered p ON p.schema_name=f.root
+ WHERE l.schema_oid NOT IN (SELECT parent FROM links WHERE parent IS NOT NULL)
+ UNION ALL SELECT schema_name, NULL, false, CAST(producer_oid AS BIGINT), CAST(editor_oid AS BIGINT), CAST(reader_oid AS BIGINT), false FROM preregistered WHERE schema_name NOT IN (SELECT born_name FROM lived))"""
 
 
 def events() -> dict[str, str]:
@@ -579,10 +584,10 @@ def events() -> dict[str, str]:
     base = "CAST(e.event_id AS BIGINT) AS event_id, l.schema_name, CAST(e.obj_oid AS BIGINT) AS obj_oid, e.obj_kind"
     made = "FROM ddl_events e JOIN live l ON l.schema_oid=e.schema_oid WHERE e.tag='CREATE OBJECT' AND l.producer_oid IS NOT NULL"
     return {
-        "registry_from_events": with_inputs(f"SELECT {columns} FROM eventreg", FOLD),
-        "registry_on_create": with_inputs(f"SELECT {columns} FROM eventreg WHERE is_created", FOLD),
-        "registry_on_alter": with_inputs(f"SELECT {columns} FROM eventreg WHERE was_altered AND is_created", FOLD),
-        "registry_on_drop": with_inputs(f"SELECT {columns} FROM eventreg WHERE NOT is_created", FOLD),
+        "registry_from_events": with_inputs(f"SELECT {columns} FROM eventreg", FOLD, recursive=True),
+        "registry_on_create": with_inputs(f"SELECT {columns} FROM eventreg WHERE is_created", FOLD, recursive=True),
+        "registry_on_alter": with_inputs(f"SELECT {columns} FROM eventreg WHERE was_altered AND is_created", FOLD, recursive=True),
+        "registry_on_drop": with_inputs(f"SELECT {columns} FROM eventreg WHERE NOT is_created", FOLD, recursive=True),
         "grants_on_create_object": with_inputs(
             f"""SELECT {base}, 'producer' AS function, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, CAST(l.producer_oid AS BIGINT) AS role_oid {made} AND e.owner_oid<>l.producer_oid
  UNION ALL SELECT {base}, 'editor', 'GRANT', CASE WHEN e.obj_kind='S' THEN 'SELECT, USAGE' ELSE 'SELECT, INSERT, UPDATE, DELETE' END, CAST(l.editor_oid AS BIGINT) {made} AND l.editor_oid IS NOT NULL AND {kinds}
@@ -630,14 +635,14 @@ def stores() -> dict[str, str]:
         "read_taxonomy": with_inputs(
             "SELECT block, level1, level2, schema_name, producer, editor, reader FROM nomenclature WHERE level1 IN ('Brand#11*','Brand#23*','Brand#35*','Brand#42*','Brand#54*')"),
         "read_ddl_events": with_inputs(
-            f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, tag, {big('event_id', 'schema_oid', 'owner_oid', 'obj_oid')}, schema_name, obj_kind FROM ddl_events s"),
+            f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, tag, {big('event_id', 'schema_oid', 'owner_oid', 'obj_oid')}, schema_name, obj_kind FROM ddl_events s WHERE tag<>'DROP OWNED'"),
         "write_plan": with_inputs(
             f"""SELECT row_number() OVER (ORDER BY {order}) AS seq, {big('db_id', 'schema_oid', 'grantor_oid', 'grantee_oid')}, object_class, privilege, CASE WHEN is_usable THEN revoke_command END AS command FROM ({default_commands('default_acl')}) s""",
             f"{PLAN},\n{graph},\n{DEFAULTS}", recursive=True),
         "write_registry": with_inputs(
             """SELECT CAST(coalesce(u.db_id, r.db_id) AS BIGINT) AS db_id, coalesce(u.schema_name, r.schema_name) AS schema_name, CAST(coalesce(u.schema_oid, r.schema_oid) AS BIGINT) AS schema_oid, coalesce(u.schema_oid IS NOT NULL, false) OR r.is_created AS is_created, coalesce(u.producer, r.producer) AS producer
  FROM registry r FULL JOIN (SELECT n.db_id, n.schema_name, n.schema_oid, w.role_name AS producer FROM namespaces n LEFT JOIN registry g ON g.db_id=n.db_id AND g.schema_name=n.schema_name LEFT JOIN roles w ON w.role_oid=n.owner_oid
-  WHERE NOT regexp_matches(n.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') AND (g.is_created IS NULL OR NOT g.is_created)) u ON u.schema_name=r.schema_name"""),
+  WHERE NOT regexp_matches(n.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') AND (g.is_created IS NULL OR NOT g.is_created)) u ON u.db_id=r.db_id AND u.schema_name=r.schema_name"""),
     }
 
 

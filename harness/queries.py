@@ -460,10 +460,10 @@ def _fresh_folder(c) -> str:
 
 
 def _streamed_state(c) -> DataFrame:
-    """State after streaming the whole event log, one batch per trigger."""
+    """State after streaming the whole event log, whose files are in no order, file by file."""
     folder = _fresh_folder(c)
-    feed = ddl_log.read_ddl_events(c.spark, c.path_of("ddl_events"), streaming=True)
-    events.start_registry_stream(feed, folder, f"{folder}/checkpoint").awaitTermination()
+    feed = ddl_log.read_ddl_events(c.spark, c.path_of("ddl_events"), streaming=True, files_per_trigger=1)
+    events.start_registry_stream(feed, folder, f"{folder}/checkpoint", compact_every=3).awaitTermination()
     return events.read_registry_state(c.spark, folder)
 
 
@@ -474,8 +474,9 @@ def registry_on_create(c):
 
 @query
 def registry_on_alter(c):
-    state = _streamed_state(c).where("is_live AND was_altered")
-    return events.registry_rows(state, c.preregistered).where("is_created")
+    state = _streamed_state(c)
+    altered = events.lives(state).where("is_live AND was_altered").select("schema_oid")
+    return events.registry_rows(state, c.preregistered).join(altered, "schema_oid", "left_semi")
 
 
 @query
@@ -489,7 +490,7 @@ def _streamed_rows(c, operator) -> DataFrame:
     feed = ddl_log.read_ddl_events(c.spark, c.path_of("ddl_events"), streaming=True)
     rows = operator(feed)
     events.start_object_stream(rows, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return c.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    return c.spark.read.schema(rows.schema).parquet(f"{folder}/rows").drop("version")
 
 
 @query
@@ -547,5 +548,5 @@ def write_registry(c):
     added = maintenance.register_unlisted_schemas(c.namespaces, c.registry, c.roles)
     current = stores.read_version(c.spark, folder, 0).select("db_id", "schema_name", "schema_oid", "is_created", "producer")
     changes = added.select("db_id", "schema_name", "schema_oid", F.lit(True).alias("is_created"), "producer")
-    stores.write_registry(stores.upsert(current, changes, "schema_name"), folder, 1)
+    stores.write_registry(stores.upsert(current, changes, ["db_id", "schema_name"]), folder, 1)
     return stores.read_version(c.spark, folder, stores.latest_version(c.spark, folder))

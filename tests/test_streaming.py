@@ -7,104 +7,149 @@ from grantlens.model import DDL_EVENTS
 from grantlens.sources import ddl_log, stores
 from grantlens.streaming import events as E
 
-STATE_COLUMNS = ("schema_oid", "born_name", "schema_name", "owner_oid", "is_live", "was_altered")
+SHOWN = ("schema_name", "schema_oid", "is_created", "producer_oid", "editor_oid", "reader_oid")
+KNOWN = "schema_name string, producer_oid bigint, editor_oid bigint, reader_oid bigint"
 
 
-def reference(log):
-    """The same rules, event by event."""
-    state = {}
-    for oid, ts, event, tag, name, owner in sorted(log, key=lambda e: (e[1], e[2])):
-        row = state.get(oid)
-        if tag == "CREATE SCHEMA" and (row is None or not row[3]):
-            state[oid] = (name, name, owner, True, False)
-        elif tag == "ALTER SCHEMA" and row is not None and row[3]:
-            state[oid] = (row[0], name, owner, True, True)
-        elif tag == "DROP SCHEMA" and row is not None:
-            state[oid] = (*row[:3], False, row[4])
-    return sorted((oid, *row) for oid, row in state.items())
-
-
-def random_log(seed, n=400, schemas=6):
+def server_log(seed, n=300, names=6):
+    """What a server reports: ids are never given twice, names only while they are free."""
     rnd = random.Random(seed)
-    tags = ["CREATE SCHEMA", "ALTER SCHEMA", "ALTER SCHEMA", "DROP SCHEMA"]
-    # one schema holds a third of the events; many events share a timestamp
-    return [
-        (0 if rnd.random() < 0.34 else rnd.randrange(schemas), rnd.randrange(n // 3), i, rnd.choice(tags), f"c_{rnd.randrange(9)}", rnd.randrange(20))
-        for i in range(n)
-    ]
+    live, oid, log, taken = {}, 100, [], {f"c_{i}" for i in range(names)}
+    for i in range(n):
+        at = i // 3  # events share timestamps
+        if len(live) == len(taken) or (live and rnd.random() < 0.7):
+            k = rnd.choice(sorted(live))
+            if rnd.random() < 0.45:
+                log.append((k, at, i, "DROP SCHEMA", live.pop(k), 0))
+                continue
+            if rnd.random() < 0.4:
+                live[k] = f"w_{i}"  # a name that no row has
+                taken.add(live[k])
+            log.append((k, at, i, "ALTER SCHEMA", live[k], rnd.randrange(20)))
+        else:
+            name = rnd.choice(sorted(taken - set(live.values())))
+            oid += 1
+            live[oid] = name
+            log.append((oid, at, i, "CREATE SCHEMA", name, rnd.randrange(20)))
+    return log
+
+
+def registry_by_hand(log, known=()):
+    """The rules event by event: CREATE and DROP find their row by name, ALTER by id."""
+    table = {name: [None, False, producer, editor, reader] for name, producer, editor, reader in known}
+    for oid, _, _, tag, name, owner in sorted(log, key=lambda e: (e[1], e[2])):
+        if tag == "CREATE SCHEMA":
+            row = table.setdefault(name, [None, False, None, None, None])
+            if not row[1]:
+                row[:3] = [oid, True, owner]
+        elif tag == "ALTER SCHEMA":
+            for old in [k for k, row in table.items() if row[0] == oid]:
+                row = table.pop(old)
+                row[2] = owner
+                table[name] = row
+        elif name in table:
+            table[name][:2] = [None, False]
+    return sorted(((k, *row) for k, row in table.items()), key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
 def frame(spark, log):
     data = [(e, t, tag, oid, name, owner) for oid, t, e, tag, name, owner in log]
     df = spark.createDataFrame(data, "event_id bigint, t bigint, tag string, schema_oid bigint, schema_name string, owner_oid bigint")
-    ts = F.timestamp_seconds(F.col("t") * 60 + 1_700_000_000).cast("timestamp_ntz")
+    ts = F.timestamp_seconds(F.col("t") * 3600 + 1_700_000_000).cast("timestamp_ntz")
     return df.select(
         "event_id", ts.alias("ts"), "tag", "schema_oid", "schema_name", "owner_oid",
         F.lit(None).cast("bigint").alias("obj_oid"), F.lit(None).cast("string").alias("obj_kind"),
     )
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_fold_equals_replay(spark, rows, seed):
-    log = random_log(seed)
-    assert rows(E.fold_events(frame(spark, log)), *STATE_COLUMNS) == reference(log)
+def known_rows(names=6):
+    return [(f"c_{i}", 50 + i, 60 + i, None if i % 4 == 0 else 70 + i) for i in range(0, names, 2)] + [("z_wait", 2, None, None)]
+
 
+@pytest.mark.parametrize("seed", range(5))
+def test_rows_go_by_name(spark, rows, seed):
+    log, known = server_log(seed), known_rows()
+    shuffled = log + log[::7]
+    random.Random(seed).shuffle(shuffled)
+    frame_known = spark.createDataFrame(known, KNOWN)
+    assert rows(E.registry_from_events(frame(spark, shuffled), frame_known), *SHOWN) == registry_by_hand(log, known)
 
-def test_fold_in_two_steps(spark, rows):
-    log = sorted(random_log(11), key=lambda e: (e[1], e[2]))
-    for cut in (1, 57, 200, 399):
-        first = E.fold_events(frame(spark, log[:cut]))
-        assert rows(E.fold_events(frame(spark, log[cut:]), first), *STATE_COLUMNS) == reference(log)
 
+def test_a_recreated_schema_keeps_one_row(spark, rows):
+    log = [(100, 1, 1, "CREATE SCHEMA", "c_a", 5), (100, 2, 2, "DROP SCHEMA", "c_a", 5), (200, 3, 3, "CREATE SCHEMA", "c_a", 6)]
+    known = spark.createDataFrame([("c_a", 1, 8, 9)], KNOWN)
+    assert rows(E.registry_from_events(frame(spark, log), known), *SHOWN) == [("c_a", 200, True, 6, 8, 9)]
+    assert rows(E.registry_from_events(frame(spark, log[:2]), known), *SHOWN) == [("c_a", None, False, 5, 8, 9)]
 
-def test_rows_of_the_registry(spark, rows):
-    log = [(1, 1, 1, "CREATE SCHEMA", "c_a", 5), (1, 2, 2, "ALTER SCHEMA", "w_b", 6), (2, 1, 3, "CREATE SCHEMA", "plain", 5), (2, 3, 4, "DROP SCHEMA", "plain", 5), (3, 1, 5, "ALTER SCHEMA", "x_y", 5)]
-    known = spark.createDataFrame([("c_a", 1, 8, 9), ("z_wait", 2, None, None)], "schema_name string, producer_oid bigint, editor_oid bigint, reader_oid bigint")
-    got = rows(E.registry_from_events(frame(spark, log), known), "schema_name", "schema_oid", "is_created", "producer_oid", "editor_oid", "reader_oid", "block")
+
+def test_a_renamed_schema_takes_its_row_along(spark, rows):
+    log = [
+        (1, 1, 1, "CREATE SCHEMA", "c_a", 5), (1, 2, 2, "ALTER SCHEMA", "w_b", 6), (2, 3, 3, "CREATE SCHEMA", "c_a", 7),
+        (1, 4, 4, "DROP SCHEMA", "w_b", 6), (3, 5, 5, "CREATE SCHEMA", "w_b", 4), (9, 1, 6, "ALTER SCHEMA", "x_y", 5),
+    ]
+    known = spark.createDataFrame([("c_a", 1, 8, 9), ("z_wait", 2, None, None)], KNOWN)
+    got = rows(E.registry_from_events(frame(spark, log), known), *SHOWN, "block")
     assert got == [
-        ("plain", None, False, 5, None, None, None),
-        ("w_b", 1, True, 6, 8, 9, "w"),
-        ("z_wait", None, False, 2, None, None, "z"),
+        ("c_a", 2, True, 7, None, None, "c"), ("w_b", 3, True, 4, 8, 9, "w"), ("z_wait", None, False, 2, None, None, "z"),
     ]
 
 
-def test_stream_equals_batch(spark, rows, tmp_path):
-    log = sorted(random_log(5), key=lambda e: (e[1], e[2]))
-    # files in time order, each shuffled inside and holding copies of events seen before
+def test_states_merge_in_any_order(spark, rows):
+    log = server_log(11)
+    for cut in (1, 57, 299):
+        late = E.fold_events(frame(spark, log[cut:]))
+        both = E.fold_events(frame(spark, log[: cut + 5]), late)
+        assert rows(E.registry_rows(both), *SHOWN) == registry_by_hand(log)
+
+
+@pytest.mark.parametrize("compact_every", [3, 100])
+def test_stream_equals_batch(spark, rows, tmp_path, compact_every):
+    log, known = server_log(5, n=140), known_rows()
+    # files in any order, hours apart, with copies of events seen before
     rnd = random.Random(1)
-    for i in range(4):
-        part = log[i * 100 : (i + 1) * 100]
-        copies = part[:10] + (log[(i - 1) * 100 + 90 : i * 100] if i else [])
-        mixed = part + copies
-        rnd.shuffle(mixed)
-        frame(spark, mixed).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
-    feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True, late_after="10 hours", files_per_trigger=1)
-    query = E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check", keep_versions=2)
-    query.awaitTermination()
-    assert len(query.recentProgress) >= 4
-    assert len(list((tmp_path / "out" / "state").iterdir())) == 2
-    assert rows(E.read_registry_state(spark, f"{tmp_path}/out"), *STATE_COLUMNS) == reference(log)
-
-
-def test_late_events_are_set_aside(spark, rows, tmp_path):
-    frame(spark, [(1, 100, 1, "CREATE SCHEMA", "a", 1)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
-    for _ in range(2):
-        feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True, late_after="10 hours", files_per_trigger=1)
-        E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-        frame(spark, [(1, 50, 2, "DROP SCHEMA", "a", 1), (1, 150, 3, "ALTER SCHEMA", "b", 2)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
-    feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True, late_after="10 hours", files_per_trigger=1)
-    E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    mixed = log + log[::5]
+    rnd.shuffle(mixed)
+    for i in range(0, len(mixed), 24):
+        frame(spark, mixed[i : i + 24]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    for _ in range(2):  # the second run has nothing to do
+        feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True, files_per_trigger=1)
+        query = E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check", compact_every=compact_every)
+        query.awaitTermination()
+    state = E.read_registry_state(spark, f"{tmp_path}/out")
+    assert rows(E.registry_rows(state, spark.createDataFrame(known, KNOWN)), *SHOWN) == registry_by_hand(log, known)
+    parts = len(list((tmp_path / "out" / "part").iterdir()))
+    assert parts == 7 if compact_every == 100 else parts < 7
+
+
+def test_late_events_reach_the_state(spark, rows, tmp_path):
+    feed = lambda: ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True, files_per_trigger=1)
+    for part in (
+        [(1, 100, 1, "CREATE SCHEMA", "a", 1)],
+        [(2, 50, 2, "CREATE SCHEMA", "b", 1), (1, 150, 3, "ALTER SCHEMA", "c", 2)],
+        [(1, 120, 4, "ALTER SCHEMA", "d", 3), (2, 10, 5, "ALTER SCHEMA", "e", 3)],
+    ):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        E.start_registry_stream(feed(), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     state = E.read_registry_state(spark, f"{tmp_path}/out")
-    assert rows(state, "schema_name", "owner_oid", "is_live") == [("b", 2, True)]
-    late = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out/late")
-    assert rows(late, "event_id") == [(2,)]
+    assert rows(E.lives(state), "schema_name", "owner_oid", "is_live") == [("b", 1, True), ("c", 2, True)]
+
+
+def test_object_stream_writes_an_event_once(spark, rows, tmp_path):
+    for part in ([(1, 100, 1, "CREATE SCHEMA", "a", 1)], [(1, 100, 1, "CREATE SCHEMA", "a", 1), (2, 1, 2, "CREATE SCHEMA", "b", 1)]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True)
+        E.start_object_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "event_id") == [(1,), (2,)]
 
 
 def test_tags(spark, rows):
     assert "CREATE PROCEDURE" in ddl_log.object_tags("CREATE") and "CREATE PROCEDURE" not in ddl_log.object_tags("CREATE", 100000)
     assert "CREATE STATISTICS" not in ddl_log.object_tags("CREATE", 90600)
-    raw = spark.createDataFrame([("CREATE TABLE",), ("DROP OWNED",), ("ALTER VIEW",), ("CREATE ROLE",), ("SELECT INTO",), ("ALTER SCHEMA",)], "tag string")
-    assert rows(ddl_log.normalise_tags(raw)) == [("ALTER OBJECT",), ("ALTER SCHEMA",), ("CREATE OBJECT",), ("CREATE OBJECT",), ("DROP SCHEMA",)]
+    raw = spark.createDataFrame(
+        [("CREATE TABLE", 1), ("DROP OWNED", None), ("DROP OWNED", 777), ("DROP EXTENSION", 778), ("ALTER VIEW", 2), ("CREATE ROLE", None), ("SELECT INTO", 3), ("ALTER SCHEMA", None)],
+        "tag string, obj_oid bigint",
+    )
+    assert rows(ddl_log.normalise_tags(raw), "tag") == [("ALTER OBJECT",), ("ALTER SCHEMA",), ("CREATE OBJECT",), ("CREATE OBJECT",), ("DROP SCHEMA",)]
 
 
 def test_batch_reader_drops_copies(spark, tmp_path):
@@ -127,6 +172,14 @@ def test_versions(spark, rows, tmp_path):
     stores.write_registry(new, root, 7)
     assert stores.latest_version(spark, root) == 7 and stores.latest_version(spark, root, before=7) == 0
     assert rows(stores.read_version(spark, root, 7)) == [(2, "B"), (3, "c")]
+    stores.drop_versions(spark, root, below=7)
+    assert stores.versions(spark, root) == [7]
+
+
+def test_upsert_keeps_the_name_in_other_databases(spark, rows):
+    old = spark.createDataFrame([(0, "s", "a"), (1, "s", "b")], "db_id int, schema_name string, v string")
+    new = stores.upsert(old, old.where("db_id = 0").withColumn("v", F.lit("c")), ["db_id", "schema_name"])
+    assert rows(new) == [(0, "s", "c"), (1, "s", "b")]
 
 
 def test_written_plan(spark, rows, tmp_path):
