@@ -203,8 +203,8 @@ def object_privileges(all_objects: DataFrame, all_acl: DataFrame, requests: Data
     objects = all_objects.where(F.col("obj_kind") != "N").withColumn("_class", klass)
     acl = all_acl.where(F.col("obj_kind") != "N").withColumn("_class", klass)
     found = all_privileges(
-        attach(objects, asked, keys, "left_semi", sized_by=requests),
-        attach(acl, asked, keys, "left_semi", sized_by=requests),
+        attach(objects, asked, keys, "left_semi"),
+        attach(acl, asked, keys, "left_semi"),
     )
     return _answers(found, rejected)
 
@@ -214,7 +214,7 @@ def object_public_privileges(all_acl: DataFrame, requests: DataFrame) -> DataFra
     asked, rejected = _requested(requests, PUBLIC_OBJECT_CLASSES, "FSP0")
     acl = all_acl.where((F.col("obj_kind") != "N") & (F.col("grantee_oid") == PUBLIC_OID))
     acl = acl.withColumn("_class", grant_class(F.col("obj_kind")))
-    wanted = attach(acl, asked, ["obj_oid", "_class"], "left_semi", sized_by=requests)
+    wanted = attach(acl, asked, ["obj_oid", "_class"], "left_semi")
     return _answers(public_privileges(wanted), rejected)
 
 
@@ -224,7 +224,7 @@ def object_names(all_objects: DataFrame, namespaces: DataFrame) -> DataFrame:
     objects = all_objects.select(
         "schema_oid", "obj_kind", "obj_oid", quote_ident(F.col("obj_name")).alias("obj_ident")
     )
-    return attach(objects, named, "schema_oid", "left", sized_by=namespaces)
+    return attach(objects, named, "schema_oid", "left")
 
 
 def role_idents(roles: DataFrame, into: str = "_role") -> DataFrame:
@@ -252,12 +252,12 @@ def render_commands(
         "obj_oid", family.alias("_family"), F.col("schema_ident").alias("_schema"), F.col("obj_ident").alias("_name")
     )
     named = rows.withColumn("_family", family).join(names, ["_family", "obj_oid"], "left")
-    named = attach(named, role_idents(roles), "role_oid", "left", sized_by=roles)
+    named = attach(named, role_idents(roles), "role_oid", "left")
     if "in_schema_oid" in rows.columns:
         later = namespaces.select(
             F.col("schema_oid").alias("in_schema_oid"), quote_ident(F.col("schema_name")).alias("_later")
         )
-        named = attach(named, later, "in_schema_oid", "left", sized_by=namespaces)
+        named = attach(named, later, "in_schema_oid", "left")
         named = named.withColumn("_schema", F.coalesce("_later", "_schema")).drop("_later")
     target = object_ref(kind, F.col("_schema"), F.col("_name"))
     role = role_ref(F.col("role_oid"), F.col("_role"))
@@ -283,6 +283,6 @@ def resolve_relation_names(
     relations = all_objects.where(F.col("obj_kind").isin(*RELATION_KINDS, "S")).select(
         "schema_oid", "obj_oid", "obj_name"
     )
-    relations = attach(relations, named, "schema_oid", "inner", sized_by=namespaces)
+    relations = attach(relations, named, "schema_oid", "inner")
     found = relations.select("obj_oid", F.array("schema_name", "obj_name").alias("relation"))
     return requests.join(found, "obj_oid", "left")

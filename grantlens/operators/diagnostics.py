@@ -20,7 +20,7 @@ from grantlens.model import (
     RIGHTS_KINDS,
 )
 from grantlens.operators.roles import has_role
-from grantlens.scaling import attach, attach_few
+from grantlens.scaling import attach
 
 REPORT = (
     "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid", "other_oid", "function",
@@ -38,7 +38,7 @@ def effective_registry(registry: DataFrame, roles: DataFrame) -> DataFrame:
     def live(df: DataFrame, function: str) -> DataFrame:
         oid = f"{function}_oid"
         found = existing.select(F.col("role_oid").alias(oid), F.lit(True).alias("_found"))
-        joined = attach(df, found, oid, "left", sized_by=roles)
+        joined = attach(df, found, oid, "left")
         is_public = F.col(function) == "public" if function != "producer" else F.lit(False)
         return joined.withColumn(
             oid, F.when(is_public, F.lit(PUBLIC_OID)).when(F.col("_found"), F.col(oid)).cast("bigint")
@@ -63,13 +63,12 @@ def audited_objects(all_objects: DataFrame, registry: DataFrame, roles: DataFram
     )
     inside = attach(
         all_objects.where(F.col("obj_kind") != "N"), schemas.drop("db_id"), "schema_oid", "inner",
-        sized_by=registry,
     )
     themselves = attach(
         all_objects.where(F.col("obj_kind") == "N").drop("schema_oid").withColumn(
             "schema_name", F.col("obj_name")
         ),
-        schemas, ["db_id", "schema_name"], "inner", sized_by=registry,
+        schemas, ["db_id", "schema_name"], "inner",
     )
     return inside.unionByName(themselves)
 
@@ -94,7 +93,7 @@ def default_acl_anomalies(default_acl: DataFrame, registry: DataFrame) -> DataFr
     """Every default privilege of a created schema, on tables, sequences, routines and types."""
     schemas = registry.where("is_created").select("schema_oid", "schema_name")
     entries = default_acl.where(F.col("obj_type").isin(*DIAGNOSED_DEFAULT_ACL_TYPES))
-    named = attach(entries, schemas, "schema_oid", "inner", sized_by=registry)
+    named = attach(entries, schemas, "schema_oid", "inner")
     return expand_privilege_codes(named).select(
         "schema_name",
         F.concat(F.lit("default "), F.col("obj_type")).alias("obj_kind"),
@@ -227,13 +226,13 @@ def _registered(gaps: DataFrame, all_objects: DataFrame, registry: DataFrame) ->
     schemas = all_objects.where(F.col("obj_kind") == "N").select(
         "db_id", F.col("obj_name").alias("schema_name"), F.col("obj_oid").alias("_id")
     )
-    themselves = attach(schemas, created.drop("schema_oid"), ["db_id", "schema_name"], "inner", registry)
+    themselves = attach(schemas, created.drop("schema_oid"), ["db_id", "schema_name"], "inner")
     scopes = inside.unionByName(themselves.select(F.lit(True).alias("_self"), "_id", "schema_name"))
     is_schema = F.col("obj_kind") == "N"
     placed = gaps.withColumn("_self", is_schema).withColumn(
         "_id", F.when(is_schema, F.col("obj_oid")).otherwise(F.col("schema_oid"))
     )
-    return attach(placed, scopes, ["_self", "_id"], "inner", sized_by=registry)
+    return attach(placed, scopes, ["_self", "_id"], "inner")
 
 
 def _views_and_sources(view_sources: DataFrame, all_objects: DataFrame, registry: DataFrame) -> DataFrame:
@@ -270,8 +269,8 @@ def view_source_anomalies(
         F.col("reader_oid").alias("source_reader"),
     )
     edges = _views_and_sources(view_sources, all_objects, registry)
-    edges = attach(edges, of_view, "view_schema_oid", "inner", sized_by=registry)
-    edges = attach(edges, of_source, "source_schema_oid", "inner", sized_by=registry)
+    edges = attach(edges, of_view, "view_schema_oid", "inner")
+    edges = attach(edges, of_source, "source_schema_oid", "inner")
     edges = edges.where(F.col("schema_name") != F.col("source_schema"))
     for function in ("producer", "editor", "reader"):
         column = f"source_{function}"
@@ -315,7 +314,7 @@ def effective_privileges(
     )
     asked = requests.select(F.col("user_oid"), "obj_oid").distinct().join(objects, "obj_oid")
     supers = roles.where("is_super").select(F.col("role_oid").alias("user_oid"), F.lit(True).alias("_super"))
-    asked = attach_few(asked, supers, "user_oid")
+    asked = attach(asked, supers, "user_oid")
     reach = closure.select(F.col("member_oid").alias("user_oid"), F.col("role_oid"))
     held = (
         all_acl.where(F.col("column_name").isNull() & in_scope)
@@ -385,8 +384,8 @@ def view_source_access(
         F.col("reader_oid").alias("source_reader"),
     )
     edges = _views_and_sources(view_sources, all_objects, registry)
-    edges = attach(edges, of_view, "view_schema_oid", "inner", sized_by=registry)
-    edges = attach(edges, of_source, "source_schema_oid", "left", sized_by=registry)
+    edges = attach(edges, of_view, "view_schema_oid", "inner")
+    edges = attach(edges, of_source, "source_schema_oid", "left")
     readable = effective_privileges(
         edges.select(F.col("producer_oid").alias("user_oid"), F.col("source_oid").alias("obj_oid")),
         all_objects, all_acl, roles, closure,
@@ -470,9 +469,9 @@ def describe_anomalies(report: DataFrame, all_objects: DataFrame, roles: DataFra
         test = F.col("obj_kind") == k.code
         label = F.when(test, F.lit(k.label)) if label is None else label.when(test, F.lit(k.label))
     names = roles.select("role_oid", "role_name")
-    named = attach(report, names, "role_oid", "left", sized_by=roles)
+    named = attach(report, names, "role_oid", "left")
     other = names.select(F.col("role_oid").alias("other_oid"), F.col("role_name").alias("_other"))
-    named = attach(named, other, "other_oid", "left", sized_by=roles)
+    named = attach(named, other, "other_oid", "left")
     role = F.when(F.col("role_oid") == PUBLIC_OID, F.lit("public")).otherwise(F.col("role_name"))
     anomaly, privilege = F.col("anomaly"), F.col("privilege")
     text = (

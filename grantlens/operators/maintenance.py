@@ -24,10 +24,10 @@ def register_unlisted_schemas(
     if exceptions is not None:
         real = attach(real, exceptions.select("schema_name").distinct(), "schema_name", "left_anti")
     known = registry.select("db_id", "schema_name", "is_created", "producer")
-    held = attach(real, known, ["db_id", "schema_name"], "left", sized_by=registry)
+    held = attach(real, known, ["db_id", "schema_name"], "left")
     held = held.where(F.col("is_created").isNull() | ~F.col("is_created"))
     owners = roles.select(F.col("role_oid").alias("owner_oid"), F.col("role_name").alias("owner"))
-    held = attach(held, owners, "owner_oid", "left", sized_by=roles)
+    held = attach(held, owners, "owner_oid", "left")
     listed = F.col("is_created").isNotNull()
     producer = F.when(listed, F.col("producer")).otherwise(F.col("owner")) if keep_registered else F.col("owner")
     return held.select(
@@ -46,7 +46,7 @@ def deregister_schemas(
     """
     asked = requests.select("db_id", "schema_name").distinct()
     known = registry.select("db_id", "schema_name", "in_nomenclature")
-    answers = attach(asked, known, ["db_id", "schema_name"], "left", sized_by=registry).select(
+    answers = attach(asked, known, ["db_id", "schema_name"], "left").select(
         "db_id", "schema_name",
         F.when(F.col("in_nomenclature").isNull(), F.lit("unknown"))
         .when(F.col("in_nomenclature"), F.lit("TB26"))
@@ -54,7 +54,7 @@ def deregister_schemas(
         .alias("answer"),
     )
     removed = answers.where(F.col("answer") == "removed").select("db_id", "schema_name")
-    remaining = attach(registry, removed, ["db_id", "schema_name"], "left_anti", sized_by=requests)
+    remaining = attach(registry, removed, ["db_id", "schema_name"], "left_anti")
     return remaining, answers
 
 
@@ -66,7 +66,7 @@ def import_taxonomy(registry: DataFrame, taxonomy: DataFrame) -> DataFrame:
         "schema_name", F.col("db_id").alias("db_id"), F.lit(True).alias("_known"),
         *[F.col(c).alias(f"_{c}") for c in columns],
     )
-    held = attach(taxonomy, old, "schema_name", "left", sized_by=registry)
+    held = attach(taxonomy, old, "schema_name", "left")
     differs = F.lit(False)
     for c in columns:
         if c == "in_nomenclature":

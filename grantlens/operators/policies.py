@@ -10,7 +10,7 @@ from grantlens.functions.sqltext import quote_ident, quote_literal
 from grantlens.model import RELATION_KINDS
 from grantlens.operators.diagnostics import effective_privileges
 from grantlens.operators.roles import ADMIN_ROLE, has_role, role_oid_of, schema_function_of_role
-from grantlens.scaling import attach, attach_few, cut_lineage, number_rows
+from grantlens.scaling import attach, cut_lineage, number_rows
 
 READERS_ROLE = "g_consult"
 STRATEGIES = (0, 1, 2, 3, 4, 5, 99)
@@ -31,20 +31,20 @@ def style_row_permissions(
     rows = attach(
         requests.select("user_oid", "style_id"),
         styles.select("style_id", F.col("f_table_schema").alias("schema_name"), "owner", "use_as_default"),
-        "style_id", "inner", sized_by=styles,
+        "style_id", "inner",
     )
     # styles name their schema without a database: a name stands for the registry row that has it
     named = registry.select("schema_name", "db_id", "producer", "editor", "reader")
-    places = attach(rows, named.select("schema_name", "db_id").distinct(), "schema_name", "left", sized_by=registry)
+    places = attach(rows, named.select("schema_name", "db_id").distinct(), "schema_name", "left")
     flagged = schema_function_of_role(places, registry, roles, closure)
     owners = roles.select(F.col("role_name").alias("owner"), F.col("role_oid").alias("_owner"))
-    flagged = attach(flagged, owners, "owner", "left", sized_by=roles)
+    flagged = attach(flagged, owners, "owner", "left")
     flagged = has_role(flagged, closure, roles, "user_oid", "_owner", "_has_owner")
     for name, into in ((admin, "_admin"), (readers, "_readers")):
         flagged = flagged.withColumn("_role", role_oid_of(roles, name))
         flagged = has_role(flagged, closure, roles, "user_oid", "_role", into).drop("_role")
     supers = roles.where("is_super").select(F.col("role_oid").alias("user_oid"), F.lit(True).alias("_super"))
-    flagged = attach_few(flagged, supers, "user_oid")
+    flagged = attach(flagged, supers, "user_oid")
     is_super = F.coalesce(F.col("_super"), F.lit(False))
     above = is_super | (F.col("user_oid") == role_oid_of(roles, admin))
     granted = F.col("_admin") | F.col("_readers")
@@ -95,7 +95,7 @@ def _readable_relations(
     ).where(F.col("mask").bitwiseAND(F.lit(mask_of("U"))) != 0)
     inside = attach(
         relations.select("db_id", "schema_oid", "obj_oid", "obj_name"),
-        usable.select(F.col("obj_oid").alias("schema_oid")), "schema_oid", "left_semi", sized_by=schemas,
+        usable.select(F.col("obj_oid").alias("schema_oid")), "schema_oid", "left_semi",
     )
     return inside.join(readable.select("obj_oid"), "obj_oid", "left_semi")
 
@@ -127,9 +127,9 @@ def menu_index(
 
     real = namespaces.select("schema_oid", "schema_name")
     rows = attach(
-        _readable_relations(user, all_objects, all_acl, roles, closure), real, "schema_oid", "inner", sized_by=namespaces
+        _readable_relations(user, all_objects, all_acl, roles, closure), real, "schema_oid", "inner"
     )
-    rows = attach(rows, created, ["db_id", "schema_name"], "inner", sized_by=registry)
+    rows = attach(rows, created, ["db_id", "schema_name"], "inner")
     rows = rows.withColumn("_null1", F.col("level1").isNull()).withColumn(
         "_one", F.coalesce("level1", "schema_name")
     ).withColumn("_null2", F.col("level2").isNull()).withColumn("_two", F.coalesce("level2", "obj_name"))
@@ -144,7 +144,7 @@ def menu_index(
     rows = number_rows(rows, order, "_id")
     rows = _rank_in(rows, ["db_id"], "_id", "id", start=1)
     rows = _rank_in(rows, second_keys, "_id", "_ind3")
-    rows = attach(rows, first, ["db_id", "_null1", "_one"], "inner", sized_by=registry)
+    rows = attach(rows, first, ["db_id", "_null1", "_one"], "inner")
     rows = rows.join(second, second_keys)
 
     text = F.lit

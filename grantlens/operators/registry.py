@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from grantlens.model import PUBLIC_OID
 from grantlens.operators.roles import ADMIN_ROLE, FUNCTIONS, has_role, role_oid_of
-from grantlens.scaling import attach, attach_few, computed, cut_lineage
+from grantlens.scaling import attach, computed, cut_lineage
 
 _KEPT = ("change_id", "db_id", "op", "actor_oid")
 
@@ -50,7 +50,7 @@ def normalise_changes(
         F.col("schema_oid").alias("old_schema_oid"),
         *[F.col(c).alias(f"old_{c}") for f in FUNCTIONS for c in (f, f"{f}_oid")],
     ).where(F.col("target_schema_oid").isNotNull())
-    held = attach(changes, old, "target_schema_oid", "left", sized_by=registry)
+    held = attach(changes, old, "target_schema_oid", "left")
     known = F.col("old_name").isNotNull()
     op = F.when((F.col("op") == "UPDATE") & ~known, F.lit("INSERT")).otherwise(F.col("op"))
     trusted = F.col("trusted") if "trusted" in changes.columns else F.lit(False)
@@ -87,13 +87,13 @@ def normalise_changes(
         )
     # functions that did not change follow their role
     owners = namespaces.select(F.col("schema_oid"), F.col("owner_oid").alias("_owner_oid"))
-    held = attach(held, owners, "schema_oid", "left", sized_by=namespaces)
+    held = attach(held, owners, "schema_oid", "left")
     owner_names = roles.select(F.col("role_oid").alias("_owner_oid"), F.col("role_name").alias("_owner"))
-    held = attach(held, owner_names, "_owner_oid", "left", sized_by=roles)
+    held = attach(held, owner_names, "_owner_oid", "left")
     lasting = (F.col("op") == "UPDATE") & F.col("is_created") & F.coalesce(F.col("old_created"), F.lit(False))
     for f in FUNCTIONS:
         now = roles.select(F.col("role_oid").alias(f"{f}_oid"), F.col("role_name").alias("_now"))
-        held = attach(held, now, f"{f}_oid", "left", sized_by=roles)
+        held = attach(held, now, f"{f}_oid", "left")
         same = lasting & F.coalesce(F.col(f) == F.col(f"old_{f}"), F.lit(False))
         if f != "producer":
             same = same & (F.col(f) != "public")
@@ -213,7 +213,7 @@ def resolve_functions(rows: DataFrame, roles: DataFrame) -> DataFrame:
     """Ids of the functions by name, on rows of created schemas (public: 0)."""
     for f in FUNCTIONS:
         by_name = roles.select(F.col("role_name").alias(f), F.col("role_oid").alias("_named"))
-        rows = attach(rows.drop(f"{f}_oid"), by_name, f, "left", sized_by=roles)
+        rows = attach(rows.drop(f"{f}_oid"), by_name, f, "left")
         oid = F.when(F.col(f) == "public", F.lit(PUBLIC_OID)).otherwise(F.col("_named"))
         rows = rows.withColumn(f"{f}_oid", F.when(F.col("is_created"), oid).cast("bigint")).drop("_named")
     return rows
@@ -221,7 +221,7 @@ def resolve_functions(rows: DataFrame, roles: DataFrame) -> DataFrame:
 
 def _named_schema(rows: DataFrame, namespaces: DataFrame, column: str, into: str) -> DataFrame:
     real = namespaces.select("db_id", F.col("schema_name").alias(column), F.lit(True).alias("_there"))
-    joined = attach(rows, real, ["db_id", column], "left", sized_by=namespaces)
+    joined = attach(rows, real, ["db_id", column], "left")
     return joined.withColumn(into, F.coalesce(F.col("_there"), F.lit(False))).drop("_there")
 
 
@@ -242,7 +242,7 @@ def _creators_reached(
         .withColumn("_able", F.lit(True))
     )
     supers = roles.where("is_super").select(F.col("role_oid").alias("actor_oid"), F.lit(True).alias("_super"))
-    joined = attach_few(rows.join(able, ["actor_oid", "db_id"], "left"), supers, "actor_oid")
+    joined = attach(rows.join(able, ["actor_oid", "db_id"], "left"), supers, "actor_oid")
     return joined.withColumn("may_create", F.coalesce(F.col("_able"), F.col("_super"), F.lit(False))).drop(
         "_able", "_super"
     )
@@ -274,14 +274,14 @@ def review_changes(
         named = roles.select(
             F.col("role_name").alias(side), F.col("role_oid").alias("_role"), F.col("is_super").alias("_s")
         )
-        rows = attach(rows, named, side, "left", sized_by=roles)
+        rows = attach(rows, named, side, "left")
         rows = has_role(rows, usage, roles, "actor_oid", "_role", f"has_{side}")
         rows = rows.withColumn(f"super_{side}", F.coalesce(F.col("_s"), F.lit(False))).drop("_role", "_s")
     rows = has_role(rows, usage, roles, "actor_oid", "old_producer_oid", "has_old_owner")
     listed = registry.select("db_id", "schema_name", F.lit(True).alias("_listed")).distinct()
-    rows = attach(rows, listed, ["db_id", "schema_name"], "left", sized_by=registry)
+    rows = attach(rows, listed, ["db_id", "schema_name"], "left")
     by_id = registry.where(F.col("schema_oid").isNotNull()).select("schema_oid", F.lit(True).alias("_held")).distinct()
-    rows = attach(rows, by_id, "schema_oid", "left", sized_by=registry)
+    rows = attach(rows, by_id, "schema_oid", "left")
     rows = resolve_functions(rows, roles)
 
     insert, update, delete = (F.col("op") == o for o in ("INSERT", "UPDATE", "DELETE"))
@@ -383,7 +383,7 @@ def accepted_changes(reviewed: DataFrame) -> DataFrame:
     valid = reviewed.where((F.size("codes") == 0) & ~F.col("asks_drop"))
     named = valid.where(F.col("op") != "DELETE")
     first = named.groupBy("db_id", "schema_name").agg(F.min("change_id").alias("change_id"))
-    kept = attach(named, first, ["db_id", "schema_name", "change_id"], "left_semi", sized_by=reviewed)
+    kept = attach(named, first, ["db_id", "schema_name", "change_id"], "left_semi")
     return kept.unionByName(valid.where(F.col("op") == "DELETE"))
 
 
@@ -400,14 +400,14 @@ def apply_registry_changes(
     touched = accepted.where(F.col("old_schema_oid").isNotNull()).select(
         F.col("old_schema_oid").alias("schema_oid"), F.lit(True).alias("_touched")
     )
-    marked = attach(registry, touched, "schema_oid", "left", sized_by=reviewed)
+    marked = attach(registry, touched, "schema_oid", "left")
     untouched = marked.where(F.col("_touched").isNull()).drop("_touched")
     levels = registry.where(F.col("schema_oid").isNotNull()).select(
         F.col("schema_oid").alias("old_schema_oid"), "level1", "level2"
     )
-    edited = attach(accepted.where(F.col("op") != "DELETE"), levels, "old_schema_oid", "left", sized_by=registry)
+    edited = attach(accepted.where(F.col("op") != "DELETE"), levels, "old_schema_oid", "left")
     real = namespaces.select("db_id", "schema_name", F.col("schema_oid").alias("_real"))
-    edited = attach(edited, real, ["db_id", "schema_name"], "left", sized_by=namespaces)
+    edited = attach(edited, real, ["db_id", "schema_name"], "left")
     edited = edited.withColumn(
         "schema_oid", F.when(F.col("is_created"), F.coalesce(F.col("schema_oid"), F.col("_real")))
     )

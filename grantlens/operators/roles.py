@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grantlens.functions.sqltext import quote_ident
 from grantlens.model import PUBLIC_OID, SUPERUSER_KEY
-from grantlens.scaling import attach, attach_few, cut_lineage, number_rows
+from grantlens.scaling import attach, cut_lineage, number_rows
 
 ADMIN_ROLE = "g_admin"
 FUNCTIONS = ("producer", "editor", "reader")
@@ -19,17 +19,18 @@ def role_oid_of(roles: DataFrame, name: str) -> Column:
 
 
 def _transitive(edges: DataFrame) -> DataFrame:
-    """Transitive closure by squaring: depth d takes log2(d) rounds, cycles end by distinct."""
-    reach = cut_lineage(edges)
-    size = reach.count()
-    while size:
-        ahead = reach.select(F.col("member_oid").alias("role_oid"), F.col("role_oid").alias("_far"))
-        longer = reach.join(ahead, "role_oid").select("member_oid", F.col("_far").alias("role_oid"))
-        reach = cut_lineage(reach.unionByName(longer).distinct())
-        grown = reach.count()
-        if grown == size:
-            break
-        size = grown
+    """Transitive closure by doubling: depth d takes log2(d) rounds, cycles end by distinct.
+
+    A longer path has a part that the last round found, so only its pairs are joined.
+    """
+    reach = fresh = cut_lineage(edges)
+    while not fresh.isEmpty():
+        known = reach
+        onward = lambda df: df.select(F.col("member_oid").alias("role_oid"), F.col("role_oid").alias("_far"))
+        longer = fresh.join(onward(known), "role_oid").unionByName(known.join(onward(fresh), "role_oid"))
+        longer = longer.select("member_oid", F.col("_far").alias("role_oid")).distinct()
+        fresh = cut_lineage(longer.join(known, ["member_oid", "role_oid"], "left_anti"))
+        reach = known.unionByName(fresh)
     return reach
 
 
@@ -45,7 +46,7 @@ def role_closure(
     """
     known = roles.select(F.col("role_oid").alias("member_oid"), "inherits")
     edges = memberships.where(F.col("role_oid") != F.col("member_oid")).select("member_oid", "role_oid")
-    edges = attach(edges, known, "member_oid", "inner", sized_by=roles)
+    edges = attach(edges, known, "member_oid", "inner")
     if mode == "usage":
         edges = edges.where("inherits")
     edges = edges.select("member_oid", "role_oid")
@@ -76,7 +77,7 @@ def has_role(
         F.col("member_oid").alias(member), F.col("role_oid").alias(role), F.lit(True).alias("_reach")
     )
     supers = roles.where("is_super").select(F.col("role_oid").alias(member), F.lit(True).alias("_super"))
-    flagged = attach_few(pairs.join(reach, [member, role], "left"), supers, member)
+    flagged = attach(pairs.join(reach, [member, role], "left"), supers, member)
     asked = F.col(role).isNotNull() & (F.col(role) != PUBLIC_OID)
     return flagged.withColumn(
         into,
@@ -108,7 +109,7 @@ def has_role_usage(pairs: DataFrame, closure: DataFrame, roles: DataFrame) -> Da
     names = roles.select("role_oid", "role_name")
     parent = names.select(F.col("role_name").alias("parent"), F.col("role_oid").alias("parent_oid"))
     child = names.select(F.col("role_name").alias("child"), F.col("role_oid").alias("child_oid"))
-    known = attach(attach(pairs, parent, "parent", "left", roles), child, "child", "left", roles)
+    known = attach(attach(pairs, parent, "parent"), child, "child")
     return has_role(known, closure, roles, "child_oid", "parent_oid", "has_usage").drop(
         "parent_oid", "child_oid"
     )
@@ -125,8 +126,8 @@ def schema_function_of_role(
     named = registry.select("db_id", "schema_name", *FUNCTIONS)
     for f in FUNCTIONS:
         role = roles.select(F.col("role_name").alias(f), F.col("role_oid").alias(f"{f}_oid"))
-        named = attach(named, role, f, "left", sized_by=roles)
-    asked = attach(requests, named, ["db_id", "schema_name"], "left", sized_by=registry)
+        named = attach(named, role, f, "left")
+    asked = attach(requests, named, ["db_id", "schema_name"], "left")
     for f in FUNCTIONS:
         asked = has_role(asked, closure, roles, "user_oid", f"{f}_oid", f"is_{f}")
     return asked.drop(*FUNCTIONS, *[f"{f}_oid" for f in FUNCTIONS])
@@ -149,7 +150,7 @@ def permission_label(
     created = registry.where("is_created").select(
         "db_id", "schema_name", "block", "level1", "level2", *[f"{f}_oid" for f in FUNCTIONS]
     )
-    asked = attach(requests, created, ["db_id", "schema_name"], "inner", sized_by=registry)
+    asked = attach(requests, created, ["db_id", "schema_name"], "inner")
     for f in FUNCTIONS:
         asked = has_role(asked, closure, roles, "user_oid", f"{f}_oid", f"is_{f}")
     label = (
@@ -173,7 +174,7 @@ def visible_registry(
     """
     admin_oid = roles.where(F.col("role_name") == admin).select(F.col("role_oid").alias("_admin"))
     by_name = roles.select(F.col("role_name").alias("producer"), F.col("role_oid").alias("_named"))
-    rows = attach(registry, by_name, "producer", "left", sized_by=roles)
+    rows = attach(registry, by_name, "producer", "left")
     key = F.when(F.col("is_created") & F.col("producer_oid").isNotNull(), F.col("producer_oid")).otherwise(
         F.col("_named")
     )
@@ -260,7 +261,7 @@ def pick_grantor(
     creators = roles.where(F.col("can_create_role") & (F.col("inherits") if usage else F.lit(True)))
     creators = creators.select("role_oid", "role_name")
     first_creator = F.min(F.struct((F.col("role_oid") != F.col("member_oid")).alias("o"), F.col("role_name").alias("n"), F.col("role_oid").alias("r")))
-    by_reach = attach(reach, creators, "role_oid", "inner", sized_by=roles)
+    by_reach = attach(reach, creators, "role_oid", "inner")
     supers = asked.join(
         roles.where("is_super").select(F.col("role_oid").alias("member_oid")), "member_oid", "left_semi"
     ).withColumn("_all", F.lit(1))
@@ -268,7 +269,7 @@ def pick_grantor(
     lowest = creators.agg(F.min(F.struct(F.col("role_name").alias("n"), F.col("role_oid").alias("r"))).alias("m")).select(
         F.lit(1).alias("_all"), F.col("m.n").alias("role_name"), F.col("m.r").alias("role_oid")
     ).where(F.col("role_oid").isNotNull())
-    as_super = supers.join(F.broadcast(lowest), "_all").select("member_oid", "role_oid", "role_name")
+    as_super = supers.join(lowest, "_all").select("member_oid", "role_oid", "role_name")
     candidates = by_reach.select("member_oid", "role_oid", "role_name").unionByName(as_super)
     chosen = candidates.groupBy("member_oid").agg(first_creator.alias("c")).select(
         "member_oid", F.col("c.r").alias("grantor_oid"), F.lit("create role").alias("via")
@@ -276,10 +277,10 @@ def pick_grantor(
     target = roles.where(F.col("role_name") == admin_options_on).select("role_oid")
     options = attach(memberships.where("admin_option"), target, "role_oid", "left_semi")
     holders = options.select(F.col("member_oid").alias("role_oid")).distinct()
-    holders = attach(holders, roles.select("role_oid", "role_name"), "role_oid", "inner", sized_by=roles)
+    holders = attach(holders, roles.select("role_oid", "role_name"), "role_oid", "inner")
     rest = reach.join(chosen.select("member_oid"), "member_oid", "left_anti")
     by_option = (
-        attach(rest, holders, "role_oid", "inner", sized_by=memberships)
+        attach(rest, holders, "role_oid", "inner")
         .groupBy("member_oid")
         .agg(F.min(F.struct(F.col("role_name").alias("n"), F.col("role_oid").alias("r"))).alias("c"))
         .select("member_oid", F.col("c.r").alias("grantor_oid"), F.lit("admin option").alias("via"))
@@ -330,12 +331,12 @@ def stale_roles(registry: DataFrame, roles: DataFrame, namespaces: DataFrame) ->
         & ((F.col("function") == "producer") | (F.col("old_name") != "public"))
     )
     current = roles.select(F.col("role_oid").alias("old_oid"), F.col("role_name").alias("_now"))
-    held = attach(held, current, "old_oid", "left", sized_by=roles)
+    held = attach(held, current, "old_oid", "left")
     held = held.where(F.col("_now").isNull() | (F.col("_now") != F.col("old_name")))
     owners = namespaces.select("schema_oid", F.col("owner_oid").alias("_owner"))
-    held = attach(held, owners, "schema_oid", "left", sized_by=namespaces)
+    held = attach(held, owners, "schema_oid", "left")
     owner_names = roles.select(F.col("role_oid").alias("_owner"), F.col("role_name").alias("_owner_name"))
-    held = attach(held, owner_names, "_owner", "left", sized_by=roles)
+    held = attach(held, owner_names, "_owner", "left")
     renamed, is_producer = F.col("_now").isNotNull(), F.col("function") == "producer"
     return held.select(
         "schema_oid", "schema_name", "function", "old_name",
@@ -360,7 +361,7 @@ def admin_membership_gaps(
     named = roles.select(F.col("role_name").alias("producer"), F.col("role_oid"), "is_super")
     held = attach(
         registry.where(F.col("is_created") & (F.col("producer") != admin)).select("schema_name", "schema_oid", "producer"),
-        named, "producer", "inner", sized_by=roles,
+        named, "producer", "inner",
     ).where("NOT is_super")
     admin_oid = roles.where(F.col("role_name") == admin).select(F.col("role_oid").alias("_admin"))
     direct = attach(
@@ -383,7 +384,7 @@ def invalid_producers(registry: DataFrame, roles: DataFrame) -> DataFrame:
     """Producers that are plain login roles (TA3) and producers that do not exist (to be created)."""
     named = roles.select(F.col("role_name").alias("producer"), "can_login", "is_super")
     held = attach(
-        registry.where("is_created").select("schema_name", "schema_oid", "producer"), named, "producer", "left", sized_by=roles
+        registry.where("is_created").select("schema_name", "schema_oid", "producer"), named, "producer", "left"
     )
     return held.select(
         "schema_name", "schema_oid", "producer",

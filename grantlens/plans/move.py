@@ -101,11 +101,11 @@ def _placed_moves(moves, all_objects, registry, namespaces, roles) -> DataFrame:
             F.col("editor_oid").alias(f"{new}editor"),
             F.col("reader_oid").alias(f"{new}reader"),
         )
-        held = attach(held, functions, f"{side}_schema_oid", "left", sized_by=registry)
+        held = attach(held, functions, f"{side}_schema_oid", "left")
     real = namespaces.select(
         F.col("schema_oid").alias("source_schema_oid"), F.col("schema_name").alias("_real")
     )
-    held = attach(held, real, "source_schema_oid", "left", sized_by=namespaces)
+    held = attach(held, real, "source_schema_oid", "left")
     return held.withColumn(
         "error",
         F.when(F.col("_real").rlike(SYSTEM_SCHEMA_PATTERN), F.lit("FDO1"))
@@ -242,12 +242,12 @@ def move_object_plan(
     # rights of the units only, by object; column entries belong to their table
     keys = units.select("obj_oid").distinct()
     bound = moves.select("obj_oid").union(owned_sequences.select("sequence_oid"))
-    acl = attach(all_acl.where(F.col("obj_kind") != "N"), keys, "obj_oid", "left_semi", sized_by=bound)
+    acl = attach(all_acl.where(F.col("obj_kind") != "N"), keys, "obj_oid", "left_semi")
     objects = attach(
-        all_objects.where(F.col("obj_kind") != "N"), keys, "obj_oid", "left_semi", sized_by=bound
+        all_objects.where(F.col("obj_kind") != "N"), keys, "obj_oid", "left_semi"
     )
     held = all_privileges(objects, acl, with_public=True).select("obj_oid", F.col("obj_kind").alias("held_kind"), "column_name", "role_oid", "verb", "privilege")
-    moved = attach(held, units, "obj_oid", "inner", sized_by=bound)
+    moved = attach(held, units, "obj_oid", "inner")
     moved = moved.withColumn("_act", F.explode(_privilege_rules())).where(F.col("_act").isNotNull())
     by_privilege = moved.select(
         "db_id", "moved_oid", "obj_oid", F.col("held_kind").alias("obj_kind"), "column_name",
@@ -275,7 +275,7 @@ def move_object_plan(
     target = namespaces.select(
         F.col("schema_oid").alias("target_schema_oid"), quote_ident(F.col("schema_name")).alias("_to")
     )
-    relocated = attach(themselves.join(names, "obj_oid"), target, "target_schema_oid", "left", sized_by=namespaces)
+    relocated = attach(themselves.join(names, "obj_oid"), target, "target_schema_oid", "left")
     relocated = relocated.select(
         "moved_oid", "obj_oid", F.lit(STEPS["set schema"]).alias("step"), F.lit("SET SCHEMA").alias("verb"),
         F.lit(None).cast("string").alias("privilege"), F.lit(None).cast("bigint").alias("role_oid"),

@@ -6,72 +6,22 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS_CONF = "spark.grantlens.joinSalts"
-DEFAULT_SALTS = 16
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a frame, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """The session's broadcast threshold in bytes (-1: never broadcast)."""
-    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-
-
 def attach(
     facts: DataFrame,
     dim: DataFrame,
     on: list[str] | str,
     how: str = "left",
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join a table to a dimension although one key may hold a large share of the rows.
 
-    ``sized_by`` names the frame that bounds the dimension (``dim`` has at most one narrow row
-    per row of it); its size decides. Below the session's broadcast threshold the dimension is
-    broadcast and nothing is shuffled. Beyond it, the rows of each key are spread over a fixed
-    number of salts, derived from their content so that a recomputed task repeats them, and the
-    dimension is replicated once per salt. The dimension's keys must be unique for 'left'.
-    """
-    keys = [on] if isinstance(on, str) else list(on)
-    spark = facts.sparkSession
-    bound = estimated_bytes(dim if sized_by is None else sized_by)
-    if 0 <= bound <= broadcast_limit(spark):
-        return facts.join(F.broadcast(dim), keys, how)
-    salts = int(spark.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
-    salted = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
-    )
-    replicated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(replicated, keys + ["_salt"], how).drop("_salt")
-
-
-_MEASURED: dict[tuple[str, int], int] = {}
-SMALL_ROWS = 100_000
-
-
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether a frame has at most ``rows`` rows, counted (no further) once per session.
-
-    For frames that are few by nature, such as superusers, although the table they are filtered
-    from is large and the optimizer's estimate with it.
+    A plain join: the optimizer broadcasts what is below the session's threshold, by the size of
+    the files or, while the query runs, of the finished stage; adaptive execution splits the rows
+    of a hot key otherwise.
     """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
-    if key not in _MEASURED:
-        _MEASURED[key] = df.limit(SMALL_ROWS + 1).count()
-    return _MEASURED[key] <= rows
-
-
-def attach_few(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
-    """:func:`attach` for a narrow dimension whose rows are counted rather than estimated."""
-    if is_small(dim):
-        return facts.join(F.broadcast(dim), on, how)
-    return attach(facts, dim, on, how)
+    return facts.join(dim, [on] if isinstance(on, str) else list(on), how)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -110,18 +60,15 @@ def number_rows(df: DataFrame, order: list[Column], into: str = "id") -> DataFra
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # finding the ranges reads a sample: the input is written first, so that it is worked out once
+    ranged = cut_lineage(df).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = cut_lineage(ranged.withColumn("_pos", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_pos"), 33)
     placed = placed.withColumn("_part", part)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    later = sizes.select(F.col("_part").alias("_p2"), F.col("_n").alias("_n2"))
     # one row per partition: bounded by spark.sql.shuffle.partitions, not by the data
-    offsets = (
-        sizes.join(F.broadcast(later), F.col("_p2") < F.col("_part"), "left")
-        .groupBy("_part")
-        .agg(F.coalesce(F.sum("_n2"), F.lit(0)).alias("_offset"))
-    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     local = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.join(F.broadcast(offsets), "_part")

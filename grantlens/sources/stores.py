@@ -50,7 +50,7 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str] | str) -> Data
     Names of schemas are unique per database only: their key is ``["db_id", "schema_name"]``.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    kept = attach(current, changes.select(*keys), keys, "left_anti", sized_by=changes)
+    kept = attach(current, changes.select(*keys), keys, "left_anti")
     added = changes
     if "_deleted" in changes.columns:
         added = changes.where(~F.coalesce(F.col("_deleted"), F.lit(False))).drop("_deleted")

@@ -189,7 +189,7 @@ def grants_on_create_object(events: DataFrame, registry: DataFrame, roles: DataF
     live = effective_registry(registry, roles).where(F.col("producer_oid").isNotNull()).select(
         "schema_oid", F.col("schema_name").alias("in_schema"), "producer_oid", "editor_oid", "reader_oid"
     )
-    held = attach(created, live, "schema_oid", "inner", sized_by=registry)
+    held = attach(created, live, "schema_oid", "inner")
     kind = F.col("obj_kind")
 
     def grant(function: str):
@@ -235,7 +235,7 @@ def owner_on_alter_object(events: DataFrame, registry: DataFrame) -> DataFrame:
     producers = registry.where("is_created").select(
         "schema_oid", F.col("schema_name").alias("in_schema"), "producer_oid"
     )
-    held = attach(altered, producers, "schema_oid", "inner", sized_by=registry)
+    held = attach(altered, producers, "schema_oid", "inner")
     return held.where(F.col("owner_oid") != F.col("producer_oid")).select(
         "event_id", F.col("in_schema").alias("schema_name"), "obj_oid", "obj_kind",
         F.lit("OWNER").alias("verb"), F.col("producer_oid").alias("role_oid"),
