@@ -79,7 +79,8 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         )
         # a key of one line alone, or that is nobody's segment, leads to nothing
         shared = shared.where("_own = 1 and shiftrightunsigned(_a, 1) != shiftrightunsigned(_b, 1)")
-        live = tags.join(shared.select("key"), "key").distinct()
+        # dealt out by key at any size: the shared keys grow with the input
+        live = tags.join(shared.select("key").hint("merge"), "key").distinct()
         live = cut_lineage(
             live.select("key", F.shiftrightunsigned("tag", 1).alias("id"), (own == 1).alias("own"))
         )
@@ -209,7 +210,7 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         pairs = found if pairs is None else pairs.union(found)
     pairs = cut_lineage(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("rest").alias("rest"))
+    texts = lines.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.any_value("rest").alias("rest"))
     texts = cut_lineage(texts)
     both = pairs.join(texts.toDF("a", "_x"), "a").join(texts.toDF("b", "_y"), "b")
     swap = F.length("_x") < F.length("_y")

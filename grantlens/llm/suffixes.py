@@ -233,7 +233,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataF
     asked = cut_lineage(
         wanted.groupBy("node").agg(F.collect_list(F.struct("pos", "key", "times")).alias("asked"))
     )  # a text's own positions
-    one = texts.select("node", "text").join(asked.select("node"), "node", "left_semi")
+    # texts are dealt out by their hash at any size: the nodes grow with the input
+    one = texts.select("node", "text").join(asked.select("node").hint("merge"), "node", "left_semi")
     one = one.groupBy("node").agg(F.any_value("text").alias("text"))
     around = one.join(asked, "node").select(
         "node",
