@@ -1,8 +1,9 @@
 """Review of edits to the registry: normalisation, alignment, and rules that may refuse them.
 
-A change set is a table of edits (change_id, db_id, op, target_schema_oid, actor_oid, new_*
-columns). The old row is the registry row of ``target_schema_oid``; an UPDATE without one is an
-INSERT. Optional columns: ``trusted`` (the edit reports a real DDL event: its ids are kept) and
+A change set is a table of edits (change_id, db_id, op, target_schema_name, actor_oid, new_*
+columns). The old row is the registry row of that name in the database, created or not; an UPDATE
+without one is an INSERT. Edits may name their row by ``target_schema_oid`` instead, which reaches
+created schemas only. Optional columns: ``trusted`` (the edit reports a real DDL event: its ids are kept) and
 ``is_exit`` (a deletion asked for by deregistration). Everything is a column expression over the
 one joined row, so a change set of any size is reviewed in one pass.
 """
@@ -23,10 +24,15 @@ def _empty_to_null(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
+def _target(changes: DataFrame) -> list[str]:
+    """What tells the row an edit is about."""
+    return ["db_id", "target_schema_name"] if "target_schema_name" in changes.columns else ["target_schema_oid"]
+
+
 def latest_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a change set into the last edit of each schema and the edits it supersedes."""
-    last = changes.groupBy("target_schema_oid").agg(F.max("change_id").alias("change_id"))
-    keys = ["target_schema_oid", "change_id"]
+    last = changes.groupBy(*_target(changes)).agg(F.max("change_id").alias("change_id"))
+    keys = [*_target(changes), "change_id"]
     return changes.join(last, keys, "left_semi"), changes.join(last, keys, "left_anti")
 
 
@@ -41,16 +47,18 @@ def normalise_changes(
     renamed one gets its new name, a dropped producer gives way to the schema's owner, a dropped
     editor or reader is cleared; ``clean_*`` tells these from real edits.
     """
+    target = _target(changes)
+    row_of = {"db_id": "db_id", "target_schema_name": "schema_name", "target_schema_oid": "schema_oid"}
     old = registry.select(
-        F.col("schema_oid").alias("target_schema_oid"),
+        *[F.col(row_of[c]).alias(c) for c in target],
         F.col("schema_name").alias("old_name"),
         F.col("block").alias("old_block"),
         F.col("in_nomenclature").alias("old_nomenclature"),
         F.col("is_created").alias("old_created"),
         F.col("schema_oid").alias("old_schema_oid"),
         *[F.col(c).alias(f"old_{c}") for f in FUNCTIONS for c in (f, f"{f}_oid")],
-    ).where(F.col("target_schema_oid").isNotNull())
-    held = attach(changes, old, "target_schema_oid", "left")
+    ).where(F.col(target[-1]).isNotNull())
+    held = attach(changes, old, target, "left")
     known = F.col("old_name").isNotNull()
     op = F.when((F.col("op") == "UPDATE") & ~known, F.lit("INSERT")).otherwise(F.col("op"))
     trusted = F.col("trusted") if "trusted" in changes.columns else F.lit(False)
@@ -397,15 +405,10 @@ def apply_registry_changes(
     """
     reviewed = cut_lineage(reviewed)
     accepted = accepted_changes(reviewed)
-    touched = accepted.where(F.col("old_schema_oid").isNotNull()).select(
-        F.col("old_schema_oid").alias("schema_oid"), F.lit(True).alias("_touched")
-    )
-    marked = attach(registry, touched, "schema_oid", "left")
-    untouched = marked.where(F.col("_touched").isNull()).drop("_touched")
-    levels = registry.where(F.col("schema_oid").isNotNull()).select(
-        F.col("schema_oid").alias("old_schema_oid"), "level1", "level2"
-    )
-    edited = attach(accepted.where(F.col("op") != "DELETE"), levels, "old_schema_oid", "left")
+    touched = accepted.where(F.col("old_name").isNotNull()).select("db_id", F.col("old_name").alias("schema_name"))
+    untouched = attach(registry, touched, ["db_id", "schema_name"], "left_anti")
+    levels = registry.select("db_id", F.col("schema_name").alias("old_name"), "level1", "level2")
+    edited = attach(accepted.where(F.col("op") != "DELETE"), levels, ["db_id", "old_name"], "left")
     real = namespaces.select("db_id", "schema_name", F.col("schema_oid").alias("_real"))
     edited = attach(edited, real, ["db_id", "schema_name"], "left")
     edited = edited.withColumn(

@@ -97,12 +97,13 @@ select obj_oid, schema_oid as source_schema_oid, 5000000+(schema_oid-5000000+1)%
     "nomenclature": """
 select substr('cwsprxez',1+p_size%8,1) as block, p_brand||'*' as level1, p_type as level2, substr('cwsprxez',1+p_size%8,1)||'_sch_'||(p_partkey*2) as schema_name, 'g_admin' as producer, cast(null as string) as editor, 'g_consult' as reader from part where p_size%9<>0 and p_partkey%6=0
 """,
+    # Several edits of each schema of the registry, created or not.
     "registry_changes": """
-with o as (select o_orderkey%(select count(*) from part) as pk, min(o_orderkey) as k from orders group by o_orderkey%(select count(*) from part)), c as (select o.pk, o.k, x.o_orderstatus as st, x.o_custkey as ck from o join orders x on x.o_orderkey=o.k)
+with c as (select o_orderkey%(select count(*) from part) as pk, o_orderkey as k, o_orderstatus as st, o_custkey as ck from orders)
 select k as change_id, case st when 'O' then 'INSERT' when 'F' then 'UPDATE' else 'DELETE' end as op, 5000000+pk as target_schema_oid, 1000000+ck as actor_oid,
  case k%6 when 0 then 'd_sch_'||pk when 1 then '' when 2 then 'sch_'||pk when 3 then 'w_new_'||pk when 4 then 'c_sch_'||(pk+1) else 'plain'||pk end as new_schema_name,
  case k%5 when 0 then null when 1 then 'd' when 2 then 'w' when 3 then 'Z' else '' end as new_block,
- case when k%4=0 then '' else 'prod_'||(pk%(select count(*) from supplier)) end as new_producer,
+ case when k%4=0 then '' else 'prod_'||((pk+case when k%5=0 then 8 else 0 end)%(select count(*) from supplier)) end as new_producer,
  case when k%3=0 then '' else 'grp_'||(ck%25) end as new_editor, case when k%8=0 then 'grp_'||(ck%25) else 'g_consult' end as new_reader, k%10<>3 as new_created, k%12=0 as new_nomenclature, cast(null as bigint) as new_schema_oid from c
 """,
     "outer_acl": """
@@ -197,9 +198,14 @@ select t.obj_oid as table_oid, t.schema_oid, s.obj_name as index_name, t.obj_oid
     "auto_types": """
 select o.obj_oid from objects o where o.obj_kind='T' and not o.has_acl
 """,
-    # Edits with the database they belong to.
+    # Edits with the database and the name of the row they are about; some rows do not exist.
     "change_sets": """
-select c.*, (target_schema_oid-5000000)%4 as db_id from registry_changes c
+select c.*, (target_schema_oid-5000000)%4 as db_id, coalesce(r.schema_name, 'c_unknown_'||(target_schema_oid-5000000)) as target_schema_name
+from registry_changes c left join registry r on split_part(r.schema_name,'sch_',2)=''||(target_schema_oid-5000000)
+""",
+    # The last edit of each schema.
+    "last_changes": """
+select * from (select c.*, max(change_id) over (partition by target_schema_oid) as newest from registry_changes c) t where change_id=newest
 """,
     # Roles that may create schemas in a database.
     "database_creators": """
@@ -216,11 +222,11 @@ select distinct 1000000+user_id%(select count(*) from customer) as user_oid, eve
     # Schemas whose editor or reader is about to change.
     "function_switches": """
 select r.db_id, r.schema_oid, n.schema_name, 'editor' as function, case when r.editor='public' then 0 else o.role_oid end as old_oid, t.role_oid as new_oid
- from registry_changes c join registry r on r.schema_oid=c.target_schema_oid join namespaces n on n.schema_oid=r.schema_oid left join roles o on o.role_oid=r.editor_oid left join roles t on t.role_name=nullif(c.new_editor,'')
+ from last_changes c join registry r on r.schema_oid=c.target_schema_oid join namespaces n on n.schema_oid=r.schema_oid left join roles o on o.role_oid=r.editor_oid left join roles t on t.role_name=nullif(c.new_editor,'')
  where c.op<>'DELETE' and coalesce(nullif(c.new_editor,''),'')<>coalesce(r.editor,'')
 union all
 select r.db_id, r.schema_oid, n.schema_name, 'reader', case when r.reader='public' then 0 else o.role_oid end, t.role_oid
- from registry_changes c join registry r on r.schema_oid=c.target_schema_oid join namespaces n on n.schema_oid=r.schema_oid left join roles o on o.role_oid=r.reader_oid left join roles t on t.role_name=nullif(c.new_reader,'')
+ from last_changes c join registry r on r.schema_oid=c.target_schema_oid join namespaces n on n.schema_oid=r.schema_oid left join roles o on o.role_oid=r.reader_oid left join roles t on t.role_name=nullif(c.new_reader,'')
  where c.op<>'DELETE' and coalesce(nullif(c.new_reader,''),'')<>coalesce(r.reader,'')
 """,
     # Schemas somebody wants to bring back to the standard; some are missing, some of the server.

@@ -454,8 +454,8 @@ outr AS (SELECT DISTINCT o.obj_class, o.obj_name, p.privilege, x.role_oid, x.tar
     return rows
 
 
-REVIEW = """c0 AS (SELECT c.*, CASE WHEN c.op='UPDATE' AND r.schema_oid IS NULL THEN 'INSERT' ELSE c.op END AS op2, r.schema_name AS rn, r.block AS rb, r.in_nomenclature AS rt, r.is_created AS rc, r.schema_oid AS ro,
-  r.producer AS rp, r.producer_oid AS rpo, r.editor AS re, r.editor_oid AS reo, r.reader AS rl, r.reader_oid AS rlo FROM change_sets c LEFT JOIN registry r ON r.schema_oid=c.target_schema_oid),
+REVIEW = """c0 AS (SELECT c.*, CASE WHEN c.op='UPDATE' AND r.schema_name IS NULL THEN 'INSERT' ELSE c.op END AS op2, r.schema_name AS rn, r.block AS rb, r.in_nomenclature AS rt, r.is_created AS rc, r.schema_oid AS ro,
+  r.producer AS rp, r.producer_oid AS rpo, r.editor AS re, r.editor_oid AS reo, r.reader AS rl, r.reader_oid AS rlo FROM (SELECT *, max(change_id) OVER (PARTITION BY db_id, target_schema_name) AS newest FROM change_sets) c LEFT JOIN registry r ON r.db_id=c.db_id AND r.schema_name=c.target_schema_name WHERE c.change_id=c.newest),
 c1 AS (SELECT change_id, db_id, op2 AS op, actor_oid, new_schema_name AS raw_name, new_block AS raw_block, nullif(new_schema_name,'') AS name, nullif(new_block,'') AS block, coalesce(nullif(new_producer,''),'g_admin') AS p,
   nullif(new_editor,'') AS e, nullif(new_reader,'') AS l, coalesce(new_created,false) AS cr, coalesce(new_nomenclature,false) AS nom,
   CASE WHEN op2<>'INSERT' THEN rn END AS old_name, CASE WHEN op2<>'INSERT' THEN rb END AS old_block, CASE WHEN op2<>'INSERT' THEN rt END AS old_nom, CASE WHEN op2<>'INSERT' THEN rc END AS old_cr, CASE WHEN op2<>'INSERT' THEN ro END AS old_oid,
@@ -544,9 +544,9 @@ def registry() -> dict[str, str]:
         f"{REVIEW},\n{ALIGN}")
     row = "CAST({0}.db_id AS BIGINT) AS db_id, {0}.block, {0}.in_nomenclature, {0}.level1, {0}.level2, {0}.schema_name, CAST({0}.schema_oid AS BIGINT) AS schema_oid, {0}.is_created, {0}.producer, CAST({0}.producer_oid AS BIGINT) AS producer_oid, {0}.editor, CAST({0}.editor_oid AS BIGINT) AS editor_oid, {0}.reader, CAST({0}.reader_oid AS BIGINT) AS reader_oid"
     out["apply_registry_changes"] = with_inputs(
-        f"""SELECT {row.format('r')} FROM registry r WHERE r.schema_oid IS NULL OR r.schema_oid NOT IN (SELECT old_oid FROM ok WHERE old_oid IS NOT NULL)
+        f"""SELECT {row.format('r')} FROM registry r WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.db_id=r.db_id AND ok.old_name=r.schema_name)
  UNION ALL SELECT {row.format('x')} FROM (SELECT o.db_id, o.block, o.nom AS in_nomenclature, r.level1, r.level2, o.name AS schema_name, CASE WHEN o.cr THEN coalesce(o.soid, n.schema_oid) END AS schema_oid, o.cr AS is_created, o.p AS producer, o.fpo AS producer_oid, o.e AS editor, o.feo AS editor_oid, o.l AS reader, o.flo AS reader_oid
- FROM ok o LEFT JOIN registry r ON r.schema_oid=o.old_oid LEFT JOIN namespaces n ON n.db_id=o.db_id AND n.schema_name=o.name WHERE o.op<>'DELETE') x""", full, recursive=True)
+ FROM ok o LEFT JOIN registry r ON r.db_id=o.db_id AND r.schema_name=o.old_name LEFT JOIN namespaces n ON n.db_id=o.db_id AND n.schema_name=o.name WHERE o.op<>'DELETE') x""", full, recursive=True)
     out["register_unlisted_schemas"] = with_inputs(
         """SELECT CAST(n.db_id AS BIGINT) AS db_id, CAST(n.schema_oid AS BIGINT) AS schema_oid, n.schema_name, CASE WHEN r.schema_name IS NULL THEN 'insert' ELSE 'update' END AS action, w.role_name AS producer
  FROM namespaces n LEFT JOIN registry r ON r.db_id=n.db_id AND r.schema_name=n.schema_name LEFT JOIN roles w ON w.role_oid=n.owner_oid

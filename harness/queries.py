@@ -370,13 +370,18 @@ def reassign_owned_plan(c):
     return plan.select("db_id", "obj_kind", "obj_oid", "role_oid", "old_owner_oid", "command")
 
 
+def _edits(c):
+    """The last edit of each row; those before it are superseded."""
+    return registry.latest_changes(c.change_sets)[0]
+
+
 def _normalised(c):
-    return registry.normalise_changes(c.change_sets, c.registry, c.roles, c.namespaces)
+    return registry.normalise_changes(_edits(c), c.registry, c.roles, c.namespaces)
 
 
 def _reviewed(c):
     return registry.review_changes(
-        c.change_sets, c.registry, c.roles, c.namespaces, c.database_creators, c.usage, c.member
+        _edits(c), c.registry, c.roles, c.namespaces, c.database_creators, c.usage, c.member
     )
 
 

@@ -177,10 +177,56 @@ def test_apply(spark, world, rows):
     assert got["w_x"] == (None, "w", 10, None, None, None)  # the first of two edits keeps the name
 
 
+def test_rows_that_are_not_created_are_edited_by_name(spark, world, rows):
+    roles, edges, registry, namespaces, creators = world
+    future = spark.createDataFrame(
+        [
+            (0, "w", False, "L", None, "w_wait", None, False, "prod", None, None, None, None, None),
+            (0, "w", True, None, None, "w_plan", None, False, "prod", None, None, None, None, None),
+            (1, "w", False, None, None, "w_wait", None, False, "prod", None, None, None, None, None),
+        ],
+        REGISTRY,
+    )
+    registry = registry.unionByName(future)
+    base = dict(
+        db_id=0, op="UPDATE", target_schema_name="w_wait", actor_oid=4, new_schema_name="w_wait", new_block="w",
+        new_producer="prod", new_editor=None, new_reader=None, new_created=True, new_nomenclature=False,
+        new_schema_oid=None, trusted=False, is_exit=False,
+    )
+    names = [c.split()[0] for c in CHANGES.split(", ")]
+    names[names.index("target_schema_oid")] = "target_schema_name"
+    edits = [
+        (dict(op="DELETE"), []),
+        (dict(op="DELETE", target_schema_name="w_plan"), ["TB3"]),
+        (dict(op="DELETE", target_schema_name="w_nowhere"), ["NO_ROW"]),
+        (dict(new_producer="boss"), ["TB21", "TB24"]),
+        (dict(), []),
+        (dict(op="DELETE", target_schema_name="c_one"), ["TB2"]),
+        (dict(target_schema_name="w_nowhere", new_schema_name="w_fresh"), []),
+    ]
+    schema = CHANGES.replace("target_schema_oid bigint", "target_schema_name string")
+    closures = role_closure(roles, edges), role_closure(roles, edges, "member")
+
+    def reviewed(cases):
+        data = [tuple({**base, "change_id": i, **e}[n] for n in names) for i, e in cases]
+        return G.review_changes(spark.createDataFrame(data, schema), registry, roles, namespaces, creators, *closures)
+
+    got = {r.change_id: list(r.codes) for r in reviewed([(i, e) for i, (e, _) in enumerate(edits)]).collect()}
+    assert got == {i: codes for i, (_, codes) in enumerate(edits)}
+    shown = lambda df: rows(df.where("schema_name like 'w_wait'"), "db_id", "is_created", "producer", "level1")
+    # a deletion of the row of one database leaves the other's
+    gone = G.apply_registry_changes(registry, reviewed([(0, edits[0][0])]), namespaces)
+    assert shown(gone) == [(1, False, "prod", None)]
+    raised = G.apply_registry_changes(registry, reviewed([(4, edits[4][0])]), namespaces)
+    assert shown(raised) == [(0, True, "prod", "L"), (1, False, "prod", None)]
+
+
 def test_latest_change_of_a_schema(spark, rows):
     df = spark.createDataFrame([(1, 7), (5, 7), (2, 8)], "change_id bigint, target_schema_oid bigint")
     last, older = G.latest_changes(df)
     assert rows(last, "change_id") == [(2,), (5,)] and rows(older, "change_id") == [(1,)]
+    df = spark.createDataFrame([(1, 0, "a"), (5, 0, "a"), (2, 1, "a")], "change_id bigint, db_id bigint, target_schema_name string")
+    assert rows(G.latest_changes(df)[0], "change_id") == [(2,), (5,)]
 
 
 def test_duplicates_and_checks(spark, rows):
