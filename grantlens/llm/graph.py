@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlens.scaling import cut_lineage
+from grantlens.llm.tables import cut_lineage
 
 
 def _state(edges: DataFrame) -> tuple:

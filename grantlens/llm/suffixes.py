@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.llm.words import blocks, grams, mix64, words
-from grantlens.scaling import cut_lineage
+from grantlens.llm.tables import cut_lineage
 
 LENGTH = 50  # words of the shortest passage
 KEY = 10  # words that suffixes are first matched by
