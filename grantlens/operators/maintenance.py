@@ -59,14 +59,17 @@ def deregister_schemas(
 
 
 def import_taxonomy(registry: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """What importing the taxonomy changes: unknown schemas are inserted as not created, known
-    ones only get their taxonomy columns, and only where these differ (NULL equals empty)."""
+    """What importing the taxonomy changes in each database that has a registry: unknown schemas are
+    inserted as not created, known ones only get their taxonomy columns, and only where these differ
+    (NULL equals empty)."""
     columns = [c for c in TAXONOMY_COLUMNS if c in registry.columns and c in taxonomy.columns]
     old = registry.select(
-        "schema_name", F.col("db_id").alias("db_id"), F.lit(True).alias("_known"),
+        "db_id", "schema_name", F.lit(True).alias("_known"),
         *[F.col(c).alias(f"_{c}") for c in columns],
     )
-    held = attach(taxonomy, old, "schema_name", "left")
+    # one row for each schema of the national list and database: that is what there is to decide
+    databases = registry.select("db_id").distinct()
+    held = attach(taxonomy.crossJoin(databases), old, ["db_id", "schema_name"], "left")
     differs = F.lit(False)
     for c in columns:
         if c == "in_nomenclature":

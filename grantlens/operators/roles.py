@@ -201,21 +201,21 @@ def visible_registry(
 
 
 def registry_listing(registry: DataFrame) -> DataFrame:
-    """Read-only listing of the registry with a dense id by schema name."""
+    """Read-only listing of the registry with a dense id by database and schema name."""
     return number_rows(
         registry.select(
-            "schema_name", "block", "in_nomenclature", "level1", "level2", "is_created", "producer",
+            "db_id", "schema_name", "block", "in_nomenclature", "level1", "level2", "is_created", "producer",
             "editor", "reader",
         ),
-        [F.col("schema_name")],
+        [F.col("db_id"), F.col("schema_name")],
     )
 
 
 def manager_listing(registry: DataFrame) -> DataFrame:
-    """Created schemas with the ids of their functions and a dense id by schema name."""
+    """Created schemas with the ids of their functions and a dense id by database and schema name."""
     return number_rows(
-        registry.where("is_created").select("schema_name", "producer_oid", "editor_oid", "reader_oid"),
-        [F.col("schema_name")],
+        registry.where("is_created").select("db_id", "schema_name", "producer_oid", "editor_oid", "reader_oid"),
+        [F.col("db_id"), F.col("schema_name")],
     )
 
 

@@ -77,7 +77,7 @@ from lineitem l join objects o on o.obj_oid=l.l_orderkey*10+l.l_linenumber left
 where o.has_acl
 """,
     "column_acl": """
-select o.db_id,o.obj_oid,o.schema_oid,'col_'||cast(l_quantity as int) as column_name, case when l_returnflag='A' then 0 else 100+l_suppkey%25 end as grantee_oid, case when l_linestatus='O' then 'r' else 'rw' end as codes, l_discount>0.095 as grantable from lineitem l join objects o on o.obj_oid=l_orderkey*10+l_linenumber where o.obj_kind in ('r','p') and l_tax>0.075
+select o.db_id,o.obj_oid,o.schema_oid,'col_'||cast(l_quantity as int) as column_name, case when l_returnflag='A' then 0 else 100+l_suppkey%25 end as grantee_oid, case when l_linestatus='O' then 'r' else 'rw' end as codes, l_discount>0.095 as grantable from lineitem l join objects o on o.obj_oid=l_orderkey*10+l_linenumber where o.obj_kind in ('r','p')
 """,
     "default_acl": """
 select (o_orderkey%(select count(*) from part))%4 as db_id, 5000000+o_orderkey%(select count(*) from part) as schema_oid, 1000+o_custkey%(select count(*) from supplier) as grantor_oid,
@@ -95,7 +95,7 @@ select t.obj_oid as table_oid, s.obj_oid as sequence_oid from objects t join obj
 select obj_oid, schema_oid as source_schema_oid, 5000000+(schema_oid-5000000+1)%(select count(*) from part) as target_schema_oid, 1+obj_oid%6 as variant from objects where obj_oid%11=0
 """,
     "nomenclature": """
-select substr('cwsprxez',1+p_size%8,1) as block, p_brand||'*' as level1, p_type as level2, substr('cwsprxez',1+p_size%8,1)||'_sch_'||(p_partkey*2) as schema_name, 'g_admin' as producer, cast(null as string) as editor, 'g_consult' as reader from part where p_size%9<>0 and p_partkey%6=0
+select substr('cwsprxez',1+p_size%8,1) as block, p_brand||'*' as level1, p_type as level2, substr('cwsprxez',1+p_size%8,1)||'_sch_'||(p_partkey*2) as schema_name, 'g_admin' as producer, cast(null as string) as editor, 'g_consult' as reader from part where p_size%9<>0
 """,
     # Several edits of each schema of the registry, created or not.
     "registry_changes": """
@@ -103,7 +103,7 @@ with c as (select o_orderkey%(select count(*) from part) as pk, o_orderkey as k,
 select k as change_id, case st when 'O' then 'INSERT' when 'F' then 'UPDATE' else 'DELETE' end as op, 5000000+pk as target_schema_oid, 1000000+ck as actor_oid,
  case k%6 when 0 then 'd_sch_'||pk when 1 then '' when 2 then 'sch_'||pk when 3 then 'w_new_'||pk when 4 then 'c_sch_'||(pk+1) else 'plain'||pk end as new_schema_name,
  case k%5 when 0 then null when 1 then 'd' when 2 then 'w' when 3 then 'Z' else '' end as new_block,
- case when k%4=0 then '' else 'prod_'||((pk+case when k%5=0 then 8 else 0 end)%(select count(*) from supplier)) end as new_producer,
+ case when k%4=0 then '' else 'prod_'||((pk+case when k%5=4 then 8 else 0 end)%(select count(*) from supplier)) end as new_producer,
  case when k%3=0 then '' else 'grp_'||(ck%25) end as new_editor, case when k%8=0 then 'grp_'||(ck%25) else 'g_consult' end as new_reader, k%10<>3 as new_created, k%12=0 as new_nomenclature, cast(null as bigint) as new_schema_oid from c
 """,
     "outer_acl": """

@@ -213,9 +213,9 @@ def roles() -> dict[str, str]:
  WHERE u.role_oid IN (SELECT role_oid FROM supers) OR u.role_oid IN (SELECT member_oid FROM usage_reach WHERE role_oid=10)
  OR (u.role_oid, CASE WHEN r.is_created AND r.producer_oid IS NOT NULL THEN r.producer_oid ELSE p.role_oid END) IN (SELECT (member_oid, role_oid) FROM usage_reach)""", graph, recursive=True),
         "registry_listing": with_inputs(
-            "SELECT row_number() OVER (ORDER BY schema_name) AS id, schema_name, block, in_nomenclature, level1, level2, is_created, producer, editor, reader FROM registry"),
+            "SELECT row_number() OVER (ORDER BY db_id, schema_name) AS id, CAST(db_id AS BIGINT) AS db_id, schema_name, block, in_nomenclature, level1, level2, is_created, producer, editor, reader FROM registry"),
         "manager_listing": with_inputs(
-            "SELECT row_number() OVER (ORDER BY schema_name) AS id, schema_name, CAST(producer_oid AS BIGINT) AS producer_oid, CAST(editor_oid AS BIGINT) AS editor_oid, CAST(reader_oid AS BIGINT) AS reader_oid FROM registry WHERE is_created"),
+            "SELECT row_number() OVER (ORDER BY db_id, schema_name) AS id, CAST(db_id AS BIGINT) AS db_id, schema_name, CAST(producer_oid AS BIGINT) AS producer_oid, CAST(editor_oid AS BIGINT) AS editor_oid, CAST(reader_oid AS BIGINT) AS reader_oid FROM registry WHERE is_created"),
         "logins_missing_role": with_inputs(
             f"""SELECT 'direct' AS mode, CAST(r.role_oid AS BIGINT) AS member_oid, 'GRANT g_consult TO '||{q('r.role_name')} AS command FROM roles r WHERE r.can_login AND NOT r.is_super AND r.role_oid NOT IN (SELECT member_oid FROM memberships WHERE role_oid=12)
  UNION ALL SELECT 'indirect', CAST(r.role_oid AS BIGINT), 'GRANT g_consult TO '||{q('r.role_name')} FROM roles r WHERE r.can_login AND NOT r.is_super AND r.role_oid NOT IN (SELECT member_oid FROM member_reach WHERE role_oid=12)""", MEMBER, recursive=True),
@@ -555,9 +555,9 @@ def registry() -> dict[str, str]:
         """SELECT CAST(d.db_id AS BIGINT) AS db_id, d.schema_name, CASE WHEN r.schema_name IS NULL THEN 'unknown' WHEN r.in_nomenclature THEN 'TB26' ELSE 'removed' END AS answer FROM (SELECT DISTINCT db_id, schema_name FROM deregistrations) d LEFT JOIN registry r ON r.db_id=d.db_id AND r.schema_name=d.schema_name
  UNION ALL SELECT CAST(db_id AS BIGINT), schema_name, 'kept' FROM registry r WHERE in_nomenclature OR NOT EXISTS (SELECT 1 FROM deregistrations d WHERE d.db_id=r.db_id AND d.schema_name=r.schema_name)""")
     out["import_taxonomy"] = with_inputs(
-        """SELECT t.schema_name, t.block, t.level1, t.level2, t.producer, t.editor, t.reader, CAST(r.db_id AS BIGINT) AS db_id,
+        """SELECT t.schema_name, t.block, t.level1, t.level2, t.producer, t.editor, t.reader, CAST(d.db_id AS BIGINT) AS db_id,
  CASE WHEN r.schema_name IS NULL THEN 'insert' WHEN NOT r.in_nomenclature OR coalesce(r.level1,'')<>coalesce(t.level1,'') OR coalesce(r.level2,'')<>coalesce(t.level2,'') THEN 'update' ELSE 'none' END AS action
- FROM nomenclature t LEFT JOIN registry r ON r.schema_name=t.schema_name""")
+ FROM nomenclature t CROSS JOIN (SELECT DISTINCT db_id FROM registry) d LEFT JOIN registry r ON r.db_id=d.db_id AND r.schema_name=t.schema_name""")
     return out
 
 

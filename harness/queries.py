@@ -214,12 +214,12 @@ def visible_registry(c):
 
 @query
 def registry_listing(c):
-    return roles.registry_listing(c.registry)
+    return roles.registry_listing(c.registry).withColumn("db_id", F.col("db_id").cast("bigint"))
 
 
 @query
 def manager_listing(c):
-    return roles.manager_listing(c.registry)
+    return roles.manager_listing(c.registry).withColumn("db_id", F.col("db_id").cast("bigint"))
 
 
 @query

@@ -269,8 +269,12 @@ def test_taxonomy(spark, world, rows, tmp_path):
     ]
     spark.createDataFrame(data, TAXONOMY).write.parquet(f"{tmp_path}/tax")
     taxonomy = read_taxonomy(spark, f"{tmp_path}/tax")
-    got = maintenance.import_taxonomy(world[2], taxonomy)
+    one = world[2]
+    got = maintenance.import_taxonomy(one, taxonomy)
     assert rows(got, "schema_name", "action") == [("c_one", "update"), ("p_new", "insert"), ("w_tax", "none")]
+    other = one.limit(1).withColumn("db_id", F.lit(7).cast("bigint")).withColumn("schema_name", F.lit("p_new"))
+    got = maintenance.import_taxonomy(one.unionByName(other), taxonomy).where("db_id = 7")
+    assert rows(got, "schema_name", "action") == [("c_one", "insert"), ("p_new", "update"), ("w_tax", "insert")]
     assert limit_domains(taxonomy, ["oth"]).count() == 1 and limit_domains(taxonomy, ["L1"]).count() == 1
     assert limit_domains(taxonomy).count() == 3 and limit_domains(taxonomy, []).count() == 3
     assert taxonomy.where(~F.col("in_nomenclature")).count() == 0
