@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.llm.graph import components
-from grantlens.scaling import cut_lineage
+from grantlens.llm.tables import cut_lineage
 
 EDITS = 2
 CHARS_PER_EDIT = 10  # a line may differ by one edit for so many characters
@@ -30,36 +30,57 @@ def _cut(length: Column, i: int, parts: int) -> Column:
     return F.floor(length * i / parts).cast("int")
 
 
-def _entries(rest: Column, prefix: Column, edits: int) -> Column:
-    """Segments and substrings of a line: structs (key, at, size, own), null where none fits.
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(characters less, segment, shift) of all substrings to look up, the line's own segments first.
 
-    ``own`` marks a segment of the line itself; the others are substrings that may equal a segment
-    of a line as long or shorter. At most ``edits`` edits lie to either side of a segment that
-    matches, and one in each segment before the first that does: that bounds the shift.
+    A substring may equal segment ``i`` of a line that is ``less`` characters shorter or as long. At
+    most ``edits`` edits lie to either side of a segment that matches, and one in each segment before
+    the first that does: that bounds the shift.
     """
-    n, out = F.length(rest), []
-    for shorter in range(edits + 1):
-        other = n - shorter
+    out = [(0, i, 0) for i in range(edits + 1)]
+    for less in range(edits + 1):
         for i in range(edits + 1):
-            begin = _cut(other, i, edits + 1)
-            size = _cut(other, i + 1, edits + 1) - begin
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                at = begin + shift
-                key = F.xxhash64(prefix, other, F.lit(i), F.substring(rest, at + 1, size))
-                entry = F.struct(
-                    key.alias("key"),
-                    at.alias("at"),
-                    size.alias("size"),
-                    F.lit(shorter == 0 and shift == 0).alias("own"),
-                )
-                out.append(F.when((at >= 0) & (at + size <= n) & (other >= 0), entry))
-    return F.array(*out)
-
-
-def _exploded(level: DataFrame, edits: int) -> DataFrame:
-    rows = level.select("id", "rest", F.explode(_entries(F.col("rest"), F.col("prefix"), edits)).alias("e"))
-    return rows.where("e is not null").select("id", "rest", "e.*")
+            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            out += [(less, i, shift) for shift in range(low, high + 1) if less or shift]
+    return out
+
+
+def _measured(level: DataFrame, edits: int) -> DataFrame:
+    """(id, rest, prefix) with its length and the cuts of all lengths in reach, worked out once."""
+    level = level.select("id", "rest", "prefix", F.length("rest").alias("n"))
+    cuts = [
+        F.expr(f"(n - {less}) * {i} div {edits + 1}").cast("int").alias(f"c{less}_{i}")
+        for less in range(edits + 1)
+        for i in range(edits + 2)
+    ]
+    return level.select("*", *cuts)
+
+
+def _place(place: tuple[int, int, int]) -> tuple[Column, Column, Column]:
+    """Start and size of a substring of a measured line, and its key (null where it does not fit)."""
+    less, i, shift = place
+    at = F.col(f"c{less}_{i}") + shift
+    size = F.col(f"c{less}_{i + 1}") - F.col(f"c{less}_{i}")
+    key = F.xxhash64("prefix", F.col("n") - less, F.lit(i), F.substring(F.col("rest"), at + 1, size))
+    return at, size, F.when((at >= 0) & (at + size <= F.col("n")) & (F.col("n") >= less), key)
+
+
+def _tags(level: DataFrame, edits: int) -> DataFrame:
+    """(key, tag): every substring of every line; the tag is the id and whether it is a segment."""
+    keys = F.array(*[_place(p)[2] for p in _places(edits)])
+    rows = _measured(level, edits).select("id", F.posexplode(keys).alias("p", "key")).where("key is not null")
+    return rows.select("key", F.shiftleft("id", 1).bitwiseOR((F.col("p") <= edits).cast("long")).alias("tag"))
+
+
+def _rests(level: DataFrame, edits: int) -> DataFrame:
+    """(id, key, rest): every line without a substring, for each of them."""
+    entries = []
+    for p in _places(edits):
+        at, size, key = _place(p)
+        rest = F.concat(F.substring(F.col("rest"), F.lit(1), at), F.substring(F.col("rest"), at + size + 1, F.col("n")))
+        entries.append(F.when(key.isNotNull(), F.struct(key.alias("key"), rest.alias("rest"))))
+    rows = _measured(level, edits).select("id", F.explode(F.array(*entries)).alias("e"))
+    return rows.where("e is not null").select("id", "e.*")
 
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
@@ -70,15 +91,11 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     level = lines.select("id", "rest", F.lit(0).cast("long").alias("prefix"))
     found = []
     for depth in range(DEPTH + 1):
-        tags = _exploded(level, edits).select(
-            "key", (F.shiftleft("id", 1).bitwiseOR(F.col("own").cast("long"))).alias("tag")
-        )
+        tags = _tags(level, edits)
         own = F.col("tag").bitwiseAND(F.lit(1).cast("long"))
-        shared = tags.groupBy("key").agg(
-            F.min("tag").alias("_a"), F.max("tag").alias("_b"), F.max(own).alias("_own")
-        )
+        shared = tags.groupBy("key").agg(F.bit_and("tag").alias("_all"), F.bit_or("tag").alias("_any"))
         # a key of one line alone, or that is nobody's segment, leads to nothing
-        shared = shared.where("_own = 1 and shiftrightunsigned(_a, 1) != shiftrightunsigned(_b, 1)")
+        shared = shared.where("_any & 1 = 1 and shiftrightunsigned(_all, 1) != shiftrightunsigned(_any, 1)")
         # dealt out by key at any size: the shared keys grow with the input
         live = tags.join(shared.select("key").hint("merge"), "key").distinct()
         live = cut_lineage(
@@ -97,11 +114,9 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         if last:
             break
         many = live.join(hot, "key", "left_semi").select("key", "id").distinct()
-        rests = _exploded(level.join(many.select("id").distinct(), "id", "left_semi"), edits)
-        before = F.substring(F.col("rest"), F.lit(1), F.col("at"))
-        after = F.substring(F.col("rest"), F.col("at") + F.col("size") + 1, F.length("rest"))
+        rests = _rests(level.join(many.select("id").distinct(), "id", "left_semi"), edits)
         rests = rests.join(many, ["key", "id"], "left_semi").select(
-            "id", F.concat(before, after).alias("rest"), F.col("key").alias("prefix")
+            "id", "rest", F.col("key").alias("prefix")
         )
         level = cut_lineage(rests.distinct())
         if level.isEmpty():
