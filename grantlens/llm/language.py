@@ -25,7 +25,8 @@ ORDER = 4
 PER_LANGUAGE = 1200  # texts that a model is fitted on, about; bounds the model
 CALIBRATION = 4  # one in so many of them calibrates the rejection and is not counted
 REJECTED = 0.001  # share of calibration texts that may lie beyond the limit
-SLACK = 1.5  # further widening of the limit
+SLACK = 2.0  # further widening of the limit
+LEAST_LIMIT = 8.0  # spreads that no text is rejected within, however alike the calibration texts are
 DISCOUNT = 0.75
 PIECE = 1 << 17  # positions scored at a time
 UNKNOWN = "und"
@@ -319,9 +320,9 @@ def _calibrate(model: LanguageModel, sample: DataFrame) -> None:
     for k in range(shape):
         if bits[k]:
             far = model.excess(np.full(len(bits[k]), k), np.array(bits[k]), np.array(sizes[k]))
-            model.limit[k] = max(4.0, SLACK * np.quantile(far, 1 - REJECTED))
+            model.limit[k] = max(LEAST_LIMIT, SLACK * np.quantile(far, 1 - REJECTED))
         else:
-            model.limit[k] = 8.0
+            model.limit[k] = LEAST_LIMIT
 
 
 def _judge(model: LanguageModel):
