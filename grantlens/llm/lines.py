@@ -175,7 +175,7 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     first = F.struct(
         number(mask - ((1 << (bits - edits - 1)) - 1)).alias("vp"),
         number(0).alias("vn"),
-        F.lit(edits).alias("d"),
+        F.least(n_a, F.lit(edits)).alias("d"),
         F.lit(1).alias("j"),
     )
     start = F.struct(
@@ -187,6 +187,28 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(n_a - n_b > edits, F.lit(edits + 1)).when(n_b == 0, n_a).otherwise(followed)
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """Number of characters that two columns begin with alike, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    most = F.least(F.length(a), F.length(b))
+
+    def longer(p: Column, step: Column) -> Column:
+        same = F.substring(a, p + 1, step) == F.substring(b, p + 1, step)
+        return F.when((p + step <= most) & same, p + step).otherwise(p)
+
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def without_common_ends(pairs: DataFrame) -> DataFrame:
+    """(.., longer, shorter) reduced to what differs, turned round: the distance stays the same."""
+    others = [c for c in pairs.columns if c not in ("longer", "shorter")]
+    for _ in range(2):
+        cut = pairs.select("*", common_prefix(F.col("longer"), F.col("shorter")).alias("_p"))
+        rest = [F.reverse(F.substring(F.col(c), F.col("_p") + 1, F.length(c))).alias(c) for c in ("longer", "shorter")]
+        pairs = cut.select(*others, *rest)
+    return pairs
+
+
 def may_be_close(longer: Column, shorter: Column, edits: int = EDITS, parts: int = 8) -> Column:
     """Whether enough segments of the shorter line are found in the longer one, near their places.
 
@@ -236,8 +258,9 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         F.when(swap, F.col("_x")).otherwise(F.col("_y")).alias("shorter"),
     )
     both = cut_lineage(both.where(may_be_close(F.col("longer"), F.col("shorter"), edits)))
-    close = banded_distance(F.col("longer"), F.col("shorter"), edits) <= allowed_edits(F.length("shorter"), edits)
-    return cut_lineage(both.where(close).select("a", "b"))
+    both = both.withColumn("allowed", allowed_edits(F.length("shorter"), edits))
+    close = banded_distance(F.col("longer"), F.col("shorter"), edits) <= F.col("allowed")
+    return cut_lineage(without_common_ends(both).where(close).select("a", "b"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
