@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from grantlens.llm.graph import components
 from grantlens.llm.words import Block, blocks, mix64, shingles, words
-from grantlens.scaling import cut_lineage
+from grantlens.llm.tables import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -188,9 +188,13 @@ def _text_hash() -> F.Column:
 
 
 def _one_text(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the given nodes, one row each."""
-    rows = docs.select("node", "text").join(nodes.distinct(), "node", "left_semi")
-    return rows.groupBy("node").agg(F.any_value("text").alias("text"))
+    """(node, text, bytes) of the given nodes, one row each, written once for all that follows.
+
+    Texts are dealt out by their hash for this, at any size: the nodes grow with the input.
+    """
+    rows = docs.select("node", "text").join(nodes.distinct().hint("merge"), "node", "left_semi")
+    texts = rows.groupBy("node").agg(F.any_value("text").alias("text"))
+    return cut_lineage(texts.withColumn("bytes", F.octet_length("text")))
 
 
 def near_duplicates(
@@ -222,7 +226,9 @@ def near_duplicates(
     banded = cut_lineage(signed.select("node", F.explode("keys").alias("key")))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = cut_lineage(banded.join(shared, "key"))
-    links = cut_lineage(_star_links(docs, live.withColumn("component", F.col("node")), 0, shingle, weighted, threshold))
+    texts = _one_text(docs, live.select("node"))
+    first = live.withColumn("component", F.col("node"))
+    links = cut_lineage(_star_links(texts, first, 0, shingle, weighted, threshold))
     for turn in range(1, STAR_ROUNDS + 1):
         parts = components(links)
         placed = live.where("members > 2").join(
@@ -232,9 +238,9 @@ def near_duplicates(
             placed.select("key", "node", "members", F.coalesce("_part", "node").alias("component"))
         )
         if turn < STAR_ROUNDS:
-            more = _star_links(docs, placed, turn, shingle, weighted, threshold)
+            more = _star_links(texts, placed, turn, shingle, weighted, threshold)
         else:
-            more = _remaining_links(docs, placed, shingle, weighted, threshold)
+            more = _remaining_links(texts, placed, shingle, weighted, threshold)
         links = cut_lineage(links.union(more))
     parts = components(links)
     members = docs.select("doc_id", "node").join(parts, "node", "left")
@@ -262,7 +268,7 @@ def _mixed_buckets(placed: DataFrame) -> DataFrame:
 
 
 def _star_links(
-    docs: DataFrame, placed: DataFrame, turn: int, shingle: int, weighted: bool, threshold: float
+    texts: DataFrame, placed: DataFrame, turn: int, shingle: int, weighted: bool, threshold: float
 ) -> DataFrame:
     """Verified links from members of a bucket to one of them, where they are not yet connected."""
     draw = F.xxhash64("node", "key", F.lit(turn))
@@ -274,16 +280,14 @@ def _star_links(
         .distinct()
     )
     pairs = cut_lineage(pairs)
-    texts = cut_lineage(
-        _one_text(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    )
+    texts = texts.select("node", "text")
     compared = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
     alike = _pair_similarity(shingle, weighted)(F.col("left"), F.col("right"))
     return compared.select("a", "b", alike.alias("s")).where(F.col("s") >= threshold - 1e-12).select("a", "b")
 
 
 def _remaining_links(
-    docs: DataFrame, placed: DataFrame, shingle: int, weighted: bool, threshold: float
+    texts: DataFrame, placed: DataFrame, shingle: int, weighted: bool, threshold: float
 ) -> DataFrame:
     """Links between the components that still share a bucket.
 
@@ -297,11 +301,9 @@ def _remaining_links(
     )
     rows = placed.select("key", "node", "component").join(main, "key")
     rows = rows.withColumn("stranger", F.col("component") != F.col("_main"))
-    texts = _one_text(docs, rows.select("node"))
-    # the average text decides on the number of blocks; a block holds about BLOCK_SHINGLES shingles
-    texts = cut_lineage(texts.withColumn("_bytes", F.octet_length("text")))
-    rows = rows.join(texts.select("node", "_bytes"), "node")
-    volume = rows.groupBy("key").agg(F.sum("_bytes").alias("_volume"))
+    # the volume decides on the number of blocks; a block holds about BLOCK_SHINGLES shingles
+    rows = rows.join(texts.select("node", "bytes"), "node")
+    volume = rows.groupBy("key").agg(F.sum("bytes").alias("_volume"))
     rows = rows.join(volume, "key")
     count = F.ceil(F.col("_volume") / (6 * BLOCK_SHINGLES)).cast("int")
     all_blocks = F.sequence(F.lit(0), count - 1)
