@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantlens.scaling import cut_lineage
+from grantlens.llm.tables import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by code point of the source's name, repeating
 SHARE = 1.5  # words of the mix against words of the input
@@ -126,17 +126,12 @@ def min_cost_flow(
     }
 
 
-def _narrow(docs: DataFrame, source: str, size: F.Column, seed: int) -> DataFrame:
-    kind = docs.schema[source].dataType
+def membership(docs: DataFrame, source: str) -> F.Column:
+    """The sorted sources of a document; no source is a source of its own."""
     own = F.col(f"`{source}`")
-    if isinstance(kind, T.ArrayType):
-        pattern = F.array_sort(F.array_distinct(F.coalesce(own, F.array(F.lit(None).cast("string")))))
-    else:
-        pattern = F.array(own.cast("string"))
-    hashable = [f"`{f.name}`" for f in docs.schema if not isinstance(f.dataType, T.MapType)]
-    return docs.select(
-        "*", pattern.alias("_pattern"), size.alias("_size"), F.xxhash64(F.lit(seed), *hashable).alias("_draw")
-    )
+    if isinstance(docs.schema[source].dataType, T.ArrayType):
+        return F.array_sort(F.array_distinct(F.coalesce(own, F.array(F.lit(None).cast("string")))))
+    return F.array(own.cast("string"))
 
 
 def mix(
@@ -157,12 +152,12 @@ def mix(
     """
     spark = docs.sparkSession
     size = word_count() if size is None else size
-    rows = _narrow(docs, source, size, seed)
-    rows = rows.select(
+    hashable = [f"`{f.name}`" for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]).alias("_row"),
-        "_pattern",
-        "_size",
-        "_draw",
+        membership(docs, source).alias("_pattern"),
+        size.alias("_size"),
+        F.xxhash64(F.lit(seed), *hashable).alias("_draw"),
     )
     narrow = cut_lineage(rows.select("_pattern", "_size", "_draw"))
     tokens = [
@@ -216,11 +211,11 @@ def _choose(narrow: DataFrame, wanted: dict[tuple, tuple[int, int]]) -> dict[tup
     buckets = draws.groupBy("_name", "_bucket").agg(F.sum("_size").alias("_sum"))
     upto = Window.partitionBy("_name").orderBy("_bucket")
     before = F.sum("_sum").over(upto) - F.col("_sum")
-    buckets = cut_lineage(buckets.withColumn("_before", before))
     # the bucket in which the remainder ends is looked at row by row; it holds one of BUCKETS parts
-    edge = draws.join(F.broadcast(buckets), ["_name", "_bucket"]).where(
-        (F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_sum") > F.col("_left"))
-    )
+    buckets = buckets.withColumn("_before", before).join(left_rows.select("_name", "_left"), "_name")
+    ends = buckets.where((F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_sum") > F.col("_left")))
+    ends = cut_lineage(ends.select("_name", "_bucket", "_before"))  # one row per pattern
+    edge = draws.join(F.broadcast(ends), ["_name", "_bucket"])
     rank = Window.partitionBy("_name").orderBy("_draw")  # equal draws are taken together
     edge = edge.withColumn("_upto", F.col("_before") + F.sum("_size").over(rank))
     stops = (
@@ -257,6 +252,5 @@ def _choose(narrow: DataFrame, wanted: dict[tuple, tuple[int, int]]) -> dict[tup
 
 def mixed_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row as many times as it is used."""
-    return mixed.where("copies > 0").select(
-        *[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), "copies")).alias("_use")
-    ).drop("_use")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return mixed.where("copies > 0").select(F.explode(F.array_repeat(row, F.col("copies"))).alias("_row")).select("_row.*")
