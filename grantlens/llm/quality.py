@@ -177,7 +177,7 @@ def train(
     rows = (
         docs.select("doc_id", "text")
         .where("text is not null")
-        .join(chosen, "doc_id")
+        .join(F.broadcast(chosen), "doc_id")  # ids only, bounded by the sample
         .select("doc_id", "text", "quality")
         .collect()
     )
