@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.llm.graph import components
-from grantlens.scaling import cut_lineage
+from grantlens.llm.tables import cut_lineage
 
 THRESHOLD = 0.95
 SAMPLE = 2048  # points that anchors are chosen from
 ANCHORS = 512  # at most; one for each BLOCK points before that
 BLOCK = 4096  # points of one block of a cell
 LEAF = 64  # points of a node that is not taken apart further
+SPARSE = 32
 TILE = 1024  # points compared at a time
-EPS = 1e-9  # bounds within this distance of the limit are settled by the cosine itself
+SINGLE = 1e-5  # error of a cosine in single precision, generously
+EPS = 1e-6  # bounds within this distance of the limit are settled by the cosine itself
 
 
 def reach_of(threshold: float) -> float:
@@ -35,12 +37,17 @@ def reach_of(threshold: float) -> float:
     return float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
 
 
+def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Of unit vectors from one of them; right to about 1e-8, which ``EPS`` allows for."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (points @ centre)))
+
+
 class CoverTree:
     """Nested nets of halving radii over unit vectors; ``order`` lists points leaf by leaf.
 
     Node ``i`` has a centre, the exact radius that covers its points, its points
     ``order[begin[i]:end[i]]``, and its children. A node whose points keep apart at half its radius
-    (a net of more than an eighth of them) stays whole: taking it apart would prune nothing.
+    (a net of more than one in ``SPARSE``) stays whole: taking it apart would prune little.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
@@ -53,7 +60,7 @@ class CoverTree:
         self.order = np.arange(len(points))
         if not len(points):
             return
-        self._add(0, 0, len(points), np.linalg.norm(points - points[0], axis=1))
+        self._add(0, 0, len(points), _distances(points, points[0]))
         stack = [(0, 2.0)]
         while stack:
             node, width = stack.pop()
@@ -66,7 +73,7 @@ class CoverTree:
             cell = np.full(len(own), -1)
             best = np.full(len(own), np.inf)
             centres, distances = [], []
-            while len(centres) <= len(own) / 8:
+            while len(centres) <= 8 + len(own) / SPARSE:
                 if not centres:
                     c = self.centre[node]
                 else:
@@ -75,7 +82,7 @@ class CoverTree:
                     if best[k] <= width / 2:
                         break
                     c = int(own[k])
-                d = np.linalg.norm(points[own] - points[c], axis=1)
+                d = _distances(points[own], points[c])
                 nearer = d < best
                 cell[nearer], best[nearer] = len(centres), d[nearer]
                 centres.append(c)
@@ -180,10 +187,11 @@ def dual_traversal(
 def _compare_within(points: np.ndarray, rows: np.ndarray, links: Links, threshold: float) -> None:
     for p in range(0, len(points), TILE):
         one = slice(p, p + TILE)
-        near = points[one] @ points[one].T >= threshold
+        near = _near(points[one], points[one], threshold)
         np.fill_diagonal(near, False)
-        links.linked[rows[one]] += near @ links.sizes[rows[one]]
-        _connect(near, rows[one], rows[one], links)
+        if near.any():
+            links.linked[rows[one]] += near @ links.sizes[rows[one]]
+            _connect(near, rows[one], rows[one], links)
         for q in range(p + TILE, len(points), TILE):
             two = slice(q, q + TILE)
             _compare(points[one], points[two], rows[one], rows[two], links, threshold)
@@ -193,13 +201,22 @@ def _compare(x, y, at_x: np.ndarray, at_y: np.ndarray, links: Links, threshold:
     for p in range(0, len(x), TILE):
         for q in range(0, len(y), TILE):
             one, two = slice(p, p + TILE), slice(q, q + TILE)
-            near = x[one] @ y[two].T >= threshold
+            near = _near(x[one], y[two], threshold)
             if near.any():
                 links.linked[at_x[one]] += near @ links.sizes[at_y[two]]
                 links.linked[at_y[two]] += near.T @ links.sizes[at_x[one]]
                 _connect(near, at_x[one], at_y[two], links)
 
 
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold, in double precision; single precision rules out most."""
+    near = x.astype(np.float32) @ y.astype(np.float32).T >= threshold - SINGLE
+    if near.any():
+        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        near[np.ix_(rows, columns)] = x[rows] @ y[columns].T >= threshold
+    return near
+
+
 def _connect(near: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, links: Links) -> None:
     """Join what a tile of links connects, a component at a time."""
     open_ = near.any(axis=1)
@@ -285,14 +302,13 @@ def _block_pair(threshold: float):
         out = Links(group.column("size").to_numpy())
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         if low != high:
-            # cores of one cell are counted elsewhere
             whole = high >= 0
-            for l_core in (False, True):
-                for r_core in (False, True):
-                    if whole and l_core and r_core:
-                        continue
-                    x, y = left[core[left] == l_core], right[core[right] == r_core]
-                    dual_traversal(CoverTree(points[x]), CoverTree(points[y]), x, y, out, threshold)
+            sides = [(one[~core[one]], one[core[one]]) for one in (left, right)]
+            trees = [[CoverTree(points[x]) for x in one] for one in sides]
+            for p in (0, 1):
+                for q in (0, 1):
+                    if not (whole and p and q):  # cores of one cell are counted elsewhere
+                        dual_traversal(trees[0][p], trees[1][q], sides[0][p], sides[1][q], out, threshold)
         else:
             x, y = left[~core], left[core]
             a = CoverTree(points[x])
