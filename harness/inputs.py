@@ -83,7 +83,7 @@ select o.db_id,o.obj_oid,o.schema_oid,'col_'||cast(l_quantity as int) as column_
 select (o_orderkey%(select count(*) from part))%4 as db_id, 5000000+o_orderkey%(select count(*) from part) as schema_oid, 1000+o_custkey%(select count(*) from supplier) as grantor_oid,
  case o_orderpriority when '1-URGENT' then 'r' when '2-HIGH' then 'S' when '3-MEDIUM' then 'f' when '5-LOW' then 'n' else 'T' end as obj_type, case when o_custkey%9=0 then 0 else 100+o_custkey%25 end as grantee_oid,
  case o_orderpriority when '1-URGENT' then 'rw' when '2-HIGH' then 'rU' when '3-MEDIUM' then 'X' when '5-LOW' then 'UC' else 'U' end as codes
-from orders where o_orderstatus='P' and o_orderkey%10=0
+from orders
 """,
     "view_sources": """
 select v.obj_oid as view_oid, s.obj_oid as source_oid from objects v join objects s on s.obj_oid=v.obj_oid-v.obj_oid%10+1 where v.obj_kind in ('v','m')
@@ -92,7 +92,7 @@ select v.obj_oid as view_oid, s.obj_oid as source_oid from objects v join object
 select t.obj_oid as table_oid, s.obj_oid as sequence_oid from objects t join objects s on s.obj_oid=t.obj_oid+4 where t.obj_kind='r' and s.obj_kind='S'
 """,
     "object_moves": """
-select obj_oid, schema_oid as source_schema_oid, 5000000+(schema_oid-5000000+1)%(select count(*) from part) as target_schema_oid, 1+obj_oid%6 as variant from objects where obj_oid%11=0
+select obj_oid, schema_oid as source_schema_oid, 5000000+(schema_oid-5000000+1)%(select count(*) from part) as target_schema_oid, 1+obj_oid%6 as variant from objects
 """,
     "nomenclature": """
 select substr('cwsprxez',1+p_size%8,1) as block, p_brand||'*' as level1, p_type as level2, substr('cwsprxez',1+p_size%8,1)||'_sch_'||(p_partkey*2) as schema_name, 'g_admin' as producer, cast(null as string) as editor, 'g_consult' as reader from part where p_size%9<>0
