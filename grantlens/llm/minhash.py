@@ -9,8 +9,8 @@ coordinates only by their sum.
 
 Bands of coordinates put texts in buckets. Buckets are first joined to one member each, which is
 verified exactly; what is linked then falls into components. Members of other components of a bucket
-are compared with the whole bucket, in blocks, so that no link is lost and no bucket is written out
-as pairs.
+are compared with the whole bucket, in strips against blocks and strips, so that no link is lost and
+no bucket is written out as pairs.
 """
 
 from __future__ import annotations
@@ -150,13 +150,14 @@ def _pair_similarity(n: int, weighted: bool):
 
 
 def _block_links(n: int, weighted: bool, threshold: float):
-    """Links of a block's strangers (members outside the bucket's main component) to others."""
+    """Links of the texts of a group that ask to those that answer, in other components."""
 
     def links(group: pa.Table) -> pa.Table:
         column = group.column("text").combine_chunks()
         node = group.column("node").to_numpy()
         part = group.column("component").to_numpy()
-        stranger = np.flatnonzero(group.column("stranger").to_numpy(zero_copy_only=False))
+        asks = np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False))
+        answers = group.column("answers").to_numpy(zero_copy_only=False)
         sets = [elements(block, n, weighted) for block in blocks(column)]
         firsts = [block.first for block in blocks(column)]
         hashes = np.concatenate([s[0] for s in sets])
@@ -165,15 +166,20 @@ def _block_links(n: int, weighted: bool, threshold: float):
         _, number = np.unique(hashes, return_inverse=True)
         bounds = np.searchsorted(owner, np.arange(len(node) + 1))
         total = np.bincount(owner, weights=weights, minlength=len(node))
-        mine = np.zeros(number.max() + 1 if len(number) else 1)
+        # where each shingle occurs among the texts that answer
+        place = np.flatnonzero(answers[owner])
+        place = place[np.argsort(number[place], kind="stable")]
+        begin = np.searchsorted(number[place], np.arange(number.max() + 2 if len(number) else 1))
         a, b = [], []
-        for u in stranger:
-            own = slice(bounds[u], bounds[u + 1])
-            mine[number[own]] = weights[own]
-            common = np.bincount(owner, weights=np.minimum(mine[number], weights), minlength=len(node))
-            mine[number[own]] = 0.0
+        for u in asks:
+            own = np.arange(bounds[u], bounds[u + 1])
+            low = begin[number[own]]
+            mine, nth = _repeat(begin[number[own] + 1] - low)
+            met = place[low[mine] + nth]
+            shared = np.minimum(weights[own][mine], weights[met])
+            common = np.bincount(owner[met], weights=shared, minlength=len(node))
             near = common >= threshold * (total + total[u] - common) - 1e-9
-            near &= part != part[u]
+            near &= answers & (part != part[u])
             _, one = np.unique(part[near], return_index=True)  # one link for each component is enough
             to = node[near][one]
             a.extend([node[u]] * len(to))
@@ -291,32 +297,46 @@ def _remaining_links(
 ) -> DataFrame:
     """Links between the components that still share a bucket.
 
-    A bucket is dealt out in blocks of bounded size; members outside its largest component go to
-    every block and are compared with all of it.
+    The members of a bucket's largest component are dealt out in blocks, all others (strangers) in
+    strips, both of bounded volume. Each strip is compared with each block and each other strip, and
+    with itself beside block 0: every pair meets in one group, and no group grows with the bucket.
     """
     placed = placed.join(_mixed_buckets(placed), "key")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "component"))["component"].alias("_main"), F.sum("n").alias("_all")
-    )
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("_main"))
     rows = placed.select("key", "node", "component").join(main, "key")
     rows = rows.withColumn("stranger", F.col("component") != F.col("_main"))
-    # the volume decides on the number of blocks; a block holds about BLOCK_SHINGLES shingles
+    # the volume decides on the number of blocks and strips; each holds about BLOCK_SHINGLES shingles
     rows = rows.join(texts.select("node", "bytes"), "node")
-    volume = rows.groupBy("key").agg(F.sum("bytes").alias("_volume"))
-    rows = rows.join(volume, "key")
-    count = F.ceil(F.col("_volume") / (6 * BLOCK_SHINGLES)).cast("int")
-    all_blocks = F.sequence(F.lit(0), count - 1)
-    own = F.array(F.pmod(F.xxhash64("node"), count).cast("int"))
-    dealt = rows.select(
-        "key",
-        F.explode(F.when(F.col("stranger"), all_blocks).otherwise(own)).alias("block"),
-        "node",
-        "component",
-        "stranger",
+
+    def parts(stranger: bool) -> F.Column:
+        volume = F.sum(F.when(F.col("stranger") == stranger, F.col("bytes")))
+        return F.greatest(F.ceil(volume / (6 * BLOCK_SHINGLES)).cast("int"), F.lit(1))
+
+    counts = rows.groupBy("key").agg(parts(False).alias("_blocks"), parts(True).alias("_strips"))
+    strips = F.when(F.col("stranger"), F.col("_strips")).otherwise(F.col("_blocks"))
+    rows = rows.join(counts, "key").withColumn("_own", F.pmod(F.xxhash64("node"), strips).cast("int"))
+    own, yes, no = F.col("_own"), F.lit(True), F.lit(False)
+
+    def meet(strip: F.Column, other: F.Column, asks: F.Column, answers: F.Column) -> F.Column:
+        return F.struct(strip.alias("strip"), other.alias("other"), asks.alias("asks"), answers.alias("answers"))
+
+    # a group is a strip and a block, or two strips (the later one as a negative number)
+    of_block = F.transform(
+        F.sequence(F.lit(0), F.col("_strips") - 1), lambda s: meet(s, own, no, yes)
+    )
+    of_strip = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: meet(own, b, yes, b == 0)),
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("_strips") - 1), lambda s: s != own),
+            lambda s: meet(F.least(s, own), -F.greatest(s, own), own < s, own > s),
+        ),
+    )
+    met = rows.select(
+        "key", "node", "component", F.explode(F.when(F.col("stranger"), of_strip).otherwise(of_block)).alias("_m")
     )
-    dealt = dealt.join(texts.select("node", "text"), "node")
-    return dealt.groupBy("key", "block").applyInArrow(
+    dealt = met.select("key", "node", "component", "_m.*").join(texts.select("node", "text"), "node")
+    return dealt.groupBy("key", "strip", "other").applyInArrow(
         _block_links(shingle, weighted, threshold), "a long, b long"
     )
 

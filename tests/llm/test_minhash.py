@@ -93,6 +93,32 @@ def test_blocks_of_a_bucket_lose_no_link(documents, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in found} == brute([(r[0], r[1]) for r in docs.collect()])
 
 
+def test_groups_stay_bounded_in_a_bucket_of_strangers(documents, monkeypatch):
+    """Template documents of similarity about 0.7 share buckets but no links; a few near-copies do."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(160)]
+    rows = [" ".join(base + [f"d{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(150)]
+    rows += [" ".join(t.split()[:-3] + ["x", f"y{i}", "z"]) for i, t in enumerate(rows[::10])]
+    made = minhash._block_links
+
+    def watched(*args):
+        links = made(*args)
+
+        def checked(group):
+            if group.num_rows > 60:
+                raise ValueError(f"{group.num_rows} texts in one group")
+            return links(group)
+
+        return checked
+
+    monkeypatch.setattr(minhash, "_block_links", watched)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1500)  # about ten texts
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+    found = minhash.near_duplicates(documents(rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute(list(enumerate(rows)))
+    assert len({r["class_id"] for r in found}) == 150
+
+
 def test_given_documents(spark, sf_dir, given):
     found = queries.op6_minhash_near_dedup(spark, sf_dir).collect()
     assert {r["doc_id"]: r["class_id"] for r in found} == brute([(r["doc_id"], r["text"]) for r in given[1]])
