@@ -4,8 +4,9 @@ Documents are aggregated by the set of sources they belong to. Tokens flow from
 use, then a dearer repetition) to the sources of the pattern, up to each source's quota; the cheapest
 flow repeats as little as it can. The flow fixes how many tokens each pattern gives; which documents
 give them is decided by a seeded hash: every document as often as all of them fit, then those below
-a threshold of the hash once more, then a few that fill the remainder. Only tables with one row per
-pattern reach the driver.
+a threshold of the hash once more, then a few that fill the remainder. A source that no pattern shares
+gives the smaller of its quota and its tokens twice, which needs no flow; the others are solved one
+connected group of sources at a time, each in a task.
 """
 
 from __future__ import annotations
@@ -14,21 +15,21 @@ from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grantlens.llm.graph import components
 from grantlens.llm.tables import cut_lineage
+from grantlens.scaling import number_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by code point of the source's name, repeating
 SHARE = 1.5  # words of the mix against words of the input
 MAX_USES = 2  # of one document
-MAX_PATTERNS = 4000  # membership patterns; bounds what reaches the driver
 BUCKETS = 4096  # of the seeded hash
 RESULTS = ("size", "source_size", "target", "copies", "taken")
 
-PLAN = "pattern array<string>, base int, below long, extra array<long>, source_size long, target double"
-
 
 def word_count(text: str = "text") -> F.Column:
     """Runs of characters other than the space and U+0009 to U+000D; null has none."""
@@ -159,95 +160,128 @@ def mix(
         size.alias("_size"),
         F.xxhash64(F.lit(seed), *hashable).alias("_draw"),
     )
-    narrow = cut_lineage(rows.select("_pattern", "_size", "_draw"))
-    tokens = [
-        (tuple(r[0]), r[1])
-        for r in narrow.groupBy("_pattern").agg(F.sum("_size")).limit(MAX_PATTERNS + 1).collect()
-    ]
-    if len(tokens) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge rare sources first")
-    tokens.sort(key=lambda x: [(s is None, s or "") for s in x[0]])
-    sizes: dict = {}
-    for pattern, words in tokens:
-        for s in pattern:
-            sizes[s] = sizes.get(s, 0) + words
-    wanted = targets(sizes, weights, share)
-    flow = min_cost_flow(tokens, {s: round(t) for s, t in wanted.items()})
-    chosen = _choose(narrow, {p: (w, sum(flow[p].values())) for p, w in tokens})
-    plan = spark.createDataFrame(
-        [
-            (list(p), *chosen[p], sum(sizes[s] for s in p), float(sum(wanted[s] for s in p)))
-            for p, _ in tokens
-        ],
-        PLAN,
+    rows = rows.withColumn("_name", _name(F.col("_pattern")))
+    narrow = cut_lineage(rows.select("_name", "_pattern", "_size", "_draw"))
+    sums = cut_lineage(narrow.groupBy("_name", "_pattern").agg(F.sum("_size").alias("words")))
+    members = sums.select("_name", "words", F.posexplode("_pattern").alias("_at", "_source"))
+    sizes = members.groupBy("_source").agg(F.sum("words").alias("size"))
+    wanted = _targets(sizes, weights, share).withColumn("quota", F.bround("target").cast("long"))
+    wanted = wanted.select(_name(F.array("_source")).alias("node"), "size", "target", "quota")
+    members = members.withColumn("node", _name(F.array("_source"))).drop("_source")
+    members = cut_lineage(members.join(wanted, "node"))
+    flow = _flow(members)
+    known = members.groupBy("_name", "words").agg(
+        F.sum("size").alias("source_size"), F.sum("target").alias("target"), F.sum("quota").alias("quota")
     )
-    # one row per pattern: at most MAX_PATTERNS. Null names cannot be joined on, hence the text key.
-    name = F.to_json(F.struct(F.col("pattern")))
-    plan = plan.withColumn("_name", name).drop("pattern")
+    alone = F.least("quota", F.col("words") * MAX_USES)
+    known = cut_lineage(known.join(flow, "_name", "left").withColumn("given", F.coalesce("given", alone)))
+    # one row per pattern; null names cannot be joined on, hence the text key
+    plan = cut_lineage(_choose(narrow, known))
     once_more = (F.col("_draw") < F.col("below")) | F.array_contains("extra", F.col("_draw"))
     copies = (F.col("base") + F.coalesce(once_more, F.lit(False)).cast("int")).alias("copies")
-    joined = rows.withColumn("_name", F.to_json(F.struct(F.col("_pattern").alias("pattern"))))
     return (
-        joined.join(F.broadcast(plan), "_name")
+        rows.join(plan, "_name")
         .select("_row.*", F.col("_size").alias("size"), "source_size", "target", copies)
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 
 
-def _choose(narrow: DataFrame, wanted: dict[tuple, tuple[int, int]]) -> dict[tuple, tuple]:
+def _name(pattern: F.Column) -> F.Column:
+    return F.to_json(F.struct(pattern.alias("pattern")))
+
+
+def _targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float = MAX_USES) -> DataFrame:
+    """:func:`targets` for a table of (_source, size) of any length; one small aggregation a round."""
+    ranked = number_rows(sizes, [F.col("_source").isNull(), F.col("_source")], "_rank")
+    at = ((F.col("_rank") - 1) % len(weights) + 1).cast("int")
+    ranked = ranked.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), at))
+    ranked = cut_lineage(ranked)
+    full, unit, before = F.lit(False), 0.0, -1
+    while True:
+        total, stopped, left, number = ranked.agg(
+            F.sum("size"),
+            F.coalesce(F.sum(F.when(full, F.col("size"))), F.lit(0)),
+            F.sum(F.when(~full, F.col("_weight"))),
+            F.count(F.when(full, 1)),
+        ).first()
+        if not left or number <= before:
+            break
+        unit, before = (share * total - most * stopped) / left, number
+        full = F.col("_weight") * unit > most * F.col("size")
+    target = F.when(full, F.col("size") * float(most)).otherwise(F.col("_weight") * unit)
+    return ranked.select("_source", "size", target.alias("target"))
+
+
+def _flow(members: DataFrame) -> DataFrame:
+    """(_name, given) of the patterns whose sources overlap, one connected group of sources a task."""
+    wide = members.where("_at > 0").select("_name", F.col("node").alias("b"))
+    links = members.where("_at = 0").select("_name", F.col("node").alias("a")).join(wide, "_name")
+    grouped = members.join(components(links.select("a", "b")), "node")
+    return grouped.select("component", "_name", "_at", "node", "words", "quota").groupBy("component").applyInArrow(
+        _group_flow, "_name string, given long"
+    )
+
+
+def _group_flow(group: pa.Table) -> pa.Table:
+    sources, words, quota = {}, {}, {}
+    for r in group.sort_by([("_name", "ascending"), ("_at", "ascending")]).to_pylist():
+        sources.setdefault(r["_name"], []).append(r["node"])
+        words[r["_name"]] = r["words"]
+        quota[r["node"]] = r["quota"]
+    names = sorted(sources, key=sources.get)
+    order = dict.fromkeys(s for n in names for s in sources[n])
+    flow = min_cost_flow([(tuple(sources[n]), words[n]) for n in names], {s: quota[s] for s in order})
+    given = [sum(flow[tuple(sources[n])].values()) for n in names]
+    return pa.table({"_name": pa.array(names, pa.string()), "given": pa.array(given, pa.int64())})
+
+
+def _choose(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each pattern: uses of every document, the draw below which one more, further draws."""
-    spark = narrow.sparkSession
-    lowest = -(1 << 63)
-    out = {p: (t // w if w else 0, lowest, []) for p, (w, t) in wanted.items()}
-    left = [(list(p), t - out[p][0] * w) for p, (w, t) in wanted.items() if w and t % w]
-    if not left:
-        return out
-    key = F.to_json(F.struct(F.col("_pattern").alias("pattern")))
-    left_rows = spark.createDataFrame(left, "pattern array<string>, _left long")
-    left_rows = left_rows.select(F.to_json(F.struct("pattern")).alias("_name"), "pattern", "_left")
-    draws = narrow.select(key.alias("_name"), "_size", "_draw").join(F.broadcast(left_rows), "_name")
+    some = F.col("words") > 0
+    wanted = wanted.withColumn("base", F.when(some, F.expr("given div words")).otherwise(0).cast("int"))
+    wanted = wanted.withColumn("_left", F.when(some, F.expr("given % words")).otherwise(0))
+    left_rows = wanted.where("_left > 0").select("_name", "_left")
+    draws = narrow.select("_name", "_size", "_draw").join(left_rows, "_name")
     # the high bits of the draw in order, as a signed number
     draws = draws.withColumn("_bucket", F.shiftright("_draw", 52))
-    buckets = draws.groupBy("_name", "_bucket").agg(F.sum("_size").alias("_sum"))
-    upto = Window.partitionBy("_name").orderBy("_bucket")
-    before = F.sum("_sum").over(upto) - F.col("_sum")
+    buckets = draws.groupBy("_name", "_left", "_bucket").agg(F.sum("_size").alias("_sum"))
+    upto = Window.partitionBy("_name").orderBy("_bucket")  # at most BUCKETS rows of a pattern
     # the bucket in which the remainder ends is looked at row by row; it holds one of BUCKETS parts
-    buckets = buckets.withColumn("_before", before).join(left_rows.select("_name", "_left"), "_name")
+    buckets = buckets.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
     ends = buckets.where((F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_sum") > F.col("_left")))
     ends = cut_lineage(ends.select("_name", "_bucket", "_before"))  # one row per pattern
-    edge = draws.join(F.broadcast(ends), ["_name", "_bucket"])
+    edge = draws.join(ends, ["_name", "_bucket"])
     rank = Window.partitionBy("_name").orderBy("_draw")  # equal draws are taken together
     edge = edge.withColumn("_upto", F.col("_before") + F.sum("_size").over(rank))
-    stops = (
-        edge.where(F.col("_upto") > F.col("_left"))
-        .groupBy("_name")
-        .agg(F.min("_draw").alias("_below"), F.min("_upto").alias("_next"))
-    )
+    stops = edge.where(F.col("_upto") > F.col("_left")).groupBy("_name").agg(F.min("_draw").alias("_below"))
     stops = cut_lineage(stops)
     # what stays short of the target is filled from large documents to small, one of each size class (four to an octave)
-    later = draws.join(F.broadcast(stops), "_name").where(
-        (F.col("_draw") >= F.col("_below")) & (F.col("_size") > 0)
-    )
+    stopped = draws.join(stops, "_name")
+    later = stopped.where((F.col("_draw") >= F.col("_below")) & (F.col("_size") > 0))
     spare = later.groupBy("_name", F.floor(4 * F.log2("_size")).alias("_class")).agg(
         F.min(F.struct("_draw", "_size")).alias("_one")
     )
-    under = draws.join(F.broadcast(stops), "_name").where(F.col("_draw") < F.col("_below"))
-    under = under.groupBy("_name").agg(F.sum("_size").alias("_given"))
-    names = {r["_name"]: tuple(r["pattern"]) for r in left_rows.collect()}
-    below = {r["_name"]: r["_below"] for r in stops.collect()}
-    given = {r["_name"]: r["_given"] for r in under.collect()}
-    offered: dict = {}
-    for r in spare.collect():  # patterns times at most 252 size classes
-        offered.setdefault(r["_name"], []).append((r["_class"], r["_one"]["_draw"], r["_one"]["_size"]))
-    remainder = {tuple(p): x for p, x in left}
-    for name, pattern in names.items():
-        short, extra = remainder[pattern] - given.get(name, 0), []
-        for _, draw, words in sorted(offered.get(name, []), reverse=True):
-            if words <= short:
-                extra.append(draw)
-                short -= words
-        out[pattern] = (out[pattern][0], below.get(name, lowest), extra)
-    return out
+    one = F.struct("_class", F.col("_one._draw").alias("draw"), F.col("_one._size").cast("long").alias("words"))
+    # at most 252 size classes of a pattern
+    spare = spare.groupBy("_name").agg(F.sort_array(F.collect_list(one), asc=False).alias("_offered"))
+    under = stopped.where(F.col("_draw") < F.col("_below")).groupBy("_name").agg(F.sum("_size").alias("_given"))
+    plan = wanted.join(stops, "_name", "left").join(under, "_name", "left").join(spare, "_name", "left")
+    short = (F.col("_left") - F.coalesce("_given", F.lit(0))).cast("long")
+    none = F.array().cast("array<long>")
+
+    def take(state, offer):
+        fits = offer["words"] <= state["short"]
+        return F.struct(
+            F.when(fits, state["short"] - offer["words"]).otherwise(state["short"]).alias("short"),
+            F.when(fits, F.concat(state["extra"], F.array(offer["draw"]))).otherwise(state["extra"]).alias("extra"),
+        )
+
+    start = F.struct(short.alias("short"), none.alias("extra"))
+    extra = F.coalesce(F.aggregate("_offered", start, take, lambda state: state["extra"]), none)
+    below = F.coalesce("_below", F.lit(-(1 << 63)).cast("long"))
+    return plan.select(
+        "_name", "base", below.alias("below"), extra.alias("extra"), "source_size", "target"
+    )
 
 
 def mixed_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:

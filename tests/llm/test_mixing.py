@@ -118,3 +118,26 @@ def test_odd_rows(odd):
     assert mixed.where("taken > 2 * size or taken is null or target is null").count() == 0
     assert mixed.where(F.col("text").isNull() & (F.col("taken") != 0)).count() == 0
     assert mix(odd.limit(0)).count() == 0
+
+
+def test_any_number_of_sources(spark):
+    """Every document a source of its own, among them two groups that overlap."""
+    rows = [(i, "w " * (i % 7 + 1), [f"site{i}"]) for i in range(4500)]
+    rows += [(5000 + i, "w " * 5, [["p"], ["p", "q"], ["x", "y"], ["y"]][i % 4]) for i in range(80)]
+    mixed = mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    sizes, tokens = collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        tokens[tuple(s)] += len(t.split())
+        for x in s:
+            sizes[x] += len(t.split())
+    want = targets(dict(sizes))
+    assert len(mixed) == len(rows)
+    assert all(abs(r["target"] - sum(want[s] for s in r["source"])) < 1e-6 for r in mixed)
+    few = {p: n for p, n in tokens.items() if p[0] in ("p", "q", "x", "y")}
+    flow = min_cost_flow(sorted(few.items()), {s: round(want[s]) for s in "pqxy"})
+    taken = collections.Counter()
+    for r in mixed:
+        taken[tuple(r["source"])] += r["taken"]
+    for p, n in tokens.items():
+        given = sum(flow[p].values()) if p in flow else min(round(want[p[0]]), 2 * n)
+        assert 0 <= given - taken[p] < max(len(t.split()) for _, t, s in rows if tuple(s) == p)
