@@ -12,10 +12,13 @@ from grantlens.llm import (
     lines,
     minhash,
     mixing,
+    neighbours,
     quality,
     sharding,
+    spelling,
     suffixes,
     urls,
+    whitening,
 )
 
 
@@ -148,6 +151,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite embedding on the 16 leading components of the distinct ones, whitened."""
+    return whitening.whiten_embeddings(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found, among all embeddings, of every embedding whose id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents that is long and frequent enough, with its form and root."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -159,6 +178,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {"op2_decontamination": ORACLE_OP2, "op8_url_filters": urls.ORACLE}
