@@ -126,7 +126,7 @@ class NeighbourModel:
         vectors = x @ axes
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         rows = np.array([(labels == y).sum() / max(shares[y], 1e-9) for y in (0, 1)])
-        votes = np.zeros((len(labels), 2), np.float32)
+        votes = np.zeros((len(labels), 2))
         for y in (0, 1):
             votes[labels == y, y] = 1 / max(shares[y], 1e-9)
         return cls(weight, axes, vectors, votes / votes.max(), float(rows[1] / rows.sum()))
@@ -141,10 +141,10 @@ class NeighbourModel:
                 near = x[at : at + 256] @ self.vectors.T
                 k = min(NEIGHBOURS, near.shape[1])
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** SHARPNESS
+                weight = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 0) ** SHARPNESS
                 both = np.einsum("tk,tkl->tl", weight, self.votes[top])
                 total = both.sum(axis=1)
-                share = both[:, 1] / np.maximum(total, 1e-30)
+                share = both[:, 1] / np.maximum(total, 1e-300)
                 known = (total > 1e-12) & (length[at : at + 256] > 0)
                 out.append(np.where(known, share, self.prior))
         scores = np.concatenate(out) if out else np.zeros(0)
