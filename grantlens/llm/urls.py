@@ -3,7 +3,8 @@
 A host's share of bad pages is estimated from labelled pages. Its prior is a beta distribution around
 the estimate of its registered domain, whose prior is centred on its public suffix, whose prior is
 centred on the whole. How strongly each level leans on the one above comes from how much the level's
-groups differ (method of moments). A page is blocked where even the lower bound of its host's
+groups differ (method of moments); where nothing tells, it leans as little as it may. What is unknown
+about the levels above widens the posterior. A page is blocked where even the lower bound of its host's
 posterior is above the accepted share. All of it is grouping and joining on the host.
 """
 
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grantlens.llm.tables import cut_lineage
+
 RULES = (
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
@@ -70,11 +73,30 @@ def rule_for(host: F.Column, path: F.Column, rules: Sequence[tuple[str, str, str
     return out
 
 
-def _shrink(level: DataFrame, prior: str, into: str) -> DataFrame:
-    """Posterior mean of each group's bad share around ``prior``, and the prior's strength.
+def longest_suffix(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(host, suffix): the longest of ``suffixes`` (suffix) that a host ends in, label by label.
+
+    A host that ends in none has its last label. Every host is tried with each of its own endings, so
+    the table may be of any size.
+    """
+    labels = F.split("host", r"\.")
+    ending = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    )
+    tried = hosts.select("host", F.explode(ending).alias("_ending"))
+    listed = suffixes.select(F.col("suffix").alias("_ending")).where("_ending is not null").distinct()
+    found = tried.join(listed, "_ending").groupBy("host").agg(F.max_by("_ending", F.length("_ending")).alias("suffix"))
+    last = F.regexp_extract(F.col("host"), r"([^.]*)$", 1)
+    return hosts.select("host").join(found, "host", "left").select("host", F.coalesce("suffix", last).alias("suffix"))
+
+
+def _shrink(level: DataFrame, prior: str, unsure: str, into: str) -> DataFrame:
+    """Posterior mean ``into`` of each group's bad share around ``prior``, and its variance.
 
     Groups differ by sampling and by themselves; the excess of the observed spread over that of
-    sampling gives the beta prior's strength (all groups' sums, one row, joined back).
+    sampling gives the beta prior's strength (all groups' sums, one row, joined back). One group, or
+    groups of one page each, tell nothing about it. ``unsure`` is the variance of the prior's mean.
     """
     expected = F.col(prior) * (1 - F.col(prior))
     off = F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col(prior), 2)
@@ -82,45 +104,51 @@ def _shrink(level: DataFrame, prior: str, into: str) -> DataFrame:
         F.sum(off).alias("spread"),
         F.sum(expected).alias("sampling"),
         F.sum((F.col("n") - 1) * expected).alias("room"),
+        F.count(F.lit(1)).alias("groups"),
     )
     # E[spread] = sampling + room / (strength + 1)
     excess = F.col("spread") - F.col("sampling")
-    strength = F.when(excess > 0, F.col("room") / excess - 1).otherwise(F.lit(STRENGTH[1]))
+    told = (F.col("groups") > 1) & (F.col("room") > 0)
+    strength = F.when(~told, STRENGTH[0]).when(excess > 0, F.col("room") / excess - 1).otherwise(STRENGTH[1])
     strength = F.least(F.greatest(strength, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))
-    one = sums.select(F.coalesce(strength, F.lit(STRENGTH[1])).alias(f"{into}_strength"))
-    mean = (F.col(prior) * F.col(f"{into}_strength") + F.col("bad")) / (
-        F.col(f"{into}_strength") + F.col("n")
-    )
+    one = sums.select(F.coalesce(strength, F.lit(STRENGTH[0])).alias("_m"))
+    weight = F.col("_m") + F.col("n")
+    mean = (F.col(prior) * F.col("_m") + F.col("bad")) / weight
     # `one` is a single row
-    return level.crossJoin(F.broadcast(one)).withColumn(into, mean)
+    level = level.crossJoin(F.broadcast(one)).withColumn(into, mean)
+    own = F.col(into) * (1 - F.col(into)) / (weight + 1)
+    return level.withColumn(f"{into}_var", own + F.pow(F.col("_m") / weight, 2) * F.col(unsure)).drop("_m")
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """One row per host: labelled pages ``n``, ``bad``, posterior mean and lower bound of the share.
 
-    ``outcomes`` has ``host``, ``n`` and ``bad`` (0 labelled pages where nothing is known).
+    ``outcomes`` has ``host``, ``n`` and ``bad`` (0 labelled pages where nothing is known); ``suffixes``
+    (suffix) lists the public suffixes, else :func:`public_suffix` tells them.
     """
-    suffix = public_suffix(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumn("suffix", suffix).withColumn(
-        "domain", registered_domain(F.col("host"), F.col("suffix"))
-    )
+    if suffixes is None:
+        hosts = hosts.withColumn("suffix", public_suffix(F.col("host")))
+    else:
+        hosts = cut_lineage(hosts)
+        hosts = hosts.join(longest_suffix(hosts, suffixes), "host")
+    # every level is looked at twice: once for all groups' sums, once for each group
+    hosts = cut_lineage(hosts.withColumn("domain", registered_domain(F.col("host"), F.col("suffix"))))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    all_ = suffixes.agg(
-        ((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("p0")
-    )
-    suffixes = _shrink(suffixes.crossJoin(F.broadcast(all_)), "p0", "p1").select("suffix", "p1")
-    domains = _shrink(domains.join(suffixes, "suffix"), "p1", "p2").select("domain", "p2")
-    hosts = _shrink(hosts.join(domains, "domain"), "p2", "p3")
-    weight = F.col("p3_strength") + F.col("n")
-    spread = F.sqrt(F.col("p3") * (1 - F.col("p3")) / (weight + 1))
+    sums = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    all_ = hosts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
+    all_ = all_.select(((F.col("b") + 0.5) / (F.col("t") + 1)).alias("p0"), "t")
+    all_ = all_.select("p0", (F.col("p0") * (1 - F.col("p0")) / (F.col("t") + 2)).alias("p0_var"))
+    sums = _shrink(sums.crossJoin(F.broadcast(all_)), "p0", "p0_var", "p1").select("suffix", "p1", "p1_var")
+    domains = cut_lineage(domains.join(sums, "suffix"))
+    domains = cut_lineage(_shrink(domains, "p1", "p1_var", "p2").select("domain", "p2", "p2_var"))
+    hosts = _shrink(hosts.join(domains, "domain"), "p2", "p2_var", "p3")
     return hosts.select(
         "host",
         "n",
         "bad",
         F.col("p3").alias("bad_share"),
-        F.greatest(F.col("p3") - Z * spread, F.lit(0.0)).alias("bad_low"),
+        F.greatest(F.col("p3") - Z * F.sqrt("p3_var"), F.lit(0.0)).alias("bad_low"),
     )
 
 
@@ -129,13 +157,16 @@ def judge_urls(
     labels: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
     max_bad: float = MAX_BAD,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """All pages with ``host``, ``path``, ``rule``, ``bad_share``, ``bad_low`` and ``verdict``.
 
     ``labels`` (doc_id, quality) mark pages by page_id; quality 0 is bad, null labels and ids are
     left out, and of several labels of a page the worst counts. A null url, or one without ``://``,
     has an empty host and path and is judged with all such pages. Repeated pages count once each.
-    Rules win over the reputation, the longest first. Columns named like a result are replaced.
+    Rules win over the reputation, the longest first. Where nothing is known about a host and the levels
+    above it, its page is allowed. ``suffixes`` (suffix) lists public suffixes; without it the last label
+    counts, or the last two below a country code with second-level registration. Columns named like a result are replaced.
     """
     own = [F.col(f"`{c}`") for c in pages.columns if c not in RESULTS]
     known = (
@@ -147,7 +178,7 @@ def judge_urls(
     outcomes = hosts.join(known, "_id", "left").groupBy("host").agg(
         F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")
     )
-    reputation = host_reputation(outcomes).select(
+    reputation = host_reputation(outcomes, suffixes).select(
         F.col("host").alias("_host"), "bad_share", "bad_low"
     )
     judged = pages.select(
@@ -193,29 +224,37 @@ named AS (
 placed AS (SELECT *, CASE WHEN label = '' THEN host ELSE label || '.' || suffix END AS domain FROM named),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM placed GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
-all_ AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS p0 FROM suffixes),
-m1 AS (SELECT least(greatest(CASE WHEN sum(n * (bad / n - p0) * (bad / n - p0)) > sum(p0 * (1 - p0))
+all0 AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS p0, sum(n) AS t FROM suffixes),
+all_ AS (SELECT p0, p0 * (1 - p0) / (t + 2) AS v0 FROM all0),
+s0 AS (SELECT * FROM suffixes, all_),
+m1 AS (SELECT CASE WHEN count(*) > 1 AND sum((n - 1) * p0 * (1 - p0)) > 0 THEN
+                least(greatest(CASE WHEN sum(n * (bad / n - p0) * (bad / n - p0)) > sum(p0 * (1 - p0))
                 THEN sum((n - 1) * p0 * (1 - p0)) / (sum(n * (bad / n - p0) * (bad / n - p0)) - sum(p0 * (1 - p0))) - 1
-                ELSE 1000 END, 1), 1000) AS m FROM suffixes, all_ WHERE n > 0),
-s1 AS (SELECT suffix, (p0 * m + bad) / (m + n) AS p1 FROM suffixes, all_, m1),
-d0 AS (SELECT * FROM domains JOIN s1 USING (suffix)),
-m2 AS (SELECT least(greatest(CASE WHEN sum(n * (bad / n - p1) * (bad / n - p1)) > sum(p1 * (1 - p1))
+                ELSE 1000 END, 1), 1000) ELSE 1 END AS m FROM s0 WHERE n > 0),
+s1 AS (SELECT suffix, m, n, v0, (p0 * m + bad) / (m + n) AS p1 FROM s0, m1),
+s2 AS (SELECT suffix, p1, p1 * (1 - p1) / (m + n + 1) + (m / (m + n)) * (m / (m + n)) * v0 AS v1 FROM s1),
+d0 AS (SELECT * FROM domains JOIN s2 USING (suffix)),
+m2 AS (SELECT CASE WHEN count(*) > 1 AND sum((n - 1) * p1 * (1 - p1)) > 0 THEN
+                least(greatest(CASE WHEN sum(n * (bad / n - p1) * (bad / n - p1)) > sum(p1 * (1 - p1))
                 THEN sum((n - 1) * p1 * (1 - p1)) / (sum(n * (bad / n - p1) * (bad / n - p1)) - sum(p1 * (1 - p1))) - 1
-                ELSE 1000 END, 1), 1000) AS m FROM d0 WHERE n > 0),
-d1 AS (SELECT domain, (p1 * m + bad) / (m + n) AS p2 FROM d0, m2),
-h0 AS (SELECT * FROM placed JOIN d1 USING (domain)),
-m3 AS (SELECT least(greatest(CASE WHEN sum(n * (bad / n - p2) * (bad / n - p2)) > sum(p2 * (1 - p2))
+                ELSE 1000 END, 1), 1000) ELSE 1 END AS m FROM d0 WHERE n > 0),
+d1 AS (SELECT domain, m, n, v1, (p1 * m + bad) / (m + n) AS p2 FROM d0, m2),
+d2 AS (SELECT domain, p2, p2 * (1 - p2) / (m + n + 1) + (m / (m + n)) * (m / (m + n)) * v1 AS v2 FROM d1),
+h0 AS (SELECT * FROM placed JOIN d2 USING (domain)),
+m3 AS (SELECT CASE WHEN count(*) > 1 AND sum((n - 1) * p2 * (1 - p2)) > 0 THEN
+                least(greatest(CASE WHEN sum(n * (bad / n - p2) * (bad / n - p2)) > sum(p2 * (1 - p2))
                 THEN sum((n - 1) * p2 * (1 - p2)) / (sum(n * (bad / n - p2) * (bad / n - p2)) - sum(p2 * (1 - p2))) - 1
-                ELSE 1000 END, 1), 1000) AS m FROM h0 WHERE n > 0),
-h1 AS (SELECT host, m + n AS weight, (p2 * m + bad) / (m + n) AS p3 FROM h0, m3),
+                ELSE 1000 END, 1), 1000) ELSE 1 END AS m FROM h0 WHERE n > 0),
+h1 AS (SELECT host, m, n, v2, (p2 * m + bad) / (m + n) AS p3 FROM h0, m3),
+h2 AS (SELECT host, p3, p3 * (1 - p3) / (m + n + 1) + (m / (m + n)) * (m / (m + n)) * v2 AS v3 FROM h1),
 judged AS (
   SELECT page_id, split.host, path,
          CASE WHEN (split.host = 'example.net' OR split.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
               WHEN (split.host = 'example.com' OR split.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
               WHEN (split.host = 'org' OR split.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
               WHEN (split.host = 'net' OR split.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-         p3 - 1.645 * sqrt(p3 * (1 - p3) / (weight + 1)) AS low
-  FROM split JOIN h1 ON split.host = h1.host)
+         p3 - 1.645 * sqrt(v3) AS low
+  FROM split JOIN h2 ON split.host = h2.host)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
             WHEN rule IN ('net/', 'example.com/de/') THEN 'block'

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from grantlens.llm import queries
-from grantlens.llm.urls import host_reputation, judge_urls
+from grantlens.llm.urls import host_reputation, judge_urls, longest_suffix
 
 PAGES = "page_id long, url string, html string"
 
@@ -72,3 +72,48 @@ def test_repeated_pages_and_labels(spark):
 def test_reputation_without_labels(spark):
     outcomes = spark.createDataFrame([("a.b", 0, 0), ("", 0, 0)], "host string, n long, bad long")
     assert {round(r["bad_share"], 6) for r in host_reputation(outcomes).collect()} == {0.5}
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def verdicts(spark, hosts, asked, suffixes=None):
+    """Verdicts of pages of ``asked`` hosts, given (host, pages, bad ones)."""
+    pages, labels, n = [], [], 0
+    for host, count, bad in hosts:
+        for k in range(count):
+            pages.append((n, f"http://{host}/{k}", None))
+            labels.append((n, 0 if k < bad else 1, 0))
+            n += 1
+    pages += [(n + i, f"http://{h}/", None) for i, h in enumerate(asked)]
+    judged = judge_urls(spark.createDataFrame(pages, PAGES), spark.createDataFrame(labels, LABELS), suffixes=suffixes)
+    by = {r["host"]: r for r in judged.collect()}
+    return [by[h]["verdict"] for h in asked]
+
+
+def test_each_level_decides(spark):
+    """The same kind of page is blocked or allowed by its host, its domain or its suffix alone."""
+    hosts = [(f"h{i}.mixed.example", 30, 29 if i < 3 else 1) for i in range(6)]  # hosts of one domain differ
+    hosts += [(f"h{i}.bad.org", 30, 28) for i in range(6)] + [(f"h{i}.good.org", 30, 1) for i in range(6)]
+    assert verdicts(spark, hosts, ["h0.mixed.example", "h5.mixed.example"]) == ["block", "allow"]
+    # hosts alike within their domains: the domain speaks for a host never seen
+    alike = [h for h in hosts if "mixed" not in h[0]]
+    assert verdicts(spark, alike, ["new.bad.org", "new.good.org"]) == ["block", "allow"]
+    # domains alike within their suffixes: the suffix speaks for a domain never seen
+    by_suffix = [(f"d{i}.spam", 30, 27) for i in range(8)] + [(f"d{i}.ham", 30, 1) for i in range(8)]
+    assert verdicts(spark, by_suffix, ["new.spam", "new.ham", "new.other"]) == ["block", "allow", "allow"]
+
+
+def test_unseen_hosts_are_allowed_where_hosts_differ(spark):
+    hosts = [(f"h{i}.d{i}.example", 40, 40 if i < 2 else 0) for i in range(5)]
+    assert verdicts(spark, hosts, ["new.example", "h0.d0.example", "h4.d4.example"]) == ["allow", "block", "allow"]
+
+
+def test_table_of_public_suffixes(spark):
+    listed = spark.createDataFrame([("uk",), ("co.uk",), ("pages.dev",), (None,), ("co.uk",)], "suffix string")
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.pages.dev",), ("pages.dev.example",), ("uk",), ("",), ("b.dev",)], "host string")
+    got = {r["host"]: r["suffix"] for r in longest_suffix(hosts, listed).collect()}
+    assert got == {"a.b.co.uk": "co.uk", "co.uk": "co.uk", "x.pages.dev": "pages.dev", "pages.dev.example": "example", "uk": "uk", "": "", "b.dev": "dev"}
+    # users of one hoster are domains of their own
+    users = [(f"u{i}.pages.dev", 40, 38 if i < 4 else 0) for i in range(8)]
+    assert verdicts(spark, users, ["u0.pages.dev", "u7.pages.dev", "new.pages.dev"], listed) == ["block", "allow", "allow"]
