@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from grantlens.llm.graph import components
 from grantlens.llm.tables import cut_lineage
+from grantlens.scaling import computed
 
 EDITS = 2
 CHARS_PER_EDIT = 10  # a line may differ by one edit for so many characters
@@ -65,11 +66,10 @@ def _place(place: tuple[int, int, int]) -> tuple[Column, Column, Column]:
     return at, size, F.when((at >= 0) & (at + size <= F.col("n")) & (F.col("n") >= less), key)
 
 
-def _tags(level: DataFrame, edits: int) -> DataFrame:
-    """(key, tag): every substring of every line; the tag is the id and whether it is a segment."""
-    keys = F.array(*[_place(p)[2] for p in _places(edits)])
-    rows = _measured(level, edits).select("id", F.posexplode(keys).alias("p", "key")).where("key is not null")
-    return rows.select("key", F.shiftleft("id", 1).bitwiseOR((F.col("p") <= edits).cast("long")).alias("tag"))
+def _keys(level: DataFrame, edits: int, places: list[tuple[int, int, int]]) -> DataFrame:
+    """(key, id) for every one of ``places`` of every line."""
+    keys = F.array(*[_place(p)[2] for p in places])
+    return _measured(level, edits).select(F.explode(keys).alias("key"), "id").where("key is not null")
 
 
 def _rests(level: DataFrame, edits: int) -> DataFrame:
@@ -84,36 +84,34 @@ def _rests(level: DataFrame, edits: int) -> DataFrame:
 
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of different ids that share segments; every pair within reach is among them.
+    """Pairs (a, b) of ids that share segments; every pair within reach is among them.
 
-    ``lines`` has (id, rest) with an id of 63 bits; lines may be repeated.
+    ``lines`` has (id, rest), each id once and of 63 bits. A segment that more than ``HOT`` lines have
+    stands in the index as one entry without an id; the lines that meet it go on to the next level with
+    what is left of them.
     """
     level = lines.select("id", "rest", F.lit(0).cast("long").alias("prefix"))
+    places = _places(edits)
     found = []
     for depth in range(DEPTH + 1):
-        tags = _tags(level, edits)
-        own = F.col("tag").bitwiseAND(F.lit(1).cast("long"))
-        shared = tags.groupBy("key").agg(F.bit_and("tag").alias("_all"), F.bit_or("tag").alias("_any"))
-        # a key of one line alone, or that is nobody's segment, leads to nothing
-        shared = shared.where("_any & 1 = 1 and shiftrightunsigned(_all, 1) != shiftrightunsigned(_any, 1)")
-        # dealt out by key at any size: the shared keys grow with the input
-        live = tags.join(shared.select("key").hint("merge"), "key").distinct()
-        live = cut_lineage(
-            live.select("key", F.shiftrightunsigned("tag", 1).alias("id"), (own == 1).alias("own"))
+        index = _keys(level, edits, places[: edits + 1])
+        counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        hot = cut_lineage(counts.where(F.col("n") > HOT).select("key", "n"))
+        index = index.join(hot.select("key"), "key", "left_anti").union(
+            hot.select("key", F.lit(None).cast("long"))
         )
-        last = depth == DEPTH
-        hot = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
-        few = live if last else live.join(hot, "key", "left_anti")
-        pairs = (
-            few.where("own")
-            .select("key", F.col("id").alias("a"))
-            .join(few.select("key", F.col("id").alias("b")), "key")
-            .where("a != b")
+        # dealt out by key at any size: the index grows with the input
+        met = _keys(level, edits, places).join(index.toDF("key", "other").hint("merge"), "key")
+        met = met.where("other is null or other != id")
+        met = cut_lineage(
+            met.select(
+                F.when(F.col("other").isNull(), F.col("key")).alias("key"),
+                F.least("id", F.coalesce("other", "id")).alias("a"),
+                F.when(F.col("other").isNotNull(), F.greatest("id", "other")).alias("b"),
+            ).distinct()
         )
-        found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if last:
-            break
-        many = live.join(hot, "key", "left_semi").select("key", "id").distinct()
+        found.append(met.where("b is not null").select("a", "b"))
+        many = met.where("b is null").select("key", F.col("a").alias("id"))
         rests = _rests(level.join(many.select("id").distinct(), "id", "left_semi"), edits)
         rests = rests.join(many, ["key", "id"], "left_semi").select(
             "id", "rest", F.col("key").alias("prefix")
@@ -121,12 +119,36 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         level = cut_lineage(rests.distinct())
         if level.isEmpty():
             break
+        if depth == DEPTH:
+            found.append(_crowded(level, edits))
     out = found[0]
     for pairs in found[1:]:
         out = out.union(pairs)
     return out.distinct()
 
 
+def _crowded(level: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) among lines that still share a segment with many: each line meets blocks of lines.
+
+    ``level`` has (id, rest, prefix). A block is an array of about ``HOT`` lines; only the lines of it
+    that may be close to a line leave it, so the pairs that are not are never rows.
+    """
+    sizes = level.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("_blocks"))
+    line = F.struct("id", "rest")
+    blocks = level.join(sizes, "prefix").groupBy("prefix", F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_block"))
+    blocks = blocks.agg(F.collect_list(line).alias("_lines")).select("prefix", "_lines")
+
+    def close(x: Column) -> Column:
+        mine, other = F.col("rest"), x["rest"]
+        longer = F.when(F.length(mine) >= F.length(other), mine).otherwise(other)
+        shorter = F.when(F.length(mine) >= F.length(other), other).otherwise(mine)
+        near = F.length(longer) - F.length(shorter) <= edits
+        return (x["id"] > F.col("id")) & near & may_be_close(longer, shorter, edits)
+
+    near = level.join(blocks, "prefix").select("id", F.explode(F.filter("_lines", close)).alias("_x"))
+    return near.select(F.col("id").alias("a"), F.col("_x.id").alias("b")).distinct()
+
+
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Edit distance of ``a`` and ``b``, not longer, if it is at most ``edits``; else more.
 
@@ -201,11 +223,11 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def without_common_ends(pairs: DataFrame) -> DataFrame:
     """(.., longer, shorter) reduced to what differs, turned round: the distance stays the same."""
-    others = [c for c in pairs.columns if c not in ("longer", "shorter")]
     for _ in range(2):
-        cut = pairs.select("*", common_prefix(F.col("longer"), F.col("shorter")).alias("_p"))
-        rest = [F.reverse(F.substring(F.col(c), F.col("_p") + 1, F.length(c))).alias(c) for c in ("longer", "shorter")]
-        pairs = cut.select(*others, *rest)
+        # apart from what follows, so that no filter copies the steps that lead here
+        pairs = computed(pairs, _p=common_prefix(F.col("longer"), F.col("shorter")))
+        rest = {c: F.reverse(F.substring(F.col(c), F.col("_p") + 1, F.length(c))) for c in ("longer", "shorter")}
+        pairs = computed(pairs, **rest).drop("_p")
     return pairs
 
 
@@ -235,7 +257,8 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b) ids of different lines within ``allowed_edits`` of the shorter one's length."""
-    lines = lines.select(F.col("line_id").alias("id"), F.col("line").alias("rest"))
+    lines = lines.groupBy(F.col("line_id").alias("id")).agg(F.any_value("line").alias("rest"))
+    lines = cut_lineage(lines)
     pairs = None
     for e in range(edits, 0, -1):
         # lines that may differ by e edits; by fewer if one is shorter, which comes with its own turn
@@ -247,8 +270,7 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         pairs = found if pairs is None else pairs.union(found)
     pairs = cut_lineage(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = lines.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.any_value("rest").alias("rest"))
-    texts = cut_lineage(texts)
+    texts = cut_lineage(lines.join(wanted.hint("merge"), "id", "left_semi"))
     both = pairs.join(texts.toDF("a", "_x"), "a").join(texts.toDF("b", "_y"), "b")
     swap = F.length("_x") < F.length("_y")
     both = both.select(
@@ -258,7 +280,7 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         F.when(swap, F.col("_x")).otherwise(F.col("_y")).alias("shorter"),
     )
     both = cut_lineage(both.where(may_be_close(F.col("longer"), F.col("shorter"), edits)))
-    both = both.withColumn("allowed", allowed_edits(F.length("shorter"), edits))
+    both = computed(both, allowed=allowed_edits(F.length("shorter"), edits))
     close = banded_distance(F.col("longer"), F.col("shorter"), edits) <= F.col("allowed")
     return cut_lineage(without_common_ends(both).where(close).select("a", "b"))
 
