@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.llm.graph import components
-from grantlens.llm.tables import cut_lineage
-from grantlens.scaling import computed
+from grantlens.llm.tables import bucketed, cut_lineage
 
 EDITS = 2
 CHARS_PER_EDIT = 10  # a line may differ by one edit for so many characters
@@ -112,13 +111,13 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         )
         found.append(met.where("b is not null").select("a", "b"))
         many = met.where("b is null").select("key", F.col("a").alias("id"))
+        if many.isEmpty():
+            break
         rests = _rests(level.join(many.select("id").distinct(), "id", "left_semi"), edits)
         rests = rests.join(many, ["key", "id"], "left_semi").select(
             "id", "rest", F.col("key").alias("prefix")
         )
         level = cut_lineage(rests.distinct())
-        if level.isEmpty():
-            break
         if depth == DEPTH:
             found.append(_crowded(level, edits))
     out = found[0]
@@ -160,7 +159,6 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     bits = 2 * edits + 2
     mask, top = (1 << bits) - 1, 1 << (bits - 1)
     number = lambda x: F.lit(x).cast("long")
-    bind = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
     n_a, n_b = F.length(a), F.length(b)
     pad = F.array_repeat(F.lit(""), bits)
 
@@ -172,9 +170,9 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
             same = F.get(acc["p"], row - 1 + bits) == char
             m = m + F.when(same, number(1 << bit)).otherwise(number(0))
         sums = lambda x: (x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])
-        d0 = bind(m, lambda x: sums(x).bitwiseOR(x).bitwiseOR(s["vn"]).bitwiseAND(number(mask)))
+        d0 = _bound(m, lambda x: sums(x).bitwiseOR(x).bitwiseOR(s["vn"]).bitwiseAND(number(mask)))
         return F.struct(
-            bind(d0, lambda d: moved(s, n, d)).alias("s"), acc["p"].alias("p"), n.alias("n")
+            _bound(d0, lambda d: moved(s, n, d)).alias("s"), acc["p"].alias("p"), n.alias("n")
         )
 
     def moved(s: Column, n: Column, d0: Column) -> Column:
@@ -221,14 +219,24 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), longer)
 
 
-def without_common_ends(pairs: DataFrame) -> DataFrame:
-    """(.., longer, shorter) reduced to what differs, turned round: the distance stays the same."""
-    for _ in range(2):
-        # apart from what follows, so that no filter copies the steps that lead here
-        pairs = computed(pairs, _p=common_prefix(F.col("longer"), F.col("shorter")))
-        rest = {c: F.reverse(F.substring(F.col(c), F.col("_p") + 1, F.length(c))) for c in ("longer", "shorter")}
-        pairs = computed(pairs, **rest).drop("_p")
-    return pairs
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it is looked at."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def without_common_ends(longer: Column, shorter: Column, then) -> Column:
+    """``then(longer, shorter)`` of what differs, turned round twice: the distance stays the same."""
+
+    def cut(pair: Column, after) -> Column:
+        x, y = pair["x"], pair["y"]
+        rest = lambda c, p: F.reverse(F.substring(c, p + 1, F.length(c)))
+        return _bound(
+            common_prefix(x, y),
+            lambda p: _bound(F.struct(rest(x, p).alias("x"), rest(y, p).alias("y")), after),
+        )
+
+    pair = F.struct(longer.alias("x"), shorter.alias("y"))
+    return _bound(pair, lambda s: cut(s, lambda t: cut(t, lambda u: then(u["x"], u["y"]))))
 
 
 def may_be_close(longer: Column, shorter: Column, edits: int = EDITS, parts: int = 8) -> Column:
@@ -257,8 +265,8 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b) ids of different lines within ``allowed_edits`` of the shorter one's length."""
-    lines = lines.groupBy(F.col("line_id").alias("id")).agg(F.any_value("line").alias("rest"))
-    lines = cut_lineage(lines)
+    # in buckets, as what is found about lines comes back to their texts several times
+    lines = bucketed(lines.groupBy(F.col("line_id").alias("id")).agg(F.any_value("line").alias("rest")), "id")
     pairs = None
     for e in range(edits, 0, -1):
         # lines that may differ by e edits; by fewer if one is shorter, which comes with its own turn
@@ -269,9 +277,7 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         found = _candidates(own, e)
         pairs = found if pairs is None else pairs.union(found)
     pairs = cut_lineage(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut_lineage(lines.join(wanted.hint("merge"), "id", "left_semi"))
-    both = pairs.join(texts.toDF("a", "_x"), "a").join(texts.toDF("b", "_y"), "b")
+    both = pairs.join(lines.toDF("a", "_x"), "a").join(lines.toDF("b", "_y"), "b")
     swap = F.length("_x") < F.length("_y")
     both = both.select(
         "a",
@@ -280,9 +286,14 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         F.when(swap, F.col("_x")).otherwise(F.col("_y")).alias("shorter"),
     )
     both = cut_lineage(both.where(may_be_close(F.col("longer"), F.col("shorter"), edits)))
-    both = computed(both, allowed=allowed_edits(F.length("shorter"), edits))
-    close = banded_distance(F.col("longer"), F.col("shorter"), edits) <= F.col("allowed")
-    return cut_lineage(without_common_ends(both).where(close).select("a", "b"))
+    allowed = allowed_edits(F.length("shorter"), edits)
+
+    def close(x: Column, y: Column) -> Column:
+        # both ends differ now, so that segments rule out nearly all that are too far apart
+        return may_be_close(x, y, edits) & (banded_distance(x, y, edits) <= allowed)
+
+    both = both.where(without_common_ends(F.col("longer"), F.col("shorter"), close))
+    return cut_lineage(both.select("a", "b"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:

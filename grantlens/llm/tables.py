@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from grantlens import scaling
@@ -21,3 +23,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return scaling.cut_lineage(df)
     finally:
         conf.set(_CLEANUP, before)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write a frame to the shared folder in sorted buckets of ``key``, and read it back.
+
+    Joins and aggregations by ``key`` neither shuffle nor sort it again.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{scaling.shared_folder(spark)}/cut/{name}"
+    conf = spark.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        dealt = df.repartition(n, key)
+        dealt.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    finally:
+        conf.set(_CLEANUP, before)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, as they are outside the catalog's own folder
+    return table
