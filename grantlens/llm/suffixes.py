@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.llm.words import blocks, grams, mix64, words
-from grantlens.llm.tables import cut_lineage
+from grantlens.llm.tables import cut_lineage, discard
 
 LENGTH = 50  # words of the shortest passage
 KEY = 10  # words that suffixes are first matched by
-GROUP = 20_000  # suffixes sorted in one piece
-HOT = 8_000  # suffixes with the same first words, above which they are dealt out by their runs
+GROUP = 20_000  # suffixes sorted in one piece; more that begin alike are told apart by more words first
 
 _U64 = np.uint64
 
@@ -126,98 +125,119 @@ def _prefix_hashes(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_two_texts(group: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Which rows share their group with a row of another node."""
-    order = np.lexsort((node, group))
-    g, n = group[order], node[order]
+def _in_two_texts(group: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> np.ndarray:
+    """Which rows are in a group whose rows, of texts ``least`` to ``greatest``, are of two texts."""
+    order = np.argsort(group, kind="stable")
+    g = group[order]
     first = np.ones(len(g), bool)
     first[1:] = g[1:] != g[:-1]
-    run = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
-    stops = np.append(starts[1:], len(g)) - 1
+    several = np.minimum.reduceat(least[order], starts) != np.maximum.reduceat(greatest[order], starts)
     out = np.zeros(len(g), bool)
-    out[order] = (n[starts] != n[stops])[run]
+    out[order] = several[np.cumsum(first) - 1]
     return out
 
 
-SPANS = "node long, first int, end int"
-
-
-def _spans(node, pos, least, most, length) -> pa.Table:
-    some = most >= 0
-    return pa.table(
-        {
-            "node": pa.array(node[some], pa.int64()),
-            "first": pa.array((pos - (length - least))[some], pa.int32()),
-            "end": pa.array((pos + most)[some], pa.int32()),
-        }
-    )
+MATCHED = "key long, context long, least int, most int"
 
 
 def _match(length: int, key: int):
-    """Spans of the suffixes of one piece that are repeated in another text."""
-
-    def match(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        pos = group.column("pos").to_numpy()
-        first = group.column("key").to_numpy()
-        right, n_right = _matrix(group.column("right").combine_chunks(), length)
-        left, n_left = _matrix(group.column("left").combine_chunks(), length - key)
-        # the suffix array: by key, then word by word
+    """For the suffixes of one piece, how far the shortest and the longest match reach to the right."""
+
+    def match(piece: pa.Table) -> pa.Table:
+        group = piece.column("group").to_numpy()
+        right, n_right = _matrix(piece.column("right").combine_chunks(), length)
+        left, n_left = _matrix(piece.column("left").combine_chunks(), length - key)
+        # the suffix array: by group, then word by word
         spelled = np.ascontiguousarray(right.astype(">u4")).view(f"S{4 * length}").ravel()
-        order = np.lexsort((spelled, first))
-        node, pos, first = node[order], pos[order], first[order]
-        right, n_right, left, n_left = right[order], n_right[order], left[order], n_left[order]
+        order = np.lexsort((spelled, group))
+        own = {c: piece.column(c).to_numpy()[order] for c in ("key", "context", "a", "b", "lo", "hi")}
+        group, right, n_right, left, n_left = group[order], right[order], n_right[order], left[order], n_left[order]
         # words that neighbours have in common
         same = right[1:] == right[:-1]
         common = np.where(same.all(axis=1), length, (~same).argmax(axis=1))
         common = np.minimum(common, np.minimum(n_right[1:], n_right[:-1]))
-        common[first[1:] != first[:-1]] = 0
+        common[group[1:] != group[:-1]] = 0
         extended = _prefix_hashes(left)
-        least, most = np.full(len(node), length + 1), np.full(len(node), -1)
+        least, most = np.full(len(group), length + 1), np.full(len(group), -1)
         for r in range(key, length + 1):
             before = length - r
-            fits = np.flatnonzero((n_right >= r) & (n_left >= before))
-            if len(fits) < 2:
+            fits = np.flatnonzero((n_right >= r) & (n_left >= before) & (own["lo"] <= r) & (r <= own["hi"]))
+            if not len(fits):
                 continue
             run = np.concatenate(([0], np.cumsum(common < r)))
-            groups = mix64(extended[fits, before] + run[fits].astype(_U64) * _U64(0xD6E8FEB86659FD93))
-            hit = fits[_in_two_texts(groups, node[fits])]
+            alike = mix64(extended[fits, before] + run[fits].astype(_U64) * _U64(0xD6E8FEB86659FD93))
+            hit = fits[_in_two_texts(alike, own["a"][fits], own["b"][fits])]
             least[hit] = np.minimum(least[hit], r)
             most[hit] = np.maximum(most[hit], r)
-        return _spans(node, pos, least, most, length)
+        some = most >= 0
+        return pa.table(
+            {
+                "key": pa.array(own["key"][some], pa.int64()),
+                "context": pa.array(own["context"][some], pa.int64()),
+                "least": pa.array(least[some], pa.int32()),
+                "most": pa.array(most[some], pa.int32()),
+            }
+        )
 
     return match
 
 
-def _runs(length: int, key: int):
-    """For suffixes of a hot key: hash of each run of ``length`` words around the position."""
+def _matches(contexts: DataFrame, length: int, key: int, most: int) -> DataFrame:
+    """(key, context, least, most) of the contexts that hold a run of ``length`` words of another text.
 
-    def find(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(left), 4096):
-            r, n_right = _matrix(right[at : at + 4096], length)
-            l_, n_left = _matrix(left[at : at + 4096], length - key)
-            r, l_ = _prefix_hashes(r), _prefix_hashes(l_)
-            reach = np.arange(key, length + 1)
-            hashes = mix64(l_[:, length - reach] * _U64(0xD6E8FEB86659FD93) + r[:, reach])
-            fits = (n_right[:, None] >= reach) & (n_left[:, None] >= length - reach)
-            for k in range(len(r)):
-                own = np.flatnonzero(fits[k])
-                out.append([{"r": int(reach[x]), "run": h} for x, h in zip(own, hashes[k, own].view(np.int64), strict=True)])
-        return pa.array(out, pa.list_(pa.struct([("r", pa.int32()), ("run", pa.int64())])))
-
-    return F.arrow_udf(find, "array<struct<r:int,run:long>>").asNondeterministic()
-
-
-def find_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
+    ``contexts`` has (key, context, left, right, a, b), ``a`` and ``b`` the least and the greatest text.
+    A group is to be matched for runs that reach ``lo`` to ``hi`` words to the right: its members have
+    the first ``lo`` words of that side in common, and ``length - hi`` of the other. A group too large to
+    be sorted in one piece falls in two by halving that range, which adds words to what members share;
+    where it is down to one length the group is a run itself, and counting its texts is enough.
+    """
+    right = F.substring(F.col("right"), F.lit(1), 4 * F.col("lo"))
+    left = F.substring(F.col("left"), F.lit(1), 4 * (length - F.col("hi")))
+    shared = F.xxhash64("key", "lo", "hi", right, left)
+    level = contexts.select(
+        "*", F.lit(key).alias("lo"), F.lit(length).alias("hi"), F.xxhash64("key").alias("group")
+    )
+    found = []
+    while True:
+        sizes = level.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+        large = cut_lineage(sizes.where(F.col("n") > most).select("group"))
+        pieces = max(1, -(-level.count() // most))
+        piece = F.pmod(F.xxhash64("group"), F.lit(pieces)).alias("piece")
+        small = level.join(large, "group", "left_anti")
+        found.append(cut_lineage(small.groupBy(piece).applyInArrow(_match(length, key), MATCHED)))
+        if large.isEmpty():
+            break
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(
+            F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi"))
+        )
+        halved = level.join(large, "group", "left_semi").withColumn("_half", F.explode(halves))
+        halved = halved.select("key", "context", "left", "right", "a", "b", "_half.lo", "_half.hi")
+        fits = (F.length("right") >= 4 * F.col("lo")) & (F.length("left") >= 4 * (length - F.col("hi")))
+        halved = cut_lineage(halved.where(fits).withColumn("group", shared))
+        runs = halved.where("lo = hi")
+        repeated = runs.groupBy("group").agg(F.min("a").alias("_a"), F.max("b").alias("_b")).where("_a != _b")
+        found.append(
+            runs.join(repeated.select("group"), "group", "left_semi").select(
+                "key", "context", F.col("lo").alias("least"), F.col("hi").alias("most")
+            )
+        )
+        level = halved.where("lo < hi")
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out.groupBy("key", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def find_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, group: int = GROUP) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_repeated``, ``spans``, ``repeated``.
 
     ``spans`` are merged runs of words (first, end; counted from 0) that lie in a passage of
     ``length`` words found in another document too; ``n_repeated`` counts their words. Repeats within
     one text alone do not count. Null and empty texts, and those of fewer words, have no spans. Rows
     with equal text count as different documents, whatever their ids. Texts are told apart by a 64-bit
-    hash. An empty table gives an empty one.
+    hash. An empty table gives an empty one. ``group`` bounds the suffixes that are sorted in one task.
     """
     docs = docs.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("node"))
     texts = docs.where("text is not null")
@@ -225,51 +245,37 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataF
     # equal texts have equal suffixes: one row for each text
     kept = found.where(F.size("s") > 0).groupBy("node").agg(F.any_value("s").alias("s"))
     suffixes = cut_lineage(kept.select("node", F.inline("s")))
-    shared = suffixes.groupBy("key").agg(
-        F.min("node").alias("_a"), F.max("node").alias("_b"), F.count(F.lit(1)).alias("times")
-    )
-    shared = shared.where("_a != _b").select("key", "times")
-    wanted = suffixes.join(shared, "key")
+    shared = suffixes.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
+    wanted = suffixes.join(shared.where("_a != _b").select("key"), "key")
     asked = cut_lineage(
-        wanted.groupBy("node").agg(F.collect_list(F.struct("pos", "key", "times")).alias("asked"))
+        wanted.groupBy("node").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
     )  # a text's own positions
+    discard(suffixes)
     # texts are dealt out by their hash at any size: the nodes grow with the input
     one = texts.select("node", "text").join(asked.select("node").hint("merge"), "node", "left_semi")
     one = one.groupBy("node").agg(F.any_value("text").alias("text"))
     around = one.join(asked, "node").select(
-        "node",
-        F.arrays_zip(
-            _contexts(length, key)(F.col("text"), F.transform("asked", lambda x: F.struct(x["pos"].alias("pos"), x["key"].alias("key")))).alias("c"),
-            F.transform("asked", lambda x: x["times"]).alias("times"),
-        ).alias("z"),
+        "node", F.explode(_contexts(length, key)(F.col("text"), F.col("asked"))).alias("c")
     )
-    around = around.select("node", F.explode("z").alias("z")).select("node", "z.c.*", "z.times")
-    around = cut_lineage(around)
-    pieces = max(1, -(-around.where(F.col("times") <= HOT).count() // GROUP))
-    piece = F.pmod(F.xxhash64("key"), F.lit(pieces))
-    spans = (
-        around.where(F.col("times") <= HOT)
-        .drop("times")
-        .groupBy(piece.alias("piece"))
-        .applyInArrow(_match(length, key), SPANS)
+    around = around.select("node", "c.*")
+    around = cut_lineage(around.withColumn("context", F.xxhash64("left", "right")))
+    discard(asked)
+    contexts = cut_lineage(
+        around.groupBy("key", "context", "left", "right").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     )
-    hot = around.where(F.col("times") > HOT)
-    runs = hot.select(
-        "node", "pos", "key", F.explode(_runs(length, key)(F.col("left"), F.col("right"))).alias("x")
-    ).select("node", "pos", "key", "x.*")
-    repeated = runs.groupBy("key", "r", "run").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
-    repeated = repeated.where("_a != _b").select("key", "r", "run")
-    hot_spans = (
-        runs.join(repeated, ["key", "r", "run"], "left_semi")
-        .groupBy("node", "pos")
-        .agg(F.min("r").alias("least"), F.max("r").alias("most"))
+    matches = cut_lineage(_matches(contexts, length, key, group))
+    discard(contexts)
+    spans = cut_lineage(
+        around.select("node", "pos", "key", "context")
+        .join(matches, ["key", "context"])
         .select(
             "node",
             (F.col("pos") - (length - F.col("least"))).cast("int").alias("first"),
             (F.col("pos") + F.col("most")).cast("int").alias("end"),
         )
     )
-    by_text = spans.union(hot_spans).groupBy("node").agg(
+    discard(around, matches)
+    by_text = spans.groupBy("node").agg(
         F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans")
     )
     copies = docs.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))

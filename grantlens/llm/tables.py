@@ -16,13 +16,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     What follows reads the table, so nothing comes back to the shuffles that led to it.
     """
+    path = f"{scaling.shared_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, "false")
     conf.set(_CLEANUP, "true")
     try:
-        return scaling.cut_lineage(df)
+        df.write.parquet(path)
     finally:
         conf.set(_CLEANUP, before)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut_lineage` or :func:`bucketed` wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
@@ -43,5 +55,6 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     finally:
         conf.set(_CLEANUP, before)
     table = spark.table(name)
+    table._folder = path
     spark.sql(f"DROP TABLE {name}")  # the files stay, as they are outside the catalog's own folder
     return table

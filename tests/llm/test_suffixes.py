@@ -49,12 +49,11 @@ def spans_of(frame):
     return [[i for s in r["spans"] for i in range(s["first"], s["end"])] for r in rows]
 
 
-@pytest.mark.parametrize("hot,group", [(8000, 20_000), (2, 20_000), (8000, 15)])
-def test_against_all_runs(documents, monkeypatch, hot, group):
-    monkeypatch.setattr(suffixes, "HOT", hot)
-    monkeypatch.setattr(suffixes, "GROUP", group)
+@pytest.mark.parametrize("group", [suffixes.GROUP, 15, 1])
+def test_against_all_runs(documents, group):
+    """One piece, several, and groups that are halved down to single runs."""
     rows = passages()
-    found = find_repeats(documents(rows))
+    found = find_repeats(documents(rows), group=group)
     assert spans_of(found) == brute(rows)
     assert all(r["n_repeated"] == sum(s["end"] - s["first"] for s in r["spans"]) for r in found.collect())
 
