@@ -4,7 +4,7 @@ Two lines within ``EDITS`` edits share one of ``EDITS + 1`` segments of the shor
 that the length difference and the segment's number allow. Lines are indexed by (length, segment
 number, segment) and probe with their substrings for every length within reach. Where very many
 lines share a segment, the rest of those lines is cut into segments in turn, until few share them
-all. Candidates are verified with a bit-parallel edit distance over a band of diagonals.
+all. Candidates whose letters differ in number are dropped at once; the others are verified with a bit-parallel edit distance over a band of diagonals.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ EDITS = 2
 CHARS_PER_EDIT = 10  # a line may differ by one edit for so many characters
 HOT = 64  # lines that may share a segment before the rest of the line is looked at
 DEPTH = 3  # so often at most
+COUNTED = "eainrtos"  # letters whose numbers are compared before anything else
 
 
 def allowed_edits(length: Column, edits: int = EDITS) -> Column:
@@ -46,8 +47,8 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _measured(level: DataFrame, edits: int) -> DataFrame:
-    """(id, rest, prefix) with its length and the cuts of all lengths in reach, worked out once."""
-    level = level.select("id", "rest", "prefix", F.length("rest").alias("n"))
+    """(id, rest, prefix) with its length, letters and the cuts of all lengths in reach, worked out once."""
+    level = level.select("id", "rest", "prefix", letter_counts(F.col("rest")).alias("counts"), F.length("rest").alias("n"))
     cuts = [
         F.expr(f"(n - {less}) * {i} div {edits + 1}").cast("int").alias(f"c{less}_{i}")
         for less in range(edits + 1)
@@ -65,10 +66,26 @@ def _place(place: tuple[int, int, int]) -> tuple[Column, Column, Column]:
     return at, size, F.when((at >= 0) & (at + size <= F.col("n")) & (F.col("n") >= less), key)
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of the ``COUNTED`` letters occurs (255 at most), a byte for each."""
+    out = F.lit(0).cast("long")
+    for k, letter in enumerate(COUNTED):
+        count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(F.least(count, F.lit(255)).cast("long"), 8 * k))
+    return out
+
+
+def letters_apart(x: Column, y: Column) -> Column:
+    """By how many letters two counts differ: at most two for each edit between the texts."""
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+    return sum((F.abs(byte(x, k) - byte(y, k)) for k in range(len(COUNTED))), F.lit(0))
+
+
 def _keys(level: DataFrame, edits: int, places: list[tuple[int, int, int]]) -> DataFrame:
-    """(key, id) for every one of ``places`` of every line."""
+    """(key, id, counts) for every one of ``places`` of every line."""
     keys = F.array(*[_place(p)[2] for p in places])
-    return _measured(level, edits).select(F.explode(keys).alias("key"), "id").where("key is not null")
+    rows = _measured(level, edits).select(F.explode(keys).alias("key"), "id", "counts")
+    return rows.where("key is not null")
 
 
 def _rests(level: DataFrame, edits: int) -> DataFrame:
@@ -96,12 +113,12 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         index = _keys(level, edits, places[: edits + 1])
         counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         hot = cut_lineage(counts.where(F.col("n") > HOT).select("key", "n"))
-        index = index.join(hot.select("key"), "key", "left_anti").union(
-            hot.select("key", F.lit(None).cast("long"))
-        )
+        nothing = F.lit(None).cast("long")
+        index = index.join(hot.select("key"), "key", "left_anti").union(hot.select("key", nothing, nothing))
         # dealt out by key at any size: the index grows with the input
-        met = _keys(level, edits, places).join(index.toDF("key", "other").hint("merge"), "key")
-        met = met.where("other is null or other != id")
+        met = _keys(level, edits, places).join(index.toDF("key", "other", "theirs").hint("merge"), "key")
+        alike = letters_apart(F.col("counts"), F.col("theirs")) <= 2 * edits
+        met = met.where(F.col("other").isNull() | ((F.col("other") != F.col("id")) & alike))
         met = cut_lineage(
             met.select(
                 F.when(F.col("other").isNull(), F.col("key")).alias("key"),
@@ -132,8 +149,9 @@ def _crowded(level: DataFrame, edits: int) -> DataFrame:
     ``level`` has (id, rest, prefix). A block is an array of about ``HOT`` lines; only the lines of it
     that may be close to a line leave it, so the pairs that are not are never rows.
     """
+    level = level.withColumn("counts", letter_counts(F.col("rest")))
     sizes = level.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("_blocks"))
-    line = F.struct("id", "rest")
+    line = F.struct("id", "rest", "counts")
     blocks = level.join(sizes, "prefix").groupBy("prefix", F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_block"))
     blocks = blocks.agg(F.collect_list(line).alias("_lines")).select("prefix", "_lines")
 
@@ -142,7 +160,8 @@ def _crowded(level: DataFrame, edits: int) -> DataFrame:
         longer = F.when(F.length(mine) >= F.length(other), mine).otherwise(other)
         shorter = F.when(F.length(mine) >= F.length(other), other).otherwise(mine)
         near = F.length(longer) - F.length(shorter) <= edits
-        return (x["id"] > F.col("id")) & near & may_be_close(longer, shorter, edits)
+        alike = letters_apart(F.col("counts"), x["counts"]) <= 2 * edits
+        return (x["id"] > F.col("id")) & alike & near & may_be_close(longer, shorter, edits)
 
     near = level.join(blocks, "prefix").select("id", F.explode(F.filter("_lines", close)).alias("_x"))
     return near.select(F.col("id").alias("a"), F.col("_x.id").alias("b")).distinct()
