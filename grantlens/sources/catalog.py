@@ -1,41 +1,12 @@
-"""Catalog snapshots: objects, schemas, ACL entries, roles and dependencies."""
+"""Roles, memberships and dependencies from the catalogs; objects are read in ``snapshot``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlens.model import ALL_ACL, ALL_OBJECTS, KINDS, MEMBERSHIPS, ROLES
-from grantlens.scaling import union_all
-
-# owner/namespace/name/acl column prefix of each catalog, and its kind column.
-CATALOGS = {
-    "pg_class": ("rel", "relkind"),
-    "pg_proc": ("pro", None),
-    "pg_type": ("typ", "typtype"),
-    "pg_conversion": ("con", None),
-    "pg_operator": ("opr", None),
-    "pg_collation": ("coll", None),
-    "pg_ts_dict": ("dict", None),
-    "pg_ts_config": ("cfg", None),
-    "pg_opfamily": ("opf", None),
-    "pg_opclass": ("opc", None),
-    "pg_statistic_ext": ("stx", None),
-    "pg_namespace": ("nsp", None),
-}
-_SINGLE_KIND = {
-    "pg_proc": "X",
-    "pg_conversion": "C",
-    "pg_operator": "O",
-    "pg_collation": "L",
-    "pg_ts_dict": "D",
-    "pg_ts_config": "G",
-    "pg_opfamily": "F",
-    "pg_opclass": "K",
-    "pg_statistic_ext": "E",
-    "pg_namespace": "N",
-}
-_WITH_ACL = ("pg_class", "pg_proc", "pg_type", "pg_namespace")
+from grantlens.model import ALL_ACL, ALL_OBJECTS
+
 _FLEET_SHIFT = 1 << 32
 
 
@@ -44,64 +15,26 @@ def fleet_oid(db_id: Column, oid: Column) -> Column:
     return db_id.cast("bigint") * F.lit(_FLEET_SHIFT) + oid.cast("bigint")
 
 
-def _objects_of(catalog: str, df: DataFrame) -> DataFrame:
-    prefix, kind_column = CATALOGS[catalog]
-    if catalog == "pg_class":
-        df = df.where(F.col(kind_column).isin("r", "p", "v", "m", "f", "S"))
-        kind = F.col(kind_column)
-    elif catalog == "pg_type":
-        kind = F.when(F.col(kind_column) == "d", F.lit("d")).otherwise(F.lit("T"))
-    else:
-        kind = F.lit(_SINGLE_KIND[catalog])
-    oid = fleet_oid(F.col("db_id"), F.col("oid"))
-    schema = oid if catalog == "pg_namespace" else fleet_oid(
-        F.col("db_id"), F.col(f"{prefix}namespace")
-    )
-    acl = F.col(f"{prefix}acl") if catalog in _WITH_ACL else F.lit(None)
-    return df.select(
-        F.col("db_id").cast("bigint").alias("db_id"),
-        schema.alias("schema_oid"),
-        kind.alias("obj_kind"),
-        oid.alias("obj_oid"),
-        F.col(f"{prefix}name").cast("string").alias("obj_name"),
-        F.col(f"{prefix}owner").cast("bigint").alias("owner_oid"),
-        acl.isNotNull().alias("has_acl"),
-        acl.cast("array<string>").alias("acl"),
+def read_roles(catalog: DataFrame) -> DataFrame:
+    """Roles from the server's role catalog."""
+    return catalog.select(
+        F.col("oid").cast("bigint").alias("role_oid"),
+        F.col("rolname").cast("string").alias("role_name"),
+        F.col("rolcanlogin").alias("can_login"),
+        F.col("rolsuper").alias("is_super"),
+        F.col("rolcreaterole").alias("can_create_role"),
+        F.col("rolinherit").alias("inherits"),
     )
 
 
-def read_catalog_snapshot(
-    spark: SparkSession, root: str, server_version: int = 150000
-) -> DataFrame:
-    """All objects of all catalogs below ``root`` (one Parquet folder per catalog) in one shape.
+def read_memberships(catalog: DataFrame) -> DataFrame:
+    """Membership edges (role_oid: granted role, member_oid: who got it), one for each pair.
 
-    The ACL stays in its text form in ``acl`` (NULL: built-in defaults apply); columns and rows
-    that a query does not need are pruned in each catalog's scan. Catalogs newer than the server
-    are left out.
+    A role granted by several grantors has the admin option if any of them gave it.
     """
-    newer = {c for k in KINDS if k.min_version > server_version for c, code in _SINGLE_KIND.items()
-             if code == k.code}
-    return union_all(
-        [_objects_of(c, spark.read.parquet(f"{root}/{c}")) for c in CATALOGS if c not in newer]
-    )
-
-
-def read_catalog_jdbc(
-    spark: SparkSession, url: str, catalog: str, db_id: int, **options: str
-) -> DataFrame:
-    """One catalog of one live server, read-only, in the same shape."""
-    source = spark.read.format("jdbc").option("url", url).option("dbtable", f"pg_catalog.{catalog}")
-    return _objects_of(catalog, source.options(**options).load().withColumn("db_id", F.lit(db_id)))
-
-
-def read_roles(spark: SparkSession, path: str) -> DataFrame:
-    """Roles with the declared schema."""
-    return spark.read.schema(ROLES).parquet(path)
-
-
-def read_memberships(spark: SparkSession, path: str) -> DataFrame:
-    """Membership edges (role_oid: granted role, member_oid: who got it)."""
-    return spark.read.schema(MEMBERSHIPS).parquet(path)
+    return catalog.groupBy(
+        F.col("roleid").cast("bigint").alias("role_oid"), F.col("member").cast("bigint").alias("member_oid")
+    ).agg(F.bool_or("admin_option").alias("admin_option"))
 
 
 def read_view_sources(depend: DataFrame, rewrite: DataFrame) -> DataFrame:

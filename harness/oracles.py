@@ -646,8 +646,37 @@ def stores() -> dict[str, str]:
     }
 
 
+def fleet(name: str) -> str:
+    return f"CAST(db_id AS BIGINT)*4294967296+CAST({name} AS BIGINT) AS {name}"
+
+
+def snapshots() -> dict[str, str]:
+    keys = f"CAST(db_id AS BIGINT) AS db_id, {fleet('schema_oid')}, obj_kind, {fleet('obj_oid')}"
+    of_relation = "JOIN objects o ON o.obj_oid="
+    return {
+        "read_catalog_snapshot": with_inputs(f"SELECT {keys}, obj_name, CAST(owner_oid AS BIGINT) AS owner_oid, has_acl FROM all_objects"),
+        "read_catalog_acl": with_inputs(
+            f"SELECT {keys}, column_name, CAST(owner_oid AS BIGINT) AS owner_oid, CAST(grantee_oid AS BIGINT) AS grantee_oid, codes, grantable FROM all_acl"),
+        "read_default_acl": with_inputs(
+            f"SELECT CAST(db_id AS BIGINT) AS db_id, {fleet('schema_oid')}, CAST(grantor_oid AS BIGINT) AS grantor_oid, obj_type, CAST(grantee_oid AS BIGINT) AS grantee_oid, codes FROM default_acl"),
+        "read_rejected_acl": with_inputs(
+            f"SELECT CAST(db_id AS BIGINT) AS db_id, obj_kind, {fleet('obj_oid')}, column_name, count(*) AS items FROM all_acl WHERE grantee_oid IN (SELECT role_oid FROM roles WHERE role_name LIKE 'prod%') GROUP BY ALL"),
+        "snapshot_privilege_anomalies": diagnostics()["privilege_anomalies"],
+        "snapshot_role_privileges": acl()["role_privileges"],
+        "read_roles": with_inputs("SELECT CAST(role_oid AS BIGINT) AS role_oid, role_name, can_login, is_super, can_create_role, inherits FROM roles"),
+        "read_memberships": with_inputs(
+            "SELECT CAST(role_oid AS BIGINT) AS role_oid, CAST(member_oid AS BIGINT) AS member_oid, bool_or(admin_option) AS admin_option FROM memberships GROUP BY role_oid, member_oid"),
+        "read_view_sources": with_inputs(
+            f"SELECT DISTINCT CAST(db_id AS BIGINT)*4294967296+view_oid AS view_oid, CAST(db_id AS BIGINT)*4294967296+source_oid AS source_oid FROM view_sources {of_relation}view_oid"),
+        "read_owned_sequences": with_inputs(
+            "SELECT CAST(s.db_id AS BIGINT)*4294967296+table_oid AS table_oid, CAST(s.db_id AS BIGINT)*4294967296+sequence_oid AS owned_oid, s.obj_name AS owned_name FROM owned_sequences JOIN objects s ON s.obj_oid=sequence_oid"),
+        "read_auto_types": with_inputs(f"SELECT CAST(db_id AS BIGINT)*4294967296+t.obj_oid AS obj_oid FROM auto_types t {of_relation}t.obj_oid"),
+        "read_role_dependencies": with_inputs("SELECT CAST(db_id AS BIGINT) AS db_id, CAST(role_oid AS BIGINT) AS role_oid FROM role_dependencies"),
+    }
+
+
 def all_oracles() -> dict[str, str]:
     return {
         **diagnostics(), **acl(), **roles(), **plans(), **registry(), **events(), **policies(),
-        **stores(),
+        **stores(), **snapshots(),
     }

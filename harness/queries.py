@@ -12,8 +12,9 @@ from grantlens.functions.sqltext import invert_command
 from grantlens.operators import acl, diagnostics, maintenance, policies, registry, roles
 from grantlens.plans import defaults, grants, move, ownership, reassign, reset
 from grantlens.scaling import shared_folder, union_all
-from grantlens.sources import catalog, ddl_log, stores, taxonomy
+from grantlens.sources import catalog, ddl_log, snapshot, stores, taxonomy
 from grantlens.streaming import events
+from harness.catalogs import catalog_root
 from harness.inputs import Inputs
 
 ADMIN_TARGET = "grp_0"
@@ -555,3 +556,83 @@ def write_registry(c):
     changes = added.select("db_id", "schema_name", "schema_oid", F.lit(True).alias("is_created"), "producer")
     stores.write_registry(stores.upsert(current, changes, ["db_id", "schema_name"]), folder, 1)
     return stores.read_version(c.spark, folder, stores.latest_version(c.spark, folder))
+
+
+def _pg(c, name: str) -> DataFrame:
+    return c.spark.read.parquet(f"{catalog_root(c)}/{name}")
+
+
+def _snapshot(c) -> snapshot.Snapshot:
+    return snapshot.read_snapshot(c.spark, catalog_root(c), catalog.read_roles(_pg(c, "pg_roles")))
+
+
+def _server_oids(df: DataFrame, *names: str) -> DataFrame:
+    """Ids as each server has them, for comparison with tables that have no others."""
+    return df.withColumns({n: F.col(n).bitwiseAND(F.lit((1 << 32) - 1)) for n in names})
+
+
+@query
+def read_catalog_snapshot(c):
+    return _snapshot(c).objects
+
+
+@query
+def read_catalog_acl(c):
+    return _snapshot(c).acl
+
+
+@query
+def read_default_acl(c):
+    return _snapshot(c).default_acl
+
+
+@query
+def read_rejected_acl(c):
+    """Entries whose roles are not given to the reader: all that name a producer."""
+    known = catalog.read_roles(_pg(c, "pg_roles")).where("role_name not like 'prod%'")
+    found = snapshot.read_snapshot(c.spark, catalog_root(c), known).rejected
+    return found.groupBy("db_id", "obj_kind", "obj_oid", "column_name").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query
+def snapshot_privilege_anomalies(c):
+    """The privilege report on what the snapshot reader found."""
+    found = _snapshot(c)
+    registry_now = c.registry.withColumn("schema_oid", catalog.fleet_oid(F.col("db_id"), F.col("schema_oid")))
+    report = diagnostics.privilege_anomalies(found.objects, found.acl, registry_now, c.roles, c.fixed_grants)
+    return _server_oids(report, "obj_oid")
+
+
+@query
+def snapshot_role_privileges(c):
+    return _server_oids(acl.role_privileges(_snapshot(c).acl), "obj_oid", "schema_oid")
+
+
+@query
+def read_roles(c):
+    return catalog.read_roles(_pg(c, "pg_roles"))
+
+
+@query
+def read_memberships(c):
+    return catalog.read_memberships(_pg(c, "pg_auth_members"))
+
+
+@query
+def read_view_sources(c):
+    return catalog.read_view_sources(_pg(c, "pg_depend"), _pg(c, "pg_rewrite"))
+
+
+@query
+def read_owned_sequences(c):
+    return catalog.read_owned_relations(_pg(c, "pg_depend"), _pg(c, "pg_class"), "S")
+
+
+@query
+def read_auto_types(c):
+    return catalog.read_auto_types(_pg(c, "pg_depend"))
+
+
+@query
+def read_role_dependencies(c):
+    return catalog.read_role_dependencies(_pg(c, "pg_shdepend"))

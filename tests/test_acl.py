@@ -155,32 +155,6 @@ def test_command_words_follow_the_server_version(small, rows, spark):
     ]
 
 
-def test_catalog_snapshot(spark, rows, tmp_path):
-    def write(name, schema, data):
-        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}")
-
-    for name, (prefix, kind) in catalog.CATALOGS.items():
-        extra = f", {kind} string" if kind else ""
-        acl_column = f", {prefix}acl array<string>" if name in ("pg_class", "pg_proc", "pg_type", "pg_namespace") else ""
-        space = "" if name == "pg_namespace" else f", {prefix}namespace bigint"
-        schema = f"db_id bigint, oid bigint, {prefix}name string, {prefix}owner bigint{space}{extra}{acl_column}"
-        row = [1, 7, "n", 3] + ([] if name == "pg_namespace" else [9])
-        data = []
-        if name == "pg_class":
-            data = [tuple(row + ["r", None]), tuple([1, 8, "i", 3, 9, "i", None])]
-        elif name == "pg_type":
-            data = [tuple(row + ["d", []])]
-        else:
-            data = [tuple(row + ([["a=X/b"]] if acl_column else []))]
-        write(name, schema, data)
-    got = rows(catalog.read_catalog_snapshot(spark, str(tmp_path)), "obj_kind", "obj_oid", "schema_oid", "has_acl")
-    base = 1 << 32
-    assert [g[0] for g in got] == sorted("CDEFGKLNOXdr")
-    assert ("r", base + 7, base + 9, False) in got and ("d", base + 7, base + 9, True) in got
-    assert ("N", base + 7, base + 7, True) in got
-    assert "E" not in {g[0] for g in rows(catalog.read_catalog_snapshot(spark, str(tmp_path), 90500), "obj_kind")}
-
-
 def test_dependencies(spark, rows):
     depend = spark.createDataFrame(
         [
