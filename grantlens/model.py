@@ -119,8 +119,8 @@ ACL_ITEMS = (
     "grantor_oid bigint, grantee_oid bigint, codes string, grantable boolean"
 )
 DDL_EVENTS = (
-    "event_id bigint, ts timestamp_ntz, tag string, schema_oid bigint, schema_name string, "
-    "owner_oid bigint, obj_oid bigint, obj_kind string"
+    "db_id bigint, event_id bigint, ts timestamp_ntz, tag string, object_type string, schema_oid bigint, "
+    "schema_name string, owner_oid bigint, obj_oid bigint, obj_kind string"
 )
 # Every kind of object in one shape; a schema is an object of kind 'N' inside itself.
 ALL_OBJECTS = (
@@ -131,14 +131,3 @@ ALL_ACL = (
     "db_id", "schema_oid", "obj_kind", "obj_oid", "column_name", "owner_oid", "grantee_oid",
     "codes", "grantable",
 )
-PLAN_COLUMNS = (
-    "db_id",
-    "schema_oid",
-    "obj_oid",
-    "step",
-    "verb",
-    "privilege",
-    "object_class",
-    "role_oid",
-    "command",
-)

@@ -65,15 +65,6 @@ def explode_acl(df: DataFrame, acl: str = "acl") -> DataFrame:
     )
 
 
-def held_masks(all_acl: DataFrame) -> DataFrame:
-    """(object, column, role) with the masks held without and with the grant option."""
-    mask = code_mask(F.col("codes"))
-    return all_acl.groupBy(*OBJECT_KEY, F.col("grantee_oid").alias("role_oid")).agg(
-        F.bit_or(F.when(F.col("grantable"), F.lit(0)).otherwise(mask)).alias("plain_mask"),
-        F.bit_or(F.when(F.col("grantable"), mask).otherwise(F.lit(0))).alias("option_mask"),
-    )
-
-
 def _merged(acl: DataFrame) -> DataFrame:
     grouped = acl.groupBy(*OBJECT_KEY, F.col("grantee_oid").alias("role_oid"))
     return explode_mask(grouped.agg(F.bit_or(code_mask(F.col("codes"))).alias("_mask")), "_mask")

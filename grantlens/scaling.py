@@ -9,18 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-def attach(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: list[str] | str,
-    how: str = "left",
-) -> DataFrame:
-    """Join a table to a dimension although one key may hold a large share of the rows.
-
-    A plain join: the optimizer broadcasts what is below the session's threshold, by the size of
-    the files or, while the query runs, of the finished stage; adaptive execution splits the rows
-    of a hot key otherwise.
-    """
+
+def attach(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
+    """Join a table to a dimension by columns of the same names."""
     return facts.join(dim, [on] if isinstance(on, str) else list(on), how)
 
 
@@ -77,6 +68,27 @@ def number_rows(df: DataFrame, order: list[Column], into: str = "id") -> DataFra
     )
 
 
+def next_marked(df: DataFrame, key: list[str], at: str, mark: str, value: str, into: str) -> DataFrame:
+    """For every row the ``value`` of the first later row of its key where ``mark`` holds, else null.
+
+    Rows are dealt out by ranges of (key, at), so a key with a large share of the rows lies in many
+    ranges; what a range does not answer itself comes from the first marked row of the ranges after it,
+    one row for each key and range. Marked rows of one key differ in ``at`` from all others of it.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut_lineage(df).repartitionByRange(parts, *key, at)
+    placed = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    target = F.when(F.col(mark), F.struct(at, value))
+    later = Window.partitionBy("_part", *key).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_target", target).withColumn("_here", F.min("_target").over(later))
+    own = rows.groupBy("_part", *key).agg(F.min("_target").alias("_first"))
+    after = Window.partitionBy(*key).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.select("_part", *key, F.min("_first").over(after).alias("_later"))
+    answer = F.coalesce("_here", "_later")[value].alias(into)
+    return rows.join(own, ["_part", *key]).select(*df.columns, answer)
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later filters must not copy.
 

@@ -43,14 +43,15 @@ def object_tags(verb: str, server_version: int = 150000) -> list[str]:
 def normalise_tags(raw: DataFrame, server_version: int = 150000) -> DataFrame:
     """Reduce server command tags to the five the operators know; others are dropped.
 
-    DROP EXTENSION and DROP OWNED report objects as well as schemas: only events without an object
-    are drops of schemas.
+    A DROP reports all that goes with it: only what is reported as a schema is the drop of one. A log
+    that does not say what it reports tells schemas by having no object.
     """
     tag = F.col("tag")
+    of_schema = F.coalesce(F.lower("object_type") == "schema", F.col("obj_oid").isNull())
     reduced = (
         F.when(tag == "CREATE SCHEMA", F.lit(CREATE))
         .when(tag == "ALTER SCHEMA", F.lit(ALTER))
-        .when(tag.isin(*DROP_SCHEMA_TAGS) & F.col("obj_oid").isNull(), F.lit(DROP))
+        .when(tag.isin(*DROP_SCHEMA_TAGS) & of_schema, F.lit(DROP))
         .when(tag.isin(*object_tags("CREATE", server_version), CREATE_OBJECT), F.lit(CREATE_OBJECT))
         .when(tag.isin(*object_tags("ALTER", server_version), ALTER_OBJECT), F.lit(ALTER_OBJECT))
     )

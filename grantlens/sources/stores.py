@@ -12,6 +12,11 @@ def version_path(root: str, version: int) -> str:
     return f"{root}/version={version}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

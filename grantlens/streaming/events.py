@@ -4,13 +4,15 @@ A schema keeps its id from its CREATE to its DROP and no other schema gets it, s
 an id's events are the first CREATE, the last ALTER and the first DROP. These are minima and maxima:
 events may come in any order, late or twice, and partial states merge.
 
-Between ids, rows of the registry go by name. A schema that is created takes the row of its name if
+Between ids, rows of the registry go by database and name. A schema that is created takes the row of its name if
 there is one that is not created (registered beforehand, or left by a schema that was dropped), with
 its editor and reader; a renamed schema takes its row along.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,12 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 from grantlens.functions.privileges import expected_mask, privilege_list
 from grantlens.functions.sqltext import first_group
 from grantlens.operators.diagnostics import effective_registry, view_source_access
-from grantlens.scaling import attach, cut_lineage
+from grantlens.scaling import attach, cut_lineage, next_marked, union_all
 from grantlens.sources.ddl_log import ALTER, ALTER_OBJECT, CREATE, CREATE_OBJECT, DROP
-from grantlens.sources.stores import drop_versions, latest_version, version_path, versions
+from grantlens.sources.stores import drop_versions, folder_exists, latest_version, version_path, versions
 
 _EVENT = "struct<ts:timestamp,event_id:bigint,schema_name:string,owner_oid:bigint>"
-STATE = f"schema_oid bigint, born {_EVENT}, altered {_EVENT}, died {_EVENT}"
+STATE = f"db_id bigint, schema_oid bigint, born {_EVENT}, altered {_EVENT}, died {_EVENT}"
 
 
 def fold_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -35,10 +37,10 @@ def fold_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"), "event_id", "schema_name", F.col("owner_oid").cast("bigint").alias("owner_oid")
     )
     marks = [F.when(F.col("tag") == t, event).alias(c) for t, c in ((CREATE, "born"), (ALTER, "altered"), (DROP, "died"))]
-    log = events.where(F.col("tag").isin(CREATE, ALTER, DROP)).select("schema_oid", *marks)
+    log = events.where(F.col("tag").isin(CREATE, ALTER, DROP)).select(F.col("db_id").cast("bigint").alias("db_id"), "schema_oid", *marks)
     if state is not None:
         log = log.unionByName(state)
-    return log.groupBy("schema_oid").agg(
+    return log.groupBy("db_id", "schema_oid").agg(
         F.min("born").alias("born"), F.max("altered").alias("altered"), F.min("died").alias("died")
     )
 
@@ -50,6 +52,7 @@ def lives(state: DataFrame) -> DataFrame:
     ended = F.col("died").isNotNull() & F.coalesce(at("died") > at("born"), F.lit(False))
     current = F.when(later, F.col("altered")).otherwise(F.col("born"))
     return state.where(F.col("born").isNotNull()).select(
+        "db_id",
         "schema_oid",
         F.col("born.schema_name").alias("born_name"),
         current["schema_name"].alias("schema_name"),
@@ -62,49 +65,63 @@ def lives(state: DataFrame) -> DataFrame:
 
 
 def _row_names(lived: DataFrame, preregistered: DataFrame) -> DataFrame:
-    """(schema_name, editor_oid, reader_oid): under which name each registered row goes on.
+    """(db_id, schema_name, editor_oid, reader_oid): under which name each registered row goes on.
 
     A row leaves a name with the first schema that is created under it and renamed; it stays with
-    that schema, and after its drop with the name it had then. Every round follows one renaming.
+    that schema, and after its drop with the name it had then. Which renaming comes next is found for
+    all of them at once; chains of renamings are then followed by doubling the steps taken.
     """
-    moving = lived.where("schema_name != born_name").select(
-        F.col("born_name").alias("_name"), F.struct("born_at", "schema_name", "died_at").alias("_to")
-    )
     beginning = F.struct(F.lit("0001-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("event_id"))
-    placed = None
-    held = preregistered.select("schema_name", beginning.alias("since"), "editor_oid", "reader_oid")
-    while True:
-        after = (F.col("schema_name") == F.col("_name")) & (F.col("_to.born_at") > F.col("since"))
-        step = (
-            held.join(moving, after, "left")
-            .groupBy("schema_name", "since", "editor_oid", "reader_oid")
-            .agg(F.min("_to").alias("_to"))
+    moving = lived.where("schema_name != born_name")
+    nothing = F.lit(None).cast("bigint")
+    turns = union_all(
+        [
+            # a row may leave a name with a schema born under it ..
+            moving.select("db_id", F.col("born_name").alias("name"), F.col("born_at").alias("at"), nothing.alias("left"),
+                          F.col("schema_oid").alias("enters"), F.lit(True).alias("leaves"), nothing.alias("editor_oid"), nothing.alias("reader_oid")),
+            # .. and waits under a name from the drop of the schema it went with ..
+            moving.where("died_at is not null").select(
+                "db_id", F.col("schema_name").alias("name"), F.col("died_at").alias("at"), F.col("schema_oid").alias("left"),
+                nothing.alias("enters"), F.lit(False).alias("leaves"), nothing.alias("editor_oid"), nothing.alias("reader_oid")),
+            # .. or from the beginning
+            preregistered.select(
+                F.col("db_id").cast("bigint").alias("db_id"), F.col("schema_name").alias("name"), beginning.alias("at"), nothing.alias("left"),
+                nothing.alias("enters"), F.lit(False).alias("leaves"), "editor_oid", "reader_oid"),
+        ]
+    )
+    found = cut_lineage(next_marked(turns, ["db_id", "name"], "at", "leaves", "enters", "next"))
+    onward = found.where("left is not null").select("db_id", F.col("left").alias("schema_oid"), "next")
+    steps = moving.select("db_id", "schema_oid", "schema_name").join(onward, ["db_id", "schema_oid"], "left")
+    steps = cut_lineage(steps)
+    while not steps.where("next is not null").isEmpty():
+        ahead = steps.select("db_id", F.col("schema_oid").alias("next"), F.col("schema_name").alias("_name"), F.col("next").alias("_next"))
+        steps = cut_lineage(
+            steps.join(ahead, ["db_id", "next"], "left").select(
+                "db_id", "schema_oid", F.coalesce("_name", "schema_name").alias("schema_name"), F.col("_next").alias("next")
+            )
         )
-        step = cut_lineage(step)
-        stay = F.col("_to").isNull() | F.col("_to.died_at").isNull()
-        name = F.coalesce(F.col("_to.schema_name"), F.col("schema_name")).alias("schema_name")
-        done = step.where(stay).select(name, "editor_oid", "reader_oid")
-        placed = done if placed is None else placed.union(done)
-        held = step.where(~stay).select(name, F.col("_to.died_at").alias("since"), "editor_oid", "reader_oid")
-        if held.isEmpty():
-            return placed
+    ends = steps.select("db_id", F.col("schema_oid").alias("next"), "schema_name")
+    waiting = found.where("left is null and not leaves")
+    return waiting.join(ends, ["db_id", "next"], "left").select(
+        "db_id", F.coalesce("schema_name", "name").alias("schema_name"), "editor_oid", "reader_oid"
+    )
 
 
 def registry_rows(state: DataFrame, preregistered: DataFrame | None = None) -> DataFrame:
     """Registry rows of the folded state, and the preregistered rows nobody created.
 
     A live schema is created and has its id, a dropped one has none; the block is the name's
-    prefix. One row stands for all schemas that had a name one after the other: the last of them.
+    prefix. One row stands for all schemas that had a name in a database one after the other: the last
+    of them. ``preregistered`` has (db_id, schema_name, producer_oid, editor_oid, reader_oid).
     """
+    key = ["db_id", "schema_name"]
     lived = cut_lineage(lives(state))
     # a dropped schema's row is taken over if its name was created again
-    again = lived.groupBy(F.col("born_name").alias("_name")).agg(F.max("born_at").alias("_again"))
-    gone = attach(
-        lived.where("not is_live"), again.withColumnRenamed("_name", "schema_name"), "schema_name", "left"
-    )
+    again = lived.groupBy("db_id", F.col("born_name").alias("schema_name")).agg(F.max("born_at").alias("_again"))
+    gone = attach(lived.where("not is_live"), again, key, "left")
     gone = gone.where(F.col("_again").isNull() | (F.col("_again") < F.col("died_at"))).drop("_again")
     rows = lived.where("is_live").unionByName(gone).select(
-        "schema_name",
+        *key,
         F.when(F.col("is_live"), F.col("schema_oid")).alias("schema_oid"),
         F.col("is_live").alias("is_created"),
         F.col("owner_oid").alias("producer_oid"),
@@ -113,13 +130,14 @@ def registry_rows(state: DataFrame, preregistered: DataFrame | None = None) -> D
         functions = [F.lit(None).cast("bigint").alias(c) for c in ("editor_oid", "reader_oid")]
         rows = rows.select("*", *functions)
     else:
+        preregistered = preregistered.withColumn("db_id", F.col("db_id").cast("bigint"))
         waiting = attach(
-            preregistered, lived.select(F.col("born_name").alias("schema_name")), "schema_name", "left_anti"
+            preregistered, lived.select("db_id", F.col("born_name").alias("schema_name")), key, "left_anti"
         ).select(
-            "schema_name", F.lit(None).cast("bigint").alias("schema_oid"), F.lit(False).alias("is_created"),
+            *key, F.lit(None).cast("bigint").alias("schema_oid"), F.lit(False).alias("is_created"),
             "producer_oid", "editor_oid", "reader_oid",
         )
-        rows = attach(rows, _row_names(lived, preregistered), "schema_name", "left")
+        rows = attach(rows, _row_names(lived, preregistered), key, "left")
         rows = rows.unionByName(waiting)
     return rows.withColumn("block", first_group(F.col("schema_name"), "^([a-z])_"))
 
@@ -170,7 +188,7 @@ def _merged(spark: SparkSession, root: str, upto: int | None = None) -> DataFram
     if full is not None:
         parts.append(version_path(f"{root}/full", full))
     state = spark.read.schema(STATE).parquet(*parts) if parts else spark.createDataFrame([], STATE)
-    none = spark.createDataFrame([], "schema_oid bigint, ts timestamp, event_id bigint, tag string, schema_name string, owner_oid bigint")
+    none = spark.createDataFrame([], "db_id bigint, schema_oid bigint, ts timestamp, event_id bigint, tag string, schema_name string, owner_oid bigint")
     return fold_events(none, state)
 
 
@@ -242,22 +260,47 @@ def owner_on_alter_object(events: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def start_object_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append the rows of a stateless event operator to a Parquet folder, those of an event once.
+BUCKET = 100_000  # event ids of one bucket
+
+
+def seen_events(spark: SparkSession, path: str, buckets: list[int], before: int) -> DataFrame | None:
+    """Ids in some buckets that batches before ``before`` have written; only those buckets' files are read."""
+    folders = []
+    for version in versions(spark, f"{path}/seen"):
+        if version < before:
+            root = version_path(f"{path}/seen", version)
+            folders += [f"{root}/bucket={b}" for b in buckets if folder_exists(spark, f"{root}/bucket={b}")]
+    if not folders:
+        return None
+    return spark.read.schema("event_id bigint").parquet(*folders)
+
+
+def start_object_stream(
+    rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+    work: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Append the rows of an event operator to a Parquet folder, those of an event once.
 
-    Rows of an event that an earlier batch has written are left out, however late a copy comes; a
-    repeated batch replaces its own folder.
+    Rows of an event that an earlier batch has taken are left out, however late a copy comes; a
+    repeated batch replaces its own folders. The ids taken are kept in buckets of neighbouring ids, and
+    a batch reads only the buckets that its own events fall into. ``work`` is done on the new rows of
+    each batch, with whatever tables it joins them to; without it they are written as they are. Rows are
+    below ``rows``, ids below ``seen``.
     """
-    schema = rows.schema
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates()
-        written = [version_path(path, v) for v in versions(spark, path) if v < batch_id]
-        if written:
-            seen = spark.read.schema(schema).parquet(*written).select("event_id").distinct()
-            batch = attach(batch, seen, "event_id", "left_anti")
-        batch.write.mode("overwrite").parquet(version_path(path, batch_id))
+        batch = cut_lineage(batch.dropDuplicates())
+        bucket = F.floor(F.col("event_id") / BUCKET).cast("bigint")
+        # as many as the batch's events fall into
+        touched = [r[0] for r in batch.where("event_id is not null").select(bucket).distinct().collect()]
+        seen = seen_events(spark, path, touched, batch_id)
+        if seen is not None:
+            batch = attach(batch, seen.distinct(), "event_id", "left_anti")
+        done = batch if work is None else work(batch)
+        done.write.mode("overwrite").parquet(version_path(f"{path}/rows", batch_id))
+        ids = batch.where("event_id is not null").select("event_id", bucket.alias("bucket")).distinct()
+        ids.write.mode("overwrite").partitionBy("bucket").parquet(version_path(f"{path}/seen", batch_id))
 
     return (
         rows.writeStream.foreachBatch(write_batch)

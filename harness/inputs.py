@@ -120,24 +120,28 @@ from documents d join registry r on r.schema_oid=5000000+doc_id%(select count(*)
 select db_id, schema_oid, obj_oid, case when obj_oid%4=0 then 'shape' else 'geom' end as geom_column, 2154 as srid, case when obj_oid%3=0 then 'POINT' else 'POLYGON' end as geom_type from objects where obj_kind in ('r','v','m','p') and obj_oid%5<3
 """,
     # A schema gets a new id every time it is created, keeps it while it is renamed, and is dropped
-    # under the name it has then. Some drops report objects.
+    # under the name it has then. Four databases have schemas of the same names. Some drops report objects;
+    # created views are those of the snapshot, as far as it has them.
     "ddl_events": """
 with e as (select event_id, ts, event_type, user_id, row_number() over (partition by user_id order by ts, event_id) as rn from events),
 l as (select *, coalesce(sum(case when event_type='error' then 1 else 0 end) over (partition by user_id order by rn rows between unbounded preceding and 1 preceding),0) as life from e),
 m as (select *, min(case when event_type='signup' then rn end) over (partition by user_id, life) as born, max(case when event_type='view' then rn end) over (partition by user_id, life) as altered from l),
 n as (select m.*, a.event_id as altered_id from m left join e a on a.user_id=m.user_id and a.rn=m.altered and m.altered>m.born)
-select event_id, ts, case event_type when 'signup' then 'CREATE SCHEMA' when 'view' then 'ALTER SCHEMA' when 'error' then 'DROP SCHEMA' when 'click' then 'CREATE OBJECT' else case when event_id%7=0 then 'DROP OWNED' else 'ALTER OBJECT' end end as tag,
+select case when event_type in ('click','purchase') then (event_id%(select count(*) from part))%4 else user_id%4 end as db_id,
+ event_id, ts, case event_type when 'signup' then 'CREATE SCHEMA' when 'view' then 'ALTER SCHEMA' when 'error' then 'DROP SCHEMA' when 'click' then 'CREATE OBJECT' else case when event_id%7=0 then 'DROP OWNED' else 'ALTER OBJECT' end end as tag,
+ case when event_type in ('click','purchase') then case event_id%5 when 0 then 'table' when 1 then 'view' when 2 then 'materialized view' when 3 then 'sequence' else 'function' end else 'schema' end as object_type,
  case when event_type in ('click','purchase') then 5000000+event_id%(select count(*) from part) else 70000000+user_id*1000+life end as schema_oid,
  case when event_type in ('click','purchase') then null
-  when event_type='view' then 'c_evt_'||user_id||case when event_id%2=0 then '_v'||(event_id%3)||'x'||life else '' end
-  when event_type='error' then 'c_evt_'||user_id||case when altered_id%2=0 then '_v'||(altered_id%3)||'x'||life else '' end
-  else 'c_evt_'||user_id end as schema_name,
+  when event_type='view' then 'c_evt_'||(user_id-user_id%4)||case when event_id%2=0 then '_v'||(event_id%3)||'x'||life else '' end
+  when event_type='error' then 'c_evt_'||(user_id-user_id%4)||case when altered_id%2=0 then '_v'||(altered_id%3)||'x'||life else '' end
+  else 'c_evt_'||(user_id-user_id%4) end as schema_name,
  1000+(event_id+event_id%3)%(select count(*) from supplier) as owner_oid,
- case when event_type in ('click','purchase') then 20000000+event_id end as obj_oid,
+ case when event_type='click' and event_id%5 in (1,2) then (1+event_id%(select max(o_orderkey) from orders))*10+2+event_id%5
+  when event_type in ('click','purchase') then 20000000+event_id end as obj_oid,
  case when event_type in ('click','purchase') then case event_id%5 when 0 then 'r' when 1 then 'v' when 2 then 'm' when 3 then 'S' else 'X' end end as obj_kind from n
 """,
     "preregistered": """
-select distinct 'c_evt_'||user_id as schema_name, 1000+user_id%(select count(*) from supplier) as producer_oid, 100+user_id%25 as editor_oid, cast(12 as bigint) as reader_oid from events where user_id%3=0
+select distinct user_id%4 as db_id, 'c_evt_'||(user_id-user_id%4) as schema_name, 1000+user_id%(select count(*) from supplier) as producer_oid, 100+user_id%25 as editor_oid, cast(12 as bigint) as reader_oid from events where user_id%3=0
 """,
     # ACL entries of schemas: owner, editor and reader, some missing, some too many.
     "schema_acl": """

@@ -562,24 +562,24 @@ def registry() -> dict[str, str]:
 
 
 # Rows of the registry by name: lives of ids, linked where a name is created again after a drop.
-FOLD = """births AS (SELECT * FROM (SELECT schema_oid, schema_name, owner_oid, ts, event_id, row_number() OVER (PARTITION BY schema_oid ORDER BY ts, event_id) AS rn FROM ddl_events WHERE tag='CREATE SCHEMA') WHERE rn=1),
+FOLD = """births AS (SELECT * FROM (SELECT db_id, schema_oid, schema_name, owner_oid, ts, event_id, row_number() OVER (PARTITION BY schema_oid ORDER BY ts, event_id) AS rn FROM ddl_events WHERE tag='CREATE SCHEMA') WHERE rn=1),
 alters AS (SELECT * FROM (SELECT e.schema_oid, e.schema_name, e.owner_oid, row_number() OVER (PARTITION BY e.schema_oid ORDER BY e.ts DESC, e.event_id DESC) AS rn FROM ddl_events e JOIN births b ON b.schema_oid=e.schema_oid WHERE e.tag='ALTER SCHEMA' AND (e.ts, e.event_id)>(b.ts, b.event_id)) WHERE rn=1),
 drops AS (SELECT * FROM (SELECT schema_oid, ts, event_id, row_number() OVER (PARTITION BY schema_oid ORDER BY ts, event_id) AS rn FROM ddl_events WHERE tag='DROP SCHEMA') WHERE rn=1),
-lived AS (SELECT b.schema_oid, b.schema_name AS born_name, coalesce(a.schema_name, b.schema_name) AS schema_name, CASE WHEN a.schema_oid IS NULL THEN b.owner_oid ELSE a.owner_oid END AS owner_oid, d.schema_oid IS NULL AS live, a.schema_oid IS NOT NULL AS was_altered, b.ts AS bt, b.event_id AS be, d.ts AS dt, d.event_id AS de
+lived AS (SELECT b.db_id, b.schema_oid, b.schema_name AS born_name, coalesce(a.schema_name, b.schema_name) AS schema_name, CASE WHEN a.schema_oid IS NULL THEN b.owner_oid ELSE a.owner_oid END AS owner_oid, d.schema_oid IS NULL AS live, a.schema_oid IS NOT NULL AS was_altered, b.ts AS bt, b.event_id AS be, d.ts AS dt, d.event_id AS de
  FROM births b LEFT JOIN alters a ON a.schema_oid=b.schema_oid LEFT JOIN drops d ON d.schema_oid=b.schema_oid),
-turns AS (SELECT born_name AS name, bt AS ts, be AS event_id, schema_oid AS born, CAST(NULL AS HUGEINT) AS dead FROM lived UNION ALL SELECT schema_name, dt, de, NULL, schema_oid FROM lived WHERE NOT live),
-links AS (SELECT born AS child, before AS parent FROM (SELECT born, lag(dead) OVER (PARTITION BY name ORDER BY ts, event_id) AS before FROM turns) WHERE born IS NOT NULL),
-firsts AS (SELECT born_name AS root, min((bt, be)) AS at FROM lived GROUP BY born_name),
+turns AS (SELECT db_id, born_name AS name, bt AS ts, be AS event_id, schema_oid AS born, CAST(NULL AS HUGEINT) AS dead FROM lived UNION ALL SELECT db_id, schema_name, dt, de, NULL, schema_oid FROM lived WHERE NOT live),
+links AS (SELECT born AS child, before AS parent FROM (SELECT born, lag(dead) OVER (PARTITION BY db_id, name ORDER BY ts, event_id) AS before FROM turns) WHERE born IS NOT NULL),
+firsts AS (SELECT db_id, born_name AS root, min((bt, be)) AS at FROM lived GROUP BY db_id, born_name),
 chains AS (SELECT l.schema_oid AS head, l.schema_oid AS member FROM lived l JOIN links k ON k.child=l.schema_oid WHERE k.parent IS NULL
  UNION ALL SELECT c.head, k.child FROM chains c JOIN links k ON k.parent=c.member),
-eventreg AS (SELECT l.schema_name, CASE WHEN l.live THEN CAST(l.schema_oid AS BIGINT) END AS schema_oid, l.live AS is_created, CAST(l.owner_oid AS BIGINT) AS producer_oid, CAST(p.editor_oid AS BIGINT) AS editor_oid, CAST(p.reader_oid AS BIGINT) AS reader_oid, l.was_altered
- FROM lived l JOIN chains c ON c.member=l.schema_oid JOIN lived h ON h.schema_oid=c.head LEFT JOIN firsts f ON f.root=h.born_name AND f.at=(h.bt, h.be) LEFT JOIN preregistered p ON p.schema_name=f.root
+eventreg AS (SELECT l.db_id, l.schema_name, CASE WHEN l.live THEN CAST(l.schema_oid AS BIGINT) END AS schema_oid, l.live AS is_created, CAST(l.owner_oid AS BIGINT) AS producer_oid, CAST(p.editor_oid AS BIGINT) AS editor_oid, CAST(p.reader_oid AS BIGINT) AS reader_oid, l.was_altered
+ FROM lived l JOIN chains c ON c.member=l.schema_oid JOIN lived h ON h.schema_oid=c.head LEFT JOIN firsts f ON f.db_id=h.db_id AND f.root=h.born_name AND f.at=(h.bt, h.be) LEFT JOIN preregistered p ON p.db_id=f.db_id AND p.schema_name=f.root
  WHERE l.schema_oid NOT IN (SELECT parent FROM links WHERE parent IS NOT NULL)
- UNION ALL SELECT schema_name, NULL, false, CAST(producer_oid AS BIGINT), CAST(editor_oid AS BIGINT), CAST(reader_oid AS BIGINT), false FROM preregistered WHERE schema_name NOT IN (SELECT born_name FROM lived))"""
+ UNION ALL SELECT db_id, schema_name, NULL, false, CAST(producer_oid AS BIGINT), CAST(editor_oid AS BIGINT), CAST(reader_oid AS BIGINT), false FROM preregistered p WHERE NOT EXISTS (SELECT 1 FROM lived l WHERE l.db_id=p.db_id AND l.born_name=p.schema_name))"""
 
 
 def events() -> dict[str, str]:
-    columns = "schema_name, schema_oid, is_created, producer_oid, editor_oid, reader_oid, nullif(regexp_extract(schema_name,'^([a-z])_',1),'') AS block"
+    columns = "CAST(db_id AS BIGINT) AS db_id, schema_name, schema_oid, is_created, producer_oid, editor_oid, reader_oid, nullif(regexp_extract(schema_name,'^([a-z])_',1),'') AS block"
     kinds = "e.obj_kind IN ('r','p','v','m','f','S')"
     base = "CAST(e.event_id AS BIGINT) AS event_id, l.schema_name, CAST(e.obj_oid AS BIGINT) AS obj_oid, e.obj_kind"
     made = "FROM ddl_events e JOIN live l ON l.schema_oid=e.schema_oid WHERE e.tag='CREATE OBJECT' AND l.producer_oid IS NOT NULL"
@@ -592,6 +592,9 @@ def events() -> dict[str, str]:
             f"""SELECT {base}, 'producer' AS function, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, CAST(l.producer_oid AS BIGINT) AS role_oid {made} AND e.owner_oid<>l.producer_oid
  UNION ALL SELECT {base}, 'editor', 'GRANT', CASE WHEN e.obj_kind='S' THEN 'SELECT, USAGE' ELSE 'SELECT, INSERT, UPDATE, DELETE' END, CAST(l.editor_oid AS BIGINT) {made} AND l.editor_oid IS NOT NULL AND {kinds}
  UNION ALL SELECT {base}, 'reader', 'GRANT', 'SELECT', CAST(l.reader_oid AS BIGINT) {made} AND l.reader_oid IS NOT NULL AND {kinds}""", LIVE),
+        "view_warnings_on_create": with_inputs(
+            f"SELECT * FROM ({D6}) WHERE obj_oid IN (SELECT obj_oid FROM ddl_events WHERE tag='CREATE OBJECT' AND obj_kind IN ('v','m'))",
+            f"{PRIV},\n{KIND},\n{LIVE},\n{USAGE},\n{SUPERS},\n{SOURCES},\n{HOLDS}", recursive=True),
         "owner_on_alter_object": with_inputs(
             """SELECT CAST(e.event_id AS BIGINT) AS event_id, r.schema_name, CAST(e.obj_oid AS BIGINT) AS obj_oid, e.obj_kind, 'OWNER' AS verb, CAST(r.producer_oid AS BIGINT) AS role_oid
  FROM ddl_events e JOIN registry r ON r.schema_oid=e.schema_oid WHERE e.tag='ALTER OBJECT' AND r.is_created AND e.owner_oid<>r.producer_oid"""),
@@ -635,7 +638,7 @@ def stores() -> dict[str, str]:
         "read_taxonomy": with_inputs(
             "SELECT block, level1, level2, schema_name, producer, editor, reader FROM nomenclature WHERE level1 IN ('Brand#11*','Brand#23*','Brand#35*','Brand#42*','Brand#54*')"),
         "read_ddl_events": with_inputs(
-            f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, tag, {big('event_id', 'schema_oid', 'owner_oid', 'obj_oid')}, schema_name, obj_kind FROM ddl_events s WHERE tag<>'DROP OWNED'"),
+            f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, tag, object_type, {big('db_id', 'event_id', 'schema_oid', 'owner_oid', 'obj_oid')}, schema_name, obj_kind FROM ddl_events s WHERE tag<>'DROP OWNED'"),
         "write_plan": with_inputs(
             f"""SELECT row_number() OVER (ORDER BY {order}) AS seq, {big('db_id', 'schema_oid', 'grantor_oid', 'grantee_oid')}, object_class, privilege, CASE WHEN is_usable THEN revoke_command END AS command FROM ({default_commands('default_acl')}) s""",
             f"{PLAN},\n{graph},\n{DEFAULTS}", recursive=True),

@@ -490,13 +490,19 @@ def registry_on_drop(c):
     return events.registry_rows(_streamed_state(c), c.preregistered).where("NOT is_created")
 
 
-def _streamed_rows(c, operator) -> DataFrame:
-    """Output of a stateless event operator, run as a stream into a Parquet folder."""
+def _streamed_rows(c, operator, work=None) -> DataFrame:
+    """Output of an event operator, run as a stream into a Parquet folder."""
     folder = _fresh_folder(c)
     feed = ddl_log.read_ddl_events(c.spark, c.path_of("ddl_events"), streaming=True)
-    rows = operator(feed)
-    events.start_object_stream(rows, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return c.spark.read.schema(rows.schema).parquet(f"{folder}/rows").drop("version")
+    events.start_object_stream(operator(feed), folder, f"{folder}/checkpoint", work=work).awaitTermination()
+    return c.spark.read.parquet(f"{folder}/rows").drop("version")
+
+
+@query
+def view_warnings_on_create(c):
+    """Events of the stream meet the snapshot, its ACLs and the closure batch by batch."""
+    tables = (c.view_sources, c.unified_objects, c.unified_acl, c.registry, c.roles, c.usage)
+    return _streamed_rows(c, lambda feed: feed, lambda batch: events.view_warnings_on_create(batch, *tables))
 
 
 @query

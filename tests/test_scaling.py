@@ -62,3 +62,17 @@ def test_computed_columns_are_not_copied_into_filters(spark):
     df = spark.range(10).select((F.col("id") * 2).alias("a"))
     out = computed(df, a=F.col("a") + 1, b=F.col("a") * 3).where("a > 5 AND b > 3")
     assert sorted(map(tuple, out.collect())) == [(7, 18), (9, 24), (11, 30), (13, 36), (15, 42), (17, 48), (19, 54)]
+
+
+def test_next_marked(spark):
+    import random
+
+    from grantlens.scaling import next_marked
+
+    rng = random.Random(3)
+    data = [(rng.choice("aaaab"), t, rng.random() < 0.2, t) for t in rng.sample(range(10_000), 600)]
+    df = spark.createDataFrame(data, "k string, t int, m boolean, v int")
+    got = {(r["k"], r["t"]): r["n"] for r in next_marked(df, ["k"], "t", "m", "v", "n").collect()}
+    want = {(k, t): min((u for j, u, m, _ in data if j == k and m and u > t), default=None) for k, t, _, _ in data}
+    assert got == want
+    assert next_marked(df.limit(0), ["k"], "t", "m", "v", "n").count() == 0

@@ -8,7 +8,7 @@ from grantlens.sources import ddl_log, stores
 from grantlens.streaming import events as E
 
 SHOWN = ("schema_name", "schema_oid", "is_created", "producer_oid", "editor_oid", "reader_oid")
-KNOWN = "schema_name string, producer_oid bigint, editor_oid bigint, reader_oid bigint"
+KNOWN = "db_id bigint, schema_name string, producer_oid bigint, editor_oid bigint, reader_oid bigint"
 
 
 def server_log(seed, n=300, names=6):
@@ -52,16 +52,20 @@ def registry_by_hand(log, known=()):
     return sorted(((k, *row) for k, row in table.items()), key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-def frame(spark, log):
+def frame(spark, log, db_id=0):
     data = [(e, t, tag, oid, name, owner) for oid, t, e, tag, name, owner in log]
     df = spark.createDataFrame(data, "event_id bigint, t bigint, tag string, schema_oid bigint, schema_name string, owner_oid bigint")
     ts = F.timestamp_seconds(F.col("t") * 3600 + 1_700_000_000).cast("timestamp_ntz")
     return df.select(
-        "event_id", ts.alias("ts"), "tag", "schema_oid", "schema_name", "owner_oid",
+        F.lit(db_id).cast("bigint").alias("db_id"), "event_id", ts.alias("ts"), "tag", F.lit("schema").alias("object_type"), "schema_oid", "schema_name", "owner_oid",
         F.lit(None).cast("bigint").alias("obj_oid"), F.lit(None).cast("string").alias("obj_kind"),
     )
 
 
+def known_frame(spark, known, db_id=0):
+    return spark.createDataFrame([(db_id, *k) for k in known], KNOWN)
+
+
 def known_rows(names=6):
     return [(f"c_{i}", 50 + i, 60 + i, None if i % 4 == 0 else 70 + i) for i in range(0, names, 2)] + [("z_wait", 2, None, None)]
 
@@ -71,13 +75,52 @@ def test_rows_go_by_name(spark, rows, seed):
     log, known = server_log(seed), known_rows()
     shuffled = log + log[::7]
     random.Random(seed).shuffle(shuffled)
-    frame_known = spark.createDataFrame(known, KNOWN)
+    frame_known = known_frame(spark, known)
     assert rows(E.registry_from_events(frame(spark, shuffled), frame_known), *SHOWN) == registry_by_hand(log, known)
 
 
+def test_names_are_those_of_a_database(spark, rows):
+    """The same names and even the same ids in three databases: each has its own registry."""
+    logs, known = {d: server_log(20 + d, n=120) for d in range(3)}, known_rows()
+    every = [frame(spark, [(o, t, 1000 * d + e, *r) for o, t, e, *r in logs[d]], d) for d in logs]
+    frame_known = known_frame(spark, known, 0).union(known_frame(spark, known, 2))
+    got = E.registry_from_events(every[0].union(every[1]).union(every[2]), frame_known)
+    for d in logs:
+        assert rows(got.where(F.col("db_id") == d), *SHOWN) == registry_by_hand(logs[d], known if d != 1 else ())
+
+
+def test_long_chains_of_renamings(spark, rows):
+    """A row that goes on through forty schemas, each created under the name the last one left."""
+    log, e = [], 0
+    for i in range(40):
+        for tag, name in (("CREATE SCHEMA", f"n_{i}"), ("ALTER SCHEMA", f"n_{i + 1}"), ("DROP SCHEMA", f"n_{i + 1}")):
+            e += 1
+            log.append((100 + i, e, e, tag, name, 5))
+    known = [("n_0", 1, 8, 9), ("x_wait", 2, 6, 7)]
+    assert rows(E.registry_from_events(frame(spark, log), known_frame(spark, known)), *SHOWN) == registry_by_hand(log, known)
+
+
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    for part in ([(1, 1, 1, "CREATE SCHEMA", "a", 1), (2, 1, E.BUCKET + 5, "CREATE SCHEMA", "b", 1)], [(3, 1, 7 * E.BUCKET, "CREATE SCHEMA", "c", 1)]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True)
+        E.start_object_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    files = lambda buckets, before: [f.split("/seen/")[1].rsplit("/", 1)[0] for f in E.seen_events(spark, f"{tmp_path}/out", buckets, before).inputFiles()]
+    assert files([0, 7], 2) == ["version=0/bucket=0", "version=1/bucket=7"]
+    assert files([1], 2) == ["version=0/bucket=1"] and E.seen_events(spark, f"{tmp_path}/out", [7, 9], 1) is None
+
+
+def test_work_is_done_on_new_events_only(spark, rows, tmp_path):
+    for part in ([(1, 1, 1, "CREATE SCHEMA", "a", 1)], [(1, 1, 1, "CREATE SCHEMA", "a", 1), (2, 1, 2, "CREATE SCHEMA", "b", 1)]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True)
+        E.start_object_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check", work=lambda b: b.select(F.upper("schema_name").alias("n"))).awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out/rows"), "n") == [("A",), ("B",)]
+
+
 def test_a_recreated_schema_keeps_one_row(spark, rows):
     log = [(100, 1, 1, "CREATE SCHEMA", "c_a", 5), (100, 2, 2, "DROP SCHEMA", "c_a", 5), (200, 3, 3, "CREATE SCHEMA", "c_a", 6)]
-    known = spark.createDataFrame([("c_a", 1, 8, 9)], KNOWN)
+    known = known_frame(spark, [("c_a", 1, 8, 9)])
     assert rows(E.registry_from_events(frame(spark, log), known), *SHOWN) == [("c_a", 200, True, 6, 8, 9)]
     assert rows(E.registry_from_events(frame(spark, log[:2]), known), *SHOWN) == [("c_a", None, False, 5, 8, 9)]
 
@@ -87,7 +130,7 @@ def test_a_renamed_schema_takes_its_row_along(spark, rows):
         (1, 1, 1, "CREATE SCHEMA", "c_a", 5), (1, 2, 2, "ALTER SCHEMA", "w_b", 6), (2, 3, 3, "CREATE SCHEMA", "c_a", 7),
         (1, 4, 4, "DROP SCHEMA", "w_b", 6), (3, 5, 5, "CREATE SCHEMA", "w_b", 4), (9, 1, 6, "ALTER SCHEMA", "x_y", 5),
     ]
-    known = spark.createDataFrame([("c_a", 1, 8, 9), ("z_wait", 2, None, None)], KNOWN)
+    known = known_frame(spark, [("c_a", 1, 8, 9), ("z_wait", 2, None, None)])
     got = rows(E.registry_from_events(frame(spark, log), known), *SHOWN, "block")
     assert got == [
         ("c_a", 2, True, 7, None, None, "c"), ("w_b", 3, True, 4, 8, 9, "w"), ("z_wait", None, False, 2, None, None, "z"),
@@ -116,7 +159,7 @@ def test_stream_equals_batch(spark, rows, tmp_path, compact_every):
         query = E.start_registry_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check", compact_every=compact_every)
         query.awaitTermination()
     state = E.read_registry_state(spark, f"{tmp_path}/out")
-    assert rows(E.registry_rows(state, spark.createDataFrame(known, KNOWN)), *SHOWN) == registry_by_hand(log, known)
+    assert rows(E.registry_rows(state, known_frame(spark, known)), *SHOWN) == registry_by_hand(log, known)
     parts = len(list((tmp_path / "out" / "part").iterdir()))
     assert parts == 7 if compact_every == 100 else parts < 7
 
@@ -139,17 +182,20 @@ def test_object_stream_writes_an_event_once(spark, rows, tmp_path):
         frame(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
         feed = ddl_log.read_ddl_events(spark, f"{tmp_path}/log", streaming=True)
         E.start_object_stream(feed, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/out"), "event_id") == [(1,), (2,)]
+    assert rows(spark.read.parquet(f"{tmp_path}/out/rows"), "event_id") == [(1,), (2,)]
 
 
 def test_tags(spark, rows):
     assert "CREATE PROCEDURE" in ddl_log.object_tags("CREATE") and "CREATE PROCEDURE" not in ddl_log.object_tags("CREATE", 100000)
     assert "CREATE STATISTICS" not in ddl_log.object_tags("CREATE", 90600)
     raw = spark.createDataFrame(
-        [("CREATE TABLE", 1), ("DROP OWNED", None), ("DROP OWNED", 777), ("DROP EXTENSION", 778), ("ALTER VIEW", 2), ("CREATE ROLE", None), ("SELECT INTO", 3), ("ALTER SCHEMA", None)],
-        "tag string, obj_oid bigint",
+        [("CREATE TABLE", "table", 1), ("DROP OWNED", None, None), ("DROP OWNED", None, 777), ("DROP EXTENSION", "function", 778), ("DROP EXTENSION", "function", None),
+         ("DROP EXTENSION", "schema", 779), ("ALTER VIEW", "view", 2), ("CREATE ROLE", None, None), ("SELECT INTO", None, 3), ("ALTER SCHEMA", "schema", None)],
+        "tag string, object_type string, obj_oid bigint",
     )
-    assert rows(ddl_log.normalise_tags(raw), "tag") == [("ALTER OBJECT",), ("ALTER SCHEMA",), ("CREATE OBJECT",), ("CREATE OBJECT",), ("DROP SCHEMA",)]
+    assert rows(ddl_log.normalise_tags(raw), "tag", "obj_oid") == [
+        ("ALTER OBJECT", 2), ("ALTER SCHEMA", None), ("CREATE OBJECT", 1), ("CREATE OBJECT", 3), ("DROP SCHEMA", None), ("DROP SCHEMA", 779),
+    ]
 
 
 def test_batch_reader_drops_copies(spark, tmp_path):
