@@ -19,7 +19,7 @@ from grantlens.model import (
     RELATION_KINDS,
     RIGHTS_KINDS,
 )
-from grantlens.operators.roles import has_role
+from grantlens.operators.roles import has_roles
 from grantlens.scaling import attach
 
 REPORT = (
@@ -272,9 +272,8 @@ def view_source_anomalies(
     edges = attach(edges, of_view, "view_schema_oid", "inner")
     edges = attach(edges, of_source, "source_schema_oid", "inner")
     edges = edges.where(F.col("schema_name") != F.col("source_schema"))
-    for function in ("producer", "editor", "reader"):
-        column = f"source_{function}"
-        edges = has_role(edges, closure, roles, "producer_oid", column, f"_is_{function}")
+    flags = {f"source_{f}": f"_is_{f}" for f in ("producer", "editor", "reader")}
+    edges = has_roles(edges, closure, roles, "producer_oid", flags)
     outside = ~F.col("_is_producer") & F.col("source_producer").isNotNull()
     for function in ("editor", "reader"):
         outside = outside & (F.col(f"source_{function}").isNull() | ~F.col(f"_is_{function}"))

@@ -9,7 +9,7 @@ from grantlens.functions.privileges import mask_of
 from grantlens.functions.sqltext import quote_ident, quote_literal
 from grantlens.model import RELATION_KINDS
 from grantlens.operators.diagnostics import effective_privileges
-from grantlens.operators.roles import ADMIN_ROLE, has_role, role_oid_of, schema_function_of_role
+from grantlens.operators.roles import ADMIN_ROLE, FUNCTIONS, has_roles, role_oid_of, with_functions
 from grantlens.scaling import attach, cut_lineage, number_rows
 
 READERS_ROLE = "g_consult"
@@ -36,13 +36,13 @@ def style_row_permissions(
     # styles name their schema without a database: a name stands for the registry row that has it
     named = registry.select("schema_name", "db_id", "producer", "editor", "reader")
     places = attach(rows, named.select("schema_name", "db_id").distinct(), "schema_name", "left")
-    flagged = schema_function_of_role(places, registry, roles, closure)
+    asked = with_functions(places, registry, roles)
     owners = roles.select(F.col("role_name").alias("owner"), F.col("role_oid").alias("_owner"))
-    flagged = attach(flagged, owners, "owner", "left")
-    flagged = has_role(flagged, closure, roles, "user_oid", "_owner", "_has_owner")
-    for name, into in ((admin, "_admin"), (readers, "_readers")):
-        flagged = flagged.withColumn("_role", role_oid_of(roles, name))
-        flagged = has_role(flagged, closure, roles, "user_oid", "_role", into).drop("_role")
+    asked = attach(asked, owners, "owner", "left")
+    asked = asked.withColumn("_admin_oid", role_oid_of(roles, admin)).withColumn("_readers_oid", role_oid_of(roles, readers))
+    probes = {f"{f}_oid": f"is_{f}" for f in FUNCTIONS}
+    probes |= {"_owner": "_has_owner", "_admin_oid": "_admin", "_readers_oid": "_readers"}
+    flagged = has_roles(asked, closure, roles, "user_oid", probes)
     supers = roles.where("is_super").select(F.col("role_oid").alias("user_oid"), F.lit(True).alias("_super"))
     flagged = attach(flagged, supers, "user_oid")
     is_super = F.coalesce(F.col("_super"), F.lit(False))

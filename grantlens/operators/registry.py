@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.model import PUBLIC_OID
-from grantlens.operators.roles import ADMIN_ROLE, FUNCTIONS, has_role, role_oid_of
+from grantlens.operators.roles import ADMIN_ROLE, FUNCTIONS, has_named_role, has_roles, role_oid_of
 from grantlens.scaling import attach, computed, cut_lineage
 
 _KEPT = ("change_id", "db_id", "op", "actor_oid")
@@ -274,18 +274,17 @@ def review_changes(
     """
     rows = align_block_and_name(normalise_changes(changes, registry, roles, namespaces, admin))
     rows = _creators_reached(rows, creators, roles, usage)
-    rows = rows.withColumn("_admin", role_oid_of(roles, admin))
-    rows = has_role(rows, member, roles, "actor_oid", "_admin", "is_admin").drop("_admin")
+    rows = has_named_role(rows, member, roles, "actor_oid", admin, "is_admin")
     for column, into in (("schema_name", "exists"), ("raw_name", "raw_exists"), ("old_name", "old_exists")):
         rows = _named_schema(rows, namespaces, column, into)
     for side in ("producer", "old_producer"):
         named = roles.select(
-            F.col("role_name").alias(side), F.col("role_oid").alias("_role"), F.col("is_super").alias("_s")
+            F.col("role_name").alias(side), F.col("role_oid").alias(f"_{side}"), F.col("is_super").alias("_s")
         )
         rows = attach(rows, named, side, "left")
-        rows = has_role(rows, usage, roles, "actor_oid", "_role", f"has_{side}")
-        rows = rows.withColumn(f"super_{side}", F.coalesce(F.col("_s"), F.lit(False))).drop("_role", "_s")
-    rows = has_role(rows, usage, roles, "actor_oid", "old_producer_oid", "has_old_owner")
+        rows = rows.withColumn(f"super_{side}", F.coalesce(F.col("_s"), F.lit(False))).drop("_s")
+    probes = {"_producer": "has_producer", "_old_producer": "has_old_producer", "old_producer_oid": "has_old_owner"}
+    rows = has_roles(rows, usage, roles, "actor_oid", probes).drop("_producer", "_old_producer")
     listed = registry.select("db_id", "schema_name", F.lit(True).alias("_listed")).distinct()
     rows = attach(rows, listed, ["db_id", "schema_name"], "left")
     by_id = registry.where(F.col("schema_oid").isNotNull()).select("schema_oid", F.lit(True).alias("_held")).distinct()

@@ -85,6 +85,54 @@ def has_role(
     ).drop("_reach", "_super")
 
 
+def has_roles(
+    rows: DataFrame, closure: DataFrame, roles: DataFrame, member: str, probes: dict[str, str]
+) -> DataFrame:
+    """Add several flags 'member has role' (role column → flag) with one look at the closure.
+
+    Each row asks about all its roles at once: one narrow question for each role goes to the closure,
+    with the row itself riding along with the first; the answers come back as the bits of a number.
+    Superusers have every role, NULL and public give false.
+    """
+    names, columns = list(probes), rows.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    questions = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("_bit"),
+                F.col(name).cast("bigint").alias("role_oid"),
+                (row if i == 0 else F.lit(None)).alias("_row"),
+            )
+            for i, name in enumerate(names)
+        ]
+    )
+    asked = rows.withColumn("_id", F.monotonically_increasing_id()).select(
+        "_id", F.col(member).alias("member_oid"), F.inline(questions)
+    )
+    asked = asked.where(F.col("_row").isNotNull() | F.col("role_oid").isNotNull())
+    reach = closure.select("member_oid", "role_oid", F.lit(True).alias("_reach"))
+    met = asked.join(reach, ["member_oid", "role_oid"], "left")
+    bit = F.when(F.col("_reach"), F.expr("shiftleft(1, _bit)")).otherwise(0)
+    back = met.groupBy("_id").agg(F.bit_or(bit).alias("_bits"), F.first("_row", ignorenulls=True).alias("_row"))
+    supers = roles.where("is_super").select(F.col("role_oid").alias(member), F.lit(True).alias("_super"))
+    flagged = attach(back.select("_row.*", "_bits"), supers, member)
+    for i, name in enumerate(names):
+        wanted = F.coalesce(F.col(name) != PUBLIC_OID, F.lit(False))
+        held = F.col("_bits").bitwiseAND(1 << i) != 0
+        flagged = flagged.withColumn(probes[name], held | (F.coalesce(F.col("_super"), F.lit(False)) & wanted))
+    return flagged.drop("_bits", "_super")
+
+
+def has_named_role(rows: DataFrame, closure: DataFrame, roles: DataFrame, member: str, role: str, into: str) -> DataFrame:
+    """Add the flag 'member has the role of this name': only that role's members are looked at."""
+    holders = closure.where(F.col("role_oid") == role_oid_of(roles, role)).select("member_oid")
+    exists = roles.where(F.col("role_name") == role).select("role_name")
+    supers = roles.where("is_super").select(F.col("role_oid").alias("member_oid"))
+    supers = supers.join(F.broadcast(exists), how="cross").select("member_oid")  # one row, or none
+    able = holders.union(supers).distinct().select(F.col("member_oid").alias(member), F.lit(True).alias(into))
+    return attach(rows, able, member).withColumn(into, F.coalesce(F.col(into), F.lit(False)))
+
+
 def acting_as(
     rows: DataFrame, role: str, into: str, closure: DataFrame, roles: DataFrame, actor: str,
     helpers: DataFrame | None = None,
@@ -123,14 +171,18 @@ def schema_function_of_role(
     Functions are looked up by their registered names, created or not; false when the schema is
     not registered, the function is vacant, or its name is not (or no longer) that of a role.
     """
+    asked = with_functions(requests, registry, roles)
+    flags = {f"{f}_oid": f"is_{f}" for f in FUNCTIONS}
+    return has_roles(asked, closure, roles, "user_oid", flags).drop(*flags)
+
+
+def with_functions(requests: DataFrame, registry: DataFrame, roles: DataFrame) -> DataFrame:
+    """Requests on (db_id, schema_name) with the ids of the roles that the registry names."""
     named = registry.select("db_id", "schema_name", *FUNCTIONS)
     for f in FUNCTIONS:
         role = roles.select(F.col("role_name").alias(f), F.col("role_oid").alias(f"{f}_oid"))
         named = attach(named, role, f, "left")
-    asked = attach(requests, named, ["db_id", "schema_name"], "left")
-    for f in FUNCTIONS:
-        asked = has_role(asked, closure, roles, "user_oid", f"{f}_oid", f"is_{f}")
-    return asked.drop(*FUNCTIONS, *[f"{f}_oid" for f in FUNCTIONS])
+    return attach(requests, named.drop(*FUNCTIONS), ["db_id", "schema_name"], "left")
 
 
 def relation_owner_members(
@@ -151,15 +203,14 @@ def permission_label(
         "db_id", "schema_name", "block", "level1", "level2", *[f"{f}_oid" for f in FUNCTIONS]
     )
     asked = attach(requests, created, ["db_id", "schema_name"], "inner")
-    for f in FUNCTIONS:
-        asked = has_role(asked, closure, roles, "user_oid", f"{f}_oid", f"is_{f}")
+    asked = has_roles(asked, closure, roles, "user_oid", {f"{f}_oid": f"is_{f}" for f in FUNCTIONS})
     label = (
         F.when(F.col("is_producer"), F.lit("producer"))
         .when(F.col("is_editor"), F.lit("editor"))
         .when(F.col("is_reader"), F.lit("reader"))
         .otherwise(F.lit("other"))
     )
-    return asked.select("user_oid", "schema_name", "block", "level1", "level2", label.alias("permission"))
+    return asked.select("user_oid", "db_id", "schema_name", "block", "level1", "level2", label.alias("permission"))
 
 
 def visible_registry(
@@ -200,6 +251,35 @@ def visible_registry(
     return attach(keyed, keys, "_key", "inner").withColumnRenamed("member_oid", "user_oid").drop("_key")
 
 
+def registry_visibility(
+    users: DataFrame, registry: DataFrame, roles: DataFrame, closure: DataFrame, admin: str = ADMIN_ROLE
+) -> DataFrame:
+    """The answer of :func:`visible_registry` in short: who sees everything is one row.
+
+    (user_oid, sees_all, db_id, schema_name, schema_oid): a user who sees everything has a single row
+    without a schema; the others have a row for each schema of theirs. So the answer has as many rows as
+    there are users and true pairs of producer and schema, whoever asks.
+    """
+    asked = users.select(F.col(users.columns[0]).alias("user_oid")).distinct()
+    judged = has_named_role(asked, closure, roles, "user_oid", admin, "_member")
+    supers = roles.where("is_super").select(F.col("role_oid").alias("user_oid"), F.lit(True).alias("_super"))
+    judged = attach(judged, supers, "user_oid")
+    judged = judged.select("user_oid", (F.col("_member") | F.coalesce("_super", F.lit(False))).alias("sees_all"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("db_id", "bigint"), ("schema_name", "string"), ("schema_oid", "bigint"))]
+    whole = judged.where("sees_all").select("user_oid", "sees_all", *nothing)
+    by_name = roles.select(F.col("role_name").alias("producer"), F.col("role_oid").alias("_named"))
+    own = F.when(F.col("is_created") & F.col("producer_oid").isNotNull(), F.col("producer_oid")).otherwise(F.col("_named"))
+    held = attach(registry, by_name, "producer", "left").select(
+        F.col("db_id").cast("bigint").alias("db_id"), "schema_name", "schema_oid", own.alias("role_oid")
+    )
+    limited = judged.where(~F.col("sees_all")).select(F.col("user_oid").alias("member_oid"))
+    reach = closure.join(limited, "member_oid", "left_semi").join(held, "role_oid")
+    pairs = reach.select(
+        F.col("member_oid").alias("user_oid"), F.lit(False).alias("sees_all"), "db_id", "schema_name", "schema_oid"
+    )
+    return whole.unionByName(pairs)
+
+
 def registry_listing(registry: DataFrame) -> DataFrame:
     """Read-only listing of the registry with a dense id by database and schema name."""
     return number_rows(

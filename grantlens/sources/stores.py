@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +74,80 @@ def write_registry(registry: DataFrame, root: str, version: int) -> str:
     return path
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed a version in the meantime."""
+
+
+def _manifests(spark: SparkSession, root: str) -> dict[int, str]:
+    """Number → manifest file of every committed version."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifests")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return {}
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return {int(n.removesuffix(".json")): f"{root}/_manifests/{n}" for n in names if n.endswith(".json") and not n.startswith((".", "_"))}
+
+
+def committed(spark: SparkSession, root: str) -> int | None:
+    """Number of the last committed version."""
+    return max(_manifests(spark, root), default=None)
+
+
+def read_committed(spark: SparkSession, root: str, version: int | None = None) -> tuple[int | None, DataFrame | None]:
+    """A committed version (the last one by default) and its table; (None, None) if there is none.
+
+    A manifest stands once its data do, so a reader never sees half a version.
+    """
+    manifests = _manifests(spark, root)
+    version = max(manifests, default=None) if version is None else version
+    if version is None:
+        return None, None
+    entry = spark.read.schema("version int, based_on int, data string").json(manifests[version]).first()
+    return version, spark.read.parquet(f"{root}/{entry['data']}")
+
+
+def commit(table: DataFrame, root: str, based_on: int | None) -> int:
+    """Write ``table`` as the version after ``based_on``; :class:`Conflict` if somebody else was first.
+
+    Data go to a folder of their own; then the manifest of that number is created, which the file
+    system lets one writer do only, as nothing is overwritten. Data of a refused commit are removed.
+    """
+    spark = table.sparkSession
+    version = 0 if based_on is None else based_on + 1
+    if committed(spark, root) != based_on:
+        raise Conflict(f"{root} is at version {committed(spark, root)}, not at {based_on}")
+    data = f"data/{uuid.uuid4().hex}"
+    table.write.parquet(f"{root}/{data}")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/_manifests/{version}.json")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as error:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{data}")
+        fs.delete(folder, True)
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            raise Conflict(f"version {version} of {root} has been committed by another writer") from None
+        raise
+    line = json.dumps({"version": version, "based_on": based_on, "data": data}) + "\n"
+    out.write(line.encode())
+    out.close()
+    return version
+
+
+def commit_changes(
+    spark: SparkSession, root: str, change: Callable[[DataFrame | None], DataFrame], attempts: int = 10
+) -> int:
+    """Commit ``change`` of the last version, worked out anew whenever another writer was first."""
+    for _ in range(attempts):
+        version, table = read_committed(spark, root)
+        try:
+            return commit(change(table), root, version)
+        except Conflict:
+            continue
+    raise Conflict(f"{attempts} attempts at {root} came too late")
+
+
 def write_plan(plan: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Write a plan by database, with a ``seq`` that gives the order of execution.
 

@@ -159,9 +159,9 @@ def acl() -> dict[str, str]:
     none = "CAST(obj_oid AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
     return {
         "explode_acl": with_inputs(
-            "SELECT CAST(obj_oid AS BIGINT) AS obj_oid, ''||grantor_oid AS grantor, ''||grantee_oid AS grantee, privilege, grantable FROM acl_items JOIN priv ON contains(codes, code)", PRIV),
+            "SELECT obj_kind, CAST(obj_oid AS BIGINT) AS obj_oid, column_name, ''||coalesce(owner_oid, grantee_oid) AS grantor, ''||grantee_oid AS grantee, privilege, grantable FROM all_acl JOIN priv ON contains(codes, code)", PRIV),
         "expand_privilege_codes": with_inputs(
-            "SELECT CAST(obj_oid AS BIGINT) AS obj_oid, CAST(grantee_oid AS BIGINT) AS grantee_oid, grantable, privilege FROM acl_items JOIN priv ON contains(codes, code)", PRIV),
+            "SELECT obj_kind, CAST(obj_oid AS BIGINT) AS obj_oid, column_name, CAST(grantee_oid AS BIGINT) AS grantee_oid, grantable, privilege FROM all_acl JOIN priv ON contains(codes, code)", PRIV),
         "role_privileges": with_inputs(f"SELECT {cols} FROM a3", RIGHTS),
         "owner_missing_privileges": with_inputs(f"SELECT {cols} FROM a4", RIGHTS),
         "public_privileges": with_inputs(f"SELECT {cols} FROM a5", RIGHTS),
@@ -206,12 +206,17 @@ def roles() -> dict[str, str]:
             f"""SELECT CAST(a.user_oid AS BIGINT) AS user_oid, CAST(a.obj_oid AS BIGINT) AS obj_oid, {has('a.user_oid', 'o.owner_oid')} AS is_owner
  FROM object_requests a LEFT JOIN all_objects o ON o.obj_oid=a.obj_oid AND o.obj_kind IN ('r','p','v','m','f','S')""", graph, recursive=True),
         "permission_label": with_inputs(
-            f"""SELECT CAST(a.user_oid AS BIGINT) AS user_oid, r.schema_name, r.block, r.level1, r.level2, CASE WHEN {can('a.user_oid', 'r.producer_oid')} THEN 'producer' WHEN {can('a.user_oid', 'r.editor_oid')} THEN 'editor'
+            f"""SELECT CAST(a.user_oid AS BIGINT) AS user_oid, CAST(r.db_id AS BIGINT) AS db_id, r.schema_name, r.block, r.level1, r.level2, CASE WHEN {can('a.user_oid', 'r.producer_oid')} THEN 'producer' WHEN {can('a.user_oid', 'r.editor_oid')} THEN 'editor'
  WHEN {can('a.user_oid', 'r.reader_oid')} THEN 'reader' ELSE 'other' END AS permission FROM access_requests a JOIN registry r ON r.db_id=a.db_id AND r.schema_name=a.schema_name WHERE r.is_created""", graph, recursive=True),
         "visible_registry": with_inputs(
             """SELECT CAST(u.role_oid AS BIGINT) AS user_oid, CAST(r.db_id AS BIGINT) AS db_id, r.schema_name, CAST(r.schema_oid AS BIGINT) AS schema_oid, r.producer FROM group_actors u, registry r LEFT JOIN roles p ON p.role_name=r.producer
  WHERE u.role_oid IN (SELECT role_oid FROM supers) OR u.role_oid IN (SELECT member_oid FROM usage_reach WHERE role_oid=10)
  OR (u.role_oid, CASE WHEN r.is_created AND r.producer_oid IS NOT NULL THEN r.producer_oid ELSE p.role_oid END) IN (SELECT (member_oid, role_oid) FROM usage_reach)""", graph, recursive=True),
+        "registry_visibility": with_inputs(
+            """SELECT CAST(role_oid AS BIGINT) AS user_oid, true AS sees_all, CAST(NULL AS BIGINT) AS db_id, CAST(NULL AS VARCHAR) AS schema_name, CAST(NULL AS BIGINT) AS schema_oid FROM roles WHERE role_oid IN (SELECT * FROM all_seeing)
+ UNION ALL SELECT CAST(w.member_oid AS BIGINT), false, CAST(r.db_id AS BIGINT), r.schema_name, CAST(r.schema_oid AS BIGINT) FROM registry r LEFT JOIN roles p ON p.role_name=r.producer
+ JOIN usage_reach w ON w.role_oid=CASE WHEN r.is_created AND r.producer_oid IS NOT NULL THEN r.producer_oid ELSE p.role_oid END WHERE w.member_oid NOT IN (SELECT * FROM all_seeing)""",
+            f"{graph},\nall_seeing AS (SELECT role_oid FROM supers UNION SELECT member_oid FROM usage_reach WHERE role_oid=10)", recursive=True),
         "registry_listing": with_inputs(
             "SELECT row_number() OVER (ORDER BY db_id, schema_name) AS id, CAST(db_id AS BIGINT) AS db_id, schema_name, block, in_nomenclature, level1, level2, is_created, producer, editor, reader FROM registry"),
         "manager_listing": with_inputs(
@@ -425,9 +430,10 @@ bare AS (SELECT w.*, CASE WHEN function='editor' THEN new_oid END AS editor_oid,
         f"""SELECT {big('db_id', 'schema_oid', of='r')}, r.schema_name, 'rename' AS action, 'ALTER SCHEMA '||{q('n.schema_name')}||' RENAME TO '||{q('r.schema_name')} AS command FROM registry r JOIN namespaces n ON n.schema_oid=r.schema_oid WHERE r.is_created AND n.schema_name<>r.schema_name
  UNION ALL SELECT CAST(r.db_id AS BIGINT), CAST(r.schema_oid AS BIGINT), r.schema_name, CASE WHEN n.owner_oid=r.producer_oid THEN 'objects' ELSE 'schema and objects' END, CASE WHEN n.owner_oid<>r.producer_oid THEN 'ALTER SCHEMA '||{q('r.schema_name')}||' OWNER TO '||{q('p.role_name')} END
  FROM registry r JOIN namespaces n ON n.schema_oid=r.schema_oid LEFT JOIN roles p ON p.role_oid=r.producer_oid WHERE r.is_created AND (n.owner_oid<>r.producer_oid OR EXISTS (SELECT 1 FROM objects o WHERE o.schema_oid=r.schema_oid))""")
+    target = f"CASE WHEN s.obj_kind='N' THEN {q('n.schema_name')} ELSE {q('n.schema_name')}||'.'||{q('s.obj_name')}||CASE WHEN s.obj_kind='X' THEN '()' ELSE '' END END"
     rows["reassign_owned_plan"] = with_inputs(
-        commands("(SELECT o.db_id, o.obj_kind, o.obj_oid, 'OWNER' AS verb, CAST(NULL AS VARCHAR) AS privilege, CAST(NULL AS VARCHAR) AS column_name, coalesce(x.target_oid, 10) AS role_oid, o.owner_oid AS old_owner_oid FROM all_objects o JOIN role_replacements x ON x.role_oid=o.owner_oid)",
-                 f"{big('db_id', 'obj_oid', 'role_oid', 'old_owner_oid')}, s.obj_kind"), PLAN)
+        f"""SELECT {big('db_id', 'obj_oid')}, CAST(coalesce(x.target_oid, 10) AS BIGINT) AS role_oid, CAST(s.owner_oid AS BIGINT) AS old_owner_oid, s.obj_kind, 'ALTER '||k.alt||' '||{target}||' OWNER TO '||{q('u.role_name')} AS command
+ FROM all_objects s JOIN role_replacements x ON x.role_oid=s.owner_oid JOIN kind k ON k.kind=s.obj_kind LEFT JOIN namespaces n ON n.schema_oid=s.schema_oid LEFT JOIN roles u ON u.role_oid=coalesce(x.target_oid, 10)""", KIND)
     fn = """pairs AS (SELECT x.role_oid, x.target_oid, a.role_name AS x, b.role_name AS y, coalesce(b.role_name,'g_admin') AS heir FROM role_replacements x JOIN roles a ON a.role_oid=x.role_oid LEFT JOIN roles b ON b.role_oid=x.target_oid),
 f0 AS (SELECT p.*, r.db_id, r.schema_name, r.producer AS pr, r.editor AS ed, r.reader AS re FROM registry r JOIN pairs p ON p.x=r.producer OR p.x=r.editor OR p.x=r.reader),
 f1 AS (SELECT role_oid, target_oid, x, y, heir, db_id, schema_name, pr, ed, re, CASE WHEN pr=x THEN coalesce(y,'g_admin') ELSE pr END AS p1, CASE WHEN pr=x AND ed=heir THEN NULL ELSE ed END AS e1, CASE WHEN pr=x AND re=heir THEN NULL ELSE re END AS l1 FROM f0),
@@ -642,6 +648,11 @@ def stores() -> dict[str, str]:
         "write_plan": with_inputs(
             f"""SELECT row_number() OVER (ORDER BY {order}) AS seq, {big('db_id', 'schema_oid', 'grantor_oid', 'grantee_oid')}, object_class, privilege, CASE WHEN is_usable THEN revoke_command END AS command FROM ({default_commands('default_acl')}) s""",
             f"{PLAN},\n{graph},\n{DEFAULTS}", recursive=True),
+        "commit_registry": with_inputs(
+            """SELECT * FROM (SELECT CAST(coalesce(u.db_id, r.db_id) AS BIGINT) AS db_id, coalesce(u.schema_name, r.schema_name) AS schema_name, CAST(coalesce(u.schema_oid, r.schema_oid) AS BIGINT) AS schema_oid, coalesce(u.schema_oid IS NOT NULL, false) OR r.is_created AS is_created, coalesce(u.producer, r.producer) AS producer
+ FROM registry r FULL JOIN (SELECT n.db_id, n.schema_name, n.schema_oid, w.role_name AS producer FROM namespaces n LEFT JOIN registry g ON g.db_id=n.db_id AND g.schema_name=n.schema_name LEFT JOIN roles w ON w.role_oid=n.owner_oid
+  WHERE NOT regexp_matches(n.schema_name,'^pg_toast|^pg_temp|^pg_catalog$|^public$|^information_schema$|^topology$') AND (g.is_created IS NULL OR NOT g.is_created)) u ON u.db_id=r.db_id AND u.schema_name=r.schema_name) x
+ WHERE NOT EXISTS (SELECT 1 FROM deregistrations d WHERE d.db_id=x.db_id AND d.schema_name=x.schema_name)"""),
         "write_registry": with_inputs(
             """SELECT CAST(coalesce(u.db_id, r.db_id) AS BIGINT) AS db_id, coalesce(u.schema_name, r.schema_name) AS schema_name, CAST(coalesce(u.schema_oid, r.schema_oid) AS BIGINT) AS schema_oid, coalesce(u.schema_oid IS NOT NULL, false) OR r.is_created AS is_created, coalesce(u.producer, r.producer) AS producer
  FROM registry r FULL JOIN (SELECT n.db_id, n.schema_name, n.schema_oid, w.role_name AS producer FROM namespaces n LEFT JOIN registry g ON g.db_id=n.db_id AND g.schema_name=n.schema_name LEFT JOIN roles w ON w.role_oid=n.owner_oid

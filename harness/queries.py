@@ -101,17 +101,23 @@ def effective_privileges(c):
 
 @query
 def explode_acl(c):
+    """Entries of objects, schemas and columns, as texts; objects without an ACL give nothing."""
     codes = F.when(F.col("grantable"), F.regexp_replace("codes", "(.)", "$1*")).otherwise(F.col("codes"))
     grantee = F.when(F.col("grantee_oid") == 0, F.lit("")).otherwise(F.col("grantee_oid").cast("string"))
-    item = F.concat(grantee, F.lit("="), codes, F.lit("/"), F.col("grantor_oid").cast("string"))
-    with_acl = c.acl_items.select("obj_oid", F.array(item).alias("acl"))
-    without = c.objects.where("NOT has_acl").select("obj_oid", F.lit(None).cast("array<string>").alias("acl"))
+    grantor = F.coalesce("owner_oid", "grantee_oid").cast("string")
+    item = F.concat(grantee, F.lit("="), codes, F.lit("/"), grantor)
+    keys = ["obj_kind", "obj_oid", "column_name"]
+    with_acl = c.unified_acl.select(*keys, F.array(item).alias("acl"))
+    without = c.unified_objects.where("NOT has_acl").select(
+        "obj_kind", "obj_oid", F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("array<string>").alias("acl")
+    )
     return acl.explode_acl(with_acl.unionByName(without))
 
 
 @query
 def expand_codes(c):
-    return expand_privilege_codes(c.acl_items.select("obj_oid", "grantee_oid", "codes", "grantable")).drop("codes")
+    keys = ["obj_kind", "obj_oid", "column_name", "grantee_oid"]
+    return expand_privilege_codes(c.unified_acl.select(*keys, "codes", "grantable")).drop("codes")
 
 
 QUERIES["expand_privilege_codes"] = QUERIES.pop("expand_codes")
@@ -213,6 +219,34 @@ def visible_registry(c):
     )
 
 
+@query
+def registry_visibility(c):
+    """What every role sees, in short."""
+    found = roles.registry_visibility(c.roles.select("role_oid"), c.registry, c.roles, c.usage)
+    return found.withColumn("schema_oid", F.col("schema_oid").cast("bigint"))
+
+
+@query
+def commit_registry(c):
+    """The registry after two writers from one version: the second is refused and starts anew."""
+    folder, key = _fresh_folder(c), ["db_id", "schema_name"]
+    columns = [*key, "schema_oid", "is_created", "producer"]
+    first = stores.commit(c.registry.select(*columns), folder, None)
+    added = maintenance.register_unlisted_schemas(c.namespaces, c.registry, c.roles)
+    added = added.select(*key, "schema_oid", F.lit(True).alias("is_created"), "producer")
+    stores.commit(stores.upsert(stores.read_committed(c.spark, folder)[1], added, key), folder, first)
+    asked = c.deregistrations.select(*key).distinct()
+
+    def deregister(table):
+        return table.join(asked, key, "left_anti")
+
+    try:
+        stores.commit(deregister(stores.read_committed(c.spark, folder, first)[1]), folder, first)
+    except stores.Conflict:
+        stores.commit_changes(c.spark, folder, deregister)
+    return stores.read_committed(c.spark, folder)[1]
+
+
 @query
 def registry_listing(c):
     return roles.registry_listing(c.registry).withColumn("db_id", F.col("db_id").cast("bigint"))
