@@ -19,7 +19,7 @@ EDITS = 2
 CHARS_PER_EDIT = 10  # a line may differ by one edit for so many characters
 HOT = 64  # lines that may share a segment before the rest of the line is looked at
 DEPTH = 3  # so often at most
-COUNTED = "eainrtos"  # letters whose numbers are compared before anything else
+COUNTED = "eant"  # letters whose numbers are compared before anything else
 
 
 def allowed_edits(length: Column, edits: int = EDITS) -> Column:
@@ -47,8 +47,8 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _measured(level: DataFrame, edits: int) -> DataFrame:
-    """(id, rest, prefix) with its length, letters and the cuts of all lengths in reach, worked out once."""
-    level = level.select("id", "rest", "prefix", letter_counts(F.col("rest")).alias("counts"), F.length("rest").alias("n"))
+    """(id, rest, prefix, counts) with its length and the cuts of all lengths in reach, worked out once."""
+    level = level.select("id", "rest", "prefix", "counts", F.length("rest").alias("n"))
     cuts = [
         F.expr(f"(n - {less}) * {i} div {edits + 1}").cast("int").alias(f"c{less}_{i}")
         for less in range(edits + 1)
@@ -102,11 +102,11 @@ def _rests(level: DataFrame, edits: int) -> DataFrame:
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, b) of ids that share segments; every pair within reach is among them.
 
-    ``lines`` has (id, rest), each id once and of 63 bits. A segment that more than ``HOT`` lines have
+    ``lines`` has (id, rest, counts), each id once and of 63 bits. A segment that more than ``HOT`` lines have
     stands in the index as one entry without an id; the lines that meet it go on to the next level with
     what is left of them.
     """
-    level = lines.select("id", "rest", F.lit(0).cast("long").alias("prefix"))
+    level = lines.select("id", "rest", F.lit(0).cast("long").alias("prefix"), "counts")
     places = _places(edits)
     found = []
     for depth in range(DEPTH + 1):
@@ -134,7 +134,7 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         rests = rests.join(many, ["key", "id"], "left_semi").select(
             "id", "rest", F.col("key").alias("prefix")
         )
-        level = cut_lineage(rests.distinct())
+        level = cut_lineage(rests.distinct().withColumn("counts", letter_counts(F.col("rest"))))
         if depth == DEPTH:
             found.append(_crowded(level, edits))
     out = found[0]
@@ -146,10 +146,9 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
 def _crowded(level: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, b) among lines that still share a segment with many: each line meets blocks of lines.
 
-    ``level`` has (id, rest, prefix). A block is an array of about ``HOT`` lines; only the lines of it
+    ``level`` has (id, rest, prefix, counts). A block is an array of about ``HOT`` lines; only the lines of it
     that may be close to a line leave it, so the pairs that are not are never rows.
     """
-    level = level.withColumn("counts", letter_counts(F.col("rest")))
     sizes = level.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("_blocks"))
     line = F.struct("id", "rest", "counts")
     blocks = level.join(sizes, "prefix").groupBy("prefix", F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_block"))
@@ -285,7 +284,8 @@ def line_table(docs: DataFrame) -> DataFrame:
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b) ids of different lines within ``allowed_edits`` of the shorter one's length."""
     # in buckets, as what is found about lines comes back to their texts several times
-    lines = bucketed(lines.groupBy(F.col("line_id").alias("id")).agg(F.any_value("line").alias("rest")), "id")
+    lines = lines.groupBy(F.col("line_id").alias("id")).agg(F.any_value("line").alias("rest"))
+    lines = bucketed(lines.withColumn("counts", letter_counts(F.col("rest"))), "id")
     pairs = None
     for e in range(edits, 0, -1):
         # lines that may differ by e edits; by fewer if one is shorter, which comes with its own turn
@@ -296,7 +296,8 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         found = _candidates(own, e)
         pairs = found if pairs is None else pairs.union(found)
     pairs = cut_lineage(pairs.distinct())
-    both = pairs.join(lines.toDF("a", "_x"), "a").join(lines.toDF("b", "_y"), "b")
+    texts = lines.select("id", "rest")
+    both = pairs.join(texts.toDF("a", "_x"), "a").join(texts.toDF("b", "_y"), "b")
     swap = F.length("_x") < F.length("_y")
     both = both.select(
         "a",
