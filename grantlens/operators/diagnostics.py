@@ -20,10 +20,11 @@ from grantlens.model import (
     RIGHTS_KINDS,
 )
 from grantlens.operators.roles import has_roles
-from grantlens.scaling import attach
+from grantlens.scaling import attach, cut_lineage
+from grantlens.sources.stores import PIECE, schema_piece
 
 REPORT = (
-    "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid", "other_oid", "function",
+    "db_id", "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid", "other_oid", "function",
     "privilege", "anomaly", "is_critical",
 )
 
@@ -78,7 +79,7 @@ def owner_anomalies(all_objects: DataFrame, registry: DataFrame, roles: DataFram
     return audited_objects(all_objects, registry, roles).where(
         F.col("owner_oid") != F.col("producer_oid")
     ).select(
-        "schema_name", "obj_kind", "obj_oid",
+        "db_id", "schema_name", "obj_kind", "obj_oid",
         F.lit(None).cast("string").alias("column_name"),
         F.col("owner_oid").alias("role_oid"),
         F.col("producer_oid").alias("other_oid"),
@@ -91,11 +92,11 @@ def owner_anomalies(all_objects: DataFrame, registry: DataFrame, roles: DataFram
 
 def default_acl_anomalies(default_acl: DataFrame, registry: DataFrame) -> DataFrame:
     """Every default privilege of a created schema, on tables, sequences, routines and types."""
-    schemas = registry.where("is_created").select("schema_oid", "schema_name")
-    entries = default_acl.where(F.col("obj_type").isin(*DIAGNOSED_DEFAULT_ACL_TYPES))
+    schemas = registry.where("is_created").select("db_id", "schema_oid", "schema_name")
+    entries = default_acl.where(F.col("obj_type").isin(*DIAGNOSED_DEFAULT_ACL_TYPES)).drop("db_id")
     named = attach(entries, schemas, "schema_oid", "inner")
     return expand_privilege_codes(named).select(
-        "schema_name",
+        "db_id", "schema_name",
         F.concat(F.lit("default "), F.col("obj_type")).alias("obj_kind"),
         F.lit(None).cast("bigint").alias("obj_oid"),
         F.lit(None).cast("string").alias("column_name"),
@@ -209,10 +210,10 @@ def privilege_anomalies(
     )
     rows = _registered(gaps, all_objects, registry).withColumn("_f", F.explode(findings))
     rows = rows.where(F.col("_f").isNotNull()).select(
-        "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid", "_f.*"
+        "db_id", "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid", "_f.*"
     )
     return explode_mask(rows, "mask").select(
-        "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid",
+        "db_id", "schema_name", "obj_kind", "obj_oid", "column_name", "role_oid",
         F.lit(None).cast("bigint").alias("other_oid"),
         "function", "privilege", "anomaly",
         (F.coalesce(F.col("function"), F.lit("")) == "fixed").alias("is_critical"),
@@ -259,7 +260,7 @@ def view_source_anomalies(
     """Views whose producer belongs to none of the functions of a source's schema."""
     live = effective_registry(registry, roles)
     of_view = live.where(~F.col("schema_name").isin(list(own_schemas))).select(
-        F.col("schema_oid").alias("view_schema_oid"), "schema_name", "producer_oid"
+        "db_id", F.col("schema_oid").alias("view_schema_oid"), "schema_name", "producer_oid"
     )
     of_source = registry.where(F.col("schema_oid").isNotNull()).select(
         F.col("schema_oid").alias("source_schema_oid"),
@@ -278,7 +279,7 @@ def view_source_anomalies(
     for function in ("editor", "reader"):
         outside = outside & (F.col(f"source_{function}").isNull() | ~F.col(f"_is_{function}"))
     return edges.where(outside).select(
-        "schema_name", F.col("view_kind").alias("obj_kind"), F.col("view_oid").alias("obj_oid"),
+        "db_id", "schema_name", F.col("view_kind").alias("obj_kind"), F.col("view_oid").alias("obj_oid"),
         F.lit(None).cast("string").alias("column_name"),
         F.col("producer_oid").alias("role_oid"),
         F.col("source_oid").alias("other_oid"),
@@ -376,7 +377,7 @@ def view_source_access(
     """
     live = effective_registry(registry, roles)
     of_view = live.where(F.col("producer_oid").isNotNull()).select(
-        F.col("schema_oid").alias("view_schema_oid"), "schema_name", "producer_oid"
+        "db_id", F.col("schema_oid").alias("view_schema_oid"), "schema_name", "producer_oid"
     )
     of_source = registry.where(F.col("schema_oid").isNotNull()).select(
         F.col("schema_oid").alias("source_schema_oid"), F.col("schema_name").alias("source_schema"),
@@ -394,7 +395,7 @@ def view_source_access(
     )
     denied = edges.join(readable, ["producer_oid", "source_oid"], "left_anti")
     return denied.select(
-        "schema_name", F.col("view_kind").alias("obj_kind"), F.col("view_oid").alias("obj_oid"),
+        "db_id", "schema_name", F.col("view_kind").alias("obj_kind"), F.col("view_oid").alias("obj_oid"),
         F.lit(None).cast("string").alias("column_name"),
         F.col("producer_oid").alias("role_oid"),
         F.col("source_oid").alias("other_oid"),
@@ -408,6 +409,31 @@ def view_source_access(
     ).distinct()
 
 
+def target_scopes(targets: DataFrame, registry: DataFrame, all_objects: DataFrame) -> DataFrame:
+    """Ids (db_id, schema_oid) under which objects and ACL entries of the target schemas are filed.
+
+    A schema's objects carry the registered id; the schema itself is looked up by its name.
+    """
+    asked = targets.join(registry.where("is_created"), ["db_id", "schema_name"], "left_semi")
+    registered = registry.join(asked, ["db_id", "schema_name"], "left_semi").select("db_id", "schema_oid")
+    real = all_objects.where(F.col("obj_kind") == "N").select(
+        "db_id", F.col("obj_name").alias("schema_name"), F.col("obj_oid").alias("schema_oid")
+    )
+    named = real.join(asked, ["db_id", "schema_name"], "left_semi").select("db_id", "schema_oid")
+    return registered.unionByName(named).where(F.col("schema_oid").isNotNull()).distinct()
+
+
+def within_targets(table: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Rows of ``table`` filed under ``scopes``; one written by ``write_by_schema`` skips its other folders.
+
+    The numbers of the folders are brought to the driver: there are never more than folders.
+    """
+    if PIECE in table.columns:
+        wanted = scopes.select(schema_piece(F.col("db_id"), F.col("schema_oid"))).distinct().collect()
+        table = table.where(F.col(PIECE).isin([r[0] for r in wanted]))
+    return table.join(scopes, ["db_id", "schema_oid"], "left_semi")
+
+
 def diagnose_rights(
     all_objects: DataFrame,
     all_acl: DataFrame,
@@ -421,29 +447,35 @@ def diagnose_rights(
     view_access: bool = False,
     own_schemas: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The whole report, for all created schemas or for a table of schema names.
+    """The whole report, for all created schemas or for a table of targets (db_id, schema_name).
 
-    A target that is not a created schema of the registry gives one FDD1 row. ``view_access``
-    adds the check that new views go through.
+    A target that is not a created schema of the registry gives one FDD1 row. Targets without a
+    ``db_id`` mean the schemas of that name in every database; unknown ones then have none either.
+    Objects, ACL and default privileges are cut down to the targets before anything is compared.
+    ``view_access`` adds the check that new views go through.
     """
-    errors = None
+    errors, wanted = None, None
+    audited, objects, acl = registry, all_objects, all_acl
     if targets is not None:
-        wanted = targets.select("schema_name").where(F.col("schema_name").isNotNull()).distinct()
-        known = registry.where("is_created").select("schema_name")
-        errors = wanted.join(known, "schema_name", "left_anti").select(
+        keys = [k for k in ("db_id", "schema_name") if k in targets.columns]
+        asked = targets.select(*keys).dropna().distinct()
+        known = registry.where("is_created").select("db_id", "schema_name")
+        errors = asked.join(known, keys, "left_anti").select(
+            (F.col("db_id") if "db_id" in keys else F.lit(None)).cast("bigint").alias("db_id"),
             "schema_name",
             *[F.lit(None).cast(t).alias(c) for c, t in zip(
-                REPORT[1:8], ("string", "bigint", "string", "bigint", "bigint", "string", "string")
+                REPORT[2:9], ("string", "bigint", "string", "bigint", "bigint", "string", "string")
             )],
             F.lit("FDD1").alias("anomaly"), F.lit(True).alias("is_critical"),
         )
-        audited = registry.join(wanted, "schema_name", "left_semi")
-    else:
-        audited = registry
+        wanted = known.join(asked, keys, "left_semi")
+        audited = registry.join(wanted, ["db_id", "schema_name"], "left_semi")
+        scopes = cut_lineage(target_scopes(wanted, registry, all_objects))
+        objects, acl = within_targets(all_objects, scopes), within_targets(all_acl, scopes)
     parts = [
-        owner_anomalies(all_objects, audited, roles),
+        owner_anomalies(objects, audited, roles),
         default_acl_anomalies(default_acl, audited),
-        privilege_anomalies(all_objects, all_acl, audited, roles, fixed_grants),
+        privilege_anomalies(objects, acl, audited, roles, fixed_grants),
         view_source_anomalies(
             view_sources, all_objects, registry, roles, closure, own_schemas
         ),
@@ -453,7 +485,7 @@ def diagnose_rights(
             view_source_access(view_sources, all_objects, all_acl, registry, roles, closure)
         )
     if targets is not None:
-        parts[3:] = [p.join(wanted, "schema_name", "left_semi") for p in parts[3:]]
+        parts[3:] = [p.join(wanted, ["db_id", "schema_name"], "left_semi") for p in parts[3:]]
         parts.append(errors)
     report = parts[0].select(*REPORT)
     for part in parts[1:]:

@@ -7,11 +7,30 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.scaling import attach, number_rows
 
+PIECE = "schema_piece"  # number of the folder that a schema's rows are filed in
+PIECES = 16  # folders of a database
+
+
+def schema_piece(db_id: Column, schema_oid: Column) -> Column:
+    """Folder of a schema in tables of :func:`write_by_schema`."""
+    piece = F.pmod(F.xxhash64(schema_oid.cast("bigint")), F.lit(PIECES))
+    return (F.coalesce(db_id, F.lit(-1)).cast("bigint") * PIECES + piece).alias(PIECE)
+
+
+def write_by_schema(table: DataFrame, path: str, spread: int = 4) -> None:
+    """Write a catalog table (db_id, schema_oid, …) in folders by database and piece of its schemas.
+
+    A folder is written by up to ``spread`` tasks, by object, so a large schema is not one task's.
+    """
+    filed = table.withColumn(PIECE, schema_piece(F.col("db_id"), F.col("schema_oid")))
+    share = F.pmod(F.xxhash64("obj_oid"), F.lit(spread))
+    filed.repartition(F.col(PIECE), share).write.partitionBy(PIECE).mode("overwrite").parquet(path)
+
 
 def version_path(root: str, version: int) -> str:
     return f"{root}/version={version}"

@@ -236,6 +236,11 @@ select r.db_id, r.schema_oid, n.schema_name, 'reader', case when r.reader='publi
     # Schemas somebody wants to bring back to the standard; some are missing, some of the server.
     "reset_targets": """
 select distinct db_id, schema_name from registry union select distinct db_id, schema_name from namespaces
+""",
+    # Schemas whose rights somebody asks about: those of some roles, some unknown or not created.
+    "diagnosis_targets": """
+select s_suppkey%4 as db_id, 'c_sch_'||s_suppkey as schema_name from supplier
+union select r.db_id, r.schema_name from registry r join region g on r.reader_oid=12 and r.level1='Brand#'||(g.r_regionkey+1)||'1'
 """,
     # Roles to be replaced by another one, or by nobody.
     "role_replacements": """
@@ -287,9 +292,13 @@ class Inputs:
 
     def land(self, name: str, derive) -> DataFrame:
         """Table ``name`` of this session, derived and written on first use."""
+        return self.land_with(name, lambda path: derive().write.parquet(path))
+
+    def land_with(self, name: str, write) -> DataFrame:
+        """As :meth:`land`, with ``write(path)`` to lay the files out."""
         if name not in self._paths:
             path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}/{name}"
-            derive().write.parquet(path)
+            write(path)
             self._paths[name] = path
         return self.spark.read.parquet(self._paths[name])
 

@@ -74,18 +74,18 @@ LIVE = """live AS (SELECT r.db_id, r.schema_oid, r.schema_name, p.role_oid AS pr
  FROM registry r LEFT JOIN roles p ON p.role_oid=r.producer_oid LEFT JOIN roles e ON e.role_oid=r.editor_oid LEFT JOIN roles l ON l.role_oid=r.reader_oid WHERE r.is_created)"""
 
 AUDITED = f"""{LIVE},
-audited AS (SELECT o.obj_kind, o.obj_oid, o.obj_name, o.owner_oid, o.has_acl, l.schema_name, l.producer_oid, l.editor_oid, l.reader_oid FROM all_objects o JOIN live l ON l.schema_oid=o.schema_oid WHERE o.obj_kind<>'N'
- UNION ALL SELECT o.obj_kind, o.obj_oid, o.obj_name, o.owner_oid, o.has_acl, l.schema_name, l.producer_oid, l.editor_oid, l.reader_oid FROM all_objects o JOIN live l ON l.db_id=o.db_id AND l.schema_name=o.obj_name WHERE o.obj_kind='N')"""
+audited AS (SELECT l.db_id, o.obj_kind, o.obj_oid, o.obj_name, o.owner_oid, o.has_acl, l.schema_name, l.producer_oid, l.editor_oid, l.reader_oid FROM all_objects o JOIN live l ON l.schema_oid=o.schema_oid WHERE o.obj_kind<>'N'
+ UNION ALL SELECT l.db_id, o.obj_kind, o.obj_oid, o.obj_name, o.owner_oid, o.has_acl, l.schema_name, l.producer_oid, l.editor_oid, l.reader_oid FROM all_objects o JOIN live l ON l.db_id=o.db_id AND l.schema_name=o.obj_name WHERE o.obj_kind='N')"""
 
-D2 = """SELECT schema_name, obj_kind, CAST(obj_oid AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(owner_oid AS BIGINT) AS role_oid, CAST(producer_oid AS BIGINT) AS other_oid,
+D2 = """SELECT CAST(db_id AS BIGINT) AS db_id, schema_name, obj_kind, CAST(obj_oid AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(owner_oid AS BIGINT) AS role_oid, CAST(producer_oid AS BIGINT) AS other_oid,
  'owner' AS "function", CAST(NULL AS VARCHAR) AS privilege, 'owner' AS anomaly, true AS is_critical FROM audited WHERE NOT owner_oid=producer_oid"""
 
-D3 = """SELECT r.schema_name, 'default '||d.obj_type AS obj_kind, CAST(NULL AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(d.grantee_oid AS BIGINT) AS role_oid,
+D3 = """SELECT CAST(r.db_id AS BIGINT) AS db_id, r.schema_name, 'default '||d.obj_type AS obj_kind, CAST(NULL AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(d.grantee_oid AS BIGINT) AS role_oid,
  CAST(d.grantor_oid AS BIGINT) AS other_oid, CAST(NULL AS VARCHAR) AS "function", p.privilege, 'default privilege' AS anomaly, false AS is_critical
  FROM default_acl d JOIN registry r ON r.schema_oid=d.schema_oid JOIN priv p ON contains(d.codes, p.code) WHERE r.is_created AND d.obj_type IN ('r','S','f','T')"""
 
 D4_CTES = """wanted AS (
- SELECT obj_kind, obj_oid, schema_name, "function", role_oid, privilege FROM (
+ SELECT db_id, obj_kind, obj_oid, schema_name, "function", role_oid, privilege FROM (
   SELECT a.*, 'owner' AS "function", a.owner_oid AS role_oid, k.owner AS codes FROM audited a JOIN kind k ON k.kind=a.obj_kind WHERE a.has_acl
   UNION ALL SELECT a.*, 'reader', a.reader_oid, k.reader FROM audited a JOIN kind k ON k.kind=a.obj_kind
   UNION ALL SELECT a.*, 'editor', a.editor_oid, k.editor FROM audited a JOIN kind k ON k.kind=a.obj_kind
@@ -93,24 +93,24 @@ D4_CTES = """wanted AS (
   UNION ALL SELECT a.*, 'fixed', f.role_oid, f.codes FROM audited a JOIN fixed_grants f ON f.schema_name=a.schema_name AND f.obj_name=a.obj_name AND f.obj_kind=a.obj_kind
  ) x JOIN priv ON contains(x.codes, priv.code) WHERE role_oid IS NOT NULL),
 effective AS (SELECT DISTINCT c.obj_kind, c.obj_oid, c.column_name, c.grantee_oid AS role_oid, p.privilege, c.grantable,
-  CASE WHEN c.obj_kind='N' THEN t.schema_name ELSE l.schema_name END AS schema_name
+  CASE WHEN c.obj_kind='N' THEN t.schema_name ELSE l.schema_name END AS schema_name, CASE WHEN c.obj_kind='N' THEN t.db_id ELSE l.db_id END AS db_id
   FROM all_acl c JOIN priv p ON contains(c.codes, p.code)
   LEFT JOIN audited t ON c.obj_kind='N' AND t.obj_kind='N' AND t.obj_oid=c.obj_oid
   LEFT JOIN live l ON c.obj_kind<>'N' AND l.schema_oid=c.schema_oid
   WHERE CASE WHEN c.obj_kind='N' THEN t.schema_name ELSE l.schema_name END IS NOT NULL)"""
 
-D4 = """SELECT DISTINCT coalesce(e.schema_name, w.schema_name) AS schema_name, coalesce(e.obj_kind, w.obj_kind) AS obj_kind, CAST(coalesce(e.obj_oid, w.obj_oid) AS BIGINT) AS obj_oid, e.column_name,
+D4 = """SELECT DISTINCT CAST(coalesce(e.db_id, w.db_id) AS BIGINT) AS db_id, coalesce(e.schema_name, w.schema_name) AS schema_name, coalesce(e.obj_kind, w.obj_kind) AS obj_kind, CAST(coalesce(e.obj_oid, w.obj_oid) AS BIGINT) AS obj_oid, e.column_name,
  CAST(coalesce(e.role_oid, w.role_oid) AS BIGINT) AS role_oid, CAST(NULL AS BIGINT) AS other_oid, CASE WHEN e.privilege IS NULL THEN w."function" END AS "function", coalesce(e.privilege, w.privilege) AS privilege,
  CASE WHEN e.privilege IS NULL THEN 'missing' WHEN w.privilege IS NULL THEN CASE WHEN e.grantable THEN 'extra with grant option' ELSE 'extra' END ELSE 'grant option' END AS anomaly,
  e.privilege IS NULL AND w."function"='fixed' AS is_critical
  FROM effective e FULL OUTER JOIN wanted w ON e.obj_kind=w.obj_kind AND e.obj_oid=w.obj_oid AND e.column_name IS NULL AND e.role_oid=w.role_oid AND e.privilege=w.privilege
  WHERE e.privilege IS NULL OR w.privilege IS NULL OR e.grantable"""
 
-SOURCES = """edges AS (SELECT vs.view_oid, vs.source_oid, v.obj_kind AS view_kind, l.schema_name, l.producer_oid, s.schema_oid AS source_schema_oid
+SOURCES = """edges AS (SELECT vs.view_oid, vs.source_oid, v.obj_kind AS view_kind, l.db_id, l.schema_name, l.producer_oid, s.schema_oid AS source_schema_oid
  FROM view_sources vs JOIN all_objects v ON v.obj_oid=vs.view_oid AND v.obj_kind IN ('v','m') JOIN all_objects s ON s.obj_oid=vs.source_oid AND s.obj_kind IN ('r','p','v','m','f','S')
  JOIN live l ON l.schema_oid=v.schema_oid)"""
 
-D5 = f"""SELECT DISTINCT e.schema_name, e.view_kind AS obj_kind, CAST(e.view_oid AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(e.producer_oid AS BIGINT) AS role_oid, CAST(e.source_oid AS BIGINT) AS other_oid,
+D5 = f"""SELECT DISTINCT CAST(e.db_id AS BIGINT) AS db_id, e.schema_name, e.view_kind AS obj_kind, CAST(e.view_oid AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(e.producer_oid AS BIGINT) AS role_oid, CAST(e.source_oid AS BIGINT) AS other_oid,
  CAST(NULL AS VARCHAR) AS "function", CAST(NULL AS VARCHAR) AS privilege, 'view source' AS anomaly, false AS is_critical
  FROM edges e JOIN registry r ON r.schema_oid=e.source_schema_oid
  WHERE r.schema_name<>e.schema_name AND NOT {can('e.producer_oid', 'r.producer_oid')}
@@ -121,7 +121,7 @@ HOLDS = """holds AS (SELECT DISTINCT a.obj_oid, a.grantee_oid AS role_oid, p.pri
  UNION SELECT o.obj_oid, o.owner_oid, p.privilege FROM all_objects o JOIN kind k ON k.kind=o.obj_kind JOIN priv p ON contains(k.owner, p.code) WHERE NOT o.has_acl AND o.obj_kind<>'N'
  UNION SELECT o.obj_oid, 0, p.privilege FROM all_objects o JOIN kind k ON k.kind=o.obj_kind JOIN priv p ON contains(k.pub, p.code) WHERE NOT o.has_acl AND o.obj_kind<>'N')"""
 
-D6 = f"""SELECT DISTINCT e.schema_name, e.view_kind AS obj_kind, CAST(e.view_oid AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(e.producer_oid AS BIGINT) AS role_oid, CAST(e.source_oid AS BIGINT) AS other_oid,
+D6 = f"""SELECT DISTINCT CAST(e.db_id AS BIGINT) AS db_id, e.schema_name, e.view_kind AS obj_kind, CAST(e.view_oid AS BIGINT) AS obj_oid, CAST(NULL AS VARCHAR) AS column_name, CAST(e.producer_oid AS BIGINT) AS role_oid, CAST(e.source_oid AS BIGINT) AS other_oid,
  CASE WHEN r.schema_name IS NULL THEN NULL WHEN r.reader_oid IS NULL THEN 'set reader' ELSE 'grant reader' END AS "function", 'SELECT' AS privilege, 'view source access' AS anomaly, false AS is_critical
  FROM edges e LEFT JOIN registry r ON r.schema_oid=e.source_schema_oid WHERE e.producer_oid IS NOT NULL AND e.producer_oid NOT IN (SELECT role_oid FROM supers)
  AND NOT EXISTS (SELECT 1 FROM holds h WHERE h.obj_oid=e.source_oid AND h.privilege='SELECT' AND h.role_oid=0)
@@ -131,10 +131,15 @@ D6 = f"""SELECT DISTINCT e.schema_name, e.view_kind AS obj_kind, CAST(e.view_oid
 def diagnostics() -> dict[str, str]:
     base = f"{PRIV},\n{KIND},\n{AUDITED}"
     graph = f"{USAGE},\n{SUPERS}"
+    everything = f"{D2} UNION ALL {D3} UNION ALL {D4} UNION ALL {D5} UNION ALL {D6}"
+    all_parts = f"{base},\n{D4_CTES},\n{graph},\n{SOURCES},\n{HOLDS}"
     return {
-        "diagnose_rights": with_inputs(
-            f"{D2} UNION ALL {D3} UNION ALL {D4} UNION ALL {D5} UNION ALL {D6}",
-            f"{base},\n{D4_CTES},\n{graph},\n{SOURCES},\n{HOLDS}", recursive=True,
+        "diagnose_rights": with_inputs(everything, all_parts, recursive=True),
+        "diagnose_targets": with_inputs(
+            f"""SELECT x.* FROM ({everything}) x WHERE EXISTS (SELECT 1 FROM diagnosis_targets t WHERE t.db_id=x.db_id AND t.schema_name=x.schema_name)
+ UNION ALL SELECT CAST(t.db_id AS BIGINT), t.schema_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'FDD1', true FROM (SELECT DISTINCT db_id, schema_name FROM diagnosis_targets) t
+ WHERE NOT EXISTS (SELECT 1 FROM registry r WHERE r.is_created AND r.db_id=t.db_id AND r.schema_name=t.schema_name)""",
+            all_parts, recursive=True,
         ),
         "owner_anomalies": with_inputs(D2, AUDITED),
         "default_acl_anomalies": with_inputs(D3, PRIV),

@@ -59,6 +59,19 @@ def diagnose_rights(c):
     )
 
 
+@query
+def diagnose_targets(c):
+    """The report for a list of (database, schema), from tables filed by schema."""
+
+    def filed(name: str, table: DataFrame) -> DataFrame:
+        return c.land_with(f"{name}_by_schema", lambda path: stores.write_by_schema(table, path))
+
+    return diagnostics.diagnose_rights(
+        filed("objects", c.unified_objects), filed("acl", c.unified_acl), c.default_acl, c.view_sources, c.registry,
+        c.roles, c.usage, c.fixed_grants, targets=c.diagnosis_targets, view_access=True,
+    )
+
+
 @query
 def owner_anomalies(c):
     return diagnostics.owner_anomalies(c.unified_objects, c.registry, c.roles)

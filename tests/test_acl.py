@@ -8,7 +8,7 @@ from grantlens.operators.diagnostics import (
     effective_privileges,
     privilege_anomalies,
 )
-from grantlens.sources import catalog
+from grantlens.sources import catalog, stores
 from tests.test_roles import ROLES
 
 OBJ = "db_id bigint, schema_oid bigint, obj_kind string, obj_oid bigint, obj_name string, owner_oid bigint, has_acl boolean"
@@ -194,3 +194,35 @@ def test_report_for_targets(small, rows, spark):
     assert rows(everything.where("anomaly = 'default privilege'"), "obj_kind") == [("default r",)]
     texts = rows(describe_anomalies(report, objects, roles), "message")
     assert ("privilege USAGE missing for the editor (edit)",) in texts and (None,) not in texts
+
+
+def test_targets_of_one_database(small, rows, spark, tmp_path):
+    """The same name in two databases: only the database asked about is read and reported."""
+    roles, objects, entries, registry = small
+    names = registry.schema.names
+    other = registry.select(*[
+        (F.lit(1).cast("bigint") if c == "db_id" else F.col(c) + 1000 if c == "schema_oid" else F.col(c)).alias(c) for c in names
+    ])
+
+    def elsewhere(df):
+        moved = {"db_id": F.lit(1).cast("bigint"), "schema_oid": F.col("schema_oid") + 1000, "obj_oid": F.col("obj_oid") + 1000}
+        return df.unionByName(df.select(*[moved.get(c, F.col(c)).alias(c) for c in df.columns]))
+
+    filed = []
+    for name, table in (("objects", elsewhere(objects)), ("acl", elsewhere(entries))):
+        stores.write_by_schema(table, f"{tmp_path}/{name}")
+        filed.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    default_acl = spark.createDataFrame([], "db_id bigint, schema_oid bigint, grantor_oid bigint, obj_type string, grantee_oid bigint, codes string")
+    sources = spark.createDataFrame([], "view_oid bigint, source_oid bigint")
+    closure = roles.select(F.col("role_oid").alias("member_oid"), "role_oid")
+    both = registry.unionByName(other)
+    targets = spark.createDataFrame([(1, "s"), (7, "s"), (1, None)], "db_id bigint, schema_name string")
+    report = diagnose_rights(*filed, default_acl, sources, both, roles, closure, targets=targets)
+    assert rows(report.where("anomaly = 'FDD1'"), "db_id", "schema_name") == [(7, "s")]
+    whole = diagnose_rights(elsewhere(objects), elsewhere(entries), default_acl, sources, both, roles, closure)
+    found = report.where("anomaly <> 'FDD1'")
+    assert rows(found) == rows(whole.where("db_id = 1 and schema_name = 's'")) and rows(found)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "schema_piece" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    none = diagnose_rights(*filed, default_acl, sources, both, roles, closure, targets=targets.where("false"))
+    assert rows(none) == []
