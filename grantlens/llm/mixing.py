@@ -4,9 +4,8 @@ Documents are aggregated by the set of sources they belong to. Tokens flow from
 use, then a dearer repetition) to the sources of the pattern, up to each source's quota; the cheapest
 flow repeats as little as it can. The flow fixes how many tokens each pattern gives; which documents
 give them is decided by a seeded hash: every document as often as all of them fit, then those below
-a threshold of the hash once more, then a few that fill the remainder. A source that no pattern shares
-gives the smaller of its quota and its tokens twice, which needs no flow; the others are solved one
-connected group of sources at a time, each in a task.
+a threshold of the hash once more, then a few that fill the remainder. The flow is solved one connected
+group of sources at a time, each in a task; a source that no pattern shares is a group of its own.
 """
 
 from __future__ import annotations
@@ -148,7 +147,7 @@ def mix(
     ``source`` is a string, or an array of strings where sources overlap; ``size`` defaults to the
     words of ``text``. Null sources are a source of their own (so is a null array). ``source_size`` and
     ``target`` add up over the sources of an overlapping document. A document's draw is a hash of its
-    whole row, so rows equal in every column are used equally often. Empty documents have size 0
+    whole row; of rows equal in every column as many are used once more as fit. Empty documents have size 0
     and take nothing. Columns named like a result are replaced; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -169,21 +168,44 @@ def mix(
     wanted = wanted.select(_name(F.array("_source")).alias("node"), "size", "target", "quota")
     members = members.withColumn("node", _name(F.array("_source"))).drop("_source")
     members = cut_lineage(members.join(wanted, "node"))
-    flow = _flow(members)
     known = members.groupBy("_name", "words").agg(
-        F.sum("size").alias("source_size"), F.sum("target").alias("target"), F.sum("quota").alias("quota")
+        F.sum("size").alias("source_size"), F.sum("target").alias("target")
     )
-    alone = F.least("quota", F.col("words") * MAX_USES)
-    known = cut_lineage(known.join(flow, "_name", "left").withColumn("given", F.coalesce("given", alone)))
+    known = cut_lineage(known.join(_flow(members), "_name"))
     # one row per pattern; null names cannot be joined on, hence the text key
     plan = cut_lineage(_choose(narrow, known))
-    once_more = (F.col("_draw") < F.col("below")) | F.array_contains("extra", F.col("_draw"))
-    copies = (F.col("base") + F.coalesce(once_more, F.lit(False)).cast("int")).alias("copies")
-    return (
-        rows.join(plan, "_name")
-        .select("_row.*", F.col("_size").alias("size"), "source_size", "target", copies)
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    offers = plan.select("_name", F.inline("extra")).select("_name", F.col("draw").alias("_draw"), "rows")
+    chosen = narrow.join(offers, ["_name", "_draw"]).groupBy("_name", "_draw", "rows").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = cut_lineage(chosen)  # at most 253 draws of a pattern
+    partly = chosen.where("rows < _n").drop("_n")
+    once_more = (F.col("_draw") < F.col("below")) | F.array_contains("extra.draw", F.col("_draw"))
+    once_more = F.coalesce(once_more, F.lit(False)).cast("int")
+    placed = rows.join(plan, "_name")
+    if not partly.isEmpty():
+        alike = _number_alike(placed.join(partly, ["_name", "_draw"]))
+        whole = placed.join(partly, ["_name", "_draw"], "left_anti").withColumn("_more", once_more)
+        placed = whole.unionByName(alike.withColumn("_more", (F.col("_at") <= F.col("rows")).cast("int")).drop("_at", "rows"))
+    else:
+        placed = placed.withColumn("_more", once_more)
+    copies = (F.col("base") + F.col("_more")).alias("copies")
+    return placed.select(
+        "_row.*", F.col("_size").alias("size"), "source_size", "target", copies
+    ).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _number_alike(rows: DataFrame, chunk: int = 1024) -> DataFrame:
+    """Rows with equal (_name, _draw), which are equal in every column, numbered ``_at`` from 1.
+
+    One of them stands for all with their number, merged on the map side, and is multiplied again in
+    chunks that are dealt out, so a mass of equal rows never meets in a task.
+    """
+    others = [F.any_value(c).alias(c) for c in rows.columns if c not in ("_name", "_draw")]
+    one = rows.groupBy("_name", "_draw").agg(F.count(F.lit(1)).alias("_n"), *others)
+    starts = one.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(chunk).cast("long"))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upto = F.least(F.col("_from") + chunk - 1, F.col("_n"))
+    dealt = starts.repartition(parts, "_draw", "_from").withColumn("_at", F.explode(F.sequence("_from", upto)))
+    return dealt.drop("_n", "_from")
 
 
 def _name(pattern: F.Column) -> F.Column:
@@ -213,10 +235,11 @@ def _targets(sizes: DataFrame, weights: Sequence[float], share: float, most: flo
 
 
 def _flow(members: DataFrame) -> DataFrame:
-    """(_name, given) of the patterns whose sources overlap, one connected group of sources a task."""
+    """(_name, given) of every pattern, one connected group of sources a task."""
     wide = members.where("_at > 0").select("_name", F.col("node").alias("b"))
     links = members.where("_at = 0").select("_name", F.col("node").alias("a")).join(wide, "_name")
-    grouped = members.join(components(links.select("a", "b")), "node")
+    grouped = members.join(components(links.select("a", "b")), "node", "left")
+    grouped = grouped.withColumn("component", F.coalesce("component", "node"))
     return grouped.select("component", "_name", "_at", "node", "words", "quota").groupBy("component").applyInArrow(
         _group_flow, "_name string, given long"
     )
@@ -250,14 +273,21 @@ def _choose(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     buckets = buckets.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
     ends = buckets.where((F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_sum") > F.col("_left")))
     ends = cut_lineage(ends.select("_name", "_bucket", "_before"))  # one row per pattern
-    edge = draws.join(ends, ["_name", "_bucket"])
-    rank = Window.partitionBy("_name").orderBy("_draw")  # equal draws are taken together
-    edge = edge.withColumn("_upto", F.col("_before") + F.sum("_size").over(rank))
-    stops = edge.where(F.col("_upto") > F.col("_left")).groupBy("_name").agg(F.min("_draw").alias("_below"))
-    stops = cut_lineage(stops)
+    edge = draws.join(ends, ["_name", "_bucket"]).groupBy("_name", "_left", "_before", "_draw", "_size").agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    rank = Window.partitionBy("_name").orderBy("_draw").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.col("_size") * F.col("_rows")
+    edge = edge.withColumn("_room", F.col("_left") - F.col("_before") - F.coalesce(F.sum(words).over(rank), F.lit(0)))
+    # the first draw whose rows do not all fit, and how many of them do
+    stop = F.min(F.struct("_draw", F.expr("_room div _size").alias("_fit"), "_size"))
+    stops = edge.where((words > F.col("_room")) & (F.col("_room") >= 0)).groupBy("_name").agg(stop.alias("_stop"))
+    stops = cut_lineage(
+        stops.select("_name", F.col("_stop._draw").alias("_below"), "_stop._fit", F.col("_stop._size").alias("_stop_size"))
+    )
     # what stays short of the target is filled from large documents to small, one of each size class (four to an octave)
     stopped = draws.join(stops, "_name")
-    later = stopped.where((F.col("_draw") >= F.col("_below")) & (F.col("_size") > 0))
+    later = stopped.where((F.col("_draw") > F.col("_below")) & (F.col("_size") > 0))
     spare = later.groupBy("_name", F.floor(4 * F.log2("_size")).alias("_class")).agg(
         F.min(F.struct("_draw", "_size")).alias("_one")
     )
@@ -266,18 +296,22 @@ def _choose(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     spare = spare.groupBy("_name").agg(F.sort_array(F.collect_list(one), asc=False).alias("_offered"))
     under = stopped.where(F.col("_draw") < F.col("_below")).groupBy("_name").agg(F.sum("_size").alias("_given"))
     plan = wanted.join(stops, "_name", "left").join(under, "_name", "left").join(spare, "_name", "left")
-    short = (F.col("_left") - F.coalesce("_given", F.lit(0))).cast("long")
-    none = F.array().cast("array<long>")
+    short = (F.col("_left") - F.coalesce("_given", F.lit(0)) - F.coalesce(F.col("_fit") * F.col("_stop_size"), F.lit(0))).cast("long")
+    none = F.array().cast("array<struct<draw:long,rows:long>>")
+    first = F.when(
+        F.col("_fit") > 0, F.array(F.struct(F.col("_below").alias("draw"), F.col("_fit").cast("long").alias("rows")))
+    ).otherwise(none)
 
     def take(state, offer):
         fits = offer["words"] <= state["short"]
         return F.struct(
             F.when(fits, state["short"] - offer["words"]).otherwise(state["short"]).alias("short"),
-            F.when(fits, F.concat(state["extra"], F.array(offer["draw"]))).otherwise(state["extra"]).alias("extra"),
+            F.when(fits, F.concat(state["extra"], F.array(F.struct(offer["draw"].alias("draw"), F.lit(1).cast("long").alias("rows")))))
+            .otherwise(state["extra"]).alias("extra"),
         )
 
-    start = F.struct(short.alias("short"), none.alias("extra"))
-    extra = F.coalesce(F.aggregate("_offered", start, take, lambda state: state["extra"]), none)
+    start = F.struct(short.alias("short"), first.alias("extra"))
+    extra = F.coalesce(F.aggregate("_offered", start, take, lambda state: state["extra"]), first)
     below = F.coalesce("_below", F.lit(-(1 << 63)).cast("long"))
     return plan.select(
         "_name", "base", below.alias("below"), extra.alias("extra"), "source_size", "target"

@@ -141,3 +141,20 @@ def test_any_number_of_sources(spark):
     for p, n in tokens.items():
         given = sum(flow[p].values()) if p in flow else min(round(want[p[0]]), 2 * n)
         assert 0 <= given - taken[p] < max(len(t.split()) for _, t, s in rows if tuple(s) == p)
+
+
+def test_equal_rows_are_taken_in_part(spark):
+    """100 equal rows of 10 words: as many of them twice as the target has room for."""
+    docs = spark.createDataFrame([(None, "a " * 10, "only")] * 100, "doc_id long, text string, source string")
+    many = mix(docs, share=1.714).collect()
+    assert len(many) == 100 and {r.copies for r in many} == {1, 2}
+    assert 1714 - 10 < sum(r.taken for r in many) <= 1714
+    few = mix(docs, share=0.333).collect()
+    assert len(few) == 100 and sum(r.taken for r in few) == 330
+    other = docs.unionByName(spark.createDataFrame([(i, "b " * (i % 7), None) for i in range(200)], docs.schema))
+    mixed = mix(other, share=0.6).collect()
+    assert len(mixed) == 300
+    for source in ("only", None):
+        rows = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 10
+    assert sorted(map(str, mix(other, share=0.6).collect())) == sorted(map(str, mixed))
