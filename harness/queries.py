@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grantlens.functions.privileges import expand_privilege_codes, explode_mask
 from grantlens.functions.sqltext import invert_command
-from grantlens.operators import acl, diagnostics, maintenance, policies, registry, roles
+from grantlens.operators import acl, diagnostics, maintenance, policies, registry, replay, roles
 from grantlens.plans import defaults, grants, move, ownership, reassign, reset
 from grantlens.scaling import shared_folder, union_all
 from grantlens.sources import catalog, ddl_log, snapshot, stores, taxonomy
@@ -485,6 +485,18 @@ def apply_registry_changes(c):
     return registry.apply_registry_changes(c.registry, _reviewed(c), c.namespaces)
 
 
+@query
+def replay_changes(c):
+    """The registry after every edit of the change sets, superseded ones included, in their order."""
+
+    def review(changes, now):
+        return registry.review_changes(
+            changes, now, c.roles, c.namespaces, c.database_creators, c.usage, c.member
+        )
+
+    return replay.replay_changes(c.change_sets, c.registry, c.namespaces, review)[0]
+
+
 @query
 def register_unlisted_schemas(c):
     return maintenance.register_unlisted_schemas(c.namespaces, c.registry, c.roles)
