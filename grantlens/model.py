@@ -2,7 +2,8 @@
 
 Ids (``schema_oid``, ``obj_oid``) are unique over the whole fleet of databases: the catalog
 reader qualifies server oids with ``db_id`` (see :func:`grantlens.sources.catalog.fleet_oid`).
-Role ids are server-wide and carry no ``db_id``.
+Role ids are server-wide and carry no ``db_id``; with several servers the reader qualifies them with
+``server_id`` (:func:`grantlens.sources.catalog.fleet_role`).
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlens.model import ALL_ACL, ALL_OBJECTS
+from grantlens.model import ALL_ACL, ALL_OBJECTS, PUBLIC_OID
 
 _FLEET_SHIFT = 1 << 32
 
@@ -15,10 +15,27 @@ def fleet_oid(db_id: Column, oid: Column) -> Column:
     return db_id.cast("bigint") * F.lit(_FLEET_SHIFT) + oid.cast("bigint")
 
 
+def fleet_role(server_id: Column, oid: Column) -> Column:
+    """Role id made unique over the servers of a fleet. Public is 0 everywhere; server 0 keeps its ids."""
+    own = server_id.cast("bigint") * F.lit(_FLEET_SHIFT) + oid.cast("bigint")
+    return F.when(oid == PUBLIC_OID, F.lit(PUBLIC_OID).cast("bigint")).otherwise(own)
+
+
+def _server_of(catalog: DataFrame) -> Column:
+    """Server of a row of a server-wide catalog; without that column all rows are of server 0."""
+    return F.col("server_id") if "server_id" in catalog.columns else F.lit(0)
+
+
 def read_roles(catalog: DataFrame) -> DataFrame:
-    """Roles from the server's role catalog."""
+    """Roles from the role catalogs of one server, or of many told apart by ``server_id``.
+
+    With many servers, ids are those of :func:`fleet_role` and ``server_id`` is a column: names are unique
+    on each server only.
+    """
+    many = ["server_id"] if "server_id" in catalog.columns else []
     return catalog.select(
-        F.col("oid").cast("bigint").alias("role_oid"),
+        *[F.col(c).cast("bigint").alias(c) for c in many],
+        fleet_role(_server_of(catalog), F.col("oid")).alias("role_oid"),
         F.col("rolname").cast("string").alias("role_name"),
         F.col("rolcanlogin").alias("can_login"),
         F.col("rolsuper").alias("is_super"),
@@ -30,10 +47,12 @@ def read_roles(catalog: DataFrame) -> DataFrame:
 def read_memberships(catalog: DataFrame) -> DataFrame:
     """Membership edges (role_oid: granted role, member_oid: who got it), one for each pair.
 
-    A role granted by several grantors has the admin option if any of them gave it.
+    A role granted by several grantors has the admin option if any of them gave it. ``server_id`` tells
+    servers apart, as in :func:`read_roles`.
     """
+    server = _server_of(catalog)
     return catalog.groupBy(
-        F.col("roleid").cast("bigint").alias("role_oid"), F.col("member").cast("bigint").alias("member_oid")
+        fleet_role(server, F.col("roleid")).alias("role_oid"), fleet_role(server, F.col("member")).alias("member_oid")
     ).agg(F.bool_or("admin_option").alias("admin_option"))
 
 
@@ -89,17 +108,24 @@ def read_auto_types(depend: DataFrame) -> DataFrame:
     )
 
 
-def read_role_dependencies(shdepend: DataFrame) -> DataFrame:
+def read_role_dependencies(shdepend: DataFrame, databases: DataFrame | None = None) -> DataFrame:
     """(db_id, role_oid): a role owns or is granted something in, or on, a database.
 
-    The OR of the two ways to name the database becomes a union of two projections.
+    The OR of the two ways to name the database becomes a union of two projections. With many servers
+    the catalog has ``server_id``, and ``databases`` (db_id, server_id, oid) says which database of the fleet
+    a server's database is; one that is not listed gives no row.
     """
-    edges = shdepend.where(F.col("refclassid") == "pg_authid")
-    inside = edges.select(F.col("dbid").alias("db_id"), F.col("refobjid").alias("role_oid"))
-    itself = edges.where(F.col("classid") == "pg_database").select(
-        F.col("objid").alias("db_id"), F.col("refobjid").alias("role_oid")
-    )
-    return inside.where(F.col("db_id") != 0).union(itself).distinct()
+    if ("server_id" in shdepend.columns) != (databases is not None):
+        raise ValueError("servers need both server_id in the catalog and the list of databases")
+    edges = shdepend.where(F.col("refclassid") == "pg_authid").withColumn("_server", _server_of(shdepend))
+    role = fleet_role(F.col("_server"), F.col("refobjid")).alias("role_oid")
+    inside = edges.select("_server", F.col("dbid").alias("db_id"), role)
+    itself = edges.where(F.col("classid") == "pg_database").select("_server", F.col("objid").alias("db_id"), role)
+    found = inside.where(F.col("db_id") != 0).union(itself).distinct()
+    if databases is None:
+        return found.select("db_id", "role_oid")
+    listed = databases.select(F.col("db_id").alias("_fleet"), F.col("server_id").alias("_server"), F.col("oid").alias("db_id"))
+    return found.join(listed, ["_server", "db_id"]).select(F.col("_fleet").cast("bigint").alias("db_id"), "role_oid")
 
 
 def unify_objects(objects: DataFrame, namespaces: DataFrame) -> DataFrame:

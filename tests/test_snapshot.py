@@ -143,3 +143,59 @@ def test_texts_are_taken_apart_once(spark, roles):
 def test_memberships_of_several_grantors(spark, rows):
     df = spark.createDataFrame([(1, 2, False), (1, 2, True), (1, 3, False)], "roleid bigint, member bigint, admin_option boolean")
     assert rows(catalog.read_memberships(df)) == [(1, 2, True), (1, 3, False)]
+
+
+def test_roles_of_several_servers(spark, rows):
+    """Equal ids and equal names on two servers are different roles; public is one."""
+    pg = spark.createDataFrame(
+        [(s, 10, f"only{s}", True, False, False, True) for s in (0, 1)] + [(s, 11, "both", False, False, False, True) for s in (0, 1)],
+        "server_id int, oid bigint, rolname string, rolcanlogin boolean, rolsuper boolean, rolcreaterole boolean, rolinherit boolean",
+    )
+    known = catalog.read_roles(pg)
+    assert rows(known, "role_oid", "role_name") == sorted(
+        [(10, "only0"), (11, "both"), (BASE + 10, "only1"), (BASE + 11, "both")], key=lambda r: (str(r[0]), r[1])
+    )
+    members = spark.createDataFrame(
+        [(0, 11, 10, False), (1, 11, 10, True), (1, 11, 10, False)], "server_id int, roleid bigint, member bigint, admin_option boolean"
+    )
+    assert rows(catalog.read_memberships(members)) == [(11, 10, False), (BASE + 11, BASE + 10, True)]
+    texts = spark.createDataFrame(
+        [(0, ["both=r/only0", "only1=r/both", "=r/both", "77=r/both"]), (1, ["both=r/only1", "77=r/both"]), (None, ["both=r/both", "=U/both"])],
+        "server_id bigint, acl array<string>",
+    )
+    got = {r["server_id"]: r for r in snapshot.acl_dictionary(texts, known).collect()}
+    entries = {s: {tuple(e) for e in r["entries"]} for s, r in got.items()}
+    assert entries[0] == {(10, 11, "r", False), (11, 0, "r", False), (11, 77, "r", False)}
+    assert entries[1] == {(BASE + 10, BASE + 11, "r", False), (BASE + 11, BASE + 77, "r", False)}
+    assert entries[None] == {(None, 0, "U", False)}
+    assert {s: r["rejected"] for s, r in got.items()} == {0: ["only1=r/both"], 1: [], None: ["both=r/both"]}
+    with pytest.raises(ValueError):
+        snapshot.acl_dictionary(texts.drop("server_id"), known)
+
+
+def test_databases_of_several_servers(spark, rows, roles, tmp_path):
+    write_catalogs(spark, tmp_path)
+    two = roles.withColumn("server_id", F.lit(1)).withColumn("role_oid", F.col("role_oid") + F.lit(BASE))
+    two = two.unionByName(roles.withColumn("server_id", F.lit(0)))
+    databases = spark.createDataFrame([(1, 1)], "db_id bigint, server_id int")
+    found = snapshot.read_snapshot(spark, str(tmp_path), two, databases=databases)
+    assert {r["owner_oid"] for r in found.objects.collect()} == {BASE + 3}
+    assert {r["grantee_oid"] for r in found.acl.collect()} == {BASE + 10, BASE + 11}
+    assert {(r["grantor_oid"], r["grantee_oid"]) for r in found.default_acl.collect()} == {(BASE + 10, 0), (BASE + 10, BASE + 10)}
+    assert found.rejected.count() == 0
+    # a database that is not listed has no server: nothing is guessed
+    nowhere = snapshot.read_snapshot(spark, str(tmp_path), two, databases=databases.where("db_id = 5"))
+    assert nowhere.acl.count() == 0 and {r["item"] for r in nowhere.rejected.collect()} == {"ann=X/ann", '"b=r/c"=rw*/ann'}
+    assert {r["owner_oid"] for r in nowhere.objects.collect()} == {None}
+
+
+def test_dependencies_of_several_servers(spark, rows):
+    shared = spark.createDataFrame(
+        [(0, 5, "pg_class", 1, "pg_authid", 9), (1, 5, "pg_class", 1, "pg_authid", 9), (1, 0, "pg_database", 6, "pg_authid", 9),
+         (1, 7, "pg_class", 1, "pg_authid", 9)],
+        "server_id int, dbid bigint, classid string, objid bigint, refclassid string, refobjid bigint",
+    )
+    databases = spark.createDataFrame([(100, 0, 5), (101, 1, 5), (102, 1, 6)], "db_id bigint, server_id int, oid bigint")
+    assert rows(catalog.read_role_dependencies(shared, databases)) == [(100, 9), (101, BASE + 9), (102, BASE + 9)]
+    with pytest.raises(ValueError):
+        catalog.read_role_dependencies(shared)
