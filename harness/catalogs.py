@@ -7,6 +7,7 @@ server has them (unique per database only), ACLs as the text of an array, roles
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,22 +23,25 @@ def _quoted(name: Column) -> Column:
     return F.when(plain, name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))
 
 
-def _acl_texts(entries: DataFrame, keys: list[str], roles: DataFrame) -> DataFrame:
-    """(keys, acl): the entries (grantee_oid, grantor_oid, codes, grantable) of each object as one text."""
+def _acl_texts(entries: DataFrame, keys: list[str], roles: DataFrame, number: Callable[[str], Column] = F.col) -> DataFrame:
+    """(keys, acl): the entries (grantee_oid, grantor_oid, codes, grantable) of each object as one text.
+
+    ``number`` gives the id that a role without a name is written as.
+    """
     names = roles.select("role_oid", _quoted(F.col("role_name")).alias("name"))
     named = entries.join(names.toDF("grantee_oid", "_grantee"), "grantee_oid", "left")
     named = named.join(names.toDF("grantor_oid", "_grantor"), "grantor_oid", "left")
     codes = F.when(F.col("grantable"), F.regexp_replace("codes", "(.)", "$1*")).otherwise(F.col("codes"))
-    grantee = F.when(F.col("grantee_oid") == 0, "").otherwise(F.coalesce("_grantee", F.col("grantee_oid").cast("string")))
-    item = F.concat(grantee, F.lit("="), codes, F.lit("/"), F.coalesce("_grantor", F.col("grantor_oid").cast("string")))
+    grantee = F.when(F.col("grantee_oid") == 0, "").otherwise(F.coalesce("_grantee", number("grantee_oid").cast("string")))
+    item = F.concat(grantee, F.lit("="), codes, F.lit("/"), F.coalesce("_grantor", number("grantor_oid").cast("string")))
     escaped = F.concat(F.lit('"'), F.regexp_replace(item, r'(["\\])', r"\\$1"), F.lit('"'))
     element = F.when(F.regexp_like(item, F.lit(r'["\\{},\s]')), escaped).otherwise(item)
     texts = named.groupBy(*keys).agg(F.array_join(F.collect_list(element), ",").alias("_items"))
     return texts.select(*keys, F.concat(F.lit("{"), F.col("_items"), F.lit("}")).alias("acl"))
 
 
-def _objects(c: Inputs) -> DataFrame:
-    acl = _acl_texts(c.acl_items, ["obj_oid"], c.roles)
+def _objects(c: Inputs, number: Callable[[str], Column]) -> DataFrame:
+    acl = _acl_texts(c.acl_items, ["obj_oid"], c.roles, number)
     text = F.when(F.col("has_acl"), F.coalesce("acl", F.lit("{}")))
     return c.objects.join(acl, "obj_oid", "left").withColumn("acl", text)
 
@@ -77,14 +81,14 @@ def _pg_depend(c: Inputs) -> DataFrame:
     return reduce(DataFrame.unionByName, (views, selves.distinct(), sequences, types)).join(own, "objid")
 
 
-def _catalogs(c: Inputs) -> dict[str, DataFrame]:
-    objects = _objects(c)
+def _catalogs(c: Inputs, number: Callable[[str], Column] = F.col) -> dict[str, DataFrame]:
+    objects = _objects(c, number)
     schema_acl = c.schema_acl.withColumn("grantor_oid", F.col("owner_oid"))
-    schemas = c.namespace_states.join(_acl_texts(schema_acl, ["schema_oid"], c.roles), "schema_oid", "left")
+    schemas = c.namespace_states.join(_acl_texts(schema_acl, ["schema_oid"], c.roles, number), "schema_oid", "left")
     on_columns = c.column_acl.join(c.objects.select("obj_oid", F.col("owner_oid").alias("grantor_oid")), "obj_oid")
     defaults = c.default_acl.withColumn("grantable", F.lit(False))
     of_default = ["db_id", "schema_oid", "defaclrole", "obj_type"]
-    defaults = _acl_texts(defaults.withColumn("defaclrole", F.col("grantor_oid")), of_default, c.roles)
+    defaults = _acl_texts(defaults.withColumn("defaclrole", F.col("grantor_oid")), of_default, c.roles, number)
     out = {
         "pg_class": _pg_class(c, objects),
         "pg_proc": _of_kind(objects, "pro", ("X",)),
@@ -95,7 +99,7 @@ def _catalogs(c: Inputs) -> dict[str, DataFrame]:
             "db_id", F.col("schema_oid").alias("oid"), F.col("schema_name").alias("nspname"),
             F.col("owner_oid").alias("nspowner"), F.when(F.col("has_acl"), F.coalesce("acl", F.lit("{}"))).alias("nspacl"),
         ),
-        "pg_attribute": _acl_texts(on_columns, ["db_id", "obj_oid", "column_name"], c.roles).select(
+        "pg_attribute": _acl_texts(on_columns, ["db_id", "obj_oid", "column_name"], c.roles, number).select(
             "db_id", F.col("obj_oid").alias("attrelid"), F.col("column_name").alias("attname"), F.col("acl").alias("attacl")
         ),
         "pg_default_acl": defaults.select(
@@ -126,6 +130,51 @@ def _catalogs(c: Inputs) -> dict[str, DataFrame]:
     return out
 
 
+SECOND_SERVER = "db_id % 2 = 1"  # databases that lie on server 1 in the fleet of two
+
+
+def mirror(c: Inputs) -> int:
+    """Server 1 has the ids of server 0 in reverse: equal ids are different roles there."""
+    return c.roles.agg(F.min("role_oid") + F.max("role_oid")).first()[0]
+
+
+def databases(c: Inputs) -> DataFrame:
+    """(db_id, server_id, oid): both servers use the same database ids."""
+    server = F.when(F.expr(SECOND_SERVER), 1).otherwise(0).alias("server_id")
+    return c.namespace_states.select("db_id").distinct().select("db_id", server, F.expr("db_id div 2 + 1").alias("oid"))
+
+
+def server_root(c: Inputs) -> str:
+    """Folder with the catalogs of two servers, written on first use in a session."""
+    if "servers" in c._paths:
+        return c._paths["servers"]
+    sum_, root = mirror(c), f"{shared_folder(c.spark)}/{uuid.uuid4().hex}/servers"
+
+    def there(name: str) -> Column:
+        return F.when(F.expr(SECOND_SERVER), sum_ - F.col(name)).otherwise(F.col(name))
+
+    def twice(df: DataFrame, *ids: str) -> DataFrame:
+        second = df.withColumns({x: sum_ - F.col(x) for x in ids})
+        return df.withColumn("server_id", F.lit(0)).unionByName(second.withColumn("server_id", F.lit(1)))
+
+    out = _catalogs(c, there)
+    for d in DESCRIPTORS:
+        out[d.catalog] = out[d.catalog].withColumn(f"{d.prefix}owner", there(f"{d.prefix}owner"))
+    out["pg_default_acl"] = out["pg_default_acl"].withColumn("defaclrole", there("defaclrole"))
+    out["pg_roles"] = twice(out["pg_roles"], "oid")
+    out["pg_auth_members"] = twice(out["pg_auth_members"], "roleid", "member")
+    itself = F.col("classid") == "pg_database"
+    shared = out["pg_shdepend"].withColumn("db_id", F.when(itself, F.col("objid")).otherwise(F.col("dbid")))
+    out["pg_shdepend"] = shared.join(databases(c), "db_id").select(
+        "server_id", F.when(itself, 0).otherwise(F.col("oid")).alias("dbid"), "classid", F.col("oid").alias("objid"),
+        "refclassid", there("refobjid").alias("refobjid"),
+    )
+    for name, catalog in out.items():
+        catalog.write.parquet(f"{root}/{name}")
+    c._paths["servers"] = root
+    return root
+
+
 def catalog_root(c: Inputs) -> str:
     """Folder with all catalogs, written on first use in a session."""
     if "pg" not in c._paths:

@@ -694,8 +694,29 @@ def snapshots() -> dict[str, str]:
     }
 
 
+def on_servers(name: str, databases: str = "db_id%2=1") -> str:
+    """Id of a role in the fleet of two servers; server 1 has the ids of all roles in reverse."""
+    there = f"4294967296+(SELECT min(role_oid)+max(role_oid) FROM roles)-{name}"
+    return f"CAST(CASE WHEN {name}=0 THEN 0 WHEN {databases} THEN {there} ELSE {name} END AS BIGINT)"
+
+
+def servers() -> dict[str, str]:
+    keys = f"CAST(db_id AS BIGINT) AS db_id, {fleet('schema_oid')}, obj_kind, {fleet('obj_oid')}"
+    second = lambda name: on_servers(name, "server_id=1")
+    return {
+        "read_server_acl": with_inputs(
+            f"SELECT {keys}, column_name, {on_servers('owner_oid')} AS owner_oid, {on_servers('grantee_oid')} AS grantee_oid, codes, grantable FROM all_acl"),
+        "read_server_dependencies": with_inputs(
+            f"SELECT CAST(db_id AS BIGINT) AS db_id, {on_servers('role_oid')} AS role_oid FROM role_dependencies"),
+        "server_role_closure": with_inputs(
+            f"SELECT {second('member_oid')} AS member_oid, {second('role_oid')} AS role_oid FROM usage_reach, (VALUES (0),(1)) v(server_id)",
+            USAGE, recursive=True),
+        "server_privilege_anomalies": diagnostics()["privilege_anomalies"],
+    }
+
+
 def all_oracles() -> dict[str, str]:
     return {
         **diagnostics(), **acl(), **roles(), **plans(), **registry(), **events(), **policies(),
-        **stores(), **snapshots(),
+        **stores(), **snapshots(), **servers(),
     }

@@ -14,7 +14,7 @@ from grantlens.plans import defaults, grants, move, ownership, reassign, reset
 from grantlens.scaling import shared_folder, union_all
 from grantlens.sources import catalog, ddl_log, snapshot, stores, taxonomy
 from grantlens.streaming import events
-from harness.catalogs import catalog_root
+from harness.catalogs import SECOND_SERVER, catalog_root, databases, mirror, server_root
 from harness.inputs import Inputs
 
 ADMIN_TARGET = "grp_0"
@@ -689,3 +689,59 @@ def read_auto_types(c):
 @query
 def read_role_dependencies(c):
     return catalog.read_role_dependencies(_pg(c, "pg_shdepend"))
+
+
+def _on_servers(c) -> tuple[DataFrame, snapshot.Snapshot]:
+    """Roles and snapshot of a fleet of two servers that use the same ids for different roles."""
+    root = server_root(c)
+    known = catalog.read_roles(c.spark.read.parquet(f"{root}/pg_roles"))
+    return known, snapshot.read_snapshot(c.spark, root, known, databases=databases(c))
+
+
+def _one_space(c, df: DataFrame, *names: str) -> DataFrame:
+    """Role ids of the two servers as those of the tables they were derived from."""
+    shift = 1 << 32
+    return df.withColumns({
+        n: F.when(F.col(n) >= shift, mirror(c) - F.col(n).bitwiseAND(F.lit(shift - 1))).otherwise(F.col(n)) for n in names
+    })
+
+
+@query
+def read_server_acl(c):
+    """ACL entries of two servers, their role ids as the fleet has them."""
+    return _on_servers(c)[1].acl
+
+
+@query
+def read_server_dependencies(c):
+    found = c.spark.read.parquet(f"{server_root(c)}/pg_shdepend")
+    return catalog.read_role_dependencies(found, databases(c))
+
+
+@query
+def server_role_closure(c):
+    """Who reaches what on two servers: no path leads from one to the other."""
+    root = server_root(c)
+    known = catalog.read_roles(c.spark.read.parquet(f"{root}/pg_roles"))
+    edges = catalog.read_memberships(c.spark.read.parquet(f"{root}/pg_auth_members"))
+    return roles.role_closure(known, edges)
+
+
+@query
+def server_privilege_anomalies(c):
+    """The privilege report over two servers, told with the ids of the one space of roles."""
+    known, found = _on_servers(c)
+    second, fleet = F.expr(SECOND_SERVER), mirror(c)
+
+    def of_fleet(df: DataFrame, *names: str) -> DataFrame:
+        there = lambda n: catalog.fleet_role(F.lit(1), F.when(F.col(n) == 0, 0).otherwise(fleet - F.col(n)))
+        return df.withColumns({n: F.when(second, there(n)).otherwise(F.col(n)) for n in names})
+
+    registry_now = c.registry.withColumn("schema_oid", catalog.fleet_oid(F.col("db_id"), F.col("schema_oid")))
+    registry_now = of_fleet(registry_now, "producer_oid", "editor_oid", "reader_oid")
+    # fixed rights go by schema and object; their names in one database are not those of another
+    of_schema = c.registry.select("schema_name", "db_id").distinct()
+    fixed = of_fleet(c.fixed_grants.join(of_schema, "schema_name"), "role_oid").drop("db_id")
+    report = diagnostics.privilege_anomalies(found.objects, found.acl, registry_now, known, fixed)
+    ids = [n for n in ("role_oid", "other_oid") if n in report.columns]
+    return _one_space(c, _server_oids(report, "obj_oid"), *ids)
