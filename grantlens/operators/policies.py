@@ -9,7 +9,7 @@ from grantlens.functions.privileges import mask_of
 from grantlens.functions.sqltext import quote_ident, quote_literal
 from grantlens.model import RELATION_KINDS
 from grantlens.operators.diagnostics import effective_privileges
-from grantlens.operators.roles import ADMIN_ROLE, FUNCTIONS, has_roles, role_oid_of, with_functions
+from grantlens.operators.roles import ADMIN_ROLE, FUNCTIONS, Reach, has_roles, role_oid_of, with_functions
 from grantlens.scaling import attach, cut_lineage, number_rows
 
 READERS_ROLE = "g_consult"
@@ -17,7 +17,7 @@ STRATEGIES = (0, 1, 2, 3, 4, 5, 99)
 
 
 def style_row_permissions(
-    requests: DataFrame, styles: DataFrame, registry: DataFrame, roles: DataFrame, closure: DataFrame,
+    requests: DataFrame, styles: DataFrame, registry: DataFrame, roles: DataFrame, closure: DataFrame | Reach,
     strategies: tuple[int, ...] = STRATEGIES, admin: str = ADMIN_ROLE, readers: str = READERS_ROLE,
 ) -> DataFrame:
     """For each requested (user_oid, style_id) and strategy: may the user read and write the row?
@@ -80,7 +80,7 @@ def style_row_permissions(
 
 
 def _readable_relations(
-    user: str, all_objects: DataFrame, all_acl: DataFrame, roles: DataFrame, closure: DataFrame
+    user: str, all_objects: DataFrame, all_acl: DataFrame, roles: DataFrame, closure: DataFrame | Reach
 ) -> DataFrame:
     """Relations the user may SELECT from, in schemas it may use."""
     who = role_oid_of(roles, user).alias("user_oid")
@@ -107,7 +107,7 @@ def menu_index(
     registry: DataFrame,
     namespaces: DataFrame,
     roles: DataFrame,
-    closure: DataFrame,
+    closure: DataFrame | Reach,
     geometry_columns: DataFrame,
     connection: dict[str, str] | None = None,
 ) -> DataFrame:

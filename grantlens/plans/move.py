@@ -10,7 +10,7 @@ from grantlens.functions.sqltext import alter_class, object_ref, quote_ident
 from grantlens.model import RELATION_KINDS, SYSTEM_SCHEMA_PATTERN
 from grantlens.operators.acl import all_privileges, object_names, render_commands
 from grantlens.operators.diagnostics import effective_registry
-from grantlens.operators.roles import acting_as
+from grantlens.operators.roles import Reach, acting_as
 from grantlens.scaling import attach, cut_lineage, union_all
 
 STEPS = {
@@ -188,7 +188,7 @@ def move_object_plan(
     roles: DataFrame,
     owned_sequences: DataFrame,
     conflicts: DataFrame | None = None,
-    closure: DataFrame | None = None,
+    closure: DataFrame | Reach | None = None,
     actor: str | None = None,
 ) -> DataFrame:
     """Commands for each move (obj_oid, source_schema_oid, target_schema_oid, variant).

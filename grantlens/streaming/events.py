@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from grantlens.functions.privileges import expected_mask, privilege_list
 from grantlens.functions.sqltext import first_group
 from grantlens.operators.diagnostics import effective_registry, view_source_access
+from grantlens.operators.roles import Reach
 from grantlens.scaling import attach, cut_lineage, next_marked, union_all
 from grantlens.sources.ddl_log import ALTER, ALTER_OBJECT, CREATE, CREATE_OBJECT, DROP
 from grantlens.sources.stores import drop_versions, folder_exists, latest_version, version_path, versions
@@ -236,7 +237,7 @@ def grants_on_create_object(events: DataFrame, registry: DataFrame, roles: DataF
 
 def view_warnings_on_create(
     events: DataFrame, view_sources: DataFrame, all_objects: DataFrame, all_acl: DataFrame,
-    registry: DataFrame, roles: DataFrame, closure: DataFrame,
+    registry: DataFrame, roles: DataFrame, closure: DataFrame | Reach,
 ) -> DataFrame:
     """Sources that the producers of newly created views cannot read."""
     views = events.where((F.col("tag") == CREATE_OBJECT) & F.col("obj_kind").isin("v", "m")).select(
