@@ -79,11 +79,16 @@ def role_privileges(all_acl: DataFrame) -> DataFrame:
     return _merged(granted).withColumn("verb", F.lit("GRANT"))
 
 
-def owner_missing_privileges(all_objects: DataFrame, all_acl: DataFrame) -> DataFrame:
+def _spelled(rows: DataFrame, spelled: bool) -> DataFrame:
+    rows = rows.where(F.col("_mask") != 0)
+    return explode_mask(rows, "_mask") if spelled else rows
+
+
+def owner_missing_privileges(all_objects: DataFrame, all_acl: DataFrame, spelled: bool = True) -> DataFrame:
     """Default privileges that owners lost, on objects that have an ACL.
 
     Objects and their owners' entries meet in one aggregation by object, so the two tables are
-    shuffled once and never joined.
+    shuffled once and never joined. Without ``spelled`` see :func:`render_commands`.
     """
     expected = all_objects.where(F.col("has_acl") & F.col("obj_kind").isin(*RIGHTS_KINDS)).select(
         "db_id", "schema_oid", "obj_kind", "obj_oid",
@@ -108,7 +113,7 @@ def owner_missing_privileges(all_objects: DataFrame, all_acl: DataFrame) -> Data
         "role_oid",
         F.col("_expected").bitwiseAND(F.bitwise_not(F.col("_held"))).alias("_mask"),
     )
-    return explode_mask(lost.where(F.col("_mask") != 0), "_mask").withColumn("verb", F.lit("REVOKE"))
+    return _spelled(lost, spelled).withColumn("verb", F.lit("REVOKE"))
 
 
 def public_privileges(all_acl: DataFrame) -> DataFrame:
@@ -122,12 +127,13 @@ def public_privileges(all_acl: DataFrame) -> DataFrame:
 
 
 def all_privileges(
-    all_objects: DataFrame, all_acl: DataFrame, with_public: bool = False
+    all_objects: DataFrame, all_acl: DataFrame, with_public: bool = False, spelled: bool = True
 ) -> DataFrame:
     """Commands that describe the rights of every role: grants, and revocations of owners.
 
     The same rows as :func:`role_privileges` and :func:`owner_missing_privileges` (and
     :func:`public_privileges`) together, from one aggregation by (object, role) instead of three.
+    Without ``spelled`` a row carries a ``_mask`` of privileges for :func:`render_commands`.
     """
     kind, to_public = F.col("obj_kind"), F.col("grantee_oid") == PUBLIC_OID
     in_scope = kind.isin("N", "S", "A", *RELATION_KINDS) if with_public else F.lit(False)
@@ -159,7 +165,7 @@ def all_privileges(
     rows = merged.where((F.col("_granted") != 0) | (lost != 0)).select(
         *OBJECT_KEY, "role_oid", F.inline(sides)
     )
-    return explode_mask(rows.where(F.col("_mask") != 0), "_mask")
+    return _spelled(rows, spelled)
 
 
 def _requested(requests: DataFrame, classes: tuple[str, ...] | None, error: str):
@@ -233,8 +239,8 @@ def render_commands(
     """Add object_class and the command text of each row; NULL when a part cannot be named.
 
     Rows carry obj_kind, obj_oid, column_name, role_oid, privilege and a verb: GRANT, REVOKE or
-    OWNER. An ``in_schema_oid`` column, where set, names the schema the object will be in by
-    then. Entries of columns are named after their table, whose kind they do not know, so both
+    OWNER. With a ``_mask`` in place of the privilege they are spelled out after the joins, a row
+    for each. An ``in_schema_oid`` column, where set, names the schema the object will be in by then. Entries of columns are named after their table, whose kind they do not know, so both
     sides meet on the class of objects.
     """
     kind = F.col("obj_kind")
@@ -250,6 +256,8 @@ def render_commands(
         )
         named = attach(named, later, "in_schema_oid", "left")
         named = named.withColumn("_schema", F.coalesce("_later", "_schema")).drop("_later")
+    if "_mask" in rows.columns:
+        named = explode_mask(named, "_mask")
     target = object_ref(kind, F.col("_schema"), F.col("_name"))
     role = role_ref(F.col("role_oid"), F.col("_role"))
     is_owner = F.col("verb") == "OWNER"
