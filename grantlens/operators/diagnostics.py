@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from grantlens.functions.privileges import (
 from grantlens.model import (
     DIAGNOSED_DEFAULT_ACL_TYPES,
     KINDS,
+    PRIVILEGES,
     PUBLIC_OID,
     RELATION_KINDS,
     RIGHTS_KINDS,
@@ -146,6 +149,17 @@ def _expected(objects: DataFrame, fixed_grants: DataFrame | None) -> DataFrame:
     return rows.withColumn("column_name", F.lit(None).cast("string"))
 
 
+def _packed(masks: list[Column]) -> Column:
+    """Several masks side by side in one number, so that they are shuffled and merged as one."""
+    width = len(PRIVILEGES)
+    return reduce(Column.bitwiseOR, [F.shiftleft(m.cast("bigint"), i * width) for i, m in enumerate(masks)])
+
+
+def _unpacked(packed: Column, at: int) -> Column:
+    width = len(PRIVILEGES)
+    return F.shiftright(packed, at * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+
+
 def _finding(mask: Column, anomaly: str, function: str | None = None) -> Column:
     return F.when(
         mask != 0,
@@ -176,25 +190,27 @@ def privilege_anomalies(
     objects = audited_objects(
         all_objects.where(F.col("obj_kind").isin(*RIGHTS_KINDS)), registry, roles
     )
+    nothing = F.lit(0).cast("bigint")
     expected = _expected(objects, fixed_grants).select(
         "db_id", "schema_oid", "obj_kind", "obj_oid", "column_name", "role_oid",
-        *[f"{f}_mask" for f in _FUNCTIONS],
-        F.lit(0).alias("plain_mask"), F.lit(0).alias("option_mask"),
+        _packed([F.col(f"{f}_mask") for f in _FUNCTIONS]).alias("_expected"), nothing.alias("_held"),
     )
     codes = code_mask(F.col("codes"))
     effective = all_acl.select(
         "db_id", "schema_oid", "obj_kind", "obj_oid", "column_name",
-        F.col("grantee_oid").alias("role_oid"),
-        *[F.lit(0).alias(f"{f}_mask") for f in _FUNCTIONS],
-        F.when(F.col("grantable"), F.lit(0)).otherwise(codes).alias("plain_mask"),
-        F.when(F.col("grantable"), codes).otherwise(F.lit(0)).alias("option_mask"),
+        F.col("grantee_oid").alias("role_oid"), nothing.alias("_expected"),
+        _packed(
+            [F.when(F.col("grantable"), F.lit(0)).otherwise(codes), F.when(F.col("grantable"), codes).otherwise(F.lit(0))]
+        ).alias("_held"),
     )
-    masks = [f"{f}_mask" for f in _FUNCTIONS] + ["plain_mask", "option_mask"]
     pairs = (
         expected.unionByName(effective)
         .groupBy("db_id", "obj_kind", "obj_oid", "column_name", "role_oid")
-        .agg(F.max("schema_oid").alias("schema_oid"), *[F.bit_or(m).alias(m) for m in masks])
+        .agg(F.max("schema_oid").alias("schema_oid"), *[F.bit_or(m).alias(m) for m in ("_expected", "_held")])
     )
+    masks = {f"{f}_mask": _unpacked(F.col("_expected"), i) for i, f in enumerate(_FUNCTIONS)}
+    masks |= {"plain_mask": _unpacked(F.col("_held"), 0), "option_mask": _unpacked(F.col("_held"), 1)}
+    pairs = pairs.withColumns(masks).drop("_expected", "_held")
     plain, option = F.col("plain_mask"), F.col("option_mask")
     held = plain.bitwiseOR(option)
     wanted = F.lit(0)
