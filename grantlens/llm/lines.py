@@ -20,6 +20,7 @@ CHARS_PER_EDIT = 10  # a line may differ by one edit for so many characters
 HOT = 64  # lines that may share a segment before the rest of the line is looked at
 DEPTH = 3  # so often at most
 COUNTED = "eant"  # letters whose numbers are compared before anything else
+COMPARED = "eantiorshdlucmg "  # letters whose numbers are compared once two lines have met
 
 
 def allowed_edits(length: Column, edits: int = EDITS) -> Column:
@@ -36,12 +37,15 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
     A substring may equal segment ``i`` of a line that is ``less`` characters shorter or as long. At
     most ``edits`` edits lie to either side of a segment that matches, and one in each segment before
-    the first that does: that bounds the shift.
+    the first that does: that bounds the shift. Among lines as long, up to three edits move all that is
+    moved to one side, seen from one line, and to the other side, seen from the other: one looks.
     """
     out = [(0, i, 0) for i in range(edits + 1)]
     for less in range(edits + 1):
         for i in range(edits + 1):
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            if not less and edits <= 3:
+                low = 1
             out += [(less, i, shift) for shift in range(low, high + 1) if less or shift]
     return out
 
@@ -81,6 +85,14 @@ def letters_apart(x: Column, y: Column) -> Column:
     return sum((F.abs(byte(x, k) - byte(y, k)) for k in range(len(COUNTED))), F.lit(0))
 
 
+def letters_near(x: Column, y: Column, edits: int) -> Column:
+    """Whether the numbers of the ``COMPARED`` letters allow two texts to be within ``edits``."""
+    left = lambda c, letter: F.octet_length(F.replace(c, F.lit(letter), F.lit("")))
+    more = F.octet_length(x) - F.octet_length(y)
+    apart = [F.abs(more - left(x, letter) + left(y, letter)) for letter in COMPARED]
+    return sum(apart, F.lit(0)) <= 2 * edits
+
+
 def _keys(level: DataFrame, edits: int, places: list[tuple[int, int, int]]) -> DataFrame:
     """(key, id, counts) for every one of ``places`` of every line."""
     keys = F.array(*[_place(p)[2] for p in places])
@@ -305,7 +317,8 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         F.when(swap, F.col("_y")).otherwise(F.col("_x")).alias("longer"),
         F.when(swap, F.col("_x")).otherwise(F.col("_y")).alias("shorter"),
     )
-    both = cut_lineage(both.where(may_be_close(F.col("longer"), F.col("shorter"), edits)))
+    both = both.where(may_be_close(F.col("longer"), F.col("shorter"), edits))
+    both = cut_lineage(both.where(letters_near(F.col("longer"), F.col("shorter"), edits)))
     allowed = allowed_edits(F.length("shorter"), edits)
 
     def close(x: Column, y: Column) -> Column:

@@ -128,3 +128,26 @@ def test_odd_rows(odd):
     left = remove_lines(clash, found)
     assert left.columns == clash.columns and left.count() == odd.count()
     assert dedup_lines(odd.limit(0)).count() == 0
+
+
+def test_lines_as_long_look_one_way_only():
+    """Of two lines as long, what is moved lies ahead in one of them: only that one looks."""
+    for edits in (1, 2, 3):
+        assert not [p for p in lines._places(edits) if not p[0] and p[2] < 0]
+
+
+def test_pairs_moved_either_way(documents):
+    base = "the first part of it, then some middle, and at last the end"
+    moved = [base[1:] + "x", "y" + base[:-1], base[:9] + base[10:] + "z", base[:9] + "q" + base[9:-1]]
+    check(documents(["\n".join([base, *moved])]))
+
+
+def test_letters_rule_out_pairs_before_the_table_is_followed(spark):
+    rng, rows = random.Random(3), []
+    for _ in range(600):
+        a = "".join(rng.choice(" eantiorbé") for _ in range(40))
+        rows.append((a, edited(rng, a, rng.randrange(8), " eantiorbé")))
+    frame = spark.createDataFrame(rows, "a string, b string")
+    got = frame.select(F.levenshtein("a", "b").alias("w"), lines.letters_near(F.col("a"), F.col("b"), 2).alias("m")).collect()
+    assert all(r["m"] for r in got if r["w"] <= 2)
+    assert sum(not r["m"] for r in got if r["w"] > 4) > 20
