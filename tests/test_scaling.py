@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grantlens.scaling import attach, computed, number_rows
+from harness.inputs import Inputs
 
 
 @pytest.fixture
@@ -76,3 +77,18 @@ def test_next_marked(spark):
     want = {(k, t): min((u for j, u, m, _ in data if j == k and m and u > t), default=None) for k, t, _, _ in data}
     assert got == want
     assert next_marked(df.limit(0), ["k"], "t", "m", "v", "n").count() == 0
+
+
+def test_files_are_weighed_by_their_rows(spark, tmp_path):
+    """A file that is small only because ids and names compress well is not broadcast; a small table is."""
+    inputs = Inputs(spark, str(tmp_path))
+    name = F.concat(F.lit("usr_"), F.col("id").cast("string")).alias("name")
+    many = inputs.land("many_names", lambda: spark.range(0, 300_000, 1, 4).select("id", name))
+    few = inputs.land("few_names", lambda: spark.range(0, 100, 1, 1).select("id", name))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4m")  # the rows take 12 MB, their files 0.5
+    try:
+        plans = [spark.range(0, 5_000_000).join(t, "id", "left")._jdf.queryExecution().sparkPlan().toString() for t in (many, few)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert ["BroadcastHashJoin" in p for p in plans] == [False, True]
