@@ -116,6 +116,12 @@ def review(spark, world, edits):
     )
 
 
+def test_a_review_is_planned_in_parts(spark, world):
+    """A plan holds a part of the joins: the driver holds what all joins of one plan broadcast."""
+    plan = review(spark, world, [dict()])._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Join ") <= 6
+
+
 def test_rules(spark, world):
     new = dict(op="INSERT", target_schema_oid=None, new_editor=None, new_reader=None)
     cases = [
