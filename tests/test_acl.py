@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from grantlens.operators import acl
 from grantlens.operators.diagnostics import (
+    default_acl_anomalies,
     describe_anomalies,
     diagnose_rights,
     effective_privileges,
+    owner_anomalies,
     privilege_anomalies,
 )
 from grantlens.sources import catalog, stores
@@ -226,3 +228,19 @@ def test_targets_of_one_database(small, rows, spark, tmp_path):
     assert "schema_piece" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
     none = diagnose_rights(*filed, default_acl, sources, both, roles, closure, targets=targets.where("false"))
     assert rows(none) == []
+
+
+def test_checks_of_views_are_planned_apart(small, spark):
+    """The plan of the report is that of its other checks: the driver holds what all joins of one plan broadcast."""
+    roles, objects, entries, registry = small
+    default_acl = spark.createDataFrame([(0, 50, 1, "r", 4, "r")],
+        "db_id bigint, schema_oid bigint, grantor_oid bigint, obj_type string, grantee_oid bigint, codes string")
+    sources = spark.createDataFrame([(102, 100)], "view_oid bigint, source_oid bigint")
+    closure = roles.select(F.col("role_oid").alias("member_oid"), "role_oid")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    report = diagnose_rights(objects, entries, default_acl, sources, registry, roles, closure, view_access=True)
+    others = (
+        owner_anomalies(objects, registry, roles), default_acl_anomalies(default_acl, registry),
+        privilege_anomalies(objects, entries, registry, roles),
+    )
+    assert joins(report) <= sum(joins(part) for part in others)
